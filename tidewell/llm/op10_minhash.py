@@ -5,9 +5,11 @@ read from K consecutive places of that circle, gives K values for each shingle;
 values at shift k. Coordinates are banded; texts that share a band are candidates. Every link rests on the full
 shingle sets. Texts with equal sets are one class from the start and are never paired with each other.
 
-Links are sought until none can be missing among candidates: all members of a bucket meet a pivot, components are
-joined, buckets that lie in one component are done, and after a few pivots whatever members of different components
-remain in a bucket meet one another. So the work follows the links, not the square of a group's size.
+Links are sought until none can be missing among candidates. In a few rounds all members of a bucket meet a pivot,
+components are joined, and buckets that lie in one component are done. What is left are texts that share a bucket,
+but no component. Those that are alike, though too little to be linked, form families, as copies edited at many places
+do; within a family all members of different components are compared in blocks of texts, block against block, so that
+no row stands for a pair. All other pairs, few as they are, are compared one by one.
 With 48 bands of 6, two texts of similarity 0.8 share no band with probability below 1e-6.
 
 Defined results: null and empty texts, and texts of white space, have no shingles, are linked with nothing and stay;
@@ -29,7 +31,9 @@ from tidewell.llm.common import U64, Scratch, mix, shingles, steps, words
 CIRCLE = 1 << 20
 BANDS, ROWS = 48, 6
 #: Pivots that the members of a bucket meet before all that is left meets.
-PIVOTS = 5
+PIVOTS = 3
+#: Shingles in a block of a family's texts, about; a longer text is a block with few others.
+BLOCK_SHINGLES = 60_000
 #: Bands of the first round; it joins most copies, so that later rounds have few pairs.
 FIRST_BANDS = 6
 
@@ -117,6 +121,47 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
+def _in_families(members: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """The links (a, b) between texts of one family f and different components c; members has (k, c, f)."""
+    full = scratch.write(members.join(sets.withColumnRenamed("id", "k"), "k"))
+    sizes = full.groupBy("f").agg(F.ceil(F.sum(F.size("grams")) / BLOCK_SHINGLES).cast("int").alias("blocks"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    sizes = scratch.write(sizes.select("f", "blocks"))
+    placed = full.join(sizes, "f").withColumn("i", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    blocks = scratch.write(placed.groupBy("f", "i").agg(F.max("blocks").alias("blocks"), F.collect_list(F.struct("k", "c", "grams")).alias("texts")))
+    left = blocks.select("f", "i", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"), F.col("texts").alias("x"))
+    right = blocks.select("f", F.explode(F.sequence(F.lit(0), "i")).alias("i"), F.col("i").alias("j"), F.col("texts").alias("y"))
+    return left.join(right, ["f", "i", "j"]).select("x", "y").mapInArrow(lambda it: _block_links(it, percent), "a long, b long")
+
+
+def _columns(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, components, all shingles, and the text that each shingle is of."""
+    grams = texts.field("grams")
+    sizes = np.diff(np.asarray(grams.offsets))
+    return np.asarray(texts.field("k")), np.asarray(texts.field("c")), np.asarray(grams.flatten()), np.repeat(np.arange(len(texts)), sizes)
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(len(batch)):
+            (ka, ca, ga, ia), (kb, cb, gb, ib) = (_columns(pa.array(batch.column(n)[row].values)) for n in (0, 1))
+            na, nb = np.bincount(ia, minlength=len(ka)), np.bincount(ib, minlength=len(kb))
+            common = np.intersect1d(ga, gb)
+            both = np.zeros((len(ka), len(kb)), np.float32)
+            pa_, pb_ = np.searchsorted(common, ga), np.searchsorted(common, gb)
+            in_a = common[np.minimum(pa_, len(common) - 1)] == ga if len(common) else np.zeros(len(ga), bool)
+            in_b = common[np.minimum(pb_, len(common) - 1)] == gb if len(common) else np.zeros(len(gb), bool)
+            for at in range(0, len(common), 4096):
+                width = min(4096, len(common) - at)
+                one, two = (np.zeros((len(k), width), np.float32) for k in (ka, kb))
+                for m, inn, p, t in ((one, in_a, pa_, ia), (two, in_b, pb_, ib)):
+                    on = inn & (p >= at) & (p < at + width)
+                    m[t[on], p[on] - at] = 1
+                both += one @ two.T
+            union = na[:, None] + nb[None, :] - both
+            x, y = np.nonzero((100 * both >= percent * union) & (ca[:, None] != cb[None, :]))
+            yield pa.record_batch([pa.array(ka[x]), pa.array(kb[y])], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component) for every row of docs; linked are texts with 100 * intersection >= percent * union."""
     spark = docs.sparkSession
@@ -131,33 +176,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = scratch.write(plain.join(rows.select(F.col("k").alias("id")).distinct(), "id", "left_semi").mapInArrow(lambda it: _sets(it, words_per), "id long, grams array<long>").dropDuplicates(["id", "grams"]))
 
     tested, comp = None, None
-    for turn in range(PIVOTS + 1):
-        live = rows.where(F.col("band") < FIRST_BANDS) if turn == 0 else rows
-        if comp is None:
-            live = live.withColumn("c", F.col("k"))
-        else:
-            live = live.join(comp.select(F.col("id").alias("k"), "component"), "k", "left").select("bucket", "k", "n", F.coalesce("component", "k").alias("c"))
-            split = scratch.write(live.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket"))
-            live = scratch.write(live.join(split, "bucket"))
-            scratch.drop(split)
-        if turn < PIVOTS:
-            pivot = scratch.write(live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("k", F.lit(turn)), F.col("k").alias("pk"), F.col("c").alias("pc"), F.col("n").alias("pn"))).alias("p")).select("bucket", "p.pk", "p.pc", "p.pn"))
-            pairs = live.join(pivot, "bucket").where("c <> pc")
-        else:
-            pairs = live.join(live.select("bucket", F.col("k").alias("pk"), F.col("c").alias("pc"), F.col("n").alias("pn")), "bucket").where("k < pk and c <> pc")
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, int, int]:
         pairs = pairs.where(100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")).select(F.least("k", "pk").alias("a"), F.greatest("k", "pk").alias("b")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
         both = F.size(F.array_intersect("ga", "gb"))
-        pairs = scratch.write(pairs.select("a", "b", (100 * both >= percent * (F.size("ga") + F.size("gb") - both)).alias("linked")))
-        seen, found = pairs.agg(F.count("*"), F.count_if("linked")).first()
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        union = F.size("ga") + F.size("gb") - both
+        pairs = scratch.write(pairs.select("a", "b", (100 * both >= percent * union).alias("linked"), (2 * both >= union).alias("alike")))
+        return pairs, *pairs.agg(F.count("*"), F.count_if("linked")).first()
+
+    def joined(new: DataFrame) -> DataFrame:
+        return components(new if comp is None else new.union(comp.select(F.col("id").alias("a"), F.col("component").alias("b"))), scratch)
+
+    def live_rows(rows: DataFrame) -> DataFrame:
+        """The rows of buckets that hold more than one component."""
+        if comp is None:
+            return rows.withColumn("c", F.col("k"))
+        live = scratch.write(rows.join(comp.select(F.col("id").alias("k"), "component"), "k", "left").select("bucket", "k", "n", F.coalesce("component", "k").alias("c")))
+        split = scratch.write(live.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket"))
+        return scratch.write(live.join(split, "bucket"))
+
+    for turn in range(PIVOTS):
+        live = live_rows(rows.where(F.col("band") < FIRST_BANDS) if turn == 0 else rows)
+        pivot = scratch.write(live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("k", F.lit(turn)), F.col("k").alias("pk"), F.col("c").alias("pc"), F.col("n").alias("pn"))).alias("p")).select("bucket", "p.pk", "p.pc", "p.pn"))
+        pairs, seen, found = verified(live.join(pivot, "bucket").where("c <> pc"))
+        tested = pairs if tested is None else tested.union(pairs)
         if found:
-            new = pairs.where("linked").select("a", "b")
-            comp = components(new if comp is None else new.union(comp.select(F.col("id").alias("a"), F.col("component").alias("b"))), scratch)
+            comp = joined(pairs.where("linked").select("a", "b"))
         if turn and not seen:
             break
+    else:
+        family = components(tested.where("alike").select("a", "b"), scratch)
+        live = live_rows(rows)
+        live = scratch.write(live.join(family.select(F.col("id").alias("k"), F.col("component").alias("family")), "k", "left").select("bucket", "k", "n", "c", F.coalesce("family", "k").alias("f")))
+        other = live.select("bucket", F.col("k").alias("pk"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("f").alias("pf"))
+        pairs, _, found = verified(live.join(other, "bucket").where("k < pk and c <> pc and f <> pf"))
+        inside = scratch.write(_in_families(live.select("k", "c", "f").distinct(), sets, scratch, percent))
+        new = inside.union(pairs.where("linked").select("a", "b"))
+        if found or inside.take(1):
+            comp = joined(new)
     out = signed.select("id", "n_shingles", "set_hash").join(classes.select("set_hash", "rep"), "set_hash", "left")
     if comp is not None:
         out = out.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep", "id").alias("component"))
