@@ -29,7 +29,7 @@ from tidewell.llm.common import Scratch, table
 
 NEIGHBOURS = 40
 TREES, LEAF, SAMPLE = 10, 1024, 16_384
-ROUNDS = 3
+ROUNDS = 5
 HOPS, WIDEN = 3, 12
 BLOCK = 4096
 #: Candidates of a node's search that are compared exactly.
