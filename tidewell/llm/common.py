@@ -178,10 +178,10 @@ def shingles(h: np.ndarray, place: np.ndarray, k: int) -> list[np.ndarray]:
             x = np.sort(g[a : z - k + 1])
             out.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
         elif z > a:
-            x = h[a]
-            for y in h[a + 1 : z]:
-                x = mix(np.asarray([x * U64(0x9E3779B97F4A7C15) + y]))[0]
-            out.append(mix(np.asarray([x ^ U64(0xA5A5 + z - a)])))
+            x = h[a : a + 1]
+            for i in range(a + 1, z):
+                x = mix(x * U64(0x9E3779B97F4A7C15) + h[i : i + 1])
+            out.append(mix(x ^ U64(0xA5A5 + z - a)))
         else:
             out.append(np.zeros(0, U64))
     return out

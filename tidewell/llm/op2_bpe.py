@@ -223,8 +223,8 @@ def _strings(batch: pa.RecordBatch, column: str) -> Iterator[str]:
         yield x.as_py() or ""
 
 
-def encode_table(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) and, on request, ids array<int>, for every row of docs.
+def encode_table(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, the columns in keep, n_tokens, ids_sha256, decoded_sha256) and, on request, ids array<int>, for every row of docs.
 
     The driver reads the vocabulary, whose size does not grow with the data, and broadcasts it."""
     held = docs.sparkSession.sparkContext.broadcast((tuple(load_ranks(path)), pattern))
@@ -241,15 +241,16 @@ def encode_table(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 second.append(hashlib.sha256(enc.decode(got)).hexdigest())
                 if ids:
                     all_ids.append(got.astype(np.int32))
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+            columns = [*(batch.column(i) for i in range(1 + len(keep))), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
+            names = [id_col, *keep, "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
                 columns.append(pa.array(all_ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.record_batch(columns, names=names)
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+    kinds = dict(docs.dtypes)
+    first_columns = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *keep))
+    return docs.select(id_col, *keep, text_col).mapInArrow(run, f"{first_columns}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:

@@ -163,8 +163,8 @@ def kth_largest(df: DataFrame, k: int) -> float:
             return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", temperature: float = TEMPERATURE, labelled: int = LABELLED, seed: int = 41) -> DataFrame:
-    """(id, log_weight, key, kept) for every row of docs; labels has (doc_id, quality 0/1)."""
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, temperature: float, labelled: int, seed: int) -> tuple[np.ndarray, DataFrame, float]:
+    """The log ratios, the scored rows (id, log_weight, key) and the least key that is kept."""
     scratch = Scratch(docs.sparkSession, "quality")
     some = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("quality").alias("quality"))
     some = scratch.write(some.orderBy(F.xxhash64("label_id"), "label_id").limit(labelled))
@@ -173,10 +173,33 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     marked = scored.join(F.broadcast(some), scored["id"] == some["label_id"]).groupBy("id").agg(F.first("log_weight"), F.first("quality")).collect()
     cut = best_cut(np.array([r[1] for r in marked]), np.array([r[2] for r in marked]) == 1)
     k = scored.where(F.col("log_weight") >= cut).count()
-    least = kth_largest(scored, k)
+    return ratio, scored, kth_largest(scored, k)
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", temperature: float = TEMPERATURE, labelled: int = LABELLED, seed: int = 41) -> DataFrame:
+    """(id, log_weight, key, kept) for every row of docs; labels has (doc_id, quality 0/1)."""
+    _, scored, least = _fitted(docs, labels, id_col, text_col, temperature, labelled, seed)
     return scored.withColumn("kept", F.col("key") >= F.lit(least))
 
 
+def kept_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", temperature: float = TEMPERATURE, labelled: int = LABELLED, seed: int = 41) -> DataFrame:
+    """The rows of docs that resample keeps, with all their columns; keys are worked out again where the rows are, so no text is shuffled."""
+    ratio, _, least = _fitted(docs, labels, id_col, text_col, temperature, labelled, seed)
+    held = docs.sparkSession.sparkContext.broadcast(ratio)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(len(batch), bool)
+            ids = np.asarray(batch.column(names.index(id_col)).cast(pa.int64()).fill_null(-1))
+            for i, j, b, ends in steps(batch, text_col):
+                k, doc = buckets(b, ends)
+                keep[i:j] = np.bincount(doc, held.value[k], minlength=j - i) + temperature * gumbel(b, ends, ids[i:j], seed) >= least
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_quality(spark, sf_dir: str) -> DataFrame:
     out = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select(F.col("id").alias("doc_id"), "log_weight", "key", "kept")

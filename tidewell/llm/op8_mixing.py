@@ -56,28 +56,38 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return s.select("source", "source_size", "n", F.coalesce(target, F.col("limit").cast("double")).alias("target"))
 
 
+def _same(a: Column, b: Column) -> Column:
+    return a.eqNullSafe(b)
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) and the columns in keep, one row for each row of docs."""
+    """(doc_id, source, size, source_size, target, copies, taken) and the columns in keep, one row for each row of docs.
+
+    All tables that are written are of ids and counts; the columns in keep are shuffled once, to their slices."""
     scratch = Scratch(docs.sparkSession, "mix")
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    size = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *(F.col(c).alias(f"keep_{c}") for c in keep))
     # eight bins for each doubling of the size
     sized = sized.withColumn("bin", F.expr("length(bin(size)) * 16 + shiftright(size, greatest(length(bin(size)) - 4, 0))"))
-    sized = scratch.write(sized)
-    bins = scratch.write(sized.groupBy("source", "bin").agg(F.count("*").alias("c"), F.sum("size").alias("s")))
+    light = scratch.write(sized.select("doc_id", "source", "size", "bin")) if keep else scratch.write(sized)
+    bins = scratch.write(light.groupBy("source", "bin").agg(F.count("*").alias("c"), F.sum("size").alias("s")))
     plan = scratch.write(targets(bins.groupBy("source").agg(F.sum("s").alias("source_size"), F.sum("c").alias("n")), weights, most))
-    same = lambda a, b: a.eqNullSafe(b)
     per = F.greatest(F.lit(SLICE_ROWS), F.ceil(F.col("n") / MAX_SLICES))
-    cut = scratch.write(bins.join(plan.select(F.col("source").alias("s2"), "n"), same(F.col("source"), F.col("s2"))).select(F.col("source").alias("bin_source"), F.col("bin").alias("bin_no"), F.ceil(F.col("c") / per).cast("long").alias("slices")))
-    docs_in = sized.join(cut, same(F.col("source"), F.col("bin_source")) & (F.col("bin") == F.col("bin_no"))).drop("bin_source", "bin_no")
+    of_source = plan.select(F.col("source").alias("s2"), "n", "source_size", "target")
+    cut = bins.join(of_source, _same(F.col("source"), F.col("s2"))).select(F.col("source").alias("bin_source"), F.col("bin").alias("bin_no"), F.ceil(F.col("c") / per).cast("long").alias("slices"), "source_size", "target")
+    cut = scratch.write(cut)
     digest = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
-    docs_in = scratch.write(docs_in.withColumn("slice", F.col("bin") * 1048576 + digest % F.col("slices")).drop("slices", "bin"))
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        rows = rows.join(cut, _same(F.col("source"), F.col("bin_source")) & (F.col("bin") == F.col("bin_no"))).drop("bin_source", "bin_no")
+        return rows.withColumn("slice", F.col("bin") * 1048576 + digest % F.col("slices")).drop("slices", "bin")
+
+    counts = scratch.write(sliced(light).groupBy("source", "slice").agg(F.count("*").alias("c")))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = docs_in.groupBy("source", "slice").agg(F.count("*").alias("c")).select(F.col("source").alias("s2"), F.col("slice").alias("slice2"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
-    offsets = scratch.write(offsets)
+    offsets = scratch.write(counts.select(F.col("source").alias("s2"), F.col("slice").alias("slice2"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset")))
     inside = Window.partitionBy("source", "slice").orderBy("size", F.col("doc_id").asc_nulls_last())
-    ranked = docs_in.withColumn("rank", F.row_number().over(inside))
-    ranked = ranked.join(offsets, same(F.col("source"), F.col("s2")) & (F.col("slice") == F.col("slice2"))).withColumn("rank", F.col("rank") + F.col("offset")).drop("s2", "slice2", "offset")
-    ranked = ranked.join(plan.select(F.col("source").alias("s2"), "source_size", "target"), same(F.col("source"), F.col("s2"))).drop("s2")
+    ranked = sliced(sized if keep else light).withColumn("rank", F.row_number().over(inside))
+    ranked = ranked.join(offsets, _same(F.col("source"), F.col("s2")) & (F.col("slice") == F.col("slice2"))).withColumn("rank", F.col("rank") + F.col("offset")).drop("s2", "slice2", "offset")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = (_fraction(F.lit(str(seed)), F.coalesce(F.col("source"), F.lit("null"))) + 0.5) / 4096
     crossed = F.floor(F.col("rank") * expected + offset) - F.floor((F.col("rank") - 1) * expected + offset)
