@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step takes; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 U64 = np.uint64
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -94,12 +94,12 @@ def texts(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return b, o - o[0]
 
 
-def steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def steps(batch: pa.RecordBatch, column: str = "text", size: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from row, to row, bytes, ends) for runs of rows of a few MB."""
     b, o = texts(batch.column(batch.schema.get_field_index(column)))
     i, n = 0, len(o) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(o, o[i] + STEP_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(o, o[i] + size, "right")) - 1)
         yield i, j, b[o[i] : o[j]], o[i : j + 1] - o[i]
         i = j
 

@@ -29,12 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewell.llm.common import U64, Rolling, Scratch, mix, steps, table
 
 SPAN, GRAM = 200, 48
 BEFORE = SPAN - GRAM
 WIDE = BEFORE + 1
+#: Bytes of text in one numpy step: some twenty arrays of eight bytes for each of them are held.
+STEP = 1 << 20
 #: Contexts that a bucket sorts, about.
 BUCKET = 20_000
 LETTERS, CONTEXTS = Rolling(51), Rolling(52)
@@ -74,25 +77,19 @@ def anchors(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return text, a - ends[text], h[a], context
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scanned(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """A row for each text (doc_id, n_bytes, t, sha), and one for each anchor (fp, ctx, t, a, n_bytes)."""
+    names = ["doc_id", "sha", "fp", "ctx", "t", "a", "n_bytes"]
     for batch in batches:
-        for i, j, b, ends in steps(batch):
-            raw = b.tobytes()
-            sha = [hashlib.sha256(raw[s:e]).digest() for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(np.diff(ends)), pa.array([int.from_bytes(x[:8], "little", signed=True) for x in sha], pa.int64()), pa.array([x.hex() for x in sha])], names=["doc_id", "n_bytes", "t", "sha"])
-
-
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, b, ends in steps(batch):
+        for i, j, b, ends in steps(batch, "text", STEP):
             raw = b.tobytes()
+            sha = [hashlib.sha256(raw[s:e]) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            t = np.array([int.from_bytes(x.digest()[:8], "little", signed=True) for x in sha], np.int64)
+            n = np.diff(ends)
+            none = pa.nulls(j - i, pa.int64())
+            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([x.hexdigest() for x in sha], pa.string()), none, none, pa.array(t), pa.nulls(j - i, pa.int32()), pa.array(n)], names=names)
             text, a, h, c = anchors(b, ends)
-            some = np.unique(text)
-            names = {k: int.from_bytes(hashlib.sha256(raw[ends[k] : ends[k + 1]]).digest()[:8], "little", signed=True) for k in some.tolist()}
-            name = np.zeros(len(ends), np.int64)
-            for k, t in names.items():
-                name[k] = t
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(name[text]), pa.array(a.astype(np.int32)), pa.array(np.diff(ends)[text])], names=["fp", "ctx", "t", "a", "n_bytes"])
+            yield pa.record_batch([pa.nulls(len(a), kind), pa.nulls(len(a), pa.string()), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(t[text]), pa.array(a.astype(np.int32)), pa.array(n[text])], names=names)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +146,18 @@ def _matches(right: np.ndarray, left: np.ndarray, x: np.ndarray, y: np.ndarray)
     return out[0], out[1]
 
 
-PAIRS = "fp long, ctx long, r int, l int, bucket int, last boolean, right binary, left binary"
+#: Neighbours on each side with which a context is compared in its bucket; with the next one across a boundary.
+NEAR = 4
+FOUND = "fp long, ctx long, r array<int>, l array<int>, bucket int, last boolean, right binary, left binary"
+NAMES = ["fp", "ctx", "r", "l", "bucket", "last", "right", "left"]
+
+
+def _lists(values: np.ndarray, on: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(on.sum(axis=1))), pa.int32()), pa.array(values[on].astype(np.int32)))
 
 
 def _sorted_bucket(batches: Iterator[pa.RecordBatch], backwards: bool) -> Iterator[pa.RecordBatch]:
-    """For each context its matches with both neighbours in the bucket; the first and last with their strings."""
+    """For each context its matches with its neighbours in the bucket; the first and last of the bucket with their strings."""
     from pyspark import TaskContext
 
     got = pa.Table.from_batches(list(batches))
@@ -163,15 +167,20 @@ def _sorted_bucket(batches: Iterator[pa.RecordBatch], backwards: bool) -> Iterat
     raw_right, raw_left = got.column("right").to_pylist(), got.column("left").to_pylist()
     right, left = _padded(raw_right, SPAN), _padded(raw_left, BEFORE)
     order = multikey_quicksort(np.concatenate((right[:, :GRAM], left, right[:, GRAM:]) if backwards else (right, left), axis=1))
-    x, y = order[:-1], order[1:]
-    r, l = _matches(right, left, x, y)
+    fp, ctx, right, left = fp[order], ctx[order], right[order], left[order]
+    n, bucket = len(order), TaskContext.get().partitionId()
+    r, l = np.full((n, 2 * NEAR), -1), np.full((n, 2 * NEAR), -1)
+    for k in range(1, min(NEAR, n - 1) + 1):
+        x = np.flatnonzero(fp[k:] == fp[:-k])
+        a, b = _matches(right, left, x, x + k)
+        r[x, k - 1], l[x, k - 1] = a, b
+        r[x + k, NEAR + k - 1], l[x + k, NEAR + k - 1] = a, b
     on = r >= GRAM
-    x, y, r, l = x[on], y[on], r[on], l[on]
-    rows = np.concatenate((x, y))
-    n, bucket = len(rows), TaskContext.get().partitionId()
-    yield pa.record_batch([pa.array(fp[rows]), pa.array(ctx[rows]), pa.array(np.tile(r, 2).astype(np.int32)), pa.array(np.tile(l, 2).astype(np.int32)), pa.array(np.full(n, -1, np.int32)), pa.array(np.zeros(n, bool)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["fp", "ctx", "r", "l", "bucket", "last", "right", "left"])
-    ends = [order[0], order[-1]]
-    yield pa.record_batch([pa.array(fp[ends]), pa.array(ctx[ends]), pa.array([0, 0], pa.int32()), pa.array([0, 0], pa.int32()), pa.array([bucket, bucket], pa.int32()), pa.array([False, True]), pa.array([raw_right[i] for i in ends], pa.binary()), pa.array([raw_left[i] for i in ends], pa.binary())], names=["fp", "ctx", "r", "l", "bucket", "last", "right", "left"])
+    some = on.any(axis=1)
+    yield pa.record_batch([pa.array(fp[some]), pa.array(ctx[some]), _lists(r[some], on[some]), _lists(l[some], on[some]), pa.array(np.full(some.sum(), -1, np.int32)), pa.array(np.zeros(some.sum(), bool)), pa.nulls(some.sum(), pa.binary()), pa.nulls(some.sum(), pa.binary())], names=NAMES)
+    ends = [0, n - 1]
+    none = pa.array([[], []], pa.list_(pa.int32()))
+    yield pa.record_batch([pa.array(fp[ends]), pa.array(ctx[ends]), none, none, pa.array([bucket, bucket], pa.int32()), pa.array([False, True]), pa.array([raw_right[order[i]] for i in ends], pa.binary()), pa.array([raw_left[order[i]] for i in ends], pa.binary())], names=NAMES)
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,42 +193,49 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, l = _matches(right, left, np.arange(n), np.arange(n) + n)
         on = np.tile(r >= GRAM, 2)
         both = lambda k: pa.array(np.concatenate((np.asarray(a.field(k)), np.asarray(b.field(k))))[on])
-        yield pa.record_batch([both("fp"), both("ctx"), pa.array(np.tile(r, 2)[on].astype(np.int32)), pa.array(np.tile(l, 2)[on].astype(np.int32))], names=["fp", "ctx", "r", "l"])
+        one = np.ones((int(on.sum()), 1), bool)
+        yield pa.record_batch([both("fp"), both("ctx"), _lists(np.tile(r, 2)[on][:, None], one), _lists(np.tile(l, 2)[on][:, None], one)], names=["fp", "ctx", "r", "l"])
 
 
 def _neighbours(contexts: DataFrame, buckets: int, backwards: bool, scratch: Scratch) -> DataFrame:
     key = F.concat(F.substring("right", 1, GRAM), "left", F.substring("right", GRAM + 1, SPAN)) if backwards else F.concat("right", "left")
     dealt = contexts.withColumn("key", key).repartitionByRange(buckets, "key").drop("key")
-    out = scratch.write(dealt.mapInArrow(lambda it: _sorted_bucket(it, backwards), PAIRS))
+    out = scratch.write(dealt.mapInArrow(lambda it: _sorted_bucket(it, backwards), FOUND))
     edge = F.struct("fp", "ctx", "right", "left")
     # two rows a bucket: one task orders them
     seam = out.where("bucket >= 0").groupBy("bucket").agg(F.max(F.when(~F.col("last"), edge)).alias("first"), F.max(F.when(F.col("last"), edge)).alias("mine"))
     seam = seam.withColumn("next", F.lead("first").over(Window.orderBy("bucket"))).where("next is not null").select("mine", "next")
-    return out.where("bucket < 0").select("fp", "ctx", "r", "l").union(seam.mapInArrow(_across, "fp long, ctx long, r int, l int"))
+    return out.where("bucket < 0").select("fp", "ctx", "r", "l").union(seam.mapInArrow(_across, "fp long, ctx long, r array<int>, l array<int>"))
 
 
-SETTLED = "fp long, ctx long, covered array<struct<lo:int,hi:int>>, open array<int>"
+SETTLED = "fp long, ctx long, covered array<struct<lo:int,hi:int>>, open array<int>, low int, high int"
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each context (with its lengths nr, nl and its neighbours' matches) the places of repeated windows, and those still open."""
+    """For each context (with its lengths nr, nl and its matches r, l) the places of repeated windows, those still open,
+    and the first and last place at which one can be."""
     for batch in batches:
-        covered, open_ = [], []
-        for nr, nl, pairs in zip(batch.column("nr").to_pylist(), batch.column("nl").to_pylist(), batch.column("pairs").to_pylist()):
-            runs = sorted((SPAN - p["r"], p["l"]) for p in pairs if p["l"] >= SPAN - p["r"])
-            union: list[list[int]] = []
-            for lo, hi in runs:
-                if union and lo <= union[-1][1] + 1:
-                    union[-1][1] = max(union[-1][1], hi)
-                else:
-                    union.append([lo, hi])
-            lo, hi = SPAN - max(p["r"] for p in pairs), max(p["l"] for p in pairs)
-            left = set(range(max(lo, SPAN - nr), min(hi, nl) + 1))
-            for a, z in union:
-                left -= set(range(a, z + 1))
-            covered.append([{"lo": a, "hi": z} for a, z in union])
-            open_.append(sorted(left))
-        yield pa.record_batch([batch.column("fp"), batch.column("ctx"), pa.array(covered, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array(open_, pa.list_(pa.int32()))], names=["fp", "ctx", "covered", "open"])
+        n = len(batch)
+        rl, ll = batch.column("r"), batch.column("l")
+        row = np.repeat(np.arange(n), np.diff(np.asarray(rl.offsets)))
+        r, l = np.asarray(rl.flatten()), np.asarray(ll.flatten())
+        most_r, most_l = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        np.maximum.at(most_r, row, r)
+        np.maximum.at(most_l, row, l)
+        low = np.maximum(SPAN - most_r, SPAN - np.asarray(batch.column("nr")))
+        high = np.minimum(most_l, np.asarray(batch.column("nl")))
+        turn = np.zeros((n, BEFORE + 3), np.int32)
+        on = l >= SPAN - r
+        np.add.at(turn, (row[on], SPAN - r[on]), 1)
+        np.add.at(turn, (row[on], l[on] + 1), -1)
+        covered = np.cumsum(turn, axis=1) > 0
+        edge = np.diff(np.concatenate((np.zeros((n, 1), np.int8), covered.astype(np.int8)), axis=1), axis=1)
+        (a, lo), (_, hi) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        runs = pa.StructArray.from_arrays([pa.array(lo.astype(np.int32)), pa.array((hi - 1).astype(np.int32))], ["lo", "hi"])
+        spans = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(a, minlength=n))), pa.int32()), runs)
+        place = np.arange(BEFORE + 3)[None, :]
+        open_ = ~covered & (place >= low[:, None]) & (place <= high[:, None])
+        yield pa.record_batch([batch.column("fp"), batch.column("ctx"), spans, _lists(np.broadcast_to(place, open_.shape), open_), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=["fp", "ctx", "covered", "open", "low", "high"])
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,13 +251,16 @@ def _edge_contexts(contexts: DataFrame, scratch: Scratch) -> DataFrame:
     """(fp, ctx, covered) for different contexts of anchors with equal strings; contexts has (fp, ctx, right, left)."""
     buckets = max(1, -(-contexts.count() // BUCKET))
     pairs = _neighbours(contexts, buckets, False, scratch).union(_neighbours(contexts, buckets, True, scratch))
-    pairs = pairs.groupBy("fp", "ctx").agg(F.collect_set(F.struct("r", "l")).alias("pairs"))  # of four neighbours, and two across boundaries
+    # two rows of a context, and one for each boundary it is at
+    pairs = pairs.groupBy("fp", "ctx").agg(F.flatten(F.collect_list("r")).alias("r"), F.flatten(F.collect_list("l")).alias("l"))
     sizes = contexts.select("fp", "ctx", F.length("right").alias("nr"), F.length("left").alias("nl"))
-    settled = scratch.write(sizes.join(pairs, ["fp", "ctx"]).mapInArrow(_settle, SETTLED))
+    settled = scratch.write(sizes.join(pairs, ["fp", "ctx"]).select("fp", "ctx", "nr", "nl", "r", "l").mapInArrow(_settle, SETTLED))
     out = settled.select("fp", "ctx", "covered")
     if settled.where("size(open) > 0").take(1):
         places = scratch.write(settled.select("fp", F.explode("open").alias("o")).distinct())
-        windows = scratch.write(contexts.join(places, "fp").mapInArrow(_window_hashes, "fp long, ctx long, o int, w binary").where("w is not null"))
+        # a window can be repeated only between the longest matches of both sides
+        can = contexts.join(settled.select("fp", "ctx", "low", "high").where("low <= high"), ["fp", "ctx"]).join(places, "fp").where("o between low and high").select("fp", "ctx", "right", "left", "o")
+        windows = scratch.write(can.mapInArrow(_window_hashes, "fp long, ctx long, o int, w binary").where("w is not null"))
         again = scratch.write(windows.groupBy("fp", "o", "w").agg(F.count("*").alias("c")).where("c > 1").select("fp", "o", "w"))
         found = windows.join(again, ["fp", "o", "w"]).groupBy("fp", "ctx").agg(F.collect_set(F.struct(F.col("o").alias("lo"), F.col("o").alias("hi"))).alias("more"))
         out = settled.join(found, ["fp", "ctx"], "left").select("fp", "ctx", F.concat("covered", F.coalesce("more", F.array().cast("array<struct<lo:int,hi:int>>"))).alias("covered"))
@@ -270,14 +289,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "suffixes")
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(plain.dtypes)["doc_id"]
-    signed = scratch.write(plain.mapInArrow(_signed, f"doc_id {kind}, n_bytes long, t long, sha string"))
+    arrow = to_arrow_type(plain.schema["doc_id"].dataType)
+    scanned = scratch.write(plain.mapInArrow(lambda it: _scanned(it, arrow), f"doc_id {kind}, sha string, fp long, ctx long, t long, a int, n_bytes long"))
+    signed, found = scanned.where("fp is null").select("doc_id", "n_bytes", "t", "sha"), scanned.where("fp is not null").select("fp", "ctx", "t", "a", "n_bytes")
     # texts by name: how many rows have each, and the row that stands for it
     texts = scratch.write(signed.groupBy("t", "n_bytes").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")))
+    rows, ids = signed.agg(F.count("*"), F.count_distinct("doc_id")).first()
 
-    found = scratch.write(plain.select("text").mapInArrow(_anchored, "fp long, ctx long, t long, a int, n_bytes long"))
     again = scratch.write(found.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp"))
     repeated = scratch.write(found.join(again, "fp", "left_semi"))
-    scratch.drop(found)
     by_context = scratch.write(repeated.groupBy("fp", "ctx").agg(F.count("*").alias("c"), F.first("t").alias("t"), F.first("a").alias("a"), F.first("n_bytes").alias("n_bytes")))
     many = scratch.write(by_context.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp"))
     edge = scratch.write(by_context.join(many, "fp", "left_semi").groupBy("t", "n_bytes").agg(F.collect_list(F.struct("fp", "ctx", "a")).alias("wanted")))
@@ -285,7 +305,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # rows that share an id are told apart by their length and name
     at_rep = plain.join(edge, F.col("doc_id").eqNullSafe(F.col("rep"))).where(F.octet_length(F.coalesce("text", F.lit(""))) == F.col("n"))
     named = F.conv(F.reverse(F.regexp_replace(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 16), "(.)(.)", "$2$1")), 16, -10).cast("long")
-    contexts = scratch.write(at_rep.where(named == F.col("t")).select("text", "wanted").mapInArrow(_cut, "fp long, ctx long, right binary, left binary").dropDuplicates(["fp", "ctx"]))
+    if rows != ids:  # else no two rows have the id of one that stands for a text
+        at_rep = at_rep.dropDuplicates(["t", "n"])
+    contexts = scratch.write(at_rep.where(named == F.col("t")).select("text", "wanted").mapInArrow(_cut, "fp long, ctx long, right binary, left binary"))
     settled = _edge_contexts(contexts, scratch)
 
     # texts with copies lose all; of the others, spans come from contexts that occur again and from the settled ones
