@@ -35,6 +35,7 @@ BLOCK = 4096
 #: Candidates of a node's search that are compared exactly.
 EXACT = 40
 LISTS = "u long, v array<long>, s array<float>"
+NOTHING = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
 
 
 def _clean(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -88,13 +89,37 @@ def _unlisted(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.asarray(u), np.diff(np.asarray(v.offsets))), np.asarray(v.flatten()), np.asarray(s.flatten())
 
 
-def merged(lists: DataFrame, blocks: int, k: int) -> DataFrame:
+#: What goes to one block of nodes: flat lists of pairs and their products.
+PACKED = "to int, u array<long>, v array<long>, s array<float>"
+
+
+def _packed(u: np.ndarray, v: np.ndarray, s: np.ndarray, blocks: int, k: int) -> pa.RecordBatch:
+    """The k best of each u, one row for each block that they go to."""
+    u, v, s = _unlisted(_best(u, v, s, k))
+    to = ((u >> 1) + (u >> 8) + (u >> 18)) % blocks
+    order = np.argsort(to, kind="stable")
+    some, size = np.unique(to, return_counts=True)
+    offsets = pa.array(np.append(0, np.cumsum(size)), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (u, v, s.astype(np.float32))]
+    return pa.record_batch([pa.array(some.astype(np.int32)), *lists], names=["to", "u", "v", "s"])
+
+
+def block_of(c: str, blocks: int):
+    """The block of a node, as in _packed."""
+    return F.pmod(F.shiftright(c, 1) + F.shiftright(c, 8) + F.shiftright(c, 18), F.lit(blocks)).cast("int")
+
+
+def packed_lists(lists: DataFrame, blocks: int) -> DataFrame:
+    return lists.select(block_of("u", blocks).alias("to"), F.expr("array_repeat(u, size(v))").alias("u"), "v", "s")
+
+
+def merged(packed: DataFrame, blocks: int, k: int) -> DataFrame:
     """One list of the k best for each u; a task holds one block of nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            held.append(_unlisted(batch))
+            held.append(tuple(np.asarray(batch.column(c).flatten()) for c in ("u", "v", "s")))
             size += len(held[-1][0])
             if size > 4_000_000:
                 held = [_unlisted(_best(*(np.concatenate(x) for x in zip(*held)), k))]
@@ -102,7 +127,7 @@ def merged(lists: DataFrame, blocks: int, k: int) -> DataFrame:
         if held:
             yield _best(*(np.concatenate(x) for x in zip(*held)), k)
 
-    return lists.repartition(blocks, "u").mapInArrow(run, LISTS)
+    return packed.repartitionById(blocks, F.col("to")).mapInArrow(run, LISTS)
 
 
 def plant(sample: np.ndarray, n: int, seed: int) -> list[tuple[np.ndarray, float, int, int]]:
@@ -152,7 +177,7 @@ def _leaves(x: np.ndarray, r: np.random.Generator) -> Iterator[np.ndarray]:
         todo += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
 
 
-def _in_cell(cell: pa.Table, k: int) -> pa.Table:
+def _in_cell(cell: pa.Table, k: int, blocks: int) -> pa.Table:
     ids = np.asarray(cell.column("k").combine_chunks())
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], _vectors(cell.column("h"))[order]
@@ -164,14 +189,14 @@ def _in_cell(cell: pa.Table, k: int) -> pa.Table:
         s = x[rows] @ x[rows].T
         np.fill_diagonal(s, -np.inf)
         top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-        out.append(_best(np.repeat(ids[rows], m), ids[rows][top.ravel()], np.take_along_axis(s, top, 1).ravel(), m))
-    return pa.Table.from_batches(out) if out else pa.Table.from_batches([_best(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), 1)])
+        out.append(_packed(np.repeat(ids[rows], m), ids[rows][top.ravel()], np.take_along_axis(s, top, 1).ravel(), blocks, m))
+    return pa.Table.from_batches(out or [_packed(*NOTHING, blocks, 1)])
 
 
-def _join_around(pivots: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
+def _join_around(pivots: pa.Table, vectors: pa.Table, k: int, blocks: int) -> pa.Table:
     """All pairs around each pivot: for each node the best of those it meets that are nearer than its farthest neighbour."""
     if not len(pivots) or not len(vectors):
-        return pa.Table.from_batches([_best(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), 1)])
+        return pa.Table.from_batches([_packed(*NOTHING, blocks, 1)])
     ids = np.asarray(vectors.column("k").combine_chunks())
     order = np.argsort(ids, kind="stable")
     ids, x, far = ids[order], _vectors(vectors.column("h"))[order], np.asarray(vectors.column("far").combine_chunks())[order]
@@ -196,21 +221,21 @@ def _join_around(pivots: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
             held = [_unlisted(_best(*(np.concatenate(z) for z in zip(*held)), k))]
             total = len(held[0][0])
     u, v, s = (np.concatenate(z) for z in zip(*held))
-    return pa.Table.from_batches([_best(ids[u], ids[v], s, k)])
+    return pa.Table.from_batches([_packed(ids[u], ids[v], s, blocks, k)])
 
 
-def _look(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
+def _look(queries: pa.Table, vectors: pa.Table, k: int, blocks: int) -> pa.Table:
     """Products of each query (u, its h, candidates) with its candidates."""
     ids = np.asarray(vectors.column("k").combine_chunks())
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], _vectors(vectors.column("h"))[order]
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    out = [NOTHING]
     if len(queries):
         mine = _vectors(queries.column("h"))
         for u, q, c in zip(queries.column("u").to_pylist(), mine, queries.column("c").combine_chunks()):
             c = np.unique(np.asarray(c.values))
             out.append((np.full(len(c), u), c, x[np.searchsorted(ids, c)] @ q))
-    return pa.Table.from_batches([_best(*(np.concatenate(z) for z in zip(*out)), k)])
+    return pa.Table.from_batches([_packed(*(np.concatenate(z) for z in zip(*out)), blocks, k)])
 
 
 class Graph:
@@ -237,7 +262,7 @@ class Graph:
         self.lists = self._grown()
 
     def _block(self, c: str):
-        return F.pmod(F.xxhash64(c), F.lit(self.blocks)).cast("int")
+        return block_of(c, self.blocks)
 
     def _with_vectors(self, needed: DataFrame, *more: str) -> DataFrame:
         """(at_block, k, h) for the distinct (block, k) in needed."""
@@ -253,8 +278,8 @@ class Graph:
                 for t, tree in enumerate(trees.value):
                     yield pa.record_batch([pa.array(cell_of(tree, x) + (t << 32)), batch.column(0), batch.column(1)], names=["cell", "k", "h"])
 
-        k = self.k
-        near = self.nodes.mapInArrow(dealt, "cell long, k long, h binary").groupBy("cell").applyInArrow(lambda cell: _in_cell(cell, k), LISTS)
+        k, blocks = self.k, self.blocks
+        near = self.nodes.mapInArrow(dealt, "cell long, k long, h binary").groupBy("cell").applyInArrow(lambda cell: _in_cell(cell, k, blocks), PACKED)
         lists = self.scratch.write(merged(near, self.blocks, k))
         for _ in range(ROUNDS if self.n > LEAF else 0):
             new = self.scratch.write(self._round(lists))
@@ -263,7 +288,7 @@ class Graph:
         return lists
 
     def _round(self, lists: DataFrame) -> DataFrame:
-        k = self.k
+        k, blocks = self.k, self.blocks
         edges = lists.select("u", F.explode("v").alias("v"))
         in_degree = self.scratch.write(edges.groupBy("v").agg(F.count("*").alias("d")).withColumnRenamed("v", "v2"))
         # where more nodes point to v than may, a hash thins them
@@ -273,12 +298,12 @@ class Graph:
         self.far = self.nodes.join(lists.select(F.col("u").alias("k"), F.when(F.size("s") >= k, F.element_at("s", -1)).otherwise(F.lit(float("-inf"))).cast("float").alias("far")), "k")
         needed = around.select("block", F.explode("members").alias("k"))
         vectors = self._with_vectors(needed, "far")
-        found = around.groupBy("block").cogroup(vectors.groupBy("at_block")).applyInArrow(lambda a, b: _join_around(a, b, k), LISTS)
-        return merged(lists.union(found), self.blocks, k)
+        found = around.groupBy("block").cogroup(vectors.groupBy("at_block")).applyInArrow(lambda a, b: _join_around(a, b, k, blocks), PACKED)
+        return merged(packed_lists(lists, blocks).union(found), blocks, k)
 
     def search(self, query_nodes: DataFrame) -> DataFrame:
         """(u, v, s): for each node u in query_nodes its nearest found, itself left out, best first."""
-        scratch, keep = self.scratch, max(EXACT, self.k)
+        scratch, keep, blocks = self.scratch, max(EXACT, self.k), self.blocks
         now = scratch.write(self.lists.join(query_nodes.select(F.col("k").alias("u")).distinct(), "u", "left_semi").withColumn("seen", F.array().cast("array<long>")))
         mine = self.nodes.join(now.select(F.col("u").alias("k")), "k", "left_semi").select(F.col("k").alias("u"), "h")
         mine = scratch.write(mine)
@@ -288,8 +313,8 @@ class Graph:
             hop = step.select("u", F.explode("at").alias("a")).join(self.lists.select(F.col("u").alias("a"), F.col("v").alias("c")), "a")
             hop = scratch.write(hop.groupBy("u").agg(F.array_distinct(F.flatten(F.collect_list("c"))).alias("c")).join(mine, "u").select("u", "h", F.array_except("c", F.array("u")).alias("c"), self._block("u").alias("block")))
             vectors = self._with_vectors(hop.select("block", F.explode("c").alias("k")))
-            found = hop.groupBy("block").cogroup(vectors.groupBy("at_block")).applyInArrow(lambda a, b: _look(a, b, keep), LISTS)
-            best = merged(now.select("u", "v", "s").union(found), self.blocks, keep)
+            found = hop.groupBy("block").cogroup(vectors.groupBy("at_block")).applyInArrow(lambda a, b: _look(a, b, keep, blocks), PACKED)
+            best = merged(packed_lists(now, blocks).union(found), blocks, keep)
             new = scratch.write(best.join(now.select("u", "seen"), "u").join(step, "u").select("u", "v", "s", F.concat("seen", "at").alias("seen")))
             now = new
         return now.select("u", "v", "s")
