@@ -13,8 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that one numpy step takes; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+#: Bytes of text that one numpy step takes, which holds some twenty words of 8 bytes for each; a longer text is a step of its own.
+STEP_BYTES = 1 << 20
 U64 = np.uint64
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
