@@ -1,8 +1,9 @@
 """Exact substring dedup by sorted suffixes: every byte that lies in a SPAN-byte string which also starts elsewhere goes.
 
-Suffixes start at anchors. A window of SPAN bytes has as anchors its GRAM-byte strings of least hash, a choice that
-depends on the window alone, so equal windows have equal anchors at equal places, and one byte in some eighty starts
-a suffix. An anchor's context is all that windows around it can hold: SPAN - GRAM bytes before it and SPAN behind its start.
+Suffixes start at anchors. A window of SPAN bytes has as its anchor the first of its GRAM-byte strings of least hash, a
+choice that depends on the window alone, so equal windows have equal anchors at equal places, and one byte in some
+eighty starts a suffix. An anchor's context is what its windows cover: up to SPAN - GRAM bytes before it and SPAN behind
+its start.
 
 Anchors whose GRAM bytes occur once are done. Where a whole context occurs again, all windows in it do. The remaining
 contexts, one for each different content, are at the edges of repeats. They are sorted twice, as suffixes from the
@@ -51,33 +52,38 @@ def _least(h: np.ndarray, width: int, best) -> np.ndarray:
     return best(m[:n], m[width - size : width - size + n])
 
 
-def anchors(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of the texts: the text each is in, its place in it, the hash of its string and of its context."""
-    none = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, U64),) * 2
+def anchors(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchors of the texts: the text each is in, its place in it, where its windows begin and end, the hash of its string
+    and of its context."""
     n = len(b)
     if n < SPAN:
-        return none
-    p = LETTERS.prefix(b)
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, U64),) * 2
     at = np.arange(n - GRAM + 1)
-    h = LETTERS.of(p, at, at + GRAM)
+    h = LETTERS.of(LETTERS.prefix(b), at, at + GRAM)
     least = _least(h, WIDE, np.minimum)
-    start = np.arange(len(least))
-    text = np.searchsorted(ends, start, "right") - 1
-    inside = start + SPAN <= ends[text + 1]
-    least = np.where(inside, least, U64(0))
-    pad = np.zeros(BEFORE, U64)
-    top = _least(np.concatenate((pad, least, pad)), WIDE, np.maximum)
-    a = np.flatnonzero(top == h)
+    start = at[: len(least)]
+    window = np.flatnonzero(start + SPAN <= ends[np.searchsorted(ends, start, "right")])
+    least = least[window]
+    pad = np.zeros(n - SPAN + 1 + 2 * BEFORE, U64)
+    pad[window + BEFORE] = least
+    a = np.flatnonzero(_least(pad, WIDE, np.maximum) == h)
+    # each window's anchor: the first in it whose hash is the least
+    which = np.searchsorted(a, window)
+    wrong = np.flatnonzero(h[a[which]] != least)
+    while len(wrong):
+        which[wrong] += 1
+        wrong = wrong[h[a[which[wrong]]] != least[wrong]]
+    first = np.flatnonzero(np.append(True, which[1:] != which[:-1])) if len(which) else which
+    last = np.append(first[1:], len(which)) - 1
+    a, lo, hi = a[which[first]], window[first], window[last] + SPAN
     text = np.searchsorted(ends, a, "right") - 1
-    lo, hi = np.maximum(ends[text], a - BEFORE), np.minimum(ends[text + 1], a + SPAN)
-    q = CONTEXTS.prefix(b)
-    context = mix(CONTEXTS.of(q, lo, hi) ^ ((a - lo) * 1000 + (hi - a)).astype(U64))
-    return text, a - ends[text], h[a], context
+    context = mix(CONTEXTS.of(CONTEXTS.prefix(b), lo, hi) ^ ((a - lo) * 1000 + (hi - a)).astype(U64))
+    return text, a - ends[text], lo - ends[text], hi - ends[text], h[a], context
 
 
 def _scanned(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """A row for each text (doc_id, n_bytes, t, sha), and one for each anchor (fp, ctx, t, a, n_bytes)."""
-    names = ["doc_id", "sha", "fp", "ctx", "t", "a", "n_bytes"]
+    """A row for each text (doc_id, n_bytes, t, sha), and one for each anchor (fp, ctx, t, a, lo, hi, n_bytes)."""
+    names = ["doc_id", "sha", "fp", "ctx", "t", "a", "lo", "hi", "n_bytes"]
     for batch in batches:
         for i, j, b, ends in steps(batch):
             raw = b.tobytes()
@@ -85,23 +91,34 @@ def _scanned(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[p
             t = np.array([int.from_bytes(x.digest()[:8], "little", signed=True) for x in sha], np.int64)
             n = np.diff(ends)
             none = pa.nulls(j - i, pa.int64())
-            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([x.hexdigest() for x in sha], pa.string()), none, none, pa.array(t), pa.nulls(j - i, pa.int32()), pa.array(n)], names=names)
-            text, a, h, c = anchors(b, ends)
-            yield pa.record_batch([pa.nulls(len(a), kind), pa.nulls(len(a), pa.string()), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(t[text]), pa.array(a.astype(np.int32)), pa.array(n[text])], names=names)
+            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([x.hexdigest() for x in sha], pa.string()), none, none, pa.array(t), *(pa.nulls(j - i, pa.int32()),) * 3, pa.array(n)], names=names)
+            text, a, lo, hi, h, c = anchors(b, ends)
+            yield pa.record_batch([pa.nulls(len(a), kind), pa.nulls(len(a), pa.string()), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(t[text]), *(pa.array(x.astype(np.int32)) for x in (a, lo, hi)), pa.array(n[text])], names=names)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(fp, ctx, right, left) from texts and their wanted anchors; left is read backwards."""
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    out: tuple[list, ...] = ([], [], [], [])
+
+    def flushed() -> pa.RecordBatch:
+        got = pa.record_batch([pa.array(x, k) for x, k in zip(out, kinds)], names=["fp", "ctx", "right", "left"])
+        for x in out:
+            x.clear()
+        return got
+
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [])
         for text, wanted in zip(batch.column("text"), batch.column("wanted")):
             raw = (text.as_py() or "").encode()
-            for w in wanted.as_py():
-                out[0].append(w["fp"])
-                out[1].append(w["ctx"])
-                out[2].append(raw[w["a"] : w["a"] + SPAN])
-                out[3].append(raw[max(0, w["a"] - BEFORE) : w["a"]][::-1])
-        yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["fp", "ctx", "right", "left"])
+            w = wanted.values
+            for fp, ctx, a, lo, hi in zip(*(w.field(k).to_pylist() for k in ("fp", "ctx", "a", "lo", "hi"))):
+                out[0].append(fp)
+                out[1].append(ctx)
+                out[2].append(raw[a:hi])
+                out[3].append(raw[lo:a][::-1])
+            if len(out[0]) > 5000:
+                yield flushed()
+    yield flushed()
 
 
 def _padded(strings: list[bytes], width: int) -> np.ndarray:
@@ -288,17 +305,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(plain.dtypes)["doc_id"]
     arrow = to_arrow_type(plain.schema["doc_id"].dataType)
-    scanned = scratch.write(plain.mapInArrow(lambda it: _scanned(it, arrow), f"doc_id {kind}, sha string, fp long, ctx long, t long, a int, n_bytes long"))
-    signed, found = scanned.where("fp is null").select("doc_id", "n_bytes", "t", "sha"), scanned.where("fp is not null").select("fp", "ctx", "t", "a", "n_bytes")
+    scanned = scratch.write(plain.mapInArrow(lambda it: _scanned(it, arrow), f"doc_id {kind}, sha string, fp long, ctx long, t long, a int, lo int, hi int, n_bytes long"))
+    signed, found = scanned.where("fp is null").select("doc_id", "n_bytes", "t", "sha"), scanned.where("fp is not null").select("fp", "ctx", "t", "a", "lo", "hi", "n_bytes")
     # texts by name: how many rows have each, and the row that stands for it
     texts = scratch.write(signed.groupBy("t", "n_bytes").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")))
     rows, ids = signed.agg(F.count("*"), F.count_distinct("doc_id")).first()
 
     again = scratch.write(found.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp"))
     repeated = scratch.write(found.join(again, "fp", "left_semi"))
-    by_context = scratch.write(repeated.groupBy("fp", "ctx").agg(F.count("*").alias("c"), F.first("t").alias("t"), F.first("a").alias("a"), F.first("n_bytes").alias("n_bytes")))
+    by_context = scratch.write(repeated.groupBy("fp", "ctx").agg(F.count("*").alias("c"), *(F.first(c).alias(c) for c in ("t", "a", "lo", "hi", "n_bytes"))))
     many = scratch.write(by_context.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp"))
-    edge = scratch.write(by_context.join(many, "fp", "left_semi").groupBy("t", "n_bytes").agg(F.collect_list(F.struct("fp", "ctx", "a")).alias("wanted")))
+    edge = scratch.write(by_context.join(many, "fp", "left_semi").groupBy("t", "n_bytes").agg(F.collect_list(F.struct("fp", "ctx", "a", "lo", "hi")).alias("wanted")))
     edge = edge.join(texts.select("t", "n_bytes", "rep"), ["t", "n_bytes"]).withColumnRenamed("n_bytes", "n")
     # rows that share an id are told apart by their length and name
     at_rep = plain.join(edge, F.col("doc_id").eqNullSafe(F.col("rep"))).where(F.octet_length(F.coalesce("text", F.lit(""))) == F.col("n"))
@@ -312,9 +329,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     single = repeated.join(texts.where("copies > 1").select("t", "n_bytes"), ["t", "n_bytes"], "left_anti")
     whole = by_context.where("c > 1").select("fp", "ctx", F.array(F.struct(F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))).alias("covered"))
     places = scratch.write(whole.union(settled.join(by_context.where("c > 1").select("fp", "ctx"), ["fp", "ctx"], "left_anti")))
-    spans = single.join(places, ["fp", "ctx"]).select("t", "n_bytes", "a", F.explode("covered").alias("o"))
-    lo = F.coalesce(F.col("a") - F.col("o.hi"), F.greatest(F.col("a") - BEFORE, F.lit(0)))
-    hi = F.coalesce(F.col("a") - F.col("o.lo") + SPAN, F.least(F.col("a") + SPAN, F.col("n_bytes"))).cast("int")
+    spans = single.join(places, ["fp", "ctx"]).select("t", "n_bytes", "a", "lo", "hi", F.explode("covered").alias("o"))
+    lo, hi = F.coalesce(F.col("a") - F.col("o.hi"), F.col("lo")), F.coalesce(F.col("a") - F.col("o.lo") + SPAN, F.col("hi"))
     spans = spans.groupBy("t", "n_bytes").agg(F.collect_set(F.struct(lo.alias("lo"), hi.alias("hi"))).alias("spans"))
     spans = scratch.write(spans.join(texts.select("t", "n_bytes", "rep"), ["t", "n_bytes"]))
     at_rep = plain.join(spans, F.col("doc_id").eqNullSafe(F.col("rep"))).where(F.octet_length(F.coalesce("text", F.lit(""))) == F.col("n_bytes"))
