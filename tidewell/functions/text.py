@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidewell.functions import values as V
 
@@ -58,7 +59,7 @@ def decode_entities(c: Column) -> Column:
     return F.regexp_replace(out, "(?i)&(?:amp|#0*38|#x0*26);", "&")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_numeric_entities(s: pd.Series) -> pd.Series:
     """All numeric character references; what names no character stays."""
 
@@ -71,7 +72,7 @@ def decode_numeric_entities(s: pd.Series) -> pd.Series:
     return s.str.replace(r"&#(\d+|[xX][0-9a-fA-F]+);", char, regex=True)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without marks."""
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.category(c).startswith("M")))

@@ -3,8 +3,8 @@
 # Fixed values.
 IMPORTANT_KEYWORDS = [
     "breach", "exploit", "vulnerability", "ransomware", "attack", "zero-day", "outage", "incident", "earnings", "ipo", "acquisition", "merger",
-    "sanction", "inflation", "gdp", "layoffs", "funding", "tariff", "rate cut", "antitrust", "chip", "semiconductor", "cloud", "datacenter",
-    "ai", "model", "launch", "security", "cyber"
+    "sanction", "inflation", "gdp", "layoffs", "funding", "tariff", "rate cut", "antitrust", "chip", "semiconductor", "cloud", "datacenter", "ai",
+    "model", "launch", "security", "cyber"
 ]
 HIGH_PRIORITY_ENTITIES = [
     "openai", "anthropic", "deepmind", "google", "microsoft", "nvidia", "amd", "tsmc", "asml", "intel", "arm", "github", "cloudflare", "vercel",
@@ -12,31 +12,30 @@ HIGH_PRIORITY_ENTITIES = [
     "russia", "ukraine", "nato"
 ]
 BUILD_RELEVANCE_KEYWORDS = [
-    "agent", "agents", "ai agent", "llm", "large language model", "model release", "api", "sdk", "developer", "developers", "devtool",
-    "devtools", "github", "framework", "open source", "cloud", "edge", "infrastructure", "database", "serverless", "observability", "workflow",
-    "automation", "security", "zero-day", "vulnerability", "exploit", "ransomware", "breach"
+    "agent", "agents", "ai agent", "llm", "large language model", "model release", "api", "sdk", "developer", "developers", "devtool", "devtools",
+    "github", "framework", "open source", "cloud", "edge", "infrastructure", "database", "serverless", "observability", "workflow", "automation",
+    "security", "zero-day", "vulnerability", "exploit", "ransomware", "breach"
 ]
 ACTIONABILITY_KEYWORDS = [
-    "api", "sdk", "release", "launch", "preview", "beta", "open source", "github", "pricing", "funding", "acquisition", "earnings",
-    "partnership", "integration", "developer", "migration", "patch", "update", "advisory", "cve", "zero-day", "breach", "outage", "incident",
-    "sanction", "sanctions", "export control", "export controls", "tariff", "rates", "fed", "ecb"
+    "api", "sdk", "release", "launch", "preview", "beta", "open source", "github", "pricing", "funding", "acquisition", "earnings", "partnership",
+    "integration", "developer", "migration", "patch", "update", "advisory", "cve", "zero-day", "breach", "outage", "incident", "sanction",
+    "sanctions", "export control", "export controls", "tariff", "rates", "fed", "ecb"
 ]
 SCOPE_KEYWORDS = [
     "ai", "agent", "agents", "ai agent", "llm", "large language model", "model", "model release", "foundation model", "inference", "embedding",
-    "openai", "anthropic", "deepmind", "nvidia", "gpu", "github", "developer", "developers", "devtool", "devtools", "developer tools",
-    "software", "engineering", "api", "apis", "sdk", "cloudflare", "vercel", "security", "cyber", "cybersecurity", "zero-day", "ransomware",
-    "breach", "exploit", "vulnerability", "economy", "market", "markets", "business", "startup", "startups", "funding", "ipo", "acquisition",
-    "earnings", "valuation", "venture", "saas", "inflation", "gdp", "fed", "ecb", "rates", "sanctions", "export controls", "tariff", "chip",
-    "chips", "semiconductor", "taiwan", "china", "energy", "cloud", "cloud infrastructure", "datacenter", "data center", "serverless", "edge",
-    "database", "observability"
+    "openai", "anthropic", "deepmind", "nvidia", "gpu", "github", "developer", "developers", "devtool", "devtools", "developer tools", "software",
+    "engineering", "api", "apis", "sdk", "cloudflare", "vercel", "security", "cyber", "cybersecurity", "zero-day", "ransomware", "breach", "exploit",
+    "vulnerability", "economy", "market", "markets", "business", "startup", "startups", "funding", "ipo", "acquisition", "earnings", "valuation",
+    "venture", "saas", "inflation", "gdp", "fed", "ecb", "rates", "sanctions", "export controls", "tariff", "chip", "chips", "semiconductor",
+    "taiwan", "china", "energy", "cloud", "cloud infrastructure", "datacenter", "data center", "serverless", "edge", "database", "observability"
 ]
 MAJOR_SECURITY_KEYWORDS = [
-    "active exploit", "actively exploited", "breach", "critical", "cisa", "data leak", "emergency patch", "exploited in the wild", "major
-    outage", "nation-state", "ransomware", "supply chain", "zero-day", "0-day"
+    "active exploit", "actively exploited", "breach", "critical", "cisa", "data leak", "emergency patch", "exploited in the wild", "major outage",
+    "nation-state", "ransomware", "supply chain", "zero-day", "0-day"
 ]
 DEVELOPER_SECURITY_KEYWORDS = [
-    "api", "cloud", "cloudflare", "cve", "developer", "github", "infrastructure", "kubernetes", "npm", "open source", "package", "patch",
-    "python", "registry", "sdk", "software supply chain", "vulnerability"
+    "api", "cloud", "cloudflare", "cve", "developer", "github", "infrastructure", "kubernetes", "npm", "open source", "package", "patch", "python",
+    "registry", "sdk", "software supply chain", "vulnerability"
 ]
 GEOPOLITICS_KEYWORDS = [
     "sanction", "sanctions", "export control", "export controls", "war", "taiwan", "china", "russia", "ukraine", "energy", "chip", "chips",
@@ -68,16 +67,15 @@ BUCKET_ACTIONS = {
 }
 DEDUPE_STOPWORDS = [
     "a", "about", "after", "again", "against", "all", "amid", "an", "and", "are", "as", "at", "be", "been", "being", "by", "for", "from", "has",
-    "have", "how", "in", "into", "is", "it", "its", "latest", "live", "new", "news", "of", "on", "or", "over", "report", "reports", "says",
-    "that", "the", "this", "to", "under", "update", "updates", "was", "what", "when", "why", "will", "with"
+    "have", "how", "in", "into", "is", "it", "its", "latest", "live", "new", "news", "of", "on", "or", "over", "report", "reports", "says", "that",
+    "the", "this", "to", "under", "update", "updates", "was", "what", "when", "why", "will", "with"
 ]
 FEEDBACK_STOPWORDS = [
     "about", "after", "also", "amid", "from", "have", "into", "more", "over", "said", "that", "their", "this", "with", "will", "would", "your",
     "oraz", "jest", "jako", "przez", "tego", "tych", "dla", "się"
 ]
 TRACKING_PARAMS = [
-    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "fbclid", "gclid", "mc_cid", "mc_eid", "at_campaign",
-    "at_medium"
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "fbclid", "gclid", "mc_cid", "mc_eid", "at_campaign", "at_medium"
 ]
 #: (feed, parts of a lower-case category), tried in order; what has none is geopolitics.
 FEED_RULES = [

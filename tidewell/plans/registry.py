@@ -1,4 +1,6 @@
 """All queries of the engine by name, each with its SQL where SQL can say it."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tidewell.plans.oracle import ORACLE
+from tidewell.plans.queries import QUERIES, editorial_topn as flagship
+
+__all__ = ["ORACLE", "QUERIES", "flagship"]
