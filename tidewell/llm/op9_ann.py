@@ -193,13 +193,39 @@ def _in_cell(cell: pa.Table, k: int, blocks: int) -> pa.Table:
     return pa.Table.from_batches(out or [_packed(*NOTHING, blocks, 1)])
 
 
+#: Vectors that one block of nodes sends to another.
+SENT = "at_block int, ks array<long>, h binary, far array<float>"
+
+
+def _send(nodes: pa.Table, asked: pa.Table) -> pa.Table:
+    """The vectors of a block's nodes for each block that asks for some, one row for each."""
+    out: tuple[list, ...] = ([], [], [], [])
+    if len(nodes):
+        ids = np.asarray(nodes.column("k").combine_chunks())
+        order = np.argsort(ids, kind="stable")
+        ids, h, far = ids[order], nodes.column("h").to_pylist(), np.asarray(nodes.column("far").combine_chunks())[order]
+        for at, ks in zip(asked.column("at_block").to_pylist(), asked.column("ks").combine_chunks()):
+            ks = np.asarray(ks.values)
+            rows = np.searchsorted(ids, ks)
+            for x, y in zip(out, (at, ks, b"".join(h[i] for i in order[rows]), far[rows])):
+                x.append(y)
+    kinds = (pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float32()))
+    return pa.table([pa.array(x, k) for x, k in zip(out, kinds)], names=["at_block", "ks", "h", "far"])
+
+
+def _received(sent: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in order, their vectors, their farthest neighbours' products."""
+    ids = np.asarray(sent.column("ks").combine_chunks().flatten())
+    order = np.argsort(ids, kind="stable")
+    x = np.frombuffer(b"".join(sent.column("h").to_pylist()), np.float16).reshape(len(ids), -1)
+    return ids[order], x[order].astype(np.float32), np.asarray(sent.column("far").combine_chunks().flatten())[order]
+
+
 def _join_around(pivots: pa.Table, vectors: pa.Table, k: int, blocks: int) -> pa.Table:
     """All pairs around each pivot: for each node the best of those it meets that are nearer than its farthest neighbour."""
     if not len(pivots) or not len(vectors):
         return pa.Table.from_batches([_packed(*NOTHING, blocks, 1)])
-    ids = np.asarray(vectors.column("k").combine_chunks())
-    order = np.argsort(ids, kind="stable")
-    ids, x, far = ids[order], _vectors(vectors.column("h"))[order], np.asarray(vectors.column("far").combine_chunks())[order]
+    ids, x, far = _received(vectors)
     members = pivots.column("members").combine_chunks()
     size = np.diff(np.asarray(members.offsets))
     flat = np.searchsorted(ids, np.asarray(members.flatten()))
@@ -226,11 +252,9 @@ def _join_around(pivots: pa.Table, vectors: pa.Table, k: int, blocks: int) -> pa
 
 def _look(queries: pa.Table, vectors: pa.Table, k: int, blocks: int) -> pa.Table:
     """Products of each query (u, its h, candidates) with its candidates."""
-    ids = np.asarray(vectors.column("k").combine_chunks())
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], _vectors(vectors.column("h"))[order]
     out = [NOTHING]
-    if len(queries):
+    if len(queries) and len(vectors):
+        ids, x, _ = _received(vectors)
         mine = _vectors(queries.column("h"))
         for u, q, c in zip(queries.column("u").to_pylist(), mine, queries.column("c").combine_chunks()):
             c = np.unique(np.asarray(c.values))
@@ -264,9 +288,11 @@ class Graph:
     def _block(self, c: str):
         return block_of(c, self.blocks)
 
-    def _with_vectors(self, needed: DataFrame, *more: str) -> DataFrame:
-        """(at_block, k, h) for the distinct (block, k) in needed."""
-        return needed.select("block", "k").distinct().join(self.nodes if not more else self.far, "k").select(F.col("block").alias("at_block"), "k", "h", *more)
+    def _with_vectors(self, needed: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The vectors of the distinct (block, k) in needed, as rows of SENT; nodes has (k, h, far)."""
+        asked = needed.select(F.col("block").alias("at_block"), "k").distinct().groupBy(self._block("k").alias("src"), "at_block").agg(F.collect_list("k").alias("ks"))
+        held = nodes.select(self._block("k").alias("held"), "k", "h", F.col("far").cast("float").alias("far"))
+        return held.groupBy("held").cogroup(asked.groupBy("src")).applyInArrow(_send, SENT)
 
     def _grown(self) -> DataFrame:
         sample = _vectors(self.nodes.orderBy(F.xxhash64("k"), "k").limit(SAMPLE).select("h").toArrow().column(0))
@@ -295,9 +321,9 @@ class Graph:
         back = edges.join(in_degree, F.col("v") == F.col("v2")).where(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 20)) * F.col("d") < k * (1 << 20)).select(F.col("v").alias("pivot"), F.col("u").alias("k"))
         around = edges.select(F.col("u").alias("pivot"), F.col("v").alias("k")).union(back)
         around = self.scratch.write(around.groupBy("pivot").agg(F.collect_set("k").alias("members")).withColumn("block", self._block("pivot")))
-        self.far = self.nodes.join(lists.select(F.col("u").alias("k"), F.when(F.size("s") >= k, F.element_at("s", -1)).otherwise(F.lit(float("-inf"))).cast("float").alias("far")), "k")
+        far = self.nodes.join(lists.select(F.col("u").alias("k"), F.when(F.size("s") >= k, F.element_at("s", -1)).otherwise(F.lit(float("-inf"))).cast("float").alias("far")), "k")
         needed = around.select("block", F.explode("members").alias("k"))
-        vectors = self._with_vectors(needed, "far")
+        vectors = self._with_vectors(needed, far)
         found = around.groupBy("block").cogroup(vectors.groupBy("at_block")).applyInArrow(lambda a, b: _join_around(a, b, k, blocks), PACKED)
         return merged(packed_lists(lists, blocks).union(found), blocks, k)
 
@@ -312,7 +338,7 @@ class Graph:
             step = scratch.write(now.select("u", fresh.alias("at")))
             hop = step.select("u", F.explode("at").alias("a")).join(self.lists.select(F.col("u").alias("a"), F.col("v").alias("c")), "a")
             hop = scratch.write(hop.groupBy("u").agg(F.array_distinct(F.flatten(F.collect_list("c"))).alias("c")).join(mine, "u").select("u", "h", F.array_except("c", F.array("u")).alias("c"), self._block("u").alias("block")))
-            vectors = self._with_vectors(hop.select("block", F.explode("c").alias("k")))
+            vectors = self._with_vectors(hop.select("block", F.explode("c").alias("k")), self.nodes.withColumn("far", F.lit(0.0)))
             found = hop.groupBy("block").cogroup(vectors.groupBy("at_block")).applyInArrow(lambda a, b: _look(a, b, keep, blocks), PACKED)
             best = merged(packed_lists(now, blocks).union(found), blocks, keep)
             new = scratch.write(best.join(now.select("u", "seen"), "u").join(step, "u").select("u", "v", "s", F.concat("seen", "at").alias("seen")))
