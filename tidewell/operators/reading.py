@@ -71,7 +71,7 @@ def ranked(items: DataFrame, sort: str = "for-you", policy: str = "v2", partitio
     pref = X.clamp(F.col("preference"), -PREFERENCE_LIMIT, PREFERENCE_LIMIT) if policy == "v2" else F.col("preference")
     df = items.withColumn("rank_score", (F.col("editorial") + pref + F.col("freshness") + F.col("update")).cast("double"))
     order = {"top": [F.desc("editorial"), "item_id"], "latest": [F.desc("selected_epoch"), "item_id"], "for-you": [F.desc("rank_score"), *([F.desc("editorial")] if policy == "v2" else []), "item_id"]}[sort]
-    return df.withColumn("model_rank", F.row_number().over(Window.partitionBy(*(partition or [F.lit(0)])).orderBy(*order)) - 1)
+    return df.withColumn("model_rank", (F.row_number().over(Window.partitionBy(*(partition or [F.lit(0)])).orderBy(*order)) - 1).cast("long"))
 
 
 def explored(items: DataFrame, date_key: str, schema_key: str = "user_id") -> DataFrame:

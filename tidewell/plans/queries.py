@@ -74,21 +74,21 @@ def feedback_keywords(spark, d):
 
 
 def title_fingerprint(spark, d):
-    return A.articles(spark, d).select("article_id", X.fingerprint(X.dedupe_tokens(F.col("title"))).alias("fingerprint"))
+    return A.articles(spark, d).select("article_id", X.fingerprint(X.dedupe_tokens(F.col("title"), True)).alias("fingerprint"))
 
 
 def simhash32(spark, d):
-    return texts(spark, d).select("article_id", X.simhash32(X.dedupe_tokens(F.col("text"))).alias("simhash"))
+    return texts(spark, d).select("article_id", X.simhash32(X.dedupe_tokens(F.col("text"), True)).alias("simhash"))
 
 
 def simhash_distance(spark, d):
-    p = texts(spark, d).where("article_id < 120").select("article_id", X.simhash32(X.dedupe_tokens(F.col("text"))).alias("h"), (F.col("article_id") % 6).alias("g"))
+    p = texts(spark, d).where("article_id < 120").select("article_id", X.simhash32(X.dedupe_tokens(F.col("text"), True)).alias("h"), (F.col("article_id") % 6).alias("g"))
     return p.alias("a").join(p.alias("b"), "g").where("a.article_id < b.article_id").select(F.col("a.article_id").alias("left_id"), F.col("b.article_id").alias("right_id"), X.hamming(F.col("a.h"), F.col("b.h")).cast("long").alias("bits"))
 
 
 def title_similarity(spark, d):
     """Jaccard and containment of titles of one source and feed."""
-    p = A.articles(spark, d).select("article_id", "source", "category", X.dedupe_tokens(F.col("title")).alias("t"))
+    p = A.articles(spark, d).select("article_id", "source", "category", X.dedupe_tokens(F.col("title"), True).alias("t"))
     j = p.alias("a").join(p.alias("b"), ["source", "category"]).where("a.article_id < b.article_id")
     return j.select(F.col("a.article_id").alias("left_id"), F.col("b.article_id").alias("right_id"), F.round(X.jaccard(F.col("a.t"), F.col("b.t")), 6).alias("jaccard"), F.round(X.containment(F.col("a.t"), F.col("b.t")), 6).alias("containment"))
 
@@ -243,7 +243,7 @@ def note_search(spark, d):
     c = A.table(spark, d, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     hit = F.contains(F.lower(F.concat_ws(" ", "role", X.squeezed(F.col("text")))), F.lit("with"))
-    return c.where(hit).select("conv_id", "turn", "role", F.row_number().over(w).alias("n")).where("n <= 20")
+    return c.where(hit).select("conv_id", "turn", "role", F.row_number().over(w).cast("long").alias("n")).where("n <= 20")
 
 
 def constraint_violations(spark, d):
@@ -383,7 +383,7 @@ def practical_buckets(spark, d):
 
 def candidates(spark, d):
     j = judged(spark, d).where(F.size("reasons") == 0)
-    return j.select(F.concat(F.lit("run"), (F.col("article_id") % 12).cast("string")).alias("run_id"), F.col("article_id").alias("story_id"), "feed", F.lower("source").alias("publisher"), X.fingerprint(X.dedupe_tokens(F.col("title"))).alias("group"), "editorial", "feed_adjustment", "preference", "excluded")
+    return j.select(F.concat(F.lit("run"), (F.col("article_id") % 12).cast("string")).alias("run_id"), F.col("article_id").alias("story_id"), "feed", F.lower("source").alias("publisher"), X.fingerprint(X.dedupe_tokens(F.col("title"), True)).alias("group"), "editorial", "feed_adjustment", "preference", "excluded")
 
 
 TARGETS = {"geopolitics": 3, "business": 3, "ai": 3, "software": 4, "security": 2}
