@@ -1,5 +1,6 @@
 """The queries of this subpackage by name, and their SQL."""
 
+from tidewell.llm.oracle import ORACLE
 from tidewell.llm.op1_topk import op1_topk
 from tidewell.llm.op2_bpe import op2_bpe
 from tidewell.llm.op3_html import op3_html
@@ -12,4 +13,5 @@ from tidewell.llm.op9_ann import op9_ann
 from tidewell.llm.op10_minhash import op10_minhash_dedup
 
 QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_html, op4_pii, op5_suffix_dedup, op6_toxicity, op7_quality, op8_mix_sources, op9_ann, op10_minhash_dedup)}
-ORACLE: dict = {}
+
+__all__ = ["ORACLE", "QUERIES"]
