@@ -259,7 +259,7 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for r, l, o in zip(batch.column("right").to_pylist(), batch.column("left").to_pylist(), batch.column("o").to_pylist()):
             ok = o <= len(l) and SPAN - o <= len(r)
             out.append(hashlib.blake2b(l[:o][::-1] + r[: SPAN - o], digest_size=16).digest() if ok else None)
-        yield pa.record_batch([batch.column("fp"), batch.column("ctx"), batch.column("o"), pa.array(out, pa.binary())], names=["fp", "ctx", "o", "w"])
+        yield pa.record_batch([batch.column("fp"), batch.column("ctx"), batch.column("o"), batch.column("is_open"), pa.array(out, pa.binary())], names=["fp", "ctx", "o", "is_open", "w"])
 
 
 def _edge_contexts(contexts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -274,10 +274,10 @@ def _edge_contexts(contexts: DataFrame, scratch: Scratch) -> DataFrame:
     if settled.where("size(open) > 0").take(1):
         places = scratch.write(settled.select("fp", F.explode("open").alias("o")).distinct())
         # a window can be repeated only between the longest matches of both sides
-        can = contexts.join(settled.select("fp", "ctx", "low", "high").where("low <= high"), ["fp", "ctx"]).join(places, "fp").where("o between low and high").select("fp", "ctx", "right", "left", "o")
-        windows = scratch.write(can.mapInArrow(_window_hashes, "fp long, ctx long, o int, w binary").where("w is not null"))
+        can = contexts.join(settled.select("fp", "ctx", "low", "high", "open").where("low <= high"), ["fp", "ctx"]).join(places, "fp").where("o between low and high").select("fp", "ctx", "right", "left", "o", F.array_contains("open", F.col("o")).alias("is_open"))
+        windows = scratch.write(can.mapInArrow(_window_hashes, "fp long, ctx long, o int, is_open boolean, w binary").where("w is not null"))
         again = scratch.write(windows.groupBy("fp", "o", "w").agg(F.count("*").alias("c")).where("c > 1").select("fp", "o", "w"))
-        found = windows.join(again, ["fp", "o", "w"]).groupBy("fp", "ctx").agg(F.collect_set(F.struct(F.col("o").alias("lo"), F.col("o").alias("hi"))).alias("more"))
+        found = windows.where("is_open").join(again, ["fp", "o", "w"]).groupBy("fp", "ctx").agg(F.collect_set(F.struct(F.col("o").alias("lo"), F.col("o").alias("hi"))).alias("more"))
         out = settled.join(found, ["fp", "ctx"], "left").select("fp", "ctx", F.concat("covered", F.coalesce("more", F.array().cast("array<struct<lo:int,hi:int>>"))).alias("covered"))
     return scratch.write(out.where("size(covered) > 0"))
 
