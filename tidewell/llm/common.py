@@ -170,7 +170,7 @@ def words(b: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple[np.ndarr
 def shingles(h: np.ndarray, place: np.ndarray, k: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of k words; of all words as one run where there are fewer."""
     g = h.copy()
-    for i in range(1, k):
+    for i in range(1, min(k, len(h))):
         g[: len(h) - i] = mix(g[: len(h) - i] * U64(0x9E3779B97F4A7C15) + h[i:])
     out = []
     for a, z in zip(place[:-1].tolist(), place[1:].tolist()):

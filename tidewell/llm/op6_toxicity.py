@@ -29,7 +29,8 @@ CHANNELS, HIDDEN = 3, 8
 BEGINNINGS = (3, 4, 5, 6)
 INNER = 4
 LABELLED, LABELLED_BYTES = 3000, 48_000_000
-EPOCHS, BATCH, RATE = 30, 256, 0.02
+#: Passes over the labelled texts, more if they make fewer than STEPS steps.
+EPOCHS, STEPS, BATCH, RATE = 20, 150, 64, 0.02
 AT_LEAST = 0.3
 HASH = Rolling(31)
 
@@ -167,7 +168,7 @@ class Network:
         return states, held
 
     def forward(self, x: np.ndarray, length: np.ndarray, keep: bool = False):
-        on = np.arange(x.shape[1])[None, :] < length[:, None]
+        on = np.arange(x.shape[1])[None, :] < np.maximum(length, 1)[:, None]  # an empty text is one empty word
         f, hf = self._run(x, on, "f", keep)
         b, hb = self._run(x, on, "b", keep)
         s = np.concatenate((f, b), axis=2)
@@ -208,20 +209,22 @@ class Network:
 
 
 def train(n_words: np.ndarray, doc: np.ndarray, length: np.ndarray, x: np.ndarray, toxic: np.ndarray) -> Network:
-    """Each text stands for its highest window, found anew in every epoch; texts without inputs for their emptiest one."""
+    """Each text stands for its highest window, found anew in every epoch; texts without inputs for an empty one.
+
+    An empty window of each length, from none, counts as clean beside them."""
     net, r = Network(), np.random.default_rng(9)
     empty = np.zeros((1, WINDOW, CHANNELS), np.float32)
     some = np.unique(doc)
     rest = np.setdiff1d(np.arange(len(toxic)), some)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
     step = 0
-    for epoch in range(EPOCHS):
+    for epoch in range(max(EPOCHS, -(-STEPS // max(1, (len(toxic) + WINDOW + 1) // BATCH)))):
         p = x.sum(axis=(1, 2)) if epoch == 0 else net.forward(x, length)
         order = np.lexsort((p, doc))
         top = order[np.append(doc[order][1:] != doc[order][:-1], True)] if len(order) else order
-        xs = np.concatenate((x[top], np.repeat(empty, len(rest), axis=0)))
-        ls = np.concatenate((length[top], np.minimum(n_words[rest], WINDOW)))
-        ys = np.concatenate((toxic[doc[top]], toxic[rest])).astype(np.float32)
+        xs = np.concatenate((x[top], np.repeat(empty, len(rest) + WINDOW + 1, axis=0)))
+        ls = np.concatenate((length[top], np.minimum(n_words[rest], WINDOW), np.arange(WINDOW + 1)))
+        ys = np.concatenate((toxic[doc[top]], toxic[rest], np.zeros(WINDOW + 1))).astype(np.float32)
         for part in np.array_split(r.permutation(len(ys)), max(1, len(ys) // BATCH)):
             step += 1
             for k, g in net.gradients(xs[part], ls[part], ys[part]).items():
