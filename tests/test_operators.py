@@ -175,3 +175,20 @@ def test_changes_and_history(spark):
     assert {r.story_key: r.changes for r in D.changes(now, old).collect()} == {"k1": ["new"], "k2": ["title", "summary", "canonical_source", "source_count"], "k3": []}
     s = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "story_id long, story_key string")
     assert {r.story_id: r.adopted_key for r in D.match_history(s, s.where("story_id < 3")).collect()} == {1: "x", 2: None, 3: None}
+
+
+def test_publication(spark):
+    from tidewell.operators import publishing as B
+
+    row = lambda e, *v: spark.createDataFrame([v], ", ".join(f"c{i} string" for i in range(len(v)))).select(e.alias("x")).first()[0]
+    c = F.col("c0")
+    assert row(B.published_summary(c, F.col("c1"), 20), "", "A title") == "A title" and row(B.published_summary(c, F.col("c1"), 20), None, "") == "No summary availabl..."
+    assert row(B.language(c), "<rss><language>pl-PL</language></rss>") == "pl-pl" and row(B.language(c), "to jest dla przez się") == "pl" and row(B.language(c), "the cat and the dog with that") == "en" and row(B.language(c), "xyz") == "unknown"
+    assert row(B.category(c), "a cve, a breach and a bank") == "Cybersecurity" and row(B.category(c), "bank war") == "Business / Markets" and row(B.category(c), "zzz") == "General"
+    assert row(B.error_class(c), "HTTP 503 from host") == "http_503" and row(B.error_class(c), "timed out") == "timeout" and row(B.error_class(c), "bad") == "network_or_parse_error"
+    assert [row(B.blocked_ipv6(c), a) for a in ("::1", "fe80::1", "::ffff:10.0.0.1", "2606:4700::1111", "nonsense")] == [True, True, True, False, True]
+    assert row(B.keyword_setting(c), " Foo,bar\nfoo ,, b  c") == ["foo", "bar", "b c"]
+    a, b = spark.createDataFrame([(1,)], "i int"), spark.createDataFrame([(2,)], "i int")
+    assert [r.i for r in B.fallback_rows(a, b).collect()] == [1] and [r.i for r in B.fallback_rows(a.where("false"), b).collect()] == [2]
+    brief = B.brief_lines(spark.createDataFrame([("r", i, f"t{i}") for i in (3, 1, 2, 0, 5, 4)], "run_id string, selection_rank int, title string")).first()
+    assert brief.n_items == 6 and brief.titles == ["t0", "t1", "t2", "t3", "t4"]

@@ -20,6 +20,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(c: Column, f) -> Column:
+    """f(c) with c worked out once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 # --- numbers -------------------------------------------------------------------------------------------------------
 
 
@@ -29,7 +34,8 @@ def js_round(c: Column) -> Column:
 
 
 def clamp(c: Column, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """The value within its bounds; null for null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def percentage(part: Column, whole: Column) -> Column:
@@ -49,13 +55,24 @@ def squeezed(c: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """CDATA marks go, named and decimal ASCII references become characters; the others stay for decode_numeric_entities."""
+    """CDATA marks go; named references and numeric ones up to 255 become characters, others stay for decode_numeric_entities."""
+    return let(c, lambda x: F.when(F.contains(x, F.lit("&")) | F.contains(x, F.lit("]]>")) | F.contains(x, F.lit("<![CDATA[")), _decoded(x)).otherwise(x))
+
+
+def _decoded(c: Column) -> Column:
     out = F.replace(F.replace(c, F.lit("<![CDATA[")), F.lit("]]>"))
+    refs = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?i)(&#(?:\d{1,7}|x[0-9a-f]{1,6});)"), F.lit(1)))
+
+    def put(text: Column, ref: Column) -> Column:
+        body = F.lower(F.substring(ref, 3, 9))
+        hexa = F.startswith(body, F.lit("x"))
+        code = F.when(hexa, F.conv(F.regexp_replace(body, "[x;]", ""), 16, 10)).otherwise(F.regexp_replace(body, ";", "")).cast("long")
+        return F.when(code.between(1, 255) & (code != 38), F.replace(text, ref, F.char(code))).otherwise(text)
+
+    out = let(out, lambda t: F.aggregate(refs(t), t, put))
     for name, char in V.ENTITIES.items():
         if name != "amp":
-            out = F.regexp_replace(out, f"(?i)&{name};", char.replace("$", r"\$"))
-    for code in (32, 33, 34, 35, 36, 37, 39, 40, 41, 44, 45, 46, 47, 58, 59, 60, 62, 63, 64, 95, 124):
-        out = F.regexp_replace(out, f"(?i)&#(?:0*{code}|x0*{code:x});", ("\\" if chr(code) in "$\\" else "") + chr(code))
+            out = F.regexp_replace(out, f"(?i)&{name};", char)
     return F.regexp_replace(out, "(?i)&(?:amp|#0*38|#x0*26);", "&")
 
 
@@ -88,13 +105,11 @@ def plain_text(c: Column) -> Column:
 def clean_summary(summary: Column, title: Column) -> Column:
     """Plain text without feed metadata; empty where it says no more than the title."""
     out = reduce(lambda a, p: F.regexp_replace(a, "(?i)" + p, " "), V.FEED_METADATA, plain_text(summary))
-    out = squeezed(out)
-    return F.when((F.coalesce(title, F.lit("")) != "") & (F.lower(out) == F.lower(plain_text(title))), F.lit("")).otherwise(out)
+    return let(squeezed(out), lambda x: F.when((F.coalesce(title, F.lit("")) != "") & (F.lower(x) == F.lower(plain_text(title))), F.lit("")).otherwise(x))
 
 
 def compact(c: Column, most: int) -> Column:
-    out = squeezed(c)
-    return F.when(F.length(out) > most, F.concat(F.trim(F.substring(out, 1, most - 1)), F.lit("..."))).otherwise(out)
+    return let(squeezed(c), lambda x: F.when(F.length(x) > most, F.concat(F.trim(F.substring(x, 1, most - 1)), F.lit("..."))).otherwise(x))
 
 
 def human_label(c: Column) -> Column:
@@ -221,9 +236,8 @@ def longest_body(c: Column, tag: str) -> Column:
 
 
 def content_html(c: Column) -> Column:
-    cut = without_elements(c)
-    some = lambda x: F.when(F.length(x) > 0, x)
-    return F.coalesce(some(longest_body(cut, "article")), some(longest_body(cut, "main")), some(longest_body(cut, "body")), cut)
+    some = lambda x: F.nullif(x, F.lit(""))
+    return let(without_elements(c), lambda cut: F.coalesce(some(longest_body(cut, "article")), some(longest_body(cut, "main")), some(longest_body(cut, "body")), cut))
 
 
 def paragraph_count(c: Column) -> Column:
@@ -234,7 +248,7 @@ def paragraph_count(c: Column) -> Column:
 def readable_text(c: Column) -> Column:
     found = F.regexp_extract_all(c, F.lit(r"(?is)<(?:h[1-6]|p|li|blockquote)\b[^>]*>(.*?)</(?:h[1-6]|p|li|blockquote)>"), F.lit(1))
     blocks = F.filter(F.transform(found, plain_text), lambda x: x != "")
-    return F.when(F.size(blocks) > 0, F.array_join(blocks, "\n\n")).otherwise(plain_text(c))
+    return let(blocks, lambda b: F.when(F.size(b) > 0, F.array_join(b, "\n\n")).otherwise(plain_text(c)))
 
 
 def word_count(c: Column) -> Column:
@@ -256,6 +270,10 @@ def feed_kind(c: Column) -> Column:
 
 def normalize_url(c: Column) -> Column:
     """Lower-case scheme and host without a default port, no fragment, no tracking parameters; null for what is no http URL."""
+    return let(c, _normalized)
+
+
+def _normalized(c: Column) -> Column:
     pattern = r"(?i)^(https?)://([^/?#\s]+)([^?#\s]*)(?:\?([^#\s]*))?(?:#\S*)?$"
     part = lambda i: F.regexp_extract(F.trim(c), pattern, i)
     scheme = F.lower(part(1))
@@ -300,6 +318,10 @@ def warsaw_date(ts: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """ISO 8601 or RFC 822; null for anything else."""
+    return let(c, _parsed)
+
+
+def _parsed(c: Column) -> Column:
     bare = F.regexp_replace(F.trim(c), r"^[A-Za-z]{3},\s*", "")
     zoned = F.regexp_replace(bare, r"\bGMT$|\bUT$|\bZ$", "+0000")
     return F.coalesce(F.try_to_timestamp(c), F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm Z")))

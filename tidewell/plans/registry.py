@@ -1,6 +1,7 @@
 """All queries of the engine by name, each with its SQL where SQL can say it."""
 
-from tidewell.plans.oracle import ORACLE
-from tidewell.plans.queries import QUERIES, editorial_topn as flagship
+from tidewell.plans import more, oracle, queries
 
-__all__ = ["ORACLE", "QUERIES", "flagship"]
+QUERIES = queries.QUERIES | more.QUERIES
+ORACLE = oracle.ORACLE | more.ORACLE
+flagship = queries.editorial_topn

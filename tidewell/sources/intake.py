@@ -9,7 +9,7 @@ from tidewell.functions import text as X
 
 
 def tag_text(xml: Column, tag: str) -> Column:
-    return F.nullif(F.trim(X.decode_entities(F.regexp_extract(xml, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1))), F.lit(""))
+    return X.let(F.trim(X.decode_entities(F.regexp_extract(xml, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1))), lambda t: F.nullif(t, F.lit("")))
 
 
 def tag_attribute(xml: Column, tag: str, name: str) -> Column:
@@ -27,7 +27,8 @@ def items(payloads: DataFrame) -> DataFrame:
     ranked = F.transform(texts, lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("i"), t.alias("t")))
     dates = F.coalesce(*(X.parse_date(tag_text(xml, t)) for t in ("pubDate", "published", "updated", "dc:date")))
     title = X.plain_text(F.coalesce(tag_text(xml, "title"), F.lit("")))
-    x = x.select("source_id", "source_name", "category", "priority", "ordinal", title.alias("title"), link.alias("link"), X.clean_summary(F.coalesce(F.array_max(ranked)["t"], F.lit("")), title).alias("summary"), dates.alias("published"))
+    x = x.select("source_id", "source_name", "category", "priority", "ordinal", title.alias("title"), link.alias("link"), F.coalesce(F.array_max(ranked)["t"], F.lit("")).alias("summary"), dates.alias("published"))
+    x = x.withColumn("summary", X.clean_summary(F.col("summary"), F.col("title")))
     return x.withColumn("url", X.normalize_url(F.col("link"))).where((F.col("title") != "") | F.col("link").isNotNull())
 
 
