@@ -102,8 +102,7 @@ def learn_entries(found: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray)
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * (np.where(one > 0, one * np.log(one / (all_ * share)), 0) + np.where(zero > 0, zero * np.log(zero / (all_ * (1 - share))), 0))
     odds = np.log((one + 0.5) / (toxic.sum() + 1)) - np.log((zero + 0.5) / (len(toxic) - toxic.sum() + 1))
-    tried = max(2, int((all_ >= 3).sum()))  # fewer texts than that could not be beyond chance
-    keep = (g >= 2 * np.log(tried)) & (odds > 1)
+    keep = (g >= 2 * np.log(max(2, len(key)))) & (odds > 1)
     return Lookup(key[keep], odds[keep] / 5)
 
 
