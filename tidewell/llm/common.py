@@ -15,11 +15,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step takes, which holds some twenty words of 8 bytes for each; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
+#: Rows in a batch that goes to Python.
+BATCH_ROWS = 1000
 U64 = np.uint64
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows of long texts go to Python in batches that an executor's memory holds several times."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     # Python workers of a session whose driver found this package by its own path find it too
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
@@ -49,6 +57,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        bounded_batches(spark)
         atexit.register(self._end)
 
     def write(self, df: DataFrame) -> DataFrame:

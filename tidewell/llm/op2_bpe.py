@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Distinct pieces whose ids a Python worker remembers before it starts afresh.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 120_000
 #: Lengths of the beginnings that pieces share, longest first.
 SHARED = (9, 6)
 NONE = 1 << 40
@@ -77,7 +77,7 @@ class Vocabulary:
         key = a << 32 | b
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 400_000:
+            if len(self._fits) > 300_000:
                 self._fits.clear()
             known = self._fits[key] = self._apart(a, b)
         return known
