@@ -2,9 +2,9 @@
 
 Equal vectors are one node. The graph starts from TREES partitions of the nodes by random hyperplanes into leaves of at
 most LEAF nodes, compared by brute force. Then, ROUNDS times, neighbours of neighbours meet: Spark joins give each node
-its neighbours and up to NEIGHBOURS of the nodes that have it as theirs, with their vectors; all pairs around a node
-are compared and each node keeps its NEIGHBOURS best. A query starts from its node's list and, HOPS times, looks at the
-neighbours of its best entries that it has not looked at yet. Products that are returned are exact, in double
+its neighbours and up to NEIGHBOURS of the nodes that have it as theirs, with their vectors; all pairs of these and
+the node itself are compared and each node keeps its NEIGHBOURS best. A query starts from its node's list, which grows to LIST entries, and, HOPS
+times, looks at the neighbours of its WIDEN best entries that it has not looked at yet. Products that are returned are exact, in double
 precision, in the order of the components; those inside graph and search are of half-precision vectors.
 
 Work is dealt out by blocks of some thousand nodes; a block's task gets each vector it needs once. Hyperplanes are
@@ -30,10 +30,10 @@ from tidewell.llm.common import Scratch, table
 NEIGHBOURS = 40
 TREES, LEAF, SAMPLE = 10, 1024, 16_384
 ROUNDS = 5
-HOPS, WIDEN = 3, 12
+HOPS, WIDEN = 3, 48
 BLOCK = 4096
-#: Candidates of a node's search that are compared exactly.
-EXACT = 40
+#: The length of a query's list, and how many of it are compared exactly.
+LIST, EXACT = 160, 40
 LISTS = "u long, v array<long>, s array<float>"
 NOTHING = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
 
@@ -250,6 +250,17 @@ def _join_around(pivots: pa.Table, vectors: pa.Table, k: int, blocks: int) -> pa
     return pa.Table.from_batches([_packed(ids[u], ids[v], s, blocks, k)])
 
 
+def _ask(queries: pa.Table, blocks: int) -> pa.Table:
+    """For each block the distinct nodes of it that a block's queries want to look at."""
+    ks = np.unique(np.asarray(queries.column("c").combine_chunks().flatten()))
+    to = ((ks >> 1) + (ks >> 8) + (ks >> 18)) % blocks
+    order = np.argsort(to, kind="stable")
+    some, size = np.unique(to, return_counts=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(ks[order]))
+    at = queries.column("block")[0].as_py() if len(queries) else 0
+    return pa.table([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), at, np.int32)), lists], names=["src", "at_block", "ks"])
+
+
 def _look(queries: pa.Table, vectors: pa.Table, k: int, blocks: int) -> pa.Table:
     """Products of each query (u, its h, candidates) with its candidates."""
     out = [NOTHING]
@@ -290,7 +301,10 @@ class Graph:
 
     def _with_vectors(self, needed: DataFrame, nodes: DataFrame) -> DataFrame:
         """The vectors of the distinct (block, k) in needed, as rows of SENT; nodes has (k, h, far)."""
-        asked = needed.select(F.col("block").alias("at_block"), "k").distinct().groupBy(self._block("k").alias("src"), "at_block").agg(F.collect_list("k").alias("ks"))
+        return self._sent(needed.select(F.col("block").alias("at_block"), "k").distinct().groupBy(self._block("k").alias("src"), "at_block").agg(F.collect_list("k").alias("ks")), nodes)
+
+    def _sent(self, asked: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The vectors that blocks ask for, (src, at_block, ks), as rows of SENT."""
         held = nodes.select(self._block("k").alias("held"), "k", "h", F.col("far").cast("float").alias("far"))
         return held.groupBy("held").cogroup(asked.groupBy("src")).applyInArrow(_send, SENT)
 
@@ -320,7 +334,7 @@ class Graph:
         # where more nodes point to v than may, a hash thins them
         back = edges.join(in_degree, F.col("v") == F.col("v2")).where(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 20)) * F.col("d") < k * (1 << 20)).select(F.col("v").alias("pivot"), F.col("u").alias("k"))
         around = edges.select(F.col("u").alias("pivot"), F.col("v").alias("k")).union(back)
-        around = self.scratch.write(around.groupBy("pivot").agg(F.collect_set("k").alias("members")).withColumn("block", self._block("pivot")))
+        around = self.scratch.write(around.groupBy("pivot").agg(F.array_union(F.collect_set("k"), F.array("pivot")).alias("members")).withColumn("block", self._block("pivot")))
         far = self.nodes.join(lists.select(F.col("u").alias("k"), F.when(F.size("s") >= k, F.element_at("s", -1)).otherwise(F.lit(float("-inf"))).cast("float").alias("far")), "k")
         needed = around.select("block", F.explode("members").alias("k"))
         vectors = self._with_vectors(needed, far)
@@ -328,8 +342,8 @@ class Graph:
         return merged(packed_lists(lists, blocks).union(found), blocks, k)
 
     def search(self, query_nodes: DataFrame) -> DataFrame:
-        """(u, v, s): for each node u in query_nodes its nearest found, itself left out, best first."""
-        scratch, keep, blocks = self.scratch, max(EXACT, self.k), self.blocks
+        """(u, v): for each node u in query_nodes its EXACT nearest found, itself left out, best first."""
+        scratch, keep, blocks = self.scratch, LIST, self.blocks
         now = scratch.write(self.lists.join(query_nodes.select(F.col("k").alias("u")).distinct(), "u", "left_semi").withColumn("seen", F.array().cast("array<long>")))
         mine = self.nodes.join(now.select(F.col("u").alias("k")), "k", "left_semi").select(F.col("k").alias("u"), "h")
         mine = scratch.write(mine)
@@ -338,12 +352,13 @@ class Graph:
             step = scratch.write(now.select("u", fresh.alias("at")))
             hop = step.select("u", F.explode("at").alias("a")).join(self.lists.select(F.col("u").alias("a"), F.col("v").alias("c")), "a")
             hop = scratch.write(hop.groupBy("u").agg(F.array_distinct(F.flatten(F.collect_list("c"))).alias("c")).join(mine, "u").select("u", "h", F.array_except("c", F.array("u")).alias("c"), self._block("u").alias("block")))
-            vectors = self._with_vectors(hop.select("block", F.explode("c").alias("k")), self.nodes.withColumn("far", F.lit(0.0)))
+            asked = hop.select("block", "c").groupBy("block").applyInArrow(lambda t: _ask(t, blocks), "src int, at_block int, ks array<long>")
+            vectors = self._sent(asked, self.nodes.withColumn("far", F.lit(0.0)))
             found = hop.groupBy("block").cogroup(vectors.groupBy("at_block")).applyInArrow(lambda a, b: _look(a, b, keep, blocks), PACKED)
             best = merged(packed_lists(now, blocks).union(found), blocks, keep)
             new = scratch.write(best.join(now.select("u", "seen"), "u").join(step, "u").select("u", "v", "s", F.concat("seen", "at").alias("seen")))
             now = new
-        return now.select("u", "v", "s")
+        return now.select("u", F.slice("v", 1, EXACT).alias("v"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", graph: Graph | None = None) -> DataFrame:
