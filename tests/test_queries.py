@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -9,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(df):
     def cell(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return None
         return round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
