@@ -198,8 +198,8 @@ def fingerprint(tokens: Column) -> Column:
 def simhash32(tokens: Column) -> Column:
     """A bit is set where more tokens' hashes have it than have not; a token's hash is the first 4 bytes of its SHA-256."""
     hashes = F.transform(tokens, lambda t: F.conv(F.substring(F.sha2(t.cast("binary"), 256), 1, 8), 16, 10).cast("long"))
-    bit = lambda i: F.aggregate(hashes, F.lit(0), lambda a, h: a + F.when(F.shiftright(h, i).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)) > 0
-    return reduce(lambda a, b: a + b, [F.when(bit(i), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(32)])
+    bit = lambda h, i: F.when(2 * F.size(F.filter(h, lambda x: F.shiftright(x, i).bitwiseAND(F.lit(1)) == 1)) > F.size(h), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+    return let(hashes, lambda h: reduce(lambda a, b: a + b, [bit(h, i) for i in range(32)]))
 
 
 def hamming(a: Column, b: Column) -> Column:
