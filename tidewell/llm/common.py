@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step takes, which holds some twenty words of 8 bytes for each; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
-#: Rows in a batch that goes to Python.
-BATCH_ROWS = 1000
+#: Rows and bytes in a batch that goes to Python, whichever is reached first; some rows are blocks of a MB.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 U64 = np.uint64
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -24,6 +24,7 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def bounded_batches(spark: SparkSession) -> None:
     """Rows of long texts go to Python in batches that an executor's memory holds several times."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
