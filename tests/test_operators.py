@@ -48,6 +48,35 @@ def test_pair_decisions(spark):
     assert clusters[1] == clusters[2] != clusters[3] and clusters[4] == 4 and sorted(clusters) == [1, 2, 3, 4, 5, 6]
 
 
+def test_pairs_of_large_keys(spark, monkeypatch):
+    """No key is too large: 300 copies of one story, among others, against all pairs by brute force."""
+    monkeypatch.setattr(D, "BLOCK", 40)
+    r = random.Random(3)
+    words = [f"word{i}" for i in range(14)]
+    rows = [(i, "Harbour tunnel opens after delays", "The tunnel under the harbour carries trains", "AI", "", i % 7 * 86400, "a") for i in range(300)]
+    rows += [(i, " ".join(["Harbour", *r.sample(words, 3)]), " ".join(r.sample(words, 6)), "AI", r.choice(["", "", f"https://a.b/{i % 3}"]), r.randrange(9) * 86400, "b") for i in range(300, 360)]
+    p = D.profiles(_articles(spark, rows)).cache()
+    side = F.struct("feed", "title_tokens", "text_tokens", "fingerprint", "simhash", "published_epoch", "canonical_url")
+    s = p.select("article_id", side.alias("s"), D.blocking_keys().alias("keys"))
+    a, b = (s.select(F.col("article_id").alias(x), F.col("s").alias(y), F.col("keys").alias(f"{y}k")) for x, y in (("i", "l"), ("j", "r")))
+    brute = a.crossJoin(b).where("i < j").where(F.arrays_overlap("lk", "rk")).select("i", "j", D.decision().alias("d")).select("i", "j", "d.duplicate", "d.reason", F.round("d.score", 6).alias("score"))
+    brute = sorted(map(tuple, brute.collect()))
+    got = D.duplicate_pairs(p).withColumn("score", F.round("score", 6))
+    assert sorted(map(tuple, got.collect())) == brute and len(brute) > 300 * 299 / 2
+    some = D.duplicate_pairs(p, all_pairs=False).withColumn("score", F.round("score", 6)).where("duplicate")
+    assert sorted(map(tuple, some.collect())) == [x for x in brute if x[2]]
+    reasons = pd.Series([x[3] for x in brute]).value_counts().to_dict()
+    assert {x.reason: x.n for x in D.reason_counts(p).collect()} == reasons
+    score = {x[:2]: x[4] for x in brute if x[2]}
+    groups = []
+    for i, t in sorted(((x[0], x[5]) for x in rows), key=lambda x: (-x[1], x[0])):
+        least = [min(score.get((min(i, m), max(i, m)), -1.0) for m in g) for g in groups]
+        best = max(least, default=-1.0)
+        groups[least.index(best)].append(i) if best >= 0 else groups.append([i])
+    assert {x.article_id: x.story_id for x in D.clusters(p).collect()} == {i: g[0] for g in groups for i in g}
+    p.unpersist()
+
+
 def test_story_keys(spark):
     m = spark.createDataFrame([(1, "ai", 'a "b" \\ ü', "https://x"), (1, "ai", "c", ""), (2, "ai", "c", "")], "story_id long, feed string, fingerprint string, canonical_url string").withColumn("article_id", F.lit(7))
     got = {r.story_id: r.story_key for r in D.story_keys(m).collect()}

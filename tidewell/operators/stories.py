@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from tidewell.functions import text as X
 
 WINDOW_SECONDS = 4 * 86400
-CANDIDATE_CAP = 250
+#: Classes that share a key meet block against block, and members of a class too.
+BLOCK = 500
+PROFILE = ("feed", "title_tokens", "text_tokens", "fingerprint", "simhash", "canonical_url")
 
 
 def profiles(articles: DataFrame, strip_marks: bool = True) -> DataFrame:
@@ -22,8 +24,8 @@ def profiles(articles: DataFrame, strip_marks: bool = True) -> DataFrame:
     return df.withColumn("fingerprint", X.fingerprint(F.col("title_tokens"))).withColumn("simhash", X.simhash32(F.col("text_tokens")))
 
 
-def candidate_keys(p: DataFrame) -> DataFrame:
-    """(article_id, key): the fingerprint, the 8 best title tokens within a feed, 4 anchors of the text, else the feed."""
+def blocking_keys() -> Column:
+    """The keys of a profile: the fingerprint, the 8 best title tokens within a feed, 4 anchors of the text, else the feed."""
     better = lambda a, b: F.when(a.rlike(r"\d") & ~b.rlike(r"\d"), -1).when(b.rlike(r"\d") & ~a.rlike(r"\d"), 1).otherwise(F.sign(F.length(b) - F.length(a)).cast("int"))
     best = F.slice(F.array_sort("title_tokens", better), 1, 8)
     keys = F.concat(
@@ -32,11 +34,16 @@ def candidate_keys(p: DataFrame) -> DataFrame:
         F.transform(F.slice(X.anchors(F.col("text_tokens")), 1, 4), lambda t: F.concat(F.lit("anchor:"), t)),
     )
     keys = F.when((F.size(keys) == 0) | (F.size("title_tokens") < 2), F.concat(keys, F.array(F.concat(F.lit("feed:"), F.col("feed"))))).otherwise(keys)
-    return p.select("article_id", F.explode(F.array_distinct(keys)).alias("key"))
+    return F.array_distinct(keys)
+
+
+def candidate_keys(p: DataFrame) -> DataFrame:
+    """(article_id, key) for each of the blocking keys."""
+    return p.select("article_id", F.explode(blocking_keys()).alias("key"))
 
 
-def decision(left: str = "l", right: str = "r") -> Column:
-    """struct(duplicate, reason, score) of two profiles; the order of the two matters for the fingerprint rule."""
+def decision(left: str = "l", right: str = "r", timed: bool = True) -> Column:
+    """struct(duplicate, reason, score) of two profiles; without timed as if both were published at one time."""
     a, b = (lambda c: F.col(f"{left}.{c}")), (lambda c: F.col(f"{right}.{c}"))
     title, text = X.jaccard(a("title_tokens"), b("title_tokens")), X.jaccard(a("text_tokens"), b("text_tokens"))
     inside = X.containment(a("title_tokens"), b("title_tokens"))
@@ -45,7 +52,7 @@ def decision(left: str = "l", right: str = "r") -> Column:
     score = F.greatest(0.58 * title + 0.27 * text + 0.15 * (1 - bits / 32), 0.7 * inside + 0.3 * text)
     out = lambda yes, why, s: F.struct(F.lit(yes).alias("duplicate"), F.lit(why).alias("reason"), s.cast("double").alias("score"))
     same_url = (a("canonical_url") != "") & (a("canonical_url") == b("canonical_url"))
-    far = F.abs(a("published_epoch") - b("published_epoch")) > WINDOW_SECONDS
+    far = F.abs(a("published_epoch") - b("published_epoch")) > WINDOW_SECONDS if timed else F.lit(False)
     same_print = (a("fingerprint") != "") & (a("fingerprint") == b("fingerprint")) & (F.size(a("title_tokens")) >= 3)
     rules = [
         (same_url, True, "canonical_url", F.lit(1.0)),
@@ -60,18 +67,100 @@ def decision(left: str = "l", right: str = "r") -> Column:
     return reduce(lambda rest, r: F.when(F.coalesce(r[0], F.lit(False)), out(*r[1:])).otherwise(rest), reversed(rules), out(False, "below_threshold", score))
 
 
-def duplicate_pairs(p: DataFrame, most_per_key: int | None = None) -> DataFrame:
+def possible(l: str = "l", r: str = "r") -> Column:  # noqa: E741
+    """Whether decision can say duplicate, from titles, bits and sizes only: no text overlap exceeds the ratio of the sizes."""
+    a, b = (lambda c: F.col(f"{l}.{c}")), (lambda c: F.col(f"{r}.{c}"))
+    title, inside, bits = X.jaccard(a("title_tokens"), b("title_tokens")), X.containment(a("title_tokens"), b("title_tokens")), X.hamming(a("simhash"), b("simhash"))
+    most = F.greatest(a("n_text"), b("n_text"))
+    text = F.when(most == 0, 1.0).otherwise(F.least(a("n_text"), b("n_text")) / F.nullif(most, F.lit(0)))
+    score = F.greatest(0.58 * title + 0.27 * text + 0.15 * (1 - bits / 32), 0.7 * inside + 0.3 * text)
+    same = ((a("canonical_url") != "") & (a("canonical_url") == b("canonical_url"))) | ((a("fingerprint") != "") & (a("fingerprint") == b("fingerprint")))
+    return F.coalesce(same, F.lit(False)) | ((bits <= 4) & (text >= 0.3)) | (score >= 0.58) | ((title >= 0.35) & (text >= 0.18)) | ((inside >= 0.82) & (text >= 0.25))
+
+
+def profile_classes(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Articles with equal profiles are one class, named by the least id.
+
+    (class_id, n, lo, hi, the profile) with bounds of published_epoch, and (article_id, published_epoch, class_id)."""
+    d = p.withColumn("digest", F.sha2(F.to_json(F.struct(*PROFILE)).cast("binary"), 256))
+    k = d.groupBy("digest").agg(F.min("article_id").alias("class_id"), F.count("*").alias("n"), F.min("published_epoch").alias("lo"), F.max("published_epoch").alias("hi"), F.min_by(F.struct(*PROFILE), "article_id").alias("s"))
+    m = d.select("article_id", "published_epoch", "digest").join(k.select("digest", "class_id"), "digest").drop("digest")
+    return k.select("class_id", "n", "lo", "hi", "s.*"), m
+
+
+def class_pairs(k: DataFrame, keep: Column | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(l, r) of two classes that share a key, each pair once, at the least key they share; keep is a condition on l and r.
+
+    The classes of a key are dealt to blocks, and blocks meet each other in tasks of their own, so no key is too large."""
+    cols = ("class_id", "n", "lo", "hi", "feed", "title_tokens", "fingerprint", "simhash", "canonical_url", "n_text", "keys", *extra)
+    rows = k.withColumns({"n_text": F.size("text_tokens"), "keys": blocking_keys()}).select(F.struct(*cols).alias("s"))
+    rows = rows.select("s", F.explode("s.keys").alias("key"))
+    blocks = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "key").withColumn("at", F.pmod(F.xxhash64("s.class_id"), F.col("blocks")).cast("int"))
+    left = rows.select("key", F.col("at").alias("i"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("j"), F.col("s").alias("l"))
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), "at")).alias("i"), F.col("at").alias("j"), F.col("s").alias("r"))
+    met = left.join(right, ["key", "i", "j"]).where("i < j or l.class_id < r.class_id")
+    if keep is not None:
+        met = met.where(keep)
+    return met.where(F.array_min(F.array_intersect("l.keys", "r.keys")) == F.col("key")).select("l", "r")
+
+
+def class_decisions(k: DataFrame, all_pairs: bool = False) -> DataFrame:
+    """(left, right, ln, rn, duplicate, reason, score) of pairs of classes and of classes with themselves, time left aside.
+
+    Without all_pairs only those that can be duplicates."""
+    near = (F.coalesce(F.greatest(F.col("l.lo") - F.col("r.hi"), F.col("r.lo") - F.col("l.hi")) <= WINDOW_SECONDS, F.lit(True)) | F.coalesce((F.col("l.canonical_url") != "") & (F.col("l.canonical_url") == F.col("r.canonical_url")), F.lit(False))) & possible()
+    pairs = class_pairs(k, None if all_pairs else near).select(F.col("l.class_id").alias("left"), F.col("r.class_id").alias("right"), F.col("l.n").alias("ln"), F.col("r.n").alias("rn"))
+    pairs = pairs.union(k.where("n > 1").select("class_id", "class_id", "n", "n"))
+    side = k.select("class_id", F.struct(*PROFILE).alias("s"))
+    pairs = pairs.join(side.select(F.col("class_id").alias("left"), F.col("s").alias("l")), "left").join(side.select(F.col("class_id").alias("right"), F.col("s").alias("r")), "right")
+    return pairs.withColumn("d", decision(timed=False)).select("left", "right", "ln", "rn", "d.duplicate", "d.reason", "d.score")
+
+
+def duplicate_pairs(p: DataFrame, all_pairs: bool = True) -> DataFrame:
     """(left_id, right_id, duplicate, reason, score) of pairs that share a key, left_id < right_id.
 
-    Keys that more than most_per_key articles have are left to other keys of theirs; None keeps all."""
-    keys = candidate_keys(p)
-    if most_per_key is not None:
-        keys = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") <= most_per_key).select("key"), "key")
-    pairs = keys.alias("a").join(keys.alias("b"), "key").where("a.article_id < b.article_id").select(F.col("a.article_id").alias("left_id"), F.col("b.article_id").alias("right_id")).distinct()
-    cols = F.struct("feed", "title_tokens", "text_tokens", "fingerprint", "simhash", "published_epoch", "canonical_url")
-    side = p.select("article_id", cols.alias("s"))
-    pairs = pairs.join(side.select(F.col("article_id").alias("left_id"), F.col("s").alias("l")), "left_id").join(side.select(F.col("article_id").alias("right_id"), F.col("s").alias("r")), "right_id")
-    return pairs.withColumn("d", decision()).select("left_id", "right_id", "d.duplicate", "d.reason", "d.score")
+    Without all_pairs some that are no duplicates are left out before their texts are compared."""
+    k, m = profile_classes(p)
+    d = class_decisions(k, all_pairs)
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    d = d.withColumn("i", F.explode(F.sequence(F.lit(0), blocks("ln") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("rn") - 1)))
+    m = m.join(k.select("class_id", "n"), "class_id").withColumn("at", F.pmod(F.xxhash64("article_id"), blocks("n")).cast("int"))
+    side = lambda c, at, x: m.select(F.col("class_id").alias(c), F.col("at").alias(at), F.col("article_id").alias(x), F.col("published_epoch").alias(f"{x}_epoch"))
+    d = d.join(side("left", "i", "x"), ["left", "i"]).join(side("right", "j", "y"), ["right", "j"]).where("left <> right or x < y")
+    far = F.coalesce((F.abs(F.col("x_epoch") - F.col("y_epoch")) > WINDOW_SECONDS) & (F.col("reason") != "canonical_url"), F.lit(False))
+    return d.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), (F.col("duplicate") & ~far).alias("duplicate"), F.when(far, "outside_time_window").otherwise(F.col("reason")).alias("reason"), F.when(far, 0.0).otherwise(F.col("score")).alias("score"))
+
+
+def reason_counts(p: DataFrame) -> DataFrame:
+    """(reason, n) over all pairs of duplicate_pairs; pairs that can't be duplicates, and copies, are counted and not made."""
+    k, m = profile_classes(p)
+    times = m.groupBy("class_id", "published_epoch").agg(F.count("*").alias("n")).groupBy("class_id").agg(F.collect_list(F.struct(F.col("published_epoch").alias("t"), "n")).alias("times"))
+    k = k.join(times, "class_id")
+
+    def far(a: Column, b: Column) -> Column:
+        within = lambda x: F.aggregate(F.filter(b, lambda y: F.abs(x["t"] - y["t"]) > WINDOW_SECONDS), F.lit(0).cast("long"), lambda n, y: n + y["n"])
+        return F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + x["n"] * within(x))
+
+    same_url = F.coalesce((F.col("l.canonical_url") != "") & (F.col("l.canonical_url") == F.col("r.canonical_url")), F.lit(False))
+    met = class_pairs(k, extra=("times",)).select((F.col("l.n") * F.col("r.n")).alias("n"), F.when(same_url, 0).otherwise(far(F.col("l.times"), F.col("r.times"))).alias("far"))
+    alone = k.where("n > 1").select(F.expr("n * (n - 1) div 2").alias("n"), F.when(F.coalesce(F.col("canonical_url") != "", F.lit(False)), 0).otherwise(F.floor(far(F.col("times"), F.col("times")) / 2)).alias("far"))
+    all_ = met.union(alone).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("far"), F.lit(0)).alias("far"))
+    d = class_decisions(k).where("reason <> 'below_threshold'")
+    t = k.select("class_id", "times")
+    d = d.join(t.select(F.col("class_id").alias("left"), F.col("times").alias("lt")), "left").join(t.select(F.col("class_id").alias("right"), F.col("times").alias("rt")), "right")
+    both, apart = F.when(F.col("left") == F.col("right"), F.expr("ln * (ln - 1) div 2")).otherwise(F.col("ln") * F.col("rn")), F.when(F.col("left") == F.col("right"), F.floor(far(F.col("lt"), F.col("rt")) / 2)).otherwise(far(F.col("lt"), F.col("rt")))
+    named = d.groupBy("reason").agg(F.sum(both - F.when(F.col("reason") == "canonical_url", 0).otherwise(apart)).alias("n"))
+    rest = all_.crossJoin(named.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("named")))
+    out = named.union(rest.select(F.lit("outside_time_window"), "far")).union(rest.select(F.lit("below_threshold"), F.col("n") - F.col("far") - F.col("named")))
+    return out.where("n > 0").select("reason", F.col("n").cast("long").alias("n"))
+
+
+def _checkpoints(spark) -> None:
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
 
 
 def weak_components(pairs: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
@@ -79,11 +168,7 @@ def weak_components(pairs: DataFrame, nodes: DataFrame, rounds: int = 50) -> Dat
     both = pairs.select(F.col("left_id").alias("u"), F.col("right_id").alias("v"))
     both = both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     now = nodes.select("article_id", F.col("article_id").alias("component"))
-    spark = pairs.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
+    _checkpoints(pairs.sparkSession)
     both, now = both.checkpoint(), now.checkpoint()
     for _ in range(rounds):
         least = both.join(now, both["u"] == now["article_id"]).groupBy("v").agg(F.min("component").alias("least"))
@@ -97,33 +182,59 @@ def weak_components(pairs: DataFrame, nodes: DataFrame, rounds: int = 50) -> Dat
     raise RuntimeError(f"components don't settle in {rounds} rounds")
 
 
-def _complete_link(group: pd.DataFrame) -> pd.DataFrame:
-    """One component: articles in order join the group of which all members are duplicates, with the largest least score."""
-    order = group.drop_duplicates("article_id").sort_values(["published_epoch", "article_id"], ascending=[False, True])["article_id"].tolist()
-    score = {(a, b): s for a, b, s, d in zip(group["article_id"], group["other_id"], group["score"], group["duplicate"]) if d and b == b}
-    groups: list[list[int]] = []
-    for x in order:
+def _complete_link(members: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """One component: articles in order join the group of which all members are duplicates, with the largest least score.
+
+    A group is kept as its classes, each with the bounds of its times: copies need no pairs of their own."""
+    near: dict[int, dict[int, tuple[float, bool]]] = {}
+    for a, b, s, u in zip(pairs["left"], pairs["right"], pairs["score"], pairs["reason"] == "canonical_url"):
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = (s, u)
+    groups: list[dict[int, list[float]]] = []
+    named: list[int] = []
+    of: dict[int, list[int]] = {}
+    rows = []
+    order = members.drop_duplicates("article_id").sort_values(["published_epoch", "article_id"], ascending=[False, True])
+    for x, c, t in zip(order["article_id"], order["class_id"], order["published_epoch"]):
+        known = near.get(c, {})
         best, at = -1.0, None
-        for i, members in enumerate(groups):
-            least = min(score.get((m, x), score.get((x, m), -1.0)) for m in members)
+        for i in sorted({i for k in known for i in of.get(k, ())}):
+            least = 2.0
+            for k, (lo, hi) in groups[i].items():
+                s, url = known.get(k, (-1.0, False))
+                if s < 0 or not url and (hi - t > WINDOW_SECONDS or t - lo > WINDOW_SECONDS):
+                    least = -1.0
+                    break
+                least = min(least, s)
             if least >= 0 and least > best:
                 best, at = least, i
-        groups[at].append(x) if at is not None else groups.append([x])
-    rows = [(x, g[0]) for g in groups for x in g]
-    return pd.DataFrame({"article_id": [int(a) for a, _ in rows], "story_id": [int(b) for _, b in rows]})
-
-
-def clusters(p: DataFrame, most_per_key: int | None = CANDIDATE_CAP) -> DataFrame:
-    """(article_id, story_id): complete-link groups, named by their newest article; groups never span weak components."""
-    pairs = duplicate_pairs(p, most_per_key).where("duplicate")
-    comp = weak_components(pairs, p)
-    edges = pairs.select(F.col("left_id").alias("article_id"), F.col("right_id").alias("other_id"), "score", "duplicate")
-    rows = p.select("article_id", "published_epoch").join(comp, "article_id").join(edges, "article_id", "left")
-    alone = comp.groupBy("component").agg(F.count("*").alias("n"))
-    rows = rows.join(alone, "component")
+        if at is None:
+            at = len(groups)
+            groups.append({})
+            named.append(x)
+        if c not in groups[at]:
+            groups[at][c] = [t, t]
+            of.setdefault(c, []).append(at)
+        elif t == t:
+            lo, hi = groups[at][c]
+            groups[at][c] = [t if lo != lo else min(lo, t), t if hi != hi else max(hi, t)]
+        rows.append((int(x), int(named[at])))
+    return pd.DataFrame(rows, columns=["article_id", "story_id"])
+
+
+def clusters(p: DataFrame) -> DataFrame:
+    """(article_id, story_id): complete-link groups, named by their newest article; groups never span weak components.
+
+    Components are of classes of equal profiles, time left aside: they hold those of articles whole, so the groups are the same."""
+    _checkpoints(p.sparkSession)
+    k, m = profile_classes(p)
+    pairs = class_decisions(k).where("duplicate").select("left", "right", "reason", "score").checkpoint()
+    comp = weak_components(pairs.select(F.col("left").alias("left_id"), F.col("right").alias("right_id")), k.select(F.col("class_id").alias("article_id"))).select(F.col("article_id").alias("class_id"), "component")
+    rows = m.join(comp, "class_id")
+    rows = rows.join(rows.groupBy("component").agg(F.count("*").alias("n")), "component")
     single = rows.where("n = 1").select("article_id", F.col("article_id").alias("story_id"))
-    many = rows.where("n > 1").select("component", "article_id", "other_id", "score", "duplicate", "published_epoch")
-    return many.groupBy("component").applyInPandas(_complete_link, "article_id long, story_id long").union(single)
+    many = rows.where("n > 1").select("component", "article_id", "class_id", "published_epoch")
+    edges = pairs.join(comp.select(F.col("class_id").alias("left"), F.col("component").alias("of")), "left")
+    return many.groupBy("component").cogroup(edges.groupBy("of")).applyInPandas(_complete_link, "article_id long, story_id long").union(single)
 
 
 def story_keys(members: DataFrame) -> DataFrame:

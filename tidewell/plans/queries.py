@@ -415,11 +415,11 @@ def profiles(spark, d):
 
 
 def dup_pairs(spark, d):
-    return D.duplicate_pairs(profiles(spark, d), D.CANDIDATE_CAP).where("duplicate").select("left_id", "right_id", "reason", F.round("score", 6).alias("score"))
+    return D.duplicate_pairs(profiles(spark, d), all_pairs=False).where("duplicate").select("left_id", "right_id", "reason", F.round("score", 6).alias("score"))
 
 
 def dup_reason_counts(spark, d):
-    return D.duplicate_pairs(profiles(spark, d), D.CANDIDATE_CAP).groupBy("reason").agg(F.count("*").alias("n"))
+    return D.reason_counts(profiles(spark, d))
 
 
 def story_clusters(spark, d):
