@@ -77,6 +77,22 @@ def test_pairs_of_large_keys(spark, monkeypatch):
     p.unpersist()
 
 
+def test_whole_texts(spark, tmp_path):
+    """Profiles have what is behind character 480."""
+    from tidewell.plans import queries as Q
+    from tidewell.sources import adapters as A
+
+    r = random.Random(5)
+    start = "Harbour tunnel opens after delays " * 15
+    texts = [start + " ".join(f"{x}{r.randrange(10**6)}" for _ in range(300)) for x in ("alpha", "gamma")]
+    rows = [(i, t, "en", "s", len(t)) for i, t in ((0, texts[0]), (210, texts[1]), (240, texts[0]))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [x.title + x.summary for x in A.articles(spark, str(tmp_path), whole=True).orderBy("article_id").collect()] == [t for _, t, *_ in rows]
+    sizes = {x.article_id: x.n for x in Q.profiles(spark, str(tmp_path)).select("article_id", F.size("text_tokens").alias("n")).collect()}
+    assert min(sizes.values()) > 290
+    assert (0, 240) in {(x.left_id, x.right_id) for x in Q.dup_pairs(spark, str(tmp_path)).collect()}
+
+
 def test_story_keys(spark):
     m = spark.createDataFrame([(1, "ai", 'a "b" \\ ü', "https://x"), (1, "ai", "c", ""), (2, "ai", "c", "")], "story_id long, feed string, fingerprint string, canonical_url string").withColumn("article_id", F.lit(7))
     got = {r.story_id: r.story_key for r in D.story_keys(m).collect()}

@@ -29,13 +29,13 @@ BUILD = ["ones", "ins", "thst", "con"]
 BUCKETS = {"security_risk": ["edor", "nicht"], "market_risk": ["with", "pour"], "build_opportunity": ["this", "und"], "product_trend": ["that", "que"]}
 
 
-def texts(spark: SparkSession, d: str) -> DataFrame:
-    return A.articles(spark, d).withColumn("text", F.concat_ws(" ", "title", "summary"))
+def texts(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return A.articles(spark, d, whole).withColumn("text", F.concat_ws(" ", "title", "summary"))
 
 
-def stories(spark: SparkSession, d: str) -> DataFrame:
+def stories(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     """Articles as stories, with what scoring needs."""
-    df = texts(spark, d).withColumns({"feed": X.feed_of(F.col("category")), "source_count": F.col("article_id") % 4 + 1, "changes": F.when(F.col("article_id") % 3 == 0, F.array(F.lit("new"))).when(F.col("article_id") % 3 == 1, F.array(F.lit("title"))).otherwise(F.array().cast("array<string>"))})
+    df = texts(spark, d, whole).withColumns({"feed": X.feed_of(F.col("category")), "source_count": F.col("article_id") % 4 + 1, "changes": F.when(F.col("article_id") % 3 == 0, F.array(F.lit("new"))).when(F.col("article_id") % 3 == 1, F.array(F.lit("title"))).otherwise(F.array().cast("array<string>"))})
     return S.components(df, AS_OF, IMPORTANT, PREFERRED, SCOPE, ACTIONS, ENTITIES, BUILD)
 
 
@@ -301,7 +301,7 @@ def preference_profile(spark, d):
 
 def preferred(spark, d, n: int = 300):
     """Items of ten readers with their preference, freshness and update parts."""
-    s = stories(spark, d).where(F.col("article_id") < n).select(F.col("article_id").alias("item_id"), (F.col("article_id") % 150).alias("story_id"), "category", "source", F.col("title").alias("text"), "editorial", "published_epoch", "feed")
+    s = stories(spark, d, whole=True).where(F.col("article_id") < n).select(F.col("article_id").alias("item_id"), (F.col("article_id") % 150).alias("story_id"), "category", "source", F.col("title").alias("text"), "editorial", "published_epoch", "feed")
     items = s.withColumn("user_id", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("user_id", F.col("user_id").cast("long"))
     scored = R.preference_scores(items, R.preference_profile(basis(spark, d), AS_OF))
     age = (F.lit(AS_OF) - F.col("published_epoch")) / 3600.0
@@ -361,8 +361,8 @@ def period_latest(spark, d):
 # --- scoring and selection ----------------------------------------------------------------------------------------------
 
 
-def judged(spark, d):
-    s = stories(spark, d)
+def judged(spark, d, whole: bool = False):
+    s = stories(spark, d, whole)
     s = S.adjusted(s, ["edor"], ["ones"], ["with"], BUILD)
     age = (F.lit(AS_OF) - F.col("published_epoch")) / 3600.0
     reasons = S.eligibility_reasons(X.any_keyword(F.col("text"), ["eatat"]), F.col("article_id") % 9 != 0, age, F.lit(168.0), F.col("source_count"), F.lit(2), F.col("editorial"), F.lit(45), F.col("novelty"), F.col("feed"), F.col("is_major"), F.col("is_developer"))
@@ -381,8 +381,8 @@ def practical_buckets(spark, d):
     return judged(spark, d).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("editorial").alias("editorial"))
 
 
-def candidates(spark, d):
-    j = judged(spark, d).where(F.size("reasons") == 0)
+def candidates(spark, d, whole: bool = False):
+    j = judged(spark, d, whole).where(F.size("reasons") == 0)
     return j.select(F.concat(F.lit("run"), (F.col("article_id") % 12).cast("string")).alias("run_id"), F.col("article_id").alias("story_id"), "feed", F.lower("source").alias("publisher"), X.fingerprint(X.dedupe_tokens(F.col("title"), True)).alias("group"), "editorial", "feed_adjustment", "preference", "excluded")
 
 
@@ -390,11 +390,11 @@ TARGETS = {"geopolitics": 3, "business": 3, "ai": 3, "software": 4, "security":
 
 
 def selection_v1(spark, d):
-    return C.select_stories(C.score_v1(candidates(spark, d)), 12, TARGETS, 2)
+    return C.select_stories(C.score_v1(candidates(spark, d, whole=True)), 12, TARGETS, 2)
 
 
 def selection_v2(spark, d):
-    return C.select_stories(C.score_v2(candidates(spark, d)), 12, TARGETS, 2)
+    return C.select_stories(C.score_v2(candidates(spark, d, whole=True)), 12, TARGETS, 2)
 
 
 def selection_scores(spark, d):
@@ -411,7 +411,7 @@ def policy_gate(spark, d):
 
 
 def profiles(spark, d):
-    return D.profiles(A.articles(spark, d).withColumn("canonical_url", F.lit("")), strip_marks=False)
+    return D.profiles(A.articles(spark, d, whole=True).withColumn("canonical_url", F.lit("")), strip_marks=False)
 
 
 def dup_pairs(spark, d):
