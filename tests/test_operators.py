@@ -133,6 +133,31 @@ def test_exploration_is_a_permutation(spark):
     assert not few.is_exploration.any()
 
 
+def test_exploration_by_its_rule(spark):
+    r = random.Random(7)
+    rows = [("u", i, i, r.randrange(1000) * 1000 + i, r.choice([-1.0, 1.0])) for i in range(404)]
+    order, pool = list(range(404)), sorted((x[1] for x in rows if x[4] >= 0), key=lambda i: -rows[i][3])
+    for slot in range(9, 404, 10):
+        found = next((i for i in pool if order.index(i) > slot), None)
+        if found is not None:
+            j = order.index(found)
+            order[slot], order[j] = order[j], order[slot]
+    got = R.explored(spark.createDataFrame(rows, "user_id string, item_id long, model_rank long, editorial long, preference double"), "2024-01-31").toPandas()
+    assert got.sort_values("position").item_id.tolist() == order
+
+
+def test_all_items_are_ranked_for_readers(spark, small, monkeypatch):
+    from tidewell.plans import queries as Q
+
+    plain = Q.stories
+    monkeypatch.setattr(Q, "stories", lambda *a, **b: plain(*a, **b).withColumn("article_id", F.col("article_id") + 1000))
+    got, n = Q.rank_foryou(spark, small).toPandas(), Q.A.articles(spark, small).count()
+    assert len(got) == 10 * n and got.item_id.min() >= 1000
+    for _, g in got.groupby("user_id"):
+        g = g.sort_values("model_rank")
+        assert g.model_rank.tolist() == list(range(n)) and g.rank_score.is_monotonic_decreasing
+
+
 def test_implicit_events_keep_the_strongest(spark):
     rows = [(1, "x", "d", 1, "fast_read", "direct"), (1, "x", "d", 1, "save", None), (1, "y", "d", 1, "read", "direct"), (1, "z", "d", 1, "save", "bulk"), (1, "z", "d", 1, "save", "automatic")]
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "user_id long, session_id string, day string, story_id long, event_type string, origin string, ordinal long")

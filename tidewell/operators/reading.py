@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,7 +79,7 @@ def ranked(items: DataFrame, sort: str = "for-you", policy: str = "v2", partitio
 def explored(items: DataFrame, date_key: str, schema_key: str = "user_id") -> DataFrame:
     """At places 9, 19, ... the best item by editorial score, then by a hash of the day, from further down changes places.
 
-    One group a reader, of at most a page's few hundred items; items have user_id, item_id, model_rank, editorial, preference."""
+    One group a reader, of all items; items have user_id, item_id, model_rank, editorial, preference."""
 
     def swap(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("model_rank")
@@ -92,14 +94,18 @@ def explored(items: DataFrame, date_key: str, schema_key: str = "user_id") -> Da
 
         pool = sorted((i for i in order if pref[i] >= 0), key=lambda i: (-editorial[i], hashed(f"{date_key}:{ids[i]}")))
         picked = set()
-        if len(order) >= 10:
-            for slot in range(9, len(order), 10):
-                place = {x: n for n, x in enumerate(order)}
-                found = next((i for i in pool if place[i] > slot), None)
-                if found is not None:
-                    j = place[found]
-                    order[slot], order[j] = order[j], order[slot]
-                    picked.add(found)
+        nth = {i: n for n, i in enumerate(pool)}
+        left, place = list(range(len(pool))), list(order)  # a heap; what stands at or before a slot never moves again
+        for slot in range(9, len(order), 10):
+            while left and place[pool[left[0]]] <= slot:
+                heapq.heappop(left)
+            if left:
+                found, gone = pool[left[0]], order[slot]
+                j = place[found]
+                order[slot], order[j], place[found], place[gone] = found, gone, slot, j
+                picked.add(found)
+                if gone in nth:
+                    heapq.heappush(left, nth[gone])
         out = g.iloc[order].copy()
         out["position"] = range(len(out))
         out["is_exploration"] = [i in picked for i in order]

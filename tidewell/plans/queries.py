@@ -299,9 +299,9 @@ def preference_profile(spark, d):
     return p.select("user_id", "kind", "key", F.round("more", 6).alias("more"), F.round("less", 6).alias("less"))
 
 
-def preferred(spark, d, n: int = 300):
-    """Items of ten readers with their preference, freshness and update parts."""
-    s = stories(spark, d, whole=True).where(F.col("article_id") < n).select(F.col("article_id").alias("item_id"), (F.col("article_id") % 150).alias("story_id"), "category", "source", F.col("title").alias("text"), "editorial", "published_epoch", "feed")
+def preferred(spark, d):
+    """All items for each of ten readers, with their preference, freshness and update parts."""
+    s = stories(spark, d, whole=True).select(F.col("article_id").alias("item_id"), (F.col("article_id") % 150).alias("story_id"), "category", "source", F.col("title").alias("text"), "editorial", "published_epoch", "feed")
     items = s.withColumn("user_id", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("user_id", F.col("user_id").cast("long"))
     scored = R.preference_scores(items, R.preference_profile(basis(spark, d), AS_OF))
     age = (F.lit(AS_OF) - F.col("published_epoch")) / 3600.0
