@@ -93,6 +93,15 @@ def test_whole_texts(spark, tmp_path):
     assert (0, 240) in {(x.left_id, x.right_id) for x in Q.dup_pairs(spark, str(tmp_path)).collect()}
 
 
+def test_simhash_distance_of_all_candidates(spark, small):
+    from tidewell.plans import queries as Q
+
+    p = D.profiles(Q.A.articles(spark, small, whole=True).withColumn("canonical_url", F.lit(""))).select("article_id", "simhash", D.blocking_keys().alias("keys")).collect()
+    brute = {(a.article_id, b.article_id): bin(a.simhash ^ b.simhash).count("1") for a in p for b in p if a.article_id < b.article_id and set(a["keys"]) & set(b["keys"])}
+    got = Q.simhash_distance(spark, small).collect()
+    assert {(x.left_id, x.right_id): x.bits for x in got} == brute and len(got) == len(brute) and max(x.right_id for x in got) >= 120
+
+
 def test_story_keys(spark):
     m = spark.createDataFrame([(1, "ai", 'a "b" \\ ü', "https://x"), (1, "ai", "c", ""), (2, "ai", "c", "")], "story_id long, feed string, fingerprint string, canonical_url string").withColumn("article_id", F.lit(7))
     got = {r.story_id: r.story_key for r in D.story_keys(m).collect()}

@@ -117,17 +117,21 @@ def class_decisions(k: DataFrame, all_pairs: bool = False) -> DataFrame:
     return pairs.withColumn("d", decision(timed=False)).select("left", "right", "ln", "rn", "d.duplicate", "d.reason", "d.score")
 
 
+def member_pairs(d: DataFrame, k: DataFrame, m: DataFrame) -> DataFrame:
+    """Pairs of classes (left, right, ln, rn, ...) as pairs of their articles, x and y with x_epoch and y_epoch."""
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    d = d.withColumn("i", F.explode(F.sequence(F.lit(0), blocks("ln") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("rn") - 1)))
+    m = m.join(k.select("class_id", "n"), "class_id").withColumn("at", F.pmod(F.xxhash64("article_id"), blocks("n")).cast("int"))
+    side = lambda c, at, x: m.select(F.col("class_id").alias(c), F.col("at").alias(at), F.col("article_id").alias(x), F.col("published_epoch").alias(f"{x}_epoch"))
+    return d.join(side("left", "i", "x"), ["left", "i"]).join(side("right", "j", "y"), ["right", "j"]).where("left <> right or x < y")
+
+
 def duplicate_pairs(p: DataFrame, all_pairs: bool = True) -> DataFrame:
     """(left_id, right_id, duplicate, reason, score) of pairs that share a key, left_id < right_id.
 
     Without all_pairs some that are no duplicates are left out before their texts are compared."""
     k, m = profile_classes(p)
-    d = class_decisions(k, all_pairs)
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    d = d.withColumn("i", F.explode(F.sequence(F.lit(0), blocks("ln") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("rn") - 1)))
-    m = m.join(k.select("class_id", "n"), "class_id").withColumn("at", F.pmod(F.xxhash64("article_id"), blocks("n")).cast("int"))
-    side = lambda c, at, x: m.select(F.col("class_id").alias(c), F.col("at").alias(at), F.col("article_id").alias(x), F.col("published_epoch").alias(f"{x}_epoch"))
-    d = d.join(side("left", "i", "x"), ["left", "i"]).join(side("right", "j", "y"), ["right", "j"]).where("left <> right or x < y")
+    d = member_pairs(class_decisions(k, all_pairs), k, m)
     far = F.coalesce((F.abs(F.col("x_epoch") - F.col("y_epoch")) > WINDOW_SECONDS) & (F.col("reason") != "canonical_url"), F.lit(False))
     return d.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), (F.col("duplicate") & ~far).alias("duplicate"), F.when(far, "outside_time_window").otherwise(F.col("reason")).alias("reason"), F.when(far, 0.0).otherwise(F.col("score")).alias("score"))
 

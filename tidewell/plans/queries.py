@@ -82,8 +82,11 @@ def simhash32(spark, d):
 
 
 def simhash_distance(spark, d):
-    p = texts(spark, d).where("article_id < 120").select("article_id", X.simhash32(X.dedupe_tokens(F.col("text"), True)).alias("h"), (F.col("article_id") % 6).alias("g"))
-    return p.alias("a").join(p.alias("b"), "g").where("a.article_id < b.article_id").select(F.col("a.article_id").alias("left_id"), F.col("b.article_id").alias("right_id"), X.hamming(F.col("a.h"), F.col("b.h")).cast("long").alias("bits"))
+    """Differing bits of all pairs of articles that share a blocking key."""
+    k, m = D.profile_classes(D.profiles(A.articles(spark, d, whole=True).withColumn("canonical_url", F.lit(""))))
+    pairs = D.class_pairs(k).select(F.col("l.class_id").alias("left"), F.col("r.class_id").alias("right"), F.col("l.n").alias("ln"), F.col("r.n").alias("rn"), X.hamming(F.col("l.simhash"), F.col("r.simhash")).cast("long").alias("bits"))
+    pairs = pairs.union(k.where("n > 1").select("class_id", "class_id", "n", "n", F.lit(0).cast("long")))
+    return D.member_pairs(pairs, k, m).select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "bits")
 
 
 def title_similarity(spark, d):
