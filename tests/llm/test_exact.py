@@ -176,6 +176,18 @@ def test_repeats_of_ids_and_empty_tables(spark, docs):
     assert op5_suffix.remove_repeats(docs(["x"]).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "pairs", "halves"])
+def test_repeats_where_ids_do_not_tell_texts_apart(spark, docs, ids):
+    r = random.Random(12)
+    passage = prose(r, 400)[:380]
+    texts = [prose(r, 60)[:200] + passage + prose(r, 60)[: 200 if i % 2 else r.randrange(300)] for i in range(60)]  # half of one length
+    texts += [texts[0], texts[3], texts[3], None, ""]
+    own = {"null": [None] * 65, "one": [7] * 65, "pairs": [i // 2 for i in range(65)], "halves": [None if i % 2 else i % 6 for i in range(65)]}[ids]
+    df = spark.createDataFrame(list(zip(own, texts, ["x"] * 65)), "doc_id long, text string, t string")
+    got = [(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in op5_suffix.remove_repeats(df).collect()]
+    assert sorted(got, key=str) == sorted(((i, *e) for i, e in zip(own, brute_repeats(texts))), key=str)
+
+
 def test_multikey_quicksort():
     r = np.random.default_rng(4)
     rows = r.integers(0, 3, (3000, 24)).astype(np.uint8)

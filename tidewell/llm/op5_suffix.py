@@ -17,8 +17,9 @@ places, are few; they are settled by counting their hashes.
 Hashes stand for contents: 64 bits of the anchor's string and 64 of its context together name a context; texts are
 named by 64 bits and their length.
 
-Defined results: a null or empty text has 0 bytes and loses none; a text of less than SPAN bytes keeps all; rows that
-repeat, with or without the same id, are copies of each other and lose every byte if they have SPAN or more.
+Defined results: a null or empty text has 0 bytes and loses none; a text of less than SPAN bytes keeps all; rows with
+equal texts, with the same id, none or different ones, are copies of each other and lose every byte if they have SPAN or
+more; rows that share an id but not the text are documents of their own, each with its own row in the result.
 """
 
 from __future__ import annotations
@@ -309,20 +310,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     signed, found = scanned.where("fp is null").select("doc_id", "n_bytes", "t", "sha"), scanned.where("fp is not null").select("fp", "ctx", "t", "a", "lo", "hi", "n_bytes")
     # texts by name: how many rows have each, and the row that stands for it
     texts = scratch.write(signed.groupBy("t", "n_bytes").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")))
-    rows, ids = signed.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    #: whether a text and its id come together more than once, so that a text's own row is not one
+    twice = not signed.groupBy("doc_id", "t", "n_bytes").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    # a row's text has the name that the scan gave it: equal ids, null ones too, do not mix up texts
+    whole_text = F.coalesce("text", F.lit(""))
+    first_bytes = F.substring(F.sha2(whole_text.cast("binary"), 256), 1, 16)
+    name = F.conv(F.regexp_replace(F.reverse(first_bytes), "(.)(.)", "$2$1"), 16, -10).cast("long")
+    named = plain.select(F.col("doc_id").alias("own"), "text", name.alias("t"), F.octet_length(whole_text).cast("long").alias("n_bytes"))
+
+    def of_texts(some: DataFrame) -> DataFrame:
+        """some, (t, n_bytes, rep, ...), with the text of each; more than once where rows repeat."""
+        return named.join(some, ["t", "n_bytes"]).where(F.col("own").eqNullSafe(F.col("rep"))).drop("own", "rep")
 
     again = scratch.write(found.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp"))
     repeated = scratch.write(found.join(again, "fp", "left_semi"))
     by_context = scratch.write(repeated.groupBy("fp", "ctx").agg(F.count("*").alias("c"), *(F.first(c).alias(c) for c in ("t", "a", "lo", "hi", "n_bytes"))))
     many = scratch.write(by_context.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp"))
     edge = scratch.write(by_context.join(many, "fp", "left_semi").groupBy("t", "n_bytes").agg(F.collect_list(F.struct("fp", "ctx", "a", "lo", "hi")).alias("wanted")))
-    edge = edge.join(texts.select("t", "n_bytes", "rep"), ["t", "n_bytes"]).withColumnRenamed("n_bytes", "n")
-    # rows that share an id are told apart by their length and name
-    at_rep = plain.join(edge, F.col("doc_id").eqNullSafe(F.col("rep"))).where(F.octet_length(F.coalesce("text", F.lit(""))) == F.col("n"))
-    named = F.conv(F.reverse(F.regexp_replace(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 16), "(.)(.)", "$2$1")), 16, -10).cast("long")
-    if rows != ids:  # else no two rows have the id of one that stands for a text
-        at_rep = at_rep.dropDuplicates(["t", "n"])
-    contexts = scratch.write(at_rep.where(named == F.col("t")).select("text", "wanted").mapInArrow(_cut, "fp long, ctx long, right binary, left binary"))
+    edge = edge.join(texts.select("t", "n_bytes", "rep"), ["t", "n_bytes"])
+    contexts = of_texts(edge).select("text", "wanted").mapInArrow(_cut, "fp long, ctx long, right binary, left binary")
+    contexts = scratch.write(contexts.dropDuplicates(["fp", "ctx"]) if twice else contexts)
     settled = _edge_contexts(contexts, scratch)
 
     # texts with copies lose all; of the others, spans come from contexts that occur again and from the settled ones
@@ -333,8 +340,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lo, hi = F.coalesce(F.col("a") - F.col("o.hi"), F.col("lo")), F.coalesce(F.col("a") - F.col("o.lo") + SPAN, F.col("hi"))
     spans = spans.groupBy("t", "n_bytes").agg(F.collect_set(F.struct(lo.alias("lo"), hi.alias("hi"))).alias("spans"))
     spans = scratch.write(spans.join(texts.select("t", "n_bytes", "rep"), ["t", "n_bytes"]))
-    at_rep = plain.join(spans, F.col("doc_id").eqNullSafe(F.col("rep"))).where(F.octet_length(F.coalesce("text", F.lit(""))) == F.col("n_bytes"))
-    trimmed = scratch.write(at_rep.where(named == F.col("t")).select("t", "n_bytes", "text", "spans").mapInArrow(_trimmed, "t long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["t", "n_bytes"]))
+    trimmed = scratch.write(of_texts(spans).select("t", "n_bytes", "text", "spans").mapInArrow(_trimmed, "t long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["t", "n_bytes"]))
 
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= SPAN)
     empty = hashlib.sha256(b"").hexdigest()
