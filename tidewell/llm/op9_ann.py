@@ -1,19 +1,25 @@
 """Approximate nearest neighbours by NN-descent, and greedy search of the neighbour graph.
 
 Equal vectors are one node. The graph starts from TREES partitions of the nodes by random hyperplanes into leaves of at
-most LEAF nodes, compared by brute force. Then, ROUNDS times, neighbours of neighbours meet: Spark joins give each node
-its neighbours and up to NEIGHBOURS of the nodes that have it as theirs, with their vectors; all pairs of these and
-the node itself are compared and each node keeps its NEIGHBOURS best. A query starts from its node's list, which grows to LIST entries, and, HOPS
-times, looks at the neighbours of its WIDEN best entries that it has not looked at yet. Products that are returned are exact, in double
-precision, in the order of the components; those inside graph and search are of half-precision vectors.
+most LEAF nodes, compared by brute force. Then, round by round, neighbours of neighbours meet: Spark joins give each node
+its neighbours and up to NEIGHBOURS of the nodes that have it as theirs, with their vectors; of these all pairs are
+compared in which one is new on its list since the last round, and each node keeps its NEIGHBOURS best. Rounds end when
+fewer than SETTLED of all entries are new, or after ROUNDS. A query starts from its node's list, which grows to LIST
+entries, and, HOPS times, looks at the neighbours of its WIDEN best entries that it has not looked at yet. Products that
+are returned are exact, in double precision, in the order of the components. Inside graph and search a vector is its
+direction, in half precision, and its length, relative to the longest; a node's list is ordered by the product of the
+node's direction with the other's direction and length, so that far vectors take no precision from near ones.
 
 Work is dealt out by blocks of some thousand nodes; a block's task gets each vector it needs once. Hyperplanes are
-fitted on SAMPLE rows at most, those of least hash; every row is indexed. The nodes that point to a node are thinned by
-a hash where they are more than NEIGHBOURS, which is part of the method; the graph is approximate, its recall measured.
+fitted on SAMPLE rows at most, those of least hash; cells that hold more than LEAF nodes by that are parted further by
+random directions at the median of the cell's sample, and a cell of more than CELL nodes goes to several tasks by a hash.
+Every row is indexed. The nodes that point to a node are thinned by a hash where they are more than NEIGHBOURS, which is
+part of the method; the graph is approximate, its recall measured.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no part, nor do vectors of
 another length than most have, nor rows without id. Equal vectors are all candidates, by the smaller id; a query with
-fewer candidates than asked for gets them all. Rows that repeat an id are one candidate.
+fewer candidates than asked for gets them all. Rows that repeat an id are one candidate; if their vectors differ, the
+least of them, component by component, is the id's vector.
 """
 
 from __future__ import annotations
@@ -28,8 +34,9 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import Scratch, table
 
 NEIGHBOURS = 40
-TREES, LEAF, SAMPLE = 10, 1024, 16_384
-ROUNDS = 5
+TREES, LEAF, SAMPLE = 10, 256, 16_384
+CELL = 8192
+ROUNDS, SETTLED = 6, 0.02
 HOPS, WIDEN = 3, 48
 BLOCK = 4096
 #: The length of a query's list, and how many of it are compared exactly.
@@ -44,11 +51,15 @@ def _clean(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("id"), v.alias("vec"))
 
 
-def _halved(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.RecordBatch]:
+def _halved(batches: Iterator[pa.RecordBatch], longest: float) -> Iterator[pa.RecordBatch]:
+    """The direction of each vector in half precision, and behind it its length relative to ``longest``."""
     for batch in batches:
-        x = _matrix(batch.column(1)) / scale
-        h = x.astype(np.float16)
-        yield pa.record_batch([batch.column(0), pa.array([row.tobytes() for row in h], pa.binary())], names=["k", "h"])
+        x = _matrix(batch.column(1))
+        top = np.abs(x).max(axis=1, keepdims=True)
+        x = x / top  # squares of what is left neither overflow nor vanish
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        far = np.maximum(top / longest * norm, 1e-30).astype(np.float32)
+        yield pa.record_batch([batch.column(0), pa.array([a.tobytes() + b.tobytes() for a, b in zip((x / norm).astype(np.float16), far)], pa.binary())], names=["k", "h"])
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -56,13 +67,16 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
 
 
-def _vectors(binary: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    if isinstance(binary, pa.ChunkedArray):
-        binary = binary.combine_chunks()
-    if not len(binary):
-        return np.zeros((0, 0), np.float32)
-    raw = b"".join(x for x in binary.to_pylist())
-    return np.frombuffer(raw, np.float16).reshape(len(binary), -1).astype(np.float32)
+def _unpacked(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and lengths of n vectors."""
+    if not n:
+        return np.zeros((0, 0), np.float32), np.zeros(0, np.float32)
+    rows = np.frombuffer(raw, np.uint8).reshape(n, -1)
+    return np.ascontiguousarray(rows[:, :-4]).view(np.float16).astype(np.float32), np.ascontiguousarray(rows[:, -4:]).view(np.float32)[:, 0]
+
+
+def _vectors(binary: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    return _unpacked(b"".join(binary.to_pylist()), len(binary))
 
 
 def _best(u: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> pa.RecordBatch:
@@ -130,12 +144,14 @@ def merged(packed: DataFrame, blocks: int, k: int) -> DataFrame:
     return packed.repartitionById(blocks, F.col("to")).mapInArrow(run, LISTS)
 
 
-def plant(sample: np.ndarray, n: int, seed: int) -> list[tuple[np.ndarray, float, int, int]]:
-    """A tree of hyperplanes, each (normal, offset, below, above), that parts n nodes into cells of about LEAF; a child -c is cell c - 1."""
+def plant(sample: np.ndarray, n: int, seed: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """A tree of hyperplanes, each (normal, offset, below, above), that parts n nodes into cells of about LEAF; a child -c is cell c - 1.
+
+    Where the sample is too small for that: further directions, and for each cell the places at which they part it."""
     r = np.random.default_rng(seed)
     small = max(8, int(LEAF * len(sample) / max(1, n) * 0.8))
     out: list = []
-    cells = 0
+    cells: list[np.ndarray] = []
     todo = [(np.arange(len(sample)), None, 0)]
     while todo:
         rows, parent, side = todo.pop()
@@ -143,8 +159,8 @@ def plant(sample: np.ndarray, n: int, seed: int) -> list[tuple[np.ndarray, float
         a, b = r.choice(len(rows), 2, replace=False) if len(rows) > small else (0, 0)
         normal = sample[rows[a]] - sample[rows[b]] if len(rows) > small else None
         if normal is None or not normal.any():
-            cells += 1
-            me = -cells
+            cells.append(rows)
+            me = -len(cells)
         else:
             at = sample[rows] @ normal
             cut = float(np.median(at))
@@ -152,17 +168,23 @@ def plant(sample: np.ndarray, n: int, seed: int) -> list[tuple[np.ndarray, float
             todo += [(rows[at <= cut], me, 2), (rows[at > cut], me, 3)] if (at > cut).any() else [(rows[:1], me, 2), (rows[1:], me, 3)]
         if parent is not None:
             out[parent][side] = me
-    return [tuple(x) for x in out]
+    more = max(0, int(np.ceil(np.log2(max(1, n) / LEAF / len(cells)))))
+    normals = r.standard_normal((sample.shape[1], more)).astype(np.float32)
+    return [tuple(x) for x in out], normals, np.stack([np.median(sample[rows] @ normals, axis=0) if len(rows) else np.zeros(more) for rows in cells]).astype(np.float32)
 
 
-def cell_of(tree: list, x: np.ndarray) -> np.ndarray:
-    at = np.zeros(len(x), np.int64) if tree else np.full(len(x), -1)
+def cell_of(tree: tuple[list, np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+    nodes, normals, places = tree
+    at = np.zeros(len(x), np.int64) if nodes else np.full(len(x), -1)
     while (at >= 0).any():
         for node in np.unique(at[at >= 0]):
             rows = np.flatnonzero(at == node)
-            normal, cut, below, above = tree[node]
+            normal, cut, below, above = nodes[node]
             at[rows] = np.where(x[rows] @ normal <= cut, below, above)
-    return -at - 1
+    cell = -at - 1
+    for bit in range(normals.shape[1]):
+        cell = cell | (x @ normals[:, bit] > places[-at - 1, bit]).astype(np.int64) << (16 + bit)
+    return cell
 
 
 def _leaves(x: np.ndarray, r: np.random.Generator) -> Iterator[np.ndarray]:
@@ -180,13 +202,14 @@ def _leaves(x: np.ndarray, r: np.random.Generator) -> Iterator[np.ndarray]:
 def _in_cell(cell: pa.Table, k: int, blocks: int) -> pa.Table:
     ids = np.asarray(cell.column("k").combine_chunks())
     order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], _vectors(cell.column("h"))[order]
+    x, size = (z[order] for z in _vectors(cell.column("h")))
+    ids = ids[order]
     out = []
     for rows in _leaves(x, np.random.default_rng(len(ids))):
         if len(rows) < 2:
             continue
         m = min(k, len(rows) - 1)
-        s = x[rows] @ x[rows].T
+        s = x[rows] @ x[rows].T * size[rows]
         np.fill_diagonal(s, -np.inf)
         top = np.argpartition(-s, m - 1, axis=1)[:, :m]
         out.append(_packed(np.repeat(ids[rows], m), ids[rows][top.ravel()], np.take_along_axis(s, top, 1).ravel(), blocks, m))
@@ -213,36 +236,42 @@ def _send(nodes: pa.Table, asked: pa.Table) -> pa.Table:
     return pa.table([pa.array(x, k) for x, k in zip(out, kinds)], names=["at_block", "ks", "h", "far"])
 
 
-def _received(sent: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids in order, their vectors, their farthest neighbours' products."""
+def _received(sent: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in order, their directions and lengths, their farthest neighbours' products."""
     ids = np.asarray(sent.column("ks").combine_chunks().flatten())
     order = np.argsort(ids, kind="stable")
-    x = np.frombuffer(b"".join(sent.column("h").to_pylist()), np.float16).reshape(len(ids), -1)
-    return ids[order], x[order].astype(np.float32), np.asarray(sent.column("far").combine_chunks().flatten())[order]
+    x, size = _unpacked(b"".join(sent.column("h").to_pylist()), len(ids))
+    return ids[order], x[order], size[order], np.asarray(sent.column("far").combine_chunks().flatten())[order]
 
 
 def _join_around(pivots: pa.Table, vectors: pa.Table, k: int, blocks: int) -> pa.Table:
-    """All pairs around each pivot: for each node the best of those it meets that are nearer than its farthest neighbour."""
+    """All pairs with a new one around each pivot: for each node the best of those it meets that are nearer than its farthest neighbour."""
     if not len(pivots) or not len(vectors):
         return pa.Table.from_batches([_packed(*NOTHING, blocks, 1)])
-    ids, x, far = _received(vectors)
-    members = pivots.column("members").combine_chunks()
+    ids, x, length, far = _received(vectors)
+    members, news = (pivots.column(c).combine_chunks() for c in ("members", "news"))
     size = np.diff(np.asarray(members.offsets))
-    flat = np.searchsorted(ids, np.asarray(members.flatten()))
+    flat, new = np.searchsorted(ids, np.asarray(members.flatten())), np.asarray(news)
     first = np.cumsum(size) - size
     held, total = [], 0
+    by_size = np.argsort(size, kind="stable")  # pivots of like sizes waste little
     for at in range(0, len(size), 64):
-        n, f = size[at : at + 64], first[at : at + 64]
-        on = np.arange(n.max())[None, :] < n[:, None]
-        rows = np.where(on, flat[np.minimum(f[:, None] + np.arange(n.max())[None, :], len(flat) - 1)], 0)
+        turn = by_size[at : at + 64]
+        n, f, fresh = size[turn], first[turn], new[turn]
+        wide, old = int(n.max()), int(fresh.max())
+        on = np.arange(wide)[None, :] < n[:, None]
+        rows = np.where(on, flat[np.minimum(f[:, None] + np.arange(wide)[None, :], len(flat) - 1)], 0)
         g = x[rows]
-        s = np.matmul(g, g.transpose(0, 2, 1))
-        ok = s > far[rows][:, :, None]
-        ok &= on[:, None, :] & on[:, :, None]
-        ok[:, np.arange(n.max()), np.arange(n.max())] = False
-        p, a, b = np.nonzero(ok)
-        held.append((rows[p, a], rows[p, b], s[p, a, b]))
-        total += len(p)
+        # new ones stand first: only their products with all are taken
+        s = np.matmul(g[:, :old], g.transpose(0, 2, 1))
+        ok = on[:, None, :] & (np.arange(old)[None, :] < fresh[:, None])[:, :, None]
+        ok[:, np.arange(old), np.arange(old)] = False
+        ahead, back = s * length[rows][:, None, :], s * length[rows][:, :old, None]
+        for products, least, turned in ((ahead, far[rows][:, :old, None], False), (back, far[rows][:, None, :], True)):
+            p, a, b = np.nonzero(ok & (products > least))
+            u, v = (rows[p, b], rows[p, a]) if turned else (rows[p, a], rows[p, b])
+            held.append((u, v, products[p, a, b]))
+            total += len(p)
         if total > 3_000_000:
             held = [_unlisted(_best(*(np.concatenate(z) for z in zip(*held)), k))]
             total = len(held[0][0])
@@ -265,11 +294,12 @@ def _look(queries: pa.Table, vectors: pa.Table, k: int, blocks: int) -> pa.Table
     """Products of each query (u, its h, candidates) with its candidates."""
     out = [NOTHING]
     if len(queries) and len(vectors):
-        ids, x, _ = _received(vectors)
-        mine = _vectors(queries.column("h"))
+        ids, x, size, _ = _received(vectors)
+        mine, _ = _vectors(queries.column("h"))
         for u, q, c in zip(queries.column("u").to_pylist(), mine, queries.column("c").combine_chunks()):
             c = np.unique(np.asarray(c.values))
-            out.append((np.full(len(c), u), c, x[np.searchsorted(ids, c)] @ q))
+            rows = np.searchsorted(ids, c)
+            out.append((np.full(len(c), u), c, x[rows] @ q * size[rows]))
     return pa.Table.from_batches([_packed(*(np.concatenate(z) for z in zip(*out)), blocks, k)])
 
 
@@ -283,16 +313,16 @@ class Graph:
         lengths = rows.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("c"), F.max(F.array_max(F.transform("vec", F.abs))).alias("top")).orderBy(F.desc("c"), "n").first()
         self.empty = lengths is None
         rows = rows.where(F.size("vec") == (lengths["n"] if lengths else 0))
-        scale = float(lengths["top"]) if lengths else 1.0
-        rows = scratch.write(rows)
+        longest = float(lengths["top"]) if lengths else 1.0
+        rows = scratch.write(rows.groupBy("id").agg(F.min("vec").alias("vec")))
         #: (k, vec): one row for each distinct vector, named by its least id
         self.exact = scratch.write(rows.groupBy("vec").agg(F.min("id").alias("k"), F.count("*").alias("copies")))
         many = scratch.write(self.exact.where("copies > 1").select("k", F.col("vec").alias("vec2")))
         #: (k, id) of vectors that more than one row has
-        self.copies = scratch.write(rows.join(many, F.col("vec") == F.col("vec2")).select("k", "id").distinct())
+        self.copies = scratch.write(rows.join(many, F.col("vec") == F.col("vec2")).select("k", "id"))
         self.n = self.exact.count()
         self.blocks = max(1, -(-self.n // BLOCK))
-        self.nodes = scratch.write(self.exact.select("k", "vec").mapInArrow(lambda it: _halved(it, scale), "k long, h binary"))
+        self.nodes = scratch.write(self.exact.select("k", "vec").mapInArrow(lambda it: _halved(it, longest), "k long, h binary"))
         self.k = NEIGHBOURS
         self.lists = self._grown()
 
@@ -309,32 +339,40 @@ class Graph:
         return held.groupBy("held").cogroup(asked.groupBy("src")).applyInArrow(_send, SENT)
 
     def _grown(self) -> DataFrame:
-        sample = _vectors(self.nodes.orderBy(F.xxhash64("k"), "k").limit(SAMPLE).select("h").toArrow().column(0))
-        trees = self.nodes.sparkSession.sparkContext.broadcast([plant(sample, self.n, seed) for seed in range(TREES if self.n > LEAF else 1)])
+        sample, _ = _vectors(self.nodes.orderBy(F.xxhash64("k"), "k").limit(SAMPLE).select("h").toArrow().column(0).combine_chunks())
+        trees = self.nodes.sparkSession.sparkContext.broadcast([plant(sample, self.n, seed) for seed in range(TREES)])
 
         def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = _vectors(batch.column(1))
+                x, _ = _vectors(batch.column(1))
                 for t, tree in enumerate(trees.value):
-                    yield pa.record_batch([pa.array(cell_of(tree, x) + (t << 32)), batch.column(0), batch.column(1)], names=["cell", "k", "h"])
+                    yield pa.record_batch([pa.array(cell_of(tree, x) + (t << 56)), batch.column(0), batch.column(1)], names=["cell", "k", "h"])
 
         k, blocks = self.k, self.blocks
-        near = self.nodes.mapInArrow(dealt, "cell long, k long, h binary").groupBy("cell").applyInArrow(lambda cell: _in_cell(cell, k, blocks), PACKED)
-        lists = self.scratch.write(merged(near, self.blocks, k))
-        for _ in range(ROUNDS if self.n > LEAF else 0):
-            new = self.scratch.write(self._round(lists))
+        cells = self.nodes.mapInArrow(dealt, "cell long, k long, h binary")
+        full = self.scratch.write(cells.groupBy("cell").agg(F.count("*").alias("c")).where(F.col("c") > CELL).select(F.col("cell").alias("full"), F.ceil(F.col("c") / CELL).alias("parts")))
+        cells = cells.join(full, F.col("cell") == F.col("full"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("k"), F.col("parts")), F.lit(0)))
+        near = cells.select("cell", "part", "k", "h").groupBy("cell", "part").applyInArrow(lambda cell: _in_cell(cell, k, blocks), PACKED)
+        lists = self.scratch.write(merged(near, blocks, k).withColumn("fresh", F.col("v")))
+        for _ in range(ROUNDS):
+            new = self.scratch.write(self._round(lists).join(lists.select(F.col("u").alias("u2"), F.col("v").alias("before")), F.col("u") == F.col("u2"), "left").select("u", "v", "s", F.array_except("v", F.coalesce("before", F.array().cast("array<long>"))).alias("fresh")))
             self.scratch.drop(lists)
             lists = new
-        return lists
+            fresh, entries = lists.agg(F.sum(F.size("fresh")), F.sum(F.size("v"))).first()
+            if (fresh or 0) <= SETTLED * (entries or 0):
+                break
+        return lists.select("u", "v", "s")
 
     def _round(self, lists: DataFrame) -> DataFrame:
         k, blocks = self.k, self.blocks
-        edges = lists.select("u", F.explode("v").alias("v"))
+        edges = lists.select("u", F.explode("v").alias("v"), "fresh").select("u", "v", F.array_contains("fresh", F.col("v")).alias("new"))
         in_degree = self.scratch.write(edges.groupBy("v").agg(F.count("*").alias("d")).withColumnRenamed("v", "v2"))
         # where more nodes point to v than may, a hash thins them
-        back = edges.join(in_degree, F.col("v") == F.col("v2")).where(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 20)) * F.col("d") < k * (1 << 20)).select(F.col("v").alias("pivot"), F.col("u").alias("k"))
-        around = edges.select(F.col("u").alias("pivot"), F.col("v").alias("k")).union(back)
-        around = self.scratch.write(around.groupBy("pivot").agg(F.array_union(F.collect_set("k"), F.array("pivot")).alias("members")).withColumn("block", self._block("pivot")))
+        back = edges.join(in_degree, F.col("v") == F.col("v2")).where(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 20)) * F.col("d") < k * (1 << 20)).select(F.col("v").alias("pivot"), F.col("u").alias("k"), "new")
+        around = edges.select(F.col("u").alias("pivot"), F.col("v").alias("k"), "new").union(back)
+        around = around.groupBy("pivot").agg(F.collect_set(F.when(F.col("new"), F.col("k"))).alias("n"), F.collect_set(F.when(~F.col("new"), F.col("k"))).alias("o"))
+        around = around.where("size(n) > 0").select("pivot", F.concat("n", F.array_except("o", "n")).alias("members"), F.size("n").alias("news"), self._block("pivot").alias("block"))
+        around = self.scratch.write(around.where("size(members) > 1"))
         far = self.nodes.join(lists.select(F.col("u").alias("k"), F.when(F.size("s") >= k, F.element_at("s", -1)).otherwise(F.lit(float("-inf"))).cast("float").alias("far")), "k")
         needed = around.select("block", F.explode("members").alias("k"))
         vectors = self._with_vectors(needed, far)
@@ -347,7 +385,7 @@ class Graph:
         now = scratch.write(self.lists.join(query_nodes.select(F.col("k").alias("u")).distinct(), "u", "left_semi").withColumn("seen", F.array().cast("array<long>")))
         mine = self.nodes.join(now.select(F.col("u").alias("k")), "k", "left_semi").select(F.col("k").alias("u"), "h")
         mine = scratch.write(mine)
-        for _ in range(HOPS if self.n > LEAF else 0):
+        for _ in range(HOPS):
             fresh = F.slice(F.array_except("v", "seen"), 1, WIDEN)
             step = scratch.write(now.select("u", fresh.alias("at")))
             hop = step.select("u", F.explode("at").alias("a")).join(self.lists.select(F.col("u").alias("a"), F.col("v").alias("c")), "a")
