@@ -1,13 +1,13 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again for the next.
 
 quality     keeps what the quality classifier keeps; labels are read from the same folder
-near_dedup  keeps of each group of near duplicates (five-word shingles, similarity 0.8) the document of least id
+near_dedup  keeps of each group of near duplicates (five-word shingles, similarity 0.8) the document of least id and text digest
 pii         puts <KIND> for personal data in the texts
 mixing      repeats or leaves out documents, so that sources come near their target shares
 tokens      encodes the texts; one row for each copy: doc_id, source, n_tokens, ids, and the digests of ids and decoded text
 
-Defined results: an empty table gives an empty one at every stage; documents without id pass the near-dedup stage, and
-of rows that repeat an id one stays there; null texts count as empty and stay null until they are encoded.
+Defined results: an empty table gives an empty one at every stage; documents without id pass the near-dedup stage; rows
+that share an id and the text are one document there, those that share an id only are several; null texts count as empty and stay null until they are encoded.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    stay = near_duplicates(docs, words_per=5, percent=80).where("id = component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null")).select(*COLUMNS)
+    stay = near_duplicates(docs, words_per=5, percent=80).where("kept and id is not null").select(F.col("id").alias("doc_id"), "digest").distinct()
+    rows = docs.withColumn("digest", F.md5(F.coalesce("text", F.lit(""))))
+    return rows.join(stay, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select(*COLUMNS).union(docs.where("doc_id is null"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

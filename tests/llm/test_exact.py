@@ -267,6 +267,48 @@ def test_near_duplicates(spark, docs, k):
     assert [got[i] for i in range(len(texts))] == brute_near(texts, k)
 
 
+def test_near_duplicates_of_short_texts(spark, docs):
+    """Texts of few words with a common beginning, and sets of sizes at which links begin to be possible."""
+    r = random.Random(31)
+    few = [f"v{i}" for i in range(9)]
+    texts = [" ".join(["good morning dear all", *(r.choice(few) for _ in range(r.randrange(8)))]) for _ in range(250)]
+    texts += [" ".join(r.choice("abc") for _ in range(r.randrange(1, 14))) for _ in range(150)]
+    texts += ["boiler plate " * 3 + " ".join(f"c{i}" for i in range(20)) + " " + prose(r, r.randrange(1, 9)) for _ in range(120)]
+    got = {x.id: (x.n_shingles, x.component) for x in op10_minhash.near_duplicates(docs(texts), words_per=2).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_near(texts, 2)
+
+
+def test_near_duplicates_of_long_texts_and_ties(spark, docs):
+    r = random.Random(6)
+    long = prose(r, 40_000)
+    texts = [long, long + " end", prose(r, 40_000), long[: len(long) // 2], "x " * 50_000, "x x"]
+    got = {x.id: (x.n_shingles, x.component) for x in op10_minhash.near_duplicates(docs(texts), words_per=2).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_near(texts, 2)
+
+
+def test_prefixes_of_linked_sets_meet():
+    r = np.random.default_rng(5)
+    counts = r.integers(0, 3, op10_minhash.CELLS)
+    for _ in range(400):
+        a = r.choice(1 << 40, int(r.integers(4, 60)), replace=False)
+        b = a[r.random(len(a)) < 0.95]
+        b = np.concatenate((b, r.choice(1 << 40, int(r.integers(0, 5)))))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 80 * (len(a) + len(b) - both):
+            assert len(np.intersect1d(op10_minhash.prefix(a, counts, 80), op10_minhash.prefix(b, counts, 80)))
+
+
+def test_near_duplicates_where_ids_repeat(spark, docs):
+    """One id with different texts: each is linked as its text is, and of each component one id and text is kept."""
+    r = random.Random(14)
+    a, b, c = (prose(r, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b.upper()), (1, c), (5, c), (5, c), (None, a), (None, a)]
+    df = docs([t for _, t in rows], ids=[i for i, _ in rows])
+    got = op10_minhash.near_duplicates(df).collect()
+    assert sorted(((x.id, x.n_shingles, x.component) for x in got), key=str) == sorted([(1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 56, 1), (1, 56, 1), (5, 56, 1), (5, 56, 1), (None, 56, None), (None, 56, None)], key=str)
+    assert sorted((x.id, x.digest) for x in got if x.kept and x.id is not None) == sorted((1, hashlib.md5(t.encode()).hexdigest()) for t in (a, b, c))
+
+
 def test_near_duplicates_of_odd_tables(spark, docs):
     df = docs(["a b c", "a b c", "x y z", None], ids=[4, 4, None, None])
     assert sorted(((x.id, x.component) for x in op10_minhash.near_duplicates(df).collect()), key=str) == [(4, 4), (4, 4), (None, None), (None, None)]
