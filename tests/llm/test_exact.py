@@ -1,8 +1,10 @@
 """Operators with exact results against plain statements of them: op1, op2, op4, op5, op8, op10."""
 
 import hashlib
+import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -20,14 +22,15 @@ def prose(r, n):
 
 
 def brute_topk(rows, k):
-    rows = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    out = set()
+    long = lambda x: min(2**63 - 1, max(-(2**63), math.floor(256 * Fraction(x))))
+    rows = [(i, [long(x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
     for q, a in rows:
         if q % 2:
             continue
-        near = sorted((-int(a @ b), i) for i, b in rows if i != q and len(a) == len(b))[:k]
-        out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(near)}
-    return out
+        near = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in rows if i != q and len(a) == len(b))[:k]
+        out += [(q, n + 1, i, min(2**63 - 1, max(-(2**63), -s))) for n, (s, i) in enumerate(near)]
+    return sorted(out)
 
 
 def test_topk_is_exact_with_ties_nulls_and_lengths(spark):
@@ -36,11 +39,34 @@ def test_topk_is_exact_with_ties_nulls_and_lengths(spark):
     rows += [(60, None), (61, [1.0, None, 0.0, 0.0]), (62, [float("nan")] * 4), (63, [float("inf"), 0.0, 0.0, 0.0]), (64, [0.5, 0.5]), (66, [0.5, -0.5]), (68, [9.0]), (-2, [0.1] * 4), (None, [1.0] * 4)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
     got = op1_topk.top_k(df, df.where("vec_id % 2 = 0"), 5)
-    assert {tuple(x) for x in got.select("query_id", "rank", "vec_id", "score").collect()} == brute_topk(rows, 5)
+    assert sorted(tuple(x) for x in got.select("query_id", "rank", "vec_id", "score").collect()) == brute_topk(rows, 5)
     none = df.where("false")
     assert op1_topk.top_k(none, none, 5).count() == 0
 
 
+@pytest.mark.parametrize("far", [1e6, 3e15, 1e300])
+def test_topk_of_large_components(spark, far):
+    """Scores up to and past what a long holds, in the order of the exact integers."""
+    r = random.Random(5)
+    rows = [(i, [r.choice([-1.0, 0.25, 1.0]) * r.choice([0.5, 1.0, far, far / 3]) for _ in range(3)]) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = op1_topk.top_k(df, df.where("vec_id % 2 = 0"), 5)
+    assert sorted(tuple(x) for x in got.collect()) == brute_topk(rows, 5)
+
+
+def test_topk_of_repeated_rows_and_many_blocks(spark, monkeypatch):
+    """Equal vectors under many ids and rows that repeat an id; several indexes in a task and several blocks of queries."""
+    monkeypatch.setattr(op1_topk, "ROW_BLOCK", 16)
+    monkeypatch.setattr(op1_topk, "QUERY_BYTES", 400)
+    r = random.Random(7)
+    rows = [(i, [r.choice([0.1, -0.4]) for _ in range(3)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(x) for x in op1_topk.top_k(df, df.where("vec_id % 2 = 0"), 5).collect()) == brute_topk(rows, 5)
+    twice = spark.createDataFrame([(1, [1.0]), (1, [3.0]), (2, [2.0]), (3, [1.0])], "vec_id long, embedding array<double>")
+    got = op1_topk.top_k(twice, twice.where("vec_id = 3"), 5, scale=1)
+    assert [tuple(x) for x in got.orderBy("rank").collect()] == [(3, 1, 1, 3), (3, 2, 2, 2), (3, 3, 1, 1)]
+
+
 # --- op2 -------------------------------------------------------------------------------------------------------------
 
 

@@ -8,12 +8,15 @@ until each weight has one bitmap: the slices of the score. From the most signifi
 into those surely among the best k, those still open and those out; what is open behind the last slice are ties,
 resolved by the smaller id. Scores of the selected rows come from exact integer products.
 
-Queries go to the executors in blocks of QUERY_BLOCK rows, a bounded broadcast each; the driver holds a block at a time.
-Each block of rows returns its own k best of each query, and of those the k best are taken.
+Queries go to the executors in blocks of QUERY_BYTES, a bounded broadcast each, which the driver holds one at a time; as a
+rule there is one block, and the rows are read and indexed once. A task keeps the k best of each query over all its
+rows, and of those of all tasks the k best are taken; a block's answers are written before the next block is sent.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part; nor do rows without id.
-An empty vector scores 0 against other empty ones. Vectors of different lengths have no product and are not compared.
-Rows that repeat an id are rows of their own, but no candidates of queries with that id.
+A component beyond what a long holds is the largest (least) long. Scores are exact integers of any size, and rows are
+ordered by them; a score beyond what a long holds is given as the largest (least) long. An empty vector scores 0
+against other empty ones. Vectors of different lengths have no product and are not compared. Rows that repeat an id are
+rows of their own, but no candidates of queries with that id.
 """
 
 from __future__ import annotations
@@ -25,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import table
+from tidewell.llm.common import Scratch, table
 
 SCALE = 256
-QUERY_BLOCK = 4096
-#: Rows under one index; a row is a bit of each bitmap.
-ROW_BLOCK = 8192
-#: Components beyond this are out of what scores of type long can hold.
-LARGEST = 1 << 26
+QUERY_BYTES = 32 << 20
+#: Rows under one index; a row is a bit of each bitmap. A task has up to INDEXES of them.
+ROW_BLOCK, INDEXES = 8192, 32
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+#: Bytes of a score as a key that orders as the score does.
+KEY_BYTES, KEY_ZERO = 20, 1 << 159
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
@@ -56,22 +60,27 @@ class Index:
     def __init__(self, ids: np.ndarray, v: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.v = ids[order], v[order]
-        self.low, self.high = self.v.min(axis=0), self.v.max(axis=0)
-        self.width = max(1, int((self.high - self.low).max()).bit_length()) if self.v.size else 1
-        place = np.arange(self.width)[:, None]
-        up, down = self.v - self.low, self.high - self.v
+        self.low, self.high = (self.v.min(axis=0), self.v.max(axis=0)) if self.v.size else (self.v[:1], self.v[:1])
+        # differences of two longs fit 64 bits without sign, whatever the longs are
+        whole = self.v.view(np.uint64)
+        up, down = whole - self.low.view(np.uint64), self.high.view(np.uint64) - whole
+        self.width = max(1, int(up.max()).bit_length()) if self.v.size else 1
+        self.largest = max(-int(self.low.min()), int(self.high.max()), 0) if self.v.size else 0
+        place = np.arange(self.width, dtype=np.uint64)[:, None]
+        one = np.uint64(1)
         # (kind, dimension, digit, word)
-        self.slices = np.stack([np.stack([_bits((x[:, d][None, :] >> place & 1).astype(bool)) for d in range(v.shape[1])]) for x in (up, down)]) if v.shape[1] else np.zeros((2, 0, 1, -(-len(ids) // 64)), np.uint64)
+        self.slices = np.stack([np.stack([_bits((x[:, d][None, :] >> place & one).astype(bool)) for d in range(v.shape[1])]) for x in (up, down)]) if v.shape[1] else np.zeros((2, 0, 1, -(-len(ids) // 64)), np.uint64)
         self.every = _bits(np.ones(len(ids), bool))
 
     def score_slices(self, q: np.ndarray) -> list[np.ndarray]:
         """The slices of sum |q_d| * term_d, least significant first."""
-        size = np.abs(q)
+        size = np.abs(q).view(np.uint64)  # the least long too has its size then
         top = int(size.max()).bit_length() if len(q) else 0
+        one = np.uint64(1)
         levels: list[list[np.ndarray]] = [[] for _ in range(self.width + top)]
         for j in range(top):
             for kind, sign in ((0, q > 0), (1, q < 0)):
-                d = np.flatnonzero(sign & (size >> j & 1 == 1))
+                d = np.flatnonzero(sign & (size >> np.uint64(j) & one == one))
                 if len(d):
                     for s in range(self.width):
                         levels[s + j].append(self.slices[kind, d, s])
@@ -94,7 +103,14 @@ class Index:
             level += 1
         return out
 
-    def best(self, q: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, rows: np.ndarray, q: np.ndarray) -> list[int]:
+        """The exact scores of some rows."""
+        size = max(-int(q.min()), int(q.max()), 0) if len(q) else 0
+        if self.largest * size * max(1, len(q)) <= MOST:
+            return (self.v[rows] @ q).tolist()
+        return [sum(x * y for x, y in zip(row, q.tolist())) for row in self.v[rows].tolist()]
+
+    def best(self, q: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, list[int]]:
         """Row numbers and scores of the k best rows of other ids, ties to smaller ids."""
         same = slice(*np.searchsorted(self.ids, [query_id, query_id + 1])) if query_id < np.iinfo(np.int64).max else slice(*np.searchsorted(self.ids, [query_id, query_id], "left"))
         open_ = self.every.copy()
@@ -117,32 +133,36 @@ class Index:
         found = rows(sure)
         if n_sure < k:
             found = np.concatenate((found, rows(open_)[: k - n_sure]))
-        return found, self.v[found] @ q
+        return found, self.scores(found, q)
 
 
 def _search(batches: Iterator[pa.RecordBatch], queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
     held: dict[int, list] = {}
+    #: for each length of vectors the best (minus score, id) of each query so far
+    top: dict[int, list[list[tuple[int, int]]]] = {}
 
-    def answers(size: int) -> Iterator[pa.RecordBatch]:
-        ids, v = (np.concatenate(x) for x in zip(*held.pop(size)))
-        index = Index(ids, v)
+    def meet(size: int) -> None:
+        index = Index(*(np.concatenate(x) for x in zip(*held.pop(size))))
         qid, qv = queries[size]
-        out_q, out_i, out_s = [], [], []
-        for i, q in zip(qid.tolist(), qv):
+        best = top.setdefault(size, [[] for _ in qid])
+        for n, (i, q) in enumerate(zip(qid.tolist(), qv)):
             rows, scores = index.best(q, i, k)
-            out_q.append(np.full(len(rows), i))
-            out_i.append(index.ids[rows])
-            out_s.append(scores)
-        yield pa.record_batch([pa.array(np.concatenate(x)) for x in (out_q, out_i, out_s)], names=["query_id", "vec_id", "score"])
+            best[n] = sorted(best[n] + [(-s, x) for s, x in zip(scores, index.ids[rows].tolist())])[:k]
 
     for batch in batches:
         for size, ids, v in by_length(batch):
             if size in queries:
                 held.setdefault(size, []).append((ids, v))
                 if sum(len(x) for x, _ in held[size]) >= ROW_BLOCK:
-                    yield from answers(size)
+                    meet(size)
     for size in list(held):
-        yield from answers(size)
+        meet(size)
+    for size, best in top.items():
+        qid = queries[size][0].tolist()
+        for at in range(0, len(qid), 4096):
+            found = [(i, x, -minus) for i, rows in zip(qid[at : at + 4096], best[at : at + 4096]) for minus, x in rows]
+            i, x, s = zip(*found) if found else ((), (), ())
+            yield pa.record_batch([pa.array(i, pa.int64()), pa.array(x, pa.int64()), pa.array([min(MOST, max(LEAST, y)) for y in s], pa.int64()), pa.array([(KEY_ZERO - y).to_bytes(KEY_BYTES, "big") for y in s], pa.binary())], names=["query_id", "vec_id", "score", "key"])
 
 
 def by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -159,23 +179,20 @@ def by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarr
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows of other ids, ties to the smaller id."""
     spark = vectors.sparkSession
-    rows = quantised(vectors, id_col, vec_col, scale)
-    far, n = rows.agg(F.max(F.array_max(F.transform("v", F.abs))), F.count("*")).first()
-    if far is not None and far > LARGEST:
-        raise ValueError(f"components beyond {LARGEST} / {scale} have scores that are no long")
-    rows = rows.repartition(max(1, -(-n // ROW_BLOCK)))
-    asked = quantised(queries, id_col, vec_col, scale)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    scratch = Scratch(spark, "topk")
+    rows = scratch.write(quantised(vectors, id_col, vec_col, scale))
+    asked = scratch.write(quantised(queries, id_col, vec_col, scale))
+    n = rows.count()
+    tasks = -(-n // ROW_BLOCK)
+    rows = rows.repartition(max(1, -(-n // (ROW_BLOCK * INDEXES)), min(tasks, 4 * spark.sparkContext.defaultParallelism)))
+    blocks = max(1, -(-int(asked.agg(F.sum(8 * F.size("v") + 8)).first()[0] or 0) // QUERY_BYTES))
     found = None
     for block in range(blocks):
-        held: dict[int, list] = {}
-        for size, ids, v in by_length(_one_batch(asked.where(F.col("block") == block).drop("block"))):
-            held[size] = (ids, v)
-        near = spark.sparkContext.broadcast(held)
-        part = rows.mapInArrow(_searcher(near, k), "query_id long, vec_id long, score long")
+        near = spark.sparkContext.broadcast({size: (ids, v) for size, ids, v in by_length(_one_batch(asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)))})
+        part = scratch.write(rows.mapInArrow(_searcher(near, k), "query_id long, vec_id long, score long, key binary"))
+        near.destroy()
         found = part if found is None else found.union(part)
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    by = Window.partitionBy("query_id").orderBy("key", "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
