@@ -1,6 +1,9 @@
 """Operators that learn or approximate, by held-out accuracy, recall and small cases: op3, op6, op7, op9; and the pipeline."""
 
+import math
 import random
+from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import pytest
@@ -148,6 +151,49 @@ def test_quality_of_odd_tables(spark):
     assert op7_quality.resample(docs, labels.where("false")).count() == docs.count()
 
 
+def brute_quality(rows, good, bad):
+    """Log weights from counts in dictionaries, the cut, and how many reach it."""
+    B = op7_quality.BUCKETS
+    grams = []
+    for _, t in rows:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        grams.append(op7_quality.buckets(raw, np.array([0, len(raw)]))[0].tolist())
+    weights = np.zeros(len(rows))
+    for half in (0, 1):
+        raw, target = Counter(), Counter()
+        for (i, _), g in zip(rows, grams):
+            mine = [x for x in g if x // B == half]
+            raw.update(mine)
+            target.update(mine if i in good else [])
+        total = lambda c: sum(c.values()) + B / 2
+        ratio = lambda x: math.log((target[x] + 0.5) / total(target)) - math.log((raw[x] + 0.5) / total(raw))  # noqa: E731, B023
+        weights += [math.fsum(ratio(x) for x in g if x // B == half) for g in grams]
+    marked = {i: w for (i, _), w in zip(rows, weights) if i in good or i in bad}
+    cuts = [min(marked.values()) - 1, max(marked.values()) + 1, *((a + b) / 2 for a, b in pairwise(sorted(marked.values())))]
+    right = lambda c: np.mean([marked[i] >= c for i in good if i in marked]) + np.mean([marked[i] < c for i in bad if i in marked])
+    return weights, max(map(right, cuts)), right
+
+
+def test_quality_equals_counts_and_draws_by_weight(spark):
+    docs, labels, texts = quality_table(spark)
+    labels = labels.union(labels.limit(20)).union(spark.createDataFrame([(1, None, 1), (None, 1, 0)], labels.schema))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    of = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None:
+            of[r.doc_id] = max(of.get(r.doc_id, 0), r.quality)
+    weights, best, right = brute_quality(rows, {i for i, q in of.items() if q}, {i for i, q in of.items() if not q})
+    got = op7_quality.resample(docs.withColumn("log_weight", op7_quality.F.lit("x")), labels).toPandas()
+    expected = dict(zip((i for i, _ in rows), weights))
+    assert np.allclose(got.log_weight, [expected[i] for i in got.id])
+    cut = (got.log_weight[~got.above_cut].max() + got.log_weight[got.above_cut].min()) / 2
+    assert abs(right(cut) - best) < 1e-9
+    # the draw: as many as reach the cut, those of largest weight + noise, the noise a standard Gumbel one
+    assert got.kept.sum() == got.above_cut.sum() and got.key[got.kept].min() > got.key[~got.kept].max()
+    noise = np.concatenate([op7_quality.gumbel(np.zeros(0, np.uint8), np.zeros(2, np.int64), np.array([i]), 41) for i in range(4000)])
+    assert abs(noise.mean() - 0.5772) < 0.08 and abs(noise.std() - 1.2825) < 0.08
+
+
 def test_kth_largest_is_exact(spark):
     r = random.Random(1)
     keys = [r.choice([r.gauss(0, 1e3), 1.25, -7.0]) for _ in range(5000)]

@@ -1,18 +1,19 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
-Target text is what labels call good; raw text is every document. Both models count hashed n-grams of one to three
-tokens. A token is a run of marks as it stands, or the form of a word: small, capital, mixed, with digits, very long,
-the same as the word before it. Words themselves are left out, as labels need not cover languages and subjects evenly,
-and a good text must not lose by that. A document's log weight is the sum, over its n-grams, of the log ratio of the two models.
-Of n documents the k with the largest log weight + temperature * Gumbel noise are kept, which samples k documents
-without replacement by weight. k is the number of documents whose log weight reaches the cut that parts labelled good
-and bad documents best.
+Target text is what labels call good; raw text is every document. There are two pairs of models. One counts hashed
+words and marks, alone and in pairs, and so tells subjects and languages apart. The other counts runs of one to three
+tokens of which a mark is itself and a word its form: small, capital, mixed, with digits, very long, the same as the
+word before it; it tells how a text is written, whatever it is about. A document's log weight is the sum, over its
+n-grams, of the log ratios of target and raw. Of n documents the k with the largest log weight + Gumbel noise are kept,
+which samples k documents without replacement by weight. k is the number of documents whose log weight reaches the cut
+that parts labelled good and bad documents best; whether a document itself reaches it is told in a column of its own.
 
 Raw counts are of all documents. Target counts and the cut rest on at most LABELLED labelled rows, those of least
-hash of their id; nothing else is limited. Counts are summed within tasks, then by bucket; the driver gets BUCKETS rows.
+hash of their id; nothing else is limited. Counts are summed within tasks, then by bucket; the driver gets 2 * BUCKETS rows.
 
 Defined results: null and empty texts have log weight 0 and meet the same cut; noise depends on id and text only, so
-reruns agree and rows that repeat are kept or rejected together; without labels of both kinds the cut is 0; a label
+reruns agree and rows that repeat are kept or rejected together, as are rows of one key; of labels that repeat an id
+the better counts; without labels of both kinds the cut is 0; a label
 that is null, or on no document, counts for nothing.
 """
 
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import LOWER, U64, Rolling, Scratch, mix, steps, table
 
+#: Of either pair of models; words come behind forms.
 BUCKETS = 1 << 14
 LABELLED = 20_000
-TEMPERATURE = 0.1
+TEMPERATURE = 1.0
 BINS = 4096
 
 #: 0 space, 1 part of a word, 2 other.
@@ -80,17 +82,20 @@ def buckets(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pair = mix(t[:-1] * U64(0x9E3779B97F4A7C15) + t[1:])
     three = mix(pair[:-1] * U64(0x9E3779B97F4A7C15) + t[2:])
     two_in, three_in = doc[:-1] == doc[1:], doc[:-2] == doc[2:]
-    return (np.concatenate((t, pair[two_in], three[three_in])) & U64(BUCKETS - 1)).astype(np.int64), np.concatenate((doc, doc[:-1][two_in], doc[:-2][three_in]))
+    forms = (np.concatenate((t, pair[two_in], three[three_in])) & U64(BUCKETS - 1)).astype(np.int64)
+    both = mix(h[:-1] * U64(0x9E3779B97F4A7C15) + h[1:])
+    words = (np.concatenate((h, both[two_in])) & U64(BUCKETS - 1)).astype(np.int64) + BUCKETS
+    return np.concatenate((forms, words)), np.concatenate((doc, doc[:-1][two_in], doc[:-2][three_in], doc, doc[:-1][two_in]))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    raw, target = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
     for batch in batches:
         good = np.asarray(batch.column(1).fill_null(False))
         for i, j, b, ends in steps(batch):
             k, doc = buckets(b, ends)
-            raw += np.bincount(k, minlength=BUCKETS)
-            target += np.bincount(k[good[i:j][doc]], minlength=BUCKETS)
+            raw += np.bincount(k, minlength=2 * BUCKETS)
+            target += np.bincount(k[good[i:j][doc]], minlength=2 * BUCKETS)
     some = np.flatnonzero(raw)
     yield pa.record_batch([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
@@ -99,11 +104,12 @@ def log_ratio(docs: DataFrame, good: DataFrame, id_col: str, text_col: str) -> n
     """log p_target - log p_raw of each bucket; good has at most LABELLED ids."""
     flagged = docs.join(F.broadcast(good), docs[id_col] == good["good_id"], "left").select(F.col(text_col).cast("string").alias("text"), F.col("good_id").isNotNull().alias("good"))
     rows = flagged.mapInArrow(_counts, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
-    raw, target = np.full(BUCKETS, 0.5), np.full(BUCKETS, 0.5)
+    raw, target = np.full((2, BUCKETS), 0.5), np.full((2, BUCKETS), 0.5)
     for k, r, t in rows:
-        raw[k] += r
-        target[k] += t
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+        raw[divmod(k, BUCKETS)] += r
+        target[divmod(k, BUCKETS)] += t
+    share = lambda x: np.log(x / x.sum(axis=1, keepdims=True))
+    return (share(target) - share(raw)).ravel()
 
 
 def gumbel(b: np.ndarray, ends: np.ndarray, ids: np.ndarray, seed: int) -> np.ndarray:
@@ -163,8 +169,8 @@ def kth_largest(df: DataFrame, k: int) -> float:
             return lo
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, temperature: float, labelled: int, seed: int) -> tuple[np.ndarray, DataFrame, float]:
-    """The log ratios, the scored rows (id, log_weight, key) and the least key that is kept."""
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, temperature: float, labelled: int, seed: int) -> tuple[np.ndarray, DataFrame, float, float]:
+    """The log ratios, the scored rows (id, log_weight, key), the least key that is kept, and the cut."""
     scratch = Scratch(docs.sparkSession, "quality")
     some = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("quality").alias("quality"))
     some = scratch.write(some.orderBy(F.xxhash64("label_id"), "label_id").limit(labelled))
@@ -173,18 +179,18 @@ def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, temp
     marked = scored.join(F.broadcast(some), scored["id"] == some["label_id"]).groupBy("id").agg(F.first("log_weight"), F.first("quality")).collect()
     cut = best_cut(np.array([r[1] for r in marked]), np.array([r[2] for r in marked]) == 1)
     k = scored.where(F.col("log_weight") >= cut).count()
-    return ratio, scored, kth_largest(scored, k)
+    return ratio, scored, kth_largest(scored, k), cut
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", temperature: float = TEMPERATURE, labelled: int = LABELLED, seed: int = 41) -> DataFrame:
-    """(id, log_weight, key, kept) for every row of docs; labels has (doc_id, quality 0/1)."""
-    _, scored, least = _fitted(docs, labels, id_col, text_col, temperature, labelled, seed)
-    return scored.withColumn("kept", F.col("key") >= F.lit(least))
+    """(id, log_weight, key, above_cut, kept) for every row of docs; labels has (doc_id, quality 0/1)."""
+    _, scored, least, cut = _fitted(docs, labels, id_col, text_col, temperature, labelled, seed)
+    return scored.withColumn("above_cut", F.col("log_weight") >= F.lit(cut)).withColumn("kept", F.col("key") >= F.lit(least))
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", temperature: float = TEMPERATURE, labelled: int = LABELLED, seed: int = 41) -> DataFrame:
     """The rows of docs that resample keeps, with all their columns; keys are worked out again where the rows are, so no text is shuffled."""
-    ratio, _, least = _fitted(docs, labels, id_col, text_col, temperature, labelled, seed)
+    ratio, _, least, _ = _fitted(docs, labels, id_col, text_col, temperature, labelled, seed)
     held = docs.sparkSession.sparkContext.broadcast(ratio)
     names = docs.columns
 
@@ -202,4 +208,4 @@ def kept_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
     out = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select(F.col("id").alias("doc_id"), "log_weight", "key", "kept")
+    return out.select(F.col("id").alias("doc_id"), "log_weight", "key", "above_cut", "kept")
