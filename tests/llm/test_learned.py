@@ -92,11 +92,13 @@ def test_toxicity_gradients():
     r = np.random.default_rng(2)
     net = op6_toxicity.Network()
     net.w = {k: v.astype(float) for k, v in net.w.items()}
-    x, n, y = r.normal(size=(5, 6, op6_toxicity.CHANNELS)), np.array([6, 3, 1, 5, 4]), np.array([1, 0, 1, 0, 1.0])
+    x, n, y = r.normal(size=(5, 6, op6_toxicity.INPUTS)), np.array([6, 3, 1, 5, 4]), np.array([1, 0, 1, 0, 1.0])
     loss = lambda: -np.mean(y * np.log(net.forward(x, n)) + (1 - y) * np.log(1 - net.forward(x, n)))
     g = net.gradients(x, n, y)
-    for k, w in net.w.items():
-        i = tuple(int(r.integers(s)) for s in w.shape)
+    for k, w in [*net.w.items(), ("x", x)]:
+        if k not in g:
+            continue
+        i = tuple(int(r.integers(s)) for s in w.shape) if k != "x" else (1, 2, 3)
         w[i] += 1e-3
         up = loss()
         w[i] -= 2e-3
@@ -105,13 +107,63 @@ def test_toxicity_gradients():
         assert abs((up - down) / 2e-3 - g[k][i]) < 2e-4, k
 
 
-def test_windows_cover_every_word():
-    text = " ".join(f"w{i}" for i in range(61)).encode()
-    b, ends = np.frombuffer(text, np.uint8), np.array([0, len(text)])
-    s, e, doc = op6_toxicity.words_of(b, ends)
-    n = np.array([len(s)])
-    d, length, x = op6_toxicity.windows(n, doc, np.arange(61), np.ones((61, 3), np.float32))
-    assert len(d) == 5 and length.tolist() == [24, 24, 24, 24, 13] and x.sum() == 3 * length.sum()
+def plain_score(text, model):
+    """The highest window, one at a time, a word at a time."""
+    lookups, net = model
+    raw = np.frombuffer(text.encode(), np.uint8)
+    words = op6_toxicity.Words(raw, np.array([0, len(raw)]))
+    x = net.vectors(words, words.odds(lookups))[:-1][words.which]
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    H, best, at = op6_toxicity.HIDDEN, 0.0, 0
+    while True:
+        part = x[at : at + 24] if len(x) else np.zeros((1, op6_toxicity.INPUTS))
+        states = []
+        for d, order in (("f", range(len(part))), ("b", reversed(range(len(part))))):
+            h, of = np.zeros(H), {}
+            for t in order:
+                gx, gh = part[t] @ net.w["W" + d] + net.w["b" + d], h @ net.w["U" + d]
+                z, q = sigmoid(gx[:H] + gh[:H]), sigmoid(gx[H : 2 * H] + gh[H : 2 * H])
+                h = of[t] = (1 - z) * np.tanh(gx[2 * H :] + q * gh[2 * H :]) + z * h
+            states.append(np.stack([of[t] for t in range(len(part))]))
+        s = np.concatenate(states, axis=1)
+        a = np.exp(s @ net.w["att"])
+        best = max(best, sigmoid((a / a.sum()) @ s @ net.w["out"] + net.w["bias"][0]))
+        if at + 24 >= len(x):
+            return best
+        at += 12
+
+
+def test_toxicity_scores_every_window():
+    r = random.Random(8)
+    words = ["".join(r.choices("aeinorst", k=r.randrange(1, 8))) for _ in range(60)]
+    texts, toxic = [], []
+    for i in range(90):
+        w = [r.choice(words) for _ in range(r.randrange(1, 70))]
+        toxic.append(i % 3 == 0)
+        texts.append(" ".join(w + ["zidiuk", "gwumpf"] * toxic[-1]))
+    model = op6_toxicity.fit(texts, np.array(toxic, float))
+    texts = [*texts, "", "zidiuk", " ".join(r.choices(words, k=1000)) + " zidiuk gwumpf " + " ".join(r.choices(words, k=30)), "été " * 25, "%% §"]
+    got = op6_toxicity.score_texts(op6_toxicity.pa.record_batch([op6_toxicity.pa.array(texts)], names=["text"]), model)
+    assert np.allclose(got, [plain_score(t, model) for t in texts], atol=1e-5)
+    assert got[92] > 0.3  # in the midst of a long text
+
+
+def test_lookup_keeps_all_keys():
+    r = np.random.default_rng(1)
+    keys = np.unique(r.integers(0, 1 << 60, 5000).astype(np.uint64))
+    keys = np.concatenate((keys, (keys[:500] & np.uint64((1 << 20) - 1)) | np.uint64(1 << 61)))  # share their low bits
+    find = op6_toxicity.Lookup(keys, np.arange(len(keys)))
+    at, values = find(np.concatenate((keys[::-1], keys[:50] + np.uint64(1 << 62))))
+    assert at.tolist() == list(range(len(keys))) and values.tolist() == list(range(len(keys)))[::-1]
+    assert not len(op6_toxicity.Lookup(keys[:0], np.zeros(0))(keys)[0])
+
+
+def test_toxicity_of_repeated_labels_and_clashing_names(spark):
+    docs, labels = toxic_table(spark, 60)
+    twice = labels.union(labels).union(spark.createDataFrame([(None, 1, 1), (3, 1, None)], labels.schema))
+    a = op6_toxicity.toxicity(docs, labels).toPandas()
+    b = op6_toxicity.toxicity(docs.withColumn("label_id", op6_toxicity.F.lit(1)).withColumn("toxic", op6_toxicity.F.lit(0)), twice).toPandas()
+    assert a.sort_values("id").score.tolist() == b.sort_values("id").score.tolist()
 
 
 # --- op7 -------------------------------------------------------------------------------------------------------------
