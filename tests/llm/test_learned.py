@@ -42,14 +42,43 @@ def test_html_pages(spark):
     <div class="cookie-notice">We use cookies on this site.</div><article><h1>A   headline &amp; more</h1><p><b>First part of the story, with <a href="/">a link</a>.<br>Next line.<p>Second &eacute; part of it.</p>
     <div class="ad">Buy now, only today.</div><p>Third part, which ends here.</p></article><section id="comments"><h3>Comments</h3><div class="comment"><p>I think that this is wrong.</p></div></section>
     <form><p>Sign up</p><input></form><footer>&copy; Example</footer></body></html>"""
-    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "just words, no markup at all, as they come"), (5, "u", "<p>" * 3000), (6, "u", "<a <b <c")]
+    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "just words, no markup at all, as they come"), (5, "u", "<p>" * 3000), (6, "u", "<a <b <c"), (1, "u", page), (7, "u", "<p>A whole sentence, told again and again. " * 20_000)]
     df = spark.createDataFrame([(*x, 1) for x in rows], "page_id long, url string, html string, n_chars int")
     got = {r.page_id: r for r in op3_html.extract(df).collect()}
     assert got[1].text == "A headline & more\n\nFirst part of the story, with a link. Next line.\n\nSecond é part of it.\n\nThird part, which ends here."
     assert got[1].n_chars == len(got[1].text) and got[2].text == got[3].text == "" and got[2].n_chars == 0 and got[5].text == ""
+    assert got[7].text.count("told again") == 20_000
     assert op3_html.extract(df.where("false")).count() == 0
 
 
+def test_html_extraction_of_made_up_pages():
+    """Whole texts against what the maker of the pages marked, on layouts that training has not seen."""
+    r = random.Random(4711)
+    same = 0
+    for _ in range(60):
+        page = op3_html.made_up_page(r)
+        expected = "\n\n".join(b.text().replace("\ue000", "") for b in op3_html.blocks_of(page) if "\ue000" in b.text())
+        same += op3_html.main_text(page.replace("\ue000", "")) == expected
+    assert same >= 50
+
+
+def test_html_of_deep_and_stray_tags():
+    """Time follows the length: nested elements, end tags without a start, inline elements around blocks."""
+    import time
+
+    pages = {n: ["<div>x" * n, "<div>" * n + "</section>" * n + "y", "<i><div>" + "<b>" * n + "</i>" * n + "z", "<ul>" + "<li>w" * n, "<p>" * n + "a&amp;b", "<table>" + "<tr><td>1" * n] for n in (2000, 16_000)}
+    took = {}
+    for n, some in pages.items():
+        began = time.process_time()
+        blocks = [op3_html.blocks_of(p) for p in some]
+        for x in blocks:
+            op3_html.edges_of(x)
+        took[n] = time.process_time() - began
+        assert [len(x) for x in blocks] == [n, 1, 1, n, 1, n]
+    assert took[16_000] < 30 * took[2000]
+    assert [x.top.depth for x in op3_html.blocks_of("<div>a<div>b</div>c<p>d<p>e</div>f")] == [1, 2, 1, 2, 2, 0]
+
+
 # --- op6 -------------------------------------------------------------------------------------------------------------
 
 

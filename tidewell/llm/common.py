@@ -38,12 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of this machine only where none is set, as in tests."""
+    """The folder that spark.checkpoint.dir names; where none is set, as in tests, one of this machine if it runs all of Spark."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             found = held.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             found = tempfile.mkdtemp(prefix="tidewell-")
             spark.sparkContext.setCheckpointDir(found)

@@ -11,7 +11,8 @@ over the others only, with the fixed ones folded into the terminals.
 The model is trained in numpy, on the driver, on PAGES made-up pages of many layouts; no page of the data is used.
 
 Defined results: a null or empty page, or one without content, has the text "" and n_chars 0; unclosed tags end where
-HTML lets them; a page without markup is one block.
+HTML lets them; a page without markup is one block; rows that repeat have equal texts. Time and memory follow a page's
+length, however deep it nests.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import random
 import re
 from collections import deque
 from collections.abc import Iterator
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -57,23 +59,28 @@ COMMENT = re.compile(r"comment|disqus|repl(?:y|ies)|respond", re.I)
 
 
 class Block:
-    """Text that no block boundary parts, its place, and what is known of it."""
+    """Text that no block boundary parts, the element it stands in, and what is known of it."""
 
-    __slots__ = ("chars", "link", "parts", "path")
+    __slots__ = ("chars", "link", "parts", "top")
 
-    def __init__(self, path: tuple):
-        self.path, self.parts, self.chars, self.link = path, [], 0, 0
+    def __init__(self, top: Node):
+        self.top, self.parts, self.chars, self.link = top, [], 0, 0
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
 
 class Node:
-    __slots__ = ("bad", "comment", "depth", "good", "hidden", "n", "parent", "tag")
+    """An element: its parent, and what it or any element around it is."""
+
+    __slots__ = ("depth", "n", "parent", "tag", "within")
 
     def __init__(self, n: int, tag: str, attrs: str, parent: Node | None):
         self.n, self.tag, self.parent = n, tag, parent
         self.depth = parent.depth + 1 if parent else 0
+        if parent is None:
+            self.within = (False,) * 10
+            return
         name, role, hidden = "", "", False
         if attrs:
             for m in ATTR.finditer(attrs):
@@ -87,16 +94,20 @@ class Node:
                 else:
                     hidden |= value.lower() != "false"
         spaced = re.sub(r"([a-z])([A-Z])", r"\1-\2", name)
-        self.bad = bool(BAD.search(spaced)) or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
-        self.comment = bool(COMMENT.search(name))
-        self.good = bool(GOOD.search(name)) and not self.bad or role in ("main", "article")
-        self.hidden = hidden
+        bad = bool(BAD.search(spaced)) or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
+        good = bool(GOOD.search(name)) and not bad or role in ("main", "article")
+        page = tag in ("html", "body")  # what these are called says nothing against what is in them
+        mine = (tag in ("article", "main"), tag in ("nav", "menu"), tag == "footer", tag == "header", tag == "aside", tag in ("form", "fieldset", "dialog"), bad and not page, good, bool(COMMENT.search(name)) and not page, hidden)
+        self.within = tuple(map(or_, mine, parent.within)) if any(mine) else parent.within
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     root = Node(0, "#root", "", None)
     stack, dropped, links, count = [root], 0, 0, 1
+    #: the places in the stack of the elements of each kind, and of those that are blocks
+    places: dict[str, list[int]] = {}
+    block_places: list[int] = []
     out: list[Block] = []
     now: Block | None = None
     at, n = 0, len(page)
@@ -108,7 +119,15 @@ def blocks_of(page: str) -> list[Block]:
             links -= node.tag == "a"
             if node.tag in BLOCK:
                 now = None
-        del stack[i:]
+        while len(stack) > i:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag in BLOCK:
+                block_places.pop()
+
+    def last(*tags: str) -> int:
+        """The place of the innermost open element of these kinds; 0 if there is none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def add(text: str) -> None:
         nonlocal now
@@ -119,8 +138,7 @@ def blocks_of(page: str) -> list[Block]:
         if now is None:
             if not text.strip():
                 return
-            place = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in BLOCK or not i)
-            now = Block(tuple(stack[: place + 1]))
+            now = Block(stack[block_places[-1] if block_places else 0])
             out.append(now)
         now.parts.append(text)
         size = len(text)
@@ -140,12 +158,9 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m["end"] or m["end2"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    pop_to(i)
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break  # an inline end tag ends nothing around its block
+            i = last(tag)
+            if i and (tag in BLOCK or not block_places or i > block_places[-1]):
+                pop_to(i)  # an inline end tag ends nothing around its block
             if tag in BLOCK:
                 now = None
             continue
@@ -155,18 +170,11 @@ def blocks_of(page: str) -> list[Block]:
         if tag in BLOCK:
             now = None
             kinds, stops = ENDS.get(tag, (set(), set()))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in kinds:
-                    pop_to(i)
-                    break
-                if stack[i].tag in stops:
-                    break
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    pop_to(i)
-                    break
-                if stack[i].tag in BLOCK:
-                    break
+            i = last(*kinds)
+            if i and i > last(*stops):
+                pop_to(i)
+            if block_places and stack[block_places[-1]].tag == "p":
+                pop_to(block_places[-1])
         if tag in VOID:
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
@@ -176,6 +184,9 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if attrs.endswith("/") and tag in ("svg", "math"):
             continue
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            block_places.append(len(stack))
         stack.append(Node(count, tag, attrs, stack[-1]))
         count += 1
         dropped += tag in DROPPED
@@ -188,31 +199,11 @@ FEATURES = 22
 
 def features(blocks: list[Block]) -> np.ndarray:
     out = np.zeros((len(blocks), FEATURES))
-    known: dict[int, list] = {}
     for row, b in zip(out, blocks):
-        top = b.path[-1]
-        around = known.get(top.n)
-        if around is None:
-            tags = {x.tag for x in b.path}
-            article = bool(tags & {"article", "main"})
-            around = known[top.n] = [
-                article,
-                "nav" in tags or "menu" in tags,
-                "footer" in tags,
-                "header" in tags and not article,
-                "aside" in tags,
-                bool(tags & {"form", "fieldset", "dialog"}),
-                any(x.bad for x in b.path[1:] if x.tag not in ("html", "body")),
-                any(x.good for x in b.path[1:]),
-                any(x.comment for x in b.path[1:] if x.tag not in ("html", "body")),
-                any(x.hidden for x in b.path[1:]),
-                top.tag in HEADINGS,
-                top.tag == "p",
-                top.tag in ("li", "dd", "dt"),
-                top.tag in ("td", "th"),
-                top.tag in ("blockquote", "pre", "figcaption"),
-            ]
-        row[:15] = around
+        tag = b.top.tag
+        row[:10] = b.top.within
+        row[3] = row[3] and not row[0]  # the header of an article is its own
+        row[10:15] = tag in HEADINGS, tag == "p", tag in ("li", "dd", "dt"), tag in ("td", "th"), tag in ("blockquote", "pre", "figcaption")
         text = b.text()
         words = text.count(" ") + 1
         row[15] = np.log1p(words) / 4
@@ -315,10 +306,10 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness edges: to the block before, and to the last block of the same parent."""
     out, last = [], {}
     for i, b in enumerate(blocks):
-        top = b.path[-1]
+        top = b.top
         home = top.parent.n if top.parent else 0
         if i:
-            out.append((i - 1, i, FOLLOWS / (1 + _distance(blocks[i - 1].path[-1], top))))
+            out.append((i - 1, i, FOLLOWS / (1 + _distance(blocks[i - 1].top, top))))
         if home in last:
             out.append((last[home], i, SIBLINGS / 2))
         last[home] = i
