@@ -11,9 +11,15 @@ calibrated on examples that the trees have not seen: the least score from which
 
 Offsets are code points, ends exclusive. Matches of a pattern are leftmost and don't overlap; those that fail their
 check are dropped without a further try. Patterns start only where a run of their characters does, or where the last
-match ended, and take runs whole; that changes no match and keeps the time linear in a text's length.
+match ended, and take runs whole; the one for cards takes only runs of 12 to 19 digits, as no other run can pass. That
+changes no span and keeps the time linear in a text's length. What follows a row's matches one after another, as places
+and what is settled between neighbours do, goes through them in chunks, so that long lists are not copied for each entry.
 
-Defined results: a null text is empty; a text without spans has counts 0, the digest of the empty string and empty spans.
+The numbers of digits and groups in the generators' patterns are those of the formats; parts of addresses have no limit.
+
+Defined results: a null text is empty; a text without spans has counts 0, the digest of the empty string and empty spans;
+rows that repeat have equal spans; columns that are there already stay, unless they are called base or spans, which the
+result's replace (``redact`` keeps all).
 """
 
 from __future__ import annotations
@@ -37,14 +43,16 @@ TREES, DEPTH, RATE = 24, 3, 0.3
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What a text must hold for a pattern to match at all, by kind: few texts need the pattern itself.
+NEEDED = {"email": "@", "phone": "+"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
 #: (kind, pattern) of the generators.
 GENERATORS = (
-    ("email", r"(?<!\S)[^\s@]{1,64}+\s?(?:@|[\[(]at[\])])\s?[A-Za-z0-9-]{1,64}(?:\s?(?:\.|[\[(]dot[\])])\s?[A-Za-z0-9-]{1,64}){0,6}"),
+    ("email", r"(?<!\S)[^\s@\[\]()]++(?:@|\s?[\[(]at[\])]\s?)[A-Za-z0-9-]++(?:(?:\.|\s?[\[(]dot[\])]\s?)[A-Za-z0-9-]++)*+"),
     ("ip", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Za-z:])"),
     ("card", r"(?<![0-9A-Za-z._-])[0-9](?:[ ._-]?[0-9]){11,18}(?![0-9A-Za-z])"),
     ("phone", r"(?<![0-9A-Za-z.,-])(?:00|\()?[0-9](?:[ ().\-/]{0,2}[0-9]){6,14}(?![0-9A-Za-z])"),
@@ -76,22 +84,56 @@ def _valid(kind: str, m: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def _matches(df: DataFrame, text: str, name: str, pattern: str) -> DataFrame:
+#: Entries of an array that are folded at a time: a fold copies what it has for each entry it adds.
+CHUNK = 64
+
+
+def _bound(x: Column, f) -> Column:
+    """f of x, with x worked out once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _chunks(x: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda c: F.slice(x, c * CHUNK + 1, F.lit(CHUNK)))
+
+
+def running(x: Column, join) -> Column:
+    """For each entry of an array of at least one int join of all up to it, for an associative join whose zero is 0."""
+
+    def folded(a: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("all"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, y: _bound(join(acc["all"], y), lambda t: F.struct(t.alias("all"), F.concat(acc["out"], F.array(t)).alias("out")))
+        return F.aggregate(a, zero, step)
+
+    def whole(parts: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), folded(F.transform(parts, lambda p: p["all"]))["out"])
+        return _bound(before, lambda b: F.flatten(F.transform(parts, lambda p, i: F.transform(p["out"], lambda y: join(F.get(b, i), y)))))
+
+    return _bound(F.transform(_chunks(x), folded), whole)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _matches(df: DataFrame, text: str, name: str, pattern: str, needed: str | None = None) -> DataFrame:
     """Adds ``name``: array of (start, end, match, before, after) of all matches; the gaps between matches give places."""
-    found, gaps = f"{name}_m", f"{name}_g"
-    df = df.withColumn(found, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    found, gaps, starts = f"{name}_m", f"{name}_g", f"{name}_s"
+    all_ = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    df = df.withColumn(found, all_ if needed is None else F.when(F.contains(F.col(text), F.lit(needed)), all_).otherwise(F.array().cast("array<string>")))
     df = df.withColumn(gaps, F.when(F.size(found) > 0, F.split(text, pattern, -1)))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string,before:string,after:string>>").alias("out"))
+    steps = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.when(i > 0, F.length(F.get(found, i - 1))).otherwise(0))
+    df = df.withColumn(starts, F.when(F.size(found) > 0, running(steps, _sum)))
 
-    def step(acc: Column, i: Column) -> Column:
-        gap, m = F.get(gaps, i), F.get(found, i)
-        start = acc["at"] + F.length(gap)
-        end = start + F.length(m)
-        span = F.struct(start.alias("start"), end.alias("end"), m.alias("match"), F.right(gap, F.lit(AROUND)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(AROUND)).alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def span(m: Column, i: Column) -> Column:
+        start = F.get(starts, i)
+        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"), F.right(F.get(gaps, i), F.lit(AROUND)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(AROUND)).alias("after"))
 
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step)["out"]
-    return df.withColumn(name, F.when(F.size(found) > 0, spans).otherwise(zero["out"])).drop(found, gaps)
+    return df.withColumn(name, F.transform(found, span)).drop(found, gaps, starts)
 
 
 def features(kind: Column, s: Column) -> list[Column]:
@@ -250,17 +292,28 @@ def _as_column(tree: tuple | float, f: Column) -> Column:
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,base:boolean,score:double>>"
 
 
-def _order(spans: Column) -> Column:
-    return F.array_sort(spans)
+def settled(spans: Column) -> Column:
+    """Of base spans and proposals, in order: all base ones, the proposals that touch none, of overlapping ones the best.
+
+    The last proposal waits until nothing more can overlap it. A fold's state goes from chunk to chunk."""
+    one, none = SPAN[6:-1], F.array().cast(SPAN)
+    zero = F.struct(F.lit(0).alias("end"), F.lit(None).cast(one).alias("last"), none.alias("out"))
 
+    def step(acc: Column, x: Column) -> Column:
+        last = acc["last"]
+        apart = last.isNotNull() & (x["start"] >= last["end"])
+        put = F.when(apart, F.array(last)).otherwise(none)
+        free = x["start"] >= acc["end"]
+        base = F.struct(F.greatest(acc["end"], x["end"]).alias("end"), F.lit(None).cast(one).alias("last"), F.concat(acc["out"], put, F.array(x)).alias("out"))
+        new = F.struct(acc["end"].alias("end"), F.when(last.isNull() | apart | (x["score"] > last["score"]), x).otherwise(last).alias("last"), F.concat(acc["out"], put).alias("out"))
+        return F.when(x["base"], base).when(free, new).otherwise(acc)
 
-def _settle(acc: Column, x: Column) -> Column:
-    """Adds the next span by start: base spans stay, others give way to them and to better ones."""
-    last = F.element_at(acc["out"], -1)
-    clear = (F.size(acc["out"]) == 0) | (x["start"] >= acc["end"])
-    instead = x["base"] & ~last["base"] | ~x["base"] & ~last["base"] & (x["score"] > last["score"])
-    put = F.when(clear | (x["base"] & last["base"]), F.concat(acc["out"], F.array(x))).when(instead, F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(x))).otherwise(acc["out"])
-    return F.struct(F.when(~clear & ~x["base"] & last["base"], acc["end"]).otherwise(F.greatest(acc["end"], x["end"])).alias("end"), put.alias("out"))
+    def chunk(acc: Column, part: Column) -> Column:
+        start = F.struct(acc["end"].alias("end"), acc["last"].alias("last"), none.alias("out"))
+        return _bound(F.aggregate(part, start, step), lambda got: F.struct(got["end"].alias("end"), got["last"].alias("last"), F.concat(acc["out"], F.array(got["out"])).alias("out")))
+
+    first = F.struct(F.lit(0).alias("end"), F.lit(None).cast(one).alias("last"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    return _bound(F.aggregate(_chunks(spans), first, chunk), lambda got: F.concat(F.flatten(got["out"]), F.when(got["last"].isNotNull(), F.array(got["last"])).otherwise(none)))
 
 
 def _span(s: Column, kind: str, base: bool, score: Column) -> Column:
@@ -284,50 +337,68 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
 
-def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, text_col: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
     """docs with base and spans: arrays of (start, rank, kind, end, base, score) by start, then kind as in KINDS."""
     trees, least = model(docs.sparkSession)
-    own = "pii_text"
-    df = docs.withColumn(own, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    mine = "pii_" + "_" * max(map(len, docs.columns), default=0)  # no column of docs begins like that
+    own = f"{mine}text"
+    df = docs.drop(base, spans).withColumn(own, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     names, proposed = [], []
     for kind, pattern in BASE.items():
-        df = _matches(df, own, f"base_{kind}", pattern)
-        df = df.withColumn(f"base_{kind}", _base_spans(f"base_{kind}", kind))
-        names.append(f"base_{kind}")
+        name = f"{mine}base_{kind}"
+        df = _matches(df, own, name, pattern, NEEDED.get(kind))
+        df = df.withColumn(name, _base_spans(name, kind))
+        names.append(name)
     for i, (kind, pattern) in enumerate(GENERATORS):
-        name = f"more_{i}"
+        name = f"{mine}more_{i}"
         df = _matches(df, own, name, pattern)
         df = df.withColumn(name, F.when(F.size(name) > 0, _described(name, kind)))
         df = df.withColumn(name, F.coalesce(_scored(name, kind, trees, least[kind]), F.array().cast(SPAN)))
         proposed.append(name)
-    df = df.withColumn("base", _order(F.concat(*names))).withColumn("more", F.concat(*proposed)).drop(*names, *proposed)
-    settled = F.aggregate(_order(F.concat("base", "more")), F.struct(F.lit(0).alias("end"), F.array().cast(SPAN).alias("out")), _settle)["out"]
-    return df.withColumn("spans", F.when(F.size("more") > 0, _order(settled)).otherwise(F.col("base"))).drop("more", own)
+    more = f"{mine}more"
+    df = df.withColumn(base, F.array_sort(F.concat(*names))).withColumn(more, F.concat(*proposed)).drop(*names, *proposed)
+    both = F.array_sort(F.concat(base, more))
+    return df.withColumn(spans, F.when(F.size(more) > 0, settled(both)).otherwise(F.col(base))).drop(more, own)
 
 
 def listed(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Code points in a piece of a text: what lies between spans is cut from pieces, not from the whole.
+PIECE = 4096
+
+
+def _between(pieces: Column, a: Column, z: Column) -> Column:
+    """The code points from a to z, if a < z."""
+    i, j = F.floor(a / PIECE).cast("int"), F.floor((z - 1) / PIECE).cast("int")
+    first, last = F.coalesce(F.get(pieces, i), F.lit("")), F.coalesce(F.get(pieces, j), F.lit(""))
+    apart = F.concat(F.substring(first, a % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(last, F.lit(1), (z - 1) % PIECE + 1))
+    return F.when(a >= z, "").when(i == j, F.substring(first, a % PIECE + 1, z - a)).otherwise(apart)
+
+
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with <KIND> for each span of personal data in the text; of overlapping ones the first names the whole."""
-    df = find_pii(docs, text_col)
-    zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
+    mine = "red_" + "_" * max(map(len, docs.columns), default=0)
+    base, spans, ends, pieces = (f"{mine}{x}" for x in ("base", "spans", "ends", "pieces"))
+    df = find_pii(docs, text_col, base, spans).drop(base)
+    some = F.size(spans) > 0
+    #: how far the spans before each one reach
+    df = df.withColumn(ends, F.when(some, F.concat(F.array(F.lit(0)), running(F.transform(spans, lambda s: s["end"]), _most))))
+    df = df.withColumn(pieces, F.when(some, F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
 
-    def step(acc: Column, s: Column) -> Column:
-        cut = F.substring(F.col(text_col), acc["end"] + 1, F.greatest(s["start"] - acc["end"], F.lit(0)))
-        new = F.when(s["start"] >= acc["end"], F.concat(acc["out"], F.array(cut, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["end"], s["end"]).alias("end"), new.alias("out"))
+    def part(s: Column, i: Column) -> Column:
+        reached = F.get(ends, i)
+        return F.when(s["start"] >= reached, F.concat(_between(F.col(pieces), reached, s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
 
-    df = df.withColumn("spans", F.when(F.size("spans") > 0, F.aggregate("spans", zero, step)))
-    rest = F.expr(f"substring(`{text_col}`, spans.end + 1)")
-    return df.withColumn(text_col, F.when(F.col("spans").isNotNull(), F.concat(F.array_join("spans.out", ""), rest)).otherwise(F.col(text_col))).drop("spans", "base")
+    rest = _between(F.col(pieces), F.element_at(ends, -1), F.length(text_col))
+    return df.withColumn(text_col, F.when(some, F.concat(F.array_join(F.transform(spans, part), ""), rest)).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
     df = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [_count(k).alias(f"n_{k}") for k in BASE]
-    return df.select("doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return df.select("doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def python_base(text: str | None) -> list[tuple[str, int, int]]:
