@@ -40,8 +40,8 @@ CIRCLE = 1 << 20
 BANDS, ROWS = 48, 6
 #: Pivots that the members of a bucket meet before all that is left meets.
 PIVOTS = 3
-#: Shingles in a block of a family's texts, about; a longer text is a block with few others.
-BLOCK_SHINGLES = 60_000
+#: Shingles and texts in a block of a family, about; a longer text is a block with few others.
+BLOCK_SHINGLES, BLOCK_TEXTS = 60_000, 800
 #: Bands of the first round; it joins most copies, so that later rounds have few pairs.
 FIRST_BANDS = 6
 #: Cells in which shingles are counted for the order of prefixes, and the parts in which a task's counts travel.
@@ -182,7 +182,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 def _in_families(members: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """The links (a, b) between texts of one family f and different components c; members has (k, c, f)."""
     full = scratch.write(members.join(sets, "k"))
-    sizes = full.groupBy("f").agg(F.ceil(F.sum(F.size("grams")) / BLOCK_SHINGLES).cast("int").alias("blocks"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    sizes = full.groupBy("f").agg(F.ceil(F.greatest(F.sum(F.size("grams")) / BLOCK_SHINGLES, F.count("*") / BLOCK_TEXTS)).cast("int").alias("blocks"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
     sizes = scratch.write(sizes.select("f", "blocks"))
     placed = full.join(sizes, "f").withColumn("i", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     blocks = scratch.write(placed.groupBy("f", "i").agg(F.max("blocks").alias("blocks"), F.collect_list(F.struct("k", "c", "grams")).alias("texts")))
