@@ -113,6 +113,20 @@ def test_bpe_table(spark, docs, bpe):
     assert op2_bpe.encode_table(df.where("false"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_bpe_table_of_long_and_repeated_texts(spark, docs, bpe):
+    tiktoken = pytest.importorskip("tiktoken")
+    enc, P = bpe
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=enc.v.rank, special_tokens={})
+    r = random.Random(3)
+    texts = [prose(r, 150_000), "é" * 30_000, "x y", "x y", "x y"]
+    rows = op2_bpe.encode_table(docs(texts, ids=[0, 1, 2, 2, 3]), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
+    assert len(rows) == 5
+    for row in rows:
+        ids = ref.encode_ordinary(texts[min(row.doc_id, 2)])
+        assert row.n_tokens == len(ids) and row.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256(texts[min(row.doc_id, 2)].encode()).hexdigest()
+
+
 def test_bpe_refuses_other_vocabularies():
     with pytest.raises(ValueError):
         op2_bpe.Vocabulary([b"a", b"b"])
@@ -327,6 +341,13 @@ def test_mixing_targets_and_copies(spark):
     assert op8_mixing.mix_sources(df.where("false")).count() == 0
 
 
+def test_mixing_of_one_source_and_repeated_ids(spark):
+    rows = [(i % 7, " ".join(["w"] * (i % 11)), "only") for i in range(400)]
+    got = op8_mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert len(got) == 400 and (got.copies == 1).all() and (got.target == got["size"].sum()).all()
+    assert got.groupby("doc_id").size().to_dict() == {i: sum(x % 7 == i for x in range(400)) for i in range(7)}
+
+
 # --- op10 ------------------------------------------------------------------------------------------------------------
 
 

@@ -384,3 +384,22 @@ def test_pipeline_stages(spark, small):
     for _, stage in corpus.STAGES:
         empty = stage(spark, empty, small)
         assert empty.count() == 0
+
+
+def test_pipeline_of_odd_documents(spark, small):
+    """Extra columns of clashing names, null ids, one id for several texts, a very long text, and a folder without labels of a kind."""
+    corpus = pytest.importorskip("corpus_pipeline")
+    r = random.Random(3)
+    clean = lambda: " ".join(" ".join("".join(r.choices("aeinorst", k=r.randrange(2, 8))) for _ in range(9)).capitalize() + "." for _ in range(9))
+    one, other = clean(), clean()
+    rows = [(1, one), (1, other), (2, one), (2, one), (3, clean() + " mail a@b.cd"), (None, one), (None, None), (4, None), (5, ""), (6, clean() * 3000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x", "x", "x", 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, spans string, base string, digest string, copies int")
+    assert corpus.quality(spark, docs.where("text is not null and text <> ''"), small).columns == list(corpus.COLUMNS)
+    kept = sorted((x.doc_id, x.text) for x in corpus.near_dedup(spark, docs, small).collect() if x.doc_id is not None)
+    assert sorted(kept, key=str) == sorted({(1, one), (1, other), (3, rows[4][1]), (4, None), (5, ""), (6, rows[9][1])}, key=str)
+    assert corpus.near_dedup(spark, docs, small).where("doc_id is null").count() == 2
+    redacted = corpus.pii(spark, docs, small)
+    assert redacted.columns == list(corpus.COLUMNS) and redacted.where("doc_id = 3").first().text.endswith("mail <EMAIL>")
+    mixed = corpus.mixing(spark, redacted, small)
+    assert mixed.columns == list(corpus.COLUMNS)
+    assert corpus.tokens(spark, mixed, small).where("doc_id = 6").first().n_tokens > 10_000
