@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step takes, which holds some twenty words of 8 bytes for each; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 #: Rows and bytes in a batch that goes to Python, whichever is reached first; some rows are blocks of a MB.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 U64 = np.uint64
@@ -114,6 +115,25 @@ def steps(batch: pa.RecordBatch, column: str = "text", size: int = STEP_BYTES) -
         j = max(i + 1, int(np.searchsorted(o, o[i] + size, "right")) - 1)
         yield i, j, b[o[i] : o[j]], o[i : j + 1] - o[i]
         i = j
+    give_back()
+
+
+def _trim():
+    """The C library's function that gives free memory back to the system, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+_TRIM = _trim()
+
+
+def give_back() -> None:
+    """What a batch's arrays have taken goes back to the system, so that idle workers are small beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
