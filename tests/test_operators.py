@@ -87,7 +87,7 @@ def test_whole_texts(spark, tmp_path):
     texts = [start + " ".join(f"{x}{r.randrange(10**6)}" for _ in range(300)) for x in ("alpha", "gamma")]
     rows = [(i, t, "en", "s", len(t)) for i, t in ((0, texts[0]), (210, texts[1]), (240, texts[0]))]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [x.title + x.summary for x in A.articles(spark, str(tmp_path), whole=True).orderBy("article_id").collect()] == [t for _, t, *_ in rows]
+    assert [x.title + x.summary for x in A.articles(spark, str(tmp_path)).orderBy("article_id").collect()] == [t for _, t, *_ in rows]
     sizes = {x.article_id: x.n for x in Q.profiles(spark, str(tmp_path)).select("article_id", F.size("text_tokens").alias("n")).collect()}
     assert min(sizes.values()) > 290
     assert (0, 240) in {(x.left_id, x.right_id) for x in Q.dup_pairs(spark, str(tmp_path)).collect()}
@@ -96,7 +96,7 @@ def test_whole_texts(spark, tmp_path):
 def test_simhash_distance_of_all_candidates(spark, small):
     from tidewell.plans import queries as Q
 
-    p = D.profiles(Q.A.articles(spark, small, whole=True).withColumn("canonical_url", F.lit(""))).select("article_id", "simhash", D.blocking_keys().alias("keys")).collect()
+    p = Q.profiles(spark, small).select("article_id", "simhash", D.blocking_keys().alias("keys")).collect()
     brute = {(a.article_id, b.article_id): bin(a.simhash ^ b.simhash).count("1") for a in p for b in p if a.article_id < b.article_id and set(a["keys"]) & set(b["keys"])}
     got = Q.simhash_distance(spark, small).collect()
     assert {(x.left_id, x.right_id): x.bits for x in got} == brute and len(got) == len(brute) and max(x.right_id for x in got) >= 120
@@ -114,22 +114,136 @@ def test_variants_and_contributions(spark):
     assert {(r.publisher, r.article_id, r.contribution) for r in v.collect()} == {("src1", 2, "canonical"), ("src2", 3, "confirmation")}
 
 
-def test_selection_folds():
-    rows = [dict(story_id=i, feed=f, publisher=p, group=g) for i, f, p, g in [(1, "geo", "a", "x"), (2, "geo", "b", "y"), (3, "sw", "c", "z"), (4, "ai", "a", "w"), (5, "ai", "d", "x"), (6, "ai", "e", "v")]]
-    got = {s: (sel, why) for s, sel, _, why in C.fold(rows, 3, {"ai": 2, "geo": 1, "sw": 0}, 2)}
-    assert [s for s, (sel, _) in got.items() if sel] == [1, 4, 6]
-    assert got[2][1] == got[3][1] == "category_limit" and got[5][1] == "duplicate_suppression"
+def random_stories(r, n, words=26, urls=True):
+    """Articles of few words, so that many are alike; some share a URL, some have no time."""
+    pool = ["Harbour", "tunnel", "budget", "inflation", "GPT5", "semiconductor", "exploit", "patch", "markets", "climate", *(f"word{i}x" for i in range(words - 10))]
+    rows = []
+    for i in range(n):
+        title = r.sample(pool, r.choice([1, 3, 4, 5, 6]))
+        if rows and r.random() < 0.45:  # near an earlier one
+            title = rows[r.randrange(len(rows))][1].split(" ")
+            title[r.randrange(len(title))] = r.choice(pool)
+        summary = " ".join(r.sample(pool, r.randrange(1, 9)))
+        rows.append((i, " ".join(title), summary, r.choice(["AI", "Business", "Cyber"]), r.choice(["", "", "", f"https://a.b/{r.randrange(6)}"]) if urls else "", None if r.random() < 0.1 else r.randrange(9) * 86400 + r.randrange(3), r.choice("abcd")))
+    return rows
 
 
-def test_selection_keeps_quotas(spark):
+def profile_dicts(spark, rows):
+    p = D.profiles(_articles(spark, rows))
+    return p, {x.article_id: {**D.profile_of(x.asDict()), "keys": x["keys"]} for x in p.withColumn("keys", D.blocking_keys()).collect()}
+
+
+def test_decisions_in_python_are_those_of_the_expression(spark):
+    r = random.Random(4)
+    p, told = profile_dicts(spark, random_stories(r, 60))
+    side = F.struct(*D.PROFILE, "published_epoch")
+    s = p.select("article_id", side.alias("s"))
+    pairs = s.select(F.col("article_id").alias("i"), F.col("s").alias("l")).crossJoin(s.select(F.col("article_id").alias("j"), F.col("s").alias("r")))
+    seen = set()
+    for x in pairs.select("i", "j", D.decision().alias("d")).collect():
+        yes, why, score = D.decide(told[x.i], told[x.j])
+        assert (yes, why) == (x.d.duplicate, x.d.reason) and abs(score - x.d.score) < 1e-9
+        assert D.decide(told[x.j], told[x.i])[:2] == (yes, why)  # sides are of no account
+        seen.add(why)
+    assert len(seen) >= 7
+
+
+def grouped(rows, told):
+    """The sequential grouping: newest first, each against all members of the groups in which it shares a key."""
+    order = [x[0] for x in sorted(rows, key=lambda x: (-x[5] if x[5] is not None else float("inf"), x[0]))]
+    buckets, groups, of, edges = {}, [], {}, []
+    for i in order:
+        found = {}
+        for key in told[i]["keys"]:
+            for j in buckets.get(key, ()):
+                found.setdefault(of[j], None)
+        best = None
+        for g in found:
+            ds = [(D.decide(told[j], told[i]), j) for j in groups[g]]
+            if all(d[0] for d, _ in ds) and (best is None or min(d[2] for d, _ in ds) > best[0]):
+                best = (min(d[2] for d, _ in ds), g, ds)
+        if best:
+            edges += [(j, i, d[1], round(d[2], 3)) for d, j in best[2]]
+            groups[best[1]].append(i)
+            of[i] = best[1]
+        else:
+            of[i] = len(groups)
+            groups.append([i])
+        for key in told[i]["keys"]:
+            buckets.setdefault(key, []).append(i)
+    out = {}
+    for i in order:
+        mine = sorted((e for e in edges if i in e[:2]), key=lambda e: -e[3])
+        out[i] = (groups[of[i]][0], mine[0][2] if mine else "new_story", mine[0][3] if mine else 1.0)
+    return out
+
+
+def test_clusters_are_those_of_the_sequential_rule(spark):
+    r = random.Random(11)
+    rows = random_stories(r, 320)
+    rows += [(400 + i, *rows[7][1:5], r.randrange(5) * 86400, "z") for i in range(40)]  # copies of one
+    p, told = profile_dicts(spark, rows)
+    expected = grouped(rows, told)
+    got = {x.article_id: (x.story_id, x.match_reason, round(x.match_score, 3)) for x in D.memberships(p).collect()}
+    assert got == expected
+    assert len({x[0] for x in expected.values()}) < 300 and {x.article_id: x.story_id for x in D.clusters(p).collect()} == {i: x[0] for i, x in expected.items()}
+
+
+def test_history_is_matched_greedily(spark):
+    r = random.Random(12)
+    rows = random_stories(r, 90)
+    p, told = profile_dicts(spark, rows)
+    p = p.withColumnRenamed("article_id", "story_id").withColumn("last_seen_epoch", (F.col("story_id") * 7 % 5).cast("long"))
+    history, now = p.where("story_id % 3 = 0"), p.where("story_id % 3 > 0").withColumn("story_id", F.expr("story_id div 6"))
+    used, expected = set(), []
+    members = {}
+    for x in rows:
+        if x[0] % 3:
+            members.setdefault(x[0] // 6, []).append(x[0])
+    past = sorted((x[0] for x in rows if x[0] % 3 == 0), key=lambda i: (-(i * 7 % 5), i))
+    for story in sorted(members):
+        best = None
+        for h in past:
+            ds = [d for i in members[story] if (d := D.decide(told[h], told[i]))[0]]
+            if h not in used and ds and (best is None or max(d[2] for d in ds) > best[0] + 1e-12):
+                best = (max(d[2] for d in ds), h)
+        if best:
+            used.add(best[1])
+            expected.append((story, best[1], round(best[0], 6)))
+    got = sorted((x.story_id, x.history_id, round(x.score, 6)) for x in D.match_history_fuzzy(now, history).collect())
+    assert got == expected and len(got) > 5
+
+
+def test_selection_by_its_rule(spark):
     r = random.Random(1)
-    rows = [(f"r{i % 3}", i, r.choice("abc"), r.choice("pqrs"), str(r.randrange(30)), float(r.randrange(100)), r.randrange(100)) for i in range(90)]
-    df = spark.createDataFrame(rows, "run_id string, story_id long, feed string, publisher string, group string, final_score double, editorial long")
-    got = C.select_stories(df, 8, {"a": 3, "b": 3, "c": 3}, 3).toPandas()
-    assert len(got) == 90
-    picked = got[got.selected].merge(df.toPandas(), on=["run_id", "story_id"])
-    for _, g in picked.groupby("run_id"):
-        assert len(g) <= 8 and g.feed.value_counts().max() <= 3 and g.publisher.value_counts().max() <= 3 and g.group.is_unique
+    rows = random_stories(r, 150, urls=False)
+    p, told = profile_dicts(spark, rows)
+    extra = [(i, f"r{i % 3}", r.choice(["p", "q", "r", ""]), float(r.randrange(60)), r.randrange(9)) for i in range(150)]
+    df = p.withColumnRenamed("article_id", "story_id").join(spark.createDataFrame(extra, "story_id long, run_id string, publisher string, final_score double, editorial long"), "story_id")
+    limits = {"ai": 3, "security": 4}
+    got = {x.story_id: x for x in C.select_stories(df, 9, limits, 3).collect()}
+    feeds = {x.article_id: x.feed for x in p.select("article_id", "feed").collect()}
+    why = set()
+    for run in ("r0", "r1", "r2"):
+        chosen = []
+        for i, _, who, _, _ in sorted((x for x in extra if x[1] == run), key=lambda x: (-x[3], -x[4], x[0])):
+            dup = next((j for j, _ in chosen if D.decide(told[i], told[j])[0]), None)
+            if len(chosen) >= 9:
+                expected = "capacity"
+            elif sum(feeds[j] == feeds[i] for j, _ in chosen) >= limits.get(feeds[i], 9):
+                expected = "category_limit"
+            elif who and sum(w == who for _, w in chosen) >= 3:
+                expected = "publisher_cap"
+            elif dup is not None:
+                expected = "duplicate_suppression"
+                assert got[i].duplicate_of == dup and got[i].duplicate_reason == D.decide(told[i], told[dup])[1]
+            else:
+                expected = "global_rank"
+                assert got[i].selection_rank == len(chosen)
+                chosen.append((i, who))
+            assert got[i].reason == expected and got[i].selected == (expected == "global_rank")
+            why.add(expected)
+    assert len(why) == 5
 
 
 def test_exploration_is_a_permutation(spark):
@@ -155,6 +269,25 @@ def test_exploration_by_its_rule(spark):
     assert got.sort_values("position").item_id.tolist() == order
 
 
+def test_exploration_of_ties_by_the_hash_of_whole_characters(spark):
+    def hashed(text):
+        h = 2166136261
+        for c in text:
+            h = (h ^ ord(c)) * 16777619 % 2**32
+        return h
+
+    ids = [f"{c}{i}" for i in range(20) for c in "aąЖ"]
+    rows = [("u", x, n, 5, 1.0) for n, x in enumerate(ids)]
+    order, pool = list(ids), sorted(ids, key=lambda x: hashed(f"2024-01-31:{x}"))
+    for slot in range(9, len(ids), 10):
+        found = next((x for x in pool if order.index(x) > slot), None)
+        if found is not None:
+            j = order.index(found)
+            order[slot], order[j] = order[j], order[slot]
+    got = R.explored(spark.createDataFrame(rows, "user_id string, item_id string, model_rank long, editorial long, preference double"), "2024-01-31").toPandas()
+    assert got.sort_values("position").item_id.tolist() == order
+
+
 def test_all_items_are_ranked_for_readers(spark, small, monkeypatch):
     from tidewell.plans import queries as Q
 
@@ -241,11 +374,99 @@ def test_runs(spark):
 
 
 def test_portfolio(spark):
-    rows = [("a", "ai", "auto", 90.0), ("b", "ai", "auto", 80.0), ("c", "ai", "auto", 70.0), ("d", "sw", "always_on", 10.0), ("e", "sw", "auto", 60.0), ("f", "sw", "blocked", 99.0)]
-    df = spark.createDataFrame(rows, "source_id string, feed string, mode string, score double")
-    assert {r.source_id: r.role for r in P.portfolio(df, 6, 1).collect()} == {"a": "category_minimum", "b": "category_minimum", "c": "budget", "d": "always_on", "e": "category_minimum", "f": "none"}
-    now = P.churn_limited(pd.DataFrame({"source_id": ["always", "new1", "new2", "old", "blocked"], "mode": ["always_on", "auto", "auto", "auto", "blocked"], "wanted": [True, True, True, False, False]}), {"always", "old", "blocked"})
-    assert now == {"always", "old", "new1"}
+    rows = [("a", "ai", "auto", 90.0), ("b", "ai", "auto", 80.0), ("c", "ai", "auto", 70.0), ("d", "sw", "always_on", 10.0), ("e", "sw", "auto", 60.0), ("f", "sw", "blocked", 99.0), ("g", "sw", "auto", 5.0), ("h", "sw", "auto", 6.0)]
+    df = spark.createDataFrame([(*x, 4 if x[0] in "gh" else 0, 0.1 if x[0] == "g" else 0.5) for x in rows], "source_id string, feed string, mode string, score double, healthy_probes long, confidence double")
+    assert {r.source_id: r.role for r in P.portfolio(df, 6, 1).collect()} == {"a": "category_minimum", "b": "category_minimum", "c": "budget", "d": "always_on", "e": "category_minimum", "f": "none", "g": "explore", "h": "none"}
+
+
+def plain_portfolio(sources, previous, minimum, budget, explore, probes, ratio):
+    """The whole automatic policy, a step after the other; sources: id, feed, mode, score, confidence, healthy."""
+    feeds = P.V.FEEDS
+    by = {s[0]: s for s in sources}
+    auto = sorted((s for s in sources if s[2] == "auto"), key=lambda s: (-s[3], s[0]))
+    picked = [s[0] for s in sources if s[2] == "always_on"]
+    for f in feeds:
+        for s in auto:
+            if s[1] == f and sum(by[x][1] == f for x in picked) < minimum and s[0] not in picked:
+                picked.append(s[0])
+    for s in auto:
+        if len(picked) < max(budget - explore, 0) and s[0] not in picked:
+            picked.append(s[0])
+    new = [s[0] for s in sorted((s for s in auto if s[0] not in picked and s[5] >= 3), key=lambda s: s[4])][:explore]
+    picked += new
+    actual = set(picked)
+    if previous:
+        actual = {x for x in previous if by[x][2] != "blocked"} | {s[0] for s in sources if s[2] == "always_on"}
+        moves = [x for x in picked if x not in actual] + sorted(x for x in actual if x not in picked and by[x][2] == "auto")
+        for x in moves[: max(1, int(len(previous) * ratio))]:
+            actual ^= {x}
+    for f in feeds:
+        for s in auto:
+            if s[1] == f and s[0] in picked and sum(by[x][1] == f for x in actual) < minimum:
+                actual.add(s[0])
+    probe = [s[0] for s in auto if s[0] not in actual and s[4] < 0.3][:probes]
+    return {s[0]: (s[0] in actual, s[0] in picked, ("explore" if s[0] in new else "selected") if s[0] in actual else "probe" if s[0] in probe else "skipped") for s in sources}
+
+
+def test_automatic_portfolio_by_its_rule(spark):
+    for seed in range(6):
+        r = random.Random(seed)
+        sources = [(f"s{i:02d}", r.choice(P.V.FEEDS), r.choice(["auto"] * 6 + ["always_on", "blocked"]), float(r.randrange(100)), r.randrange(11) / 10, r.randrange(6)) for i in range(40)]
+        previous = {s[0] for s in sources if r.random() < 0.4} if seed else set()
+        df = spark.createDataFrame([(*s, True, 40) for s in sources], "source_id string, feed string, mode string, score double, confidence double, healthy_probes long, enabled boolean, category_need int")
+        before = spark.createDataFrame([(x,) for x in previous], "source_id string")
+        got = P.decisions(P.limited_changes(P.portfolio(df, 20, 2, 3), before, 0.2, 3), automatic=True, probes=2).collect()
+        assert {x.source_id: (x.actual_selected, x.proposed_selected, x.role) for x in got} == plain_portfolio(sources, previous, 3, 20, 2, 2, 0.2), seed
+
+
+def test_runs_advance(spark):
+    clock = iter(range(0, 1000, 10))
+    stages, active = L.start_run(L.new_run(spark, "a"), "b")
+    assert active == "a" and stages.count() == 7
+    done = []
+
+    def runner(name):
+        def run(metrics):
+            batch, metrics = L.next_batch(list(range(9)), metrics)
+            done.append((name, batch))
+            if name == "reader_publication":
+                raise ValueError("no")
+            return name != "enrichment" or len(metrics["processed"]) == 9, metrics
+
+        return run
+
+    stages, ran, metrics = L.advance_until(stages, "a", {s: runner(s) for s in L.ORDER}, lambda: next(clock), 500)
+    assert ran == ["source_fetch", "article_normalization", "story_clustering", "enrichment", "enrichment", "enrichment", "editorial_scoring", "reader_publication"]
+    assert [b for n, b in done if n == "enrichment"] == [[0, 1, 2, 3], [4, 5, 6, 7], [8]] and metrics["reader_publication"] == {"error": "no"}
+    assert L.run_status(stages).first().status == "failed" and L.run_status(L.reset(L.retry(stages, "a"), "a")).first().status == "cancelled"
+    assert L.start_run(stages, "b")[1] == "b"
+    spent, ran, _ = L.advance_until(L.retry(stages, "a"), "a", {s: lambda m: (True, m) for s in L.ORDER}, iter([0, 1, 100, 200]).__next__, 50)
+    assert ran == ["reader_publication"]
+
+
+def test_frozen_portfolios(spark):
+    old = spark.createDataFrame([("r1", "s")], "run_id string, source_id string")
+    build = lambda: spark.createDataFrame([("t",)], "source_id string")
+    assert [tuple(x) for x in P.frozen_portfolio(old, "r1", build).collect()] == [("r1", "s")] and [tuple(x) for x in P.frozen_portfolio(old, "r2", build).collect()] == [("r2", "t")]
+
+
+def test_places_over_all_rows(spark, monkeypatch):
+    from tidewell.operators import order as O
+
+    monkeypatch.setattr(O, "SAMPLE", 40)
+    r = random.Random(3)
+    rows = [(i, r.choice([1, 1, 1, 1, 2, 7]), r.randrange(3)) for i in range(500)]  # one value has most rows
+    df = spark.createDataFrame(rows, "id long, a long, b long")
+    got = {x.id: x.place for x in O.placed(df, [("a", True), ("b", False), ("id", False)], "place").collect()}
+    assert got == {x[0]: n for n, x in enumerate(sorted(rows, key=lambda x: (-x[1], x[2], x[0])))}
+    assert O.placed(df.where("false"), [("a", True), ("id", False)], "place").count() == 0
+
+
+def test_replaced_runs_on_disk(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "run_id string, n long")
+    M.replace_runs(df, f"{tmp_path}/t")
+    M.replace_runs(spark.createDataFrame([("b", 3)], df.schema), f"{tmp_path}/t")
+    assert sorted((x.run_id, x.n) for x in spark.read.parquet(f"{tmp_path}/t").collect()) == [("a", 1), ("b", 3)]
 
 
 def test_changes_and_history(spark):

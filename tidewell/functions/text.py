@@ -133,24 +133,46 @@ def _normal(keyword: str) -> str:
     return " ".join(re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", keyword).lower()))
 
 
-def matching_keywords(c: Column, keywords: list[str]) -> Column:
-    """The keywords whose tokens follow one another in the text, in the order of the list, each normal form once."""
+def spaced(c: Column) -> Column:
+    """The tokens of a text, a space around each: what keywords are looked up in."""
+    return F.concat(F.lit(" "), F.array_join(keyword_tokens(F.coalesce(c, F.lit(""))), " "), F.lit(" "))
+
+
+def _forms(keywords: list[str]) -> dict[str, str]:
+    """Each normal form once, with the first keyword that has it."""
     forms: dict[str, str] = {}
     for k in keywords:
         if n := _normal(k):
             forms.setdefault(n, k)
-    spaced = F.concat(F.lit(" "), F.array_join(keyword_tokens(c), " "), F.lit(" "))
+    return forms
+
+
+def matching_keywords(c: Column, keywords: list[str], among: Column | None = None) -> Column:
+    """The keywords whose tokens follow one another in the text, in the order of the list, each normal form once.
+
+    ``among`` is spaced(c) where a query has it already."""
+    forms = _forms(keywords)
     if not forms:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*(F.when(F.contains(spaced, F.lit(f" {n} ")), F.lit(k)) for n, k in forms.items())))
+    found = lambda s: F.array_compact(F.array(*(F.when(F.contains(s, F.lit(f" {n} ")), F.lit(k)) for n, k in forms.items())))
+    return let(spaced(c), found) if among is None else found(among)
 
 
-def hits(c: Column, keywords: list[str]) -> Column:
-    return F.size(matching_keywords(c, keywords))
+def hits(c: Column, keywords: list[str], among: Column | None = None) -> Column:
+    """How many of the keywords the text has."""
+    forms = _forms(keywords)
+    if not forms:
+        return F.lit(0)
+    count = lambda s: reduce(lambda a, b: a + b, [F.contains(s, F.lit(f" {n} ")).cast("int") for n in forms])
+    return let(spaced(c), count) if among is None else count(among)
 
 
-def any_keyword(c: Column, keywords: list[str]) -> Column:
-    return hits(c, keywords) > 0
+def any_keyword(c: Column, keywords: list[str], among: Column | None = None) -> Column:
+    forms = _forms(keywords)
+    if not forms:
+        return F.lit(False)
+    some = lambda s: reduce(lambda a, b: a | b, [F.contains(s, F.lit(f" {n} ")) for n in forms])
+    return let(spaced(c), some) if among is None else some(among)
 
 
 def feedback_keywords(c: Column, most: int = 40) -> Column:
@@ -195,11 +217,25 @@ def fingerprint(tokens: Column) -> Column:
     return F.array_join(F.slice(F.sort_array(F.array_distinct(tokens)), 1, 12), " ")
 
 
+#: Texts of more tokens have their bits counted one by one, as a counter of 16 bits would not hold.
+LANE = 60_000
+
+
 def simhash32(tokens: Column) -> Column:
-    """A bit is set where more tokens' hashes have it than have not; a token's hash is the first 4 bytes of its SHA-256."""
+    """A bit is set where more tokens' hashes have it than have not; a token's hash is the first 4 bytes of its SHA-256.
+
+    Four bits are counted at a time, in the 16-bit lanes of a long."""
     hashes = F.transform(tokens, lambda t: F.conv(F.substring(F.sha2(t.cast("binary"), 256), 1, 8), 16, 10).cast("long"))
-    bit = lambda h, i: F.when(2 * F.size(F.filter(h, lambda x: F.shiftright(x, i).bitwiseAND(F.lit(1)) == 1)) > F.size(h), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-    return let(hashes, lambda h: reduce(lambda a, b: a + b, [bit(h, i) for i in range(32)]))
+    lanes = F.array(*(F.lit(sum((x >> k & 1) << 16 * k for k in range(4))) for x in range(16)))
+
+    def four(h: Column, g: int) -> Column:
+        count = F.aggregate(h, F.lit(0).cast("long"), lambda n, x: n + F.get(lanes, F.shiftright(x, 4 * g).bitwiseAND(F.lit(15)).cast("int")))
+        bit = lambda n, k: F.when(2 * F.shiftright(n, 16 * k).bitwiseAND(F.lit(65535)) > F.size(h), F.lit(1 << 4 * g + k)).otherwise(F.lit(0)).cast("long")
+        return let(count, lambda n: reduce(lambda a, b: a + b, [bit(n, k) for k in range(4)]))
+
+    one = lambda h, i: F.when(2 * F.size(F.filter(h, lambda x: F.shiftright(x, i).bitwiseAND(F.lit(1)) == 1)) > F.size(h), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+    add = lambda parts: reduce(lambda a, b: a + b, parts)
+    return let(hashes, lambda h: F.when(F.size(h) <= LANE, add([four(h, g) for g in range(8)])).otherwise(add([one(h, i) for i in range(32)])))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -255,6 +291,24 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"[\p{L}\p{N}]+"))
 
 
+def readable(html: Column) -> Column:
+    """struct(text, n_words, n_paragraphs, mode): a page's text, at most 200,000 characters, and whether it can be read here.
+
+    It can with 170 words, or 120 in two paragraphs, or 90 in four of 700 characters, unless it asks to subscribe; else
+    it is named for what it has instead."""
+
+    def judged(p: Column) -> Column:
+        words, full = word_count(p["text"]), F.length(p["text"]) >= 700
+        enough = (words >= 170) | (words >= 120) & (p["paragraphs"] >= 2) | (words >= 90) & (p["paragraphs"] >= 4) & full
+        mode = F.when(enough & ~p["wall"], "readable").when(p["wall"], "insufficient_text").when(p["audio"], "audio_only").when(p["video"], "video_only").otherwise("insufficient_text")
+        return F.struct(p["text"].alias("text"), words.alias("n_words"), p["paragraphs"].alias("n_paragraphs"), mode.alias("mode"))
+
+    def parts(content: Column) -> Column:
+        return F.struct(F.substring(readable_text(content), 1, 200_000).alias("text"), paragraph_count(content).alias("paragraphs"), plain_text(content).rlike("(?i)" + V.ACCESS_WALL).alias("wall"), html.rlike("(?i)" + V.AUDIO_SIGNAL).alias("audio"), html.rlike("(?i)" + V.VIDEO_SIGNAL).alias("video"))
+
+    return let(let(content_html(html), parts), judged)
+
+
 def meta_description(c: Column) -> Column:
     plain = F.regexp_extract(c, r"""(?is)<meta\b[^>]*name=["']description["'][^>]*content=["']([^"']*)["']""", 1)
     graph = F.regexp_extract(c, r"""(?is)<meta\b[^>]*property=["']og:description["'][^>]*content=["']([^"']*)["']""", 1)
@@ -328,6 +382,16 @@ def _parsed(c: Column) -> Column:
 
 
 def fnv1a32(c: Column) -> Column:
-    """FNV-1a over the characters of an ASCII text."""
-    chars = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
-    return F.aggregate(chars, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
+    """FNV-1a over the UTF-16 units of a text."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("(....)"), F.lit(1)), lambda x: F.conv(x, 16, 10).cast("long"))
+    return F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def js_number(c: Column, digits: int = 3) -> Column:
+    """A number as text, rounded, without zeros at its end."""
+    return F.regexp_replace(F.round(c, digits).cast(f"decimal(30,{digits})").cast("string"), r"\.?0+$", "")
+
+
+def truncated(c: Column, most: int) -> Column:
+    """At most so many characters, the last of them an ellipsis where something is cut off."""
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 1), F.lit("…"))).otherwise(c)

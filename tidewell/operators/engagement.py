@@ -12,15 +12,63 @@ EVENT_TYPES = ["impression", "fast_read", "source_open", "read", "save", "archiv
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 
 
+SORTS = ["for-you", "top", "latest"]
+BATCH, JSON_CHARS, REASONS, REASON_CHARS = 100, 5000, 20, 200
+
+
 def event_problems(df: DataFrame) -> DataFrame:
-    """Adds problems: the codes of what is wrong with an event; a batch stands only if none of its events has one."""
-    bad = [
-        F.when(~F.col("event_type").isin(EVENT_TYPES) | F.col("event_type").isNull(), "event_type"),
-        F.when(F.col("session_id").isNull() | (F.length("session_id") > 100), "session_id"),
-        F.when(F.col("rank").isNotNull() & ~F.col("rank").between(0, 10_000), "rank"),
-        F.when(~F.coalesce("origin", F.lit("direct")).isin("direct", "bulk", "automatic"), "origin"),
-    ]
-    return df.withColumn("problems", F.array_compact(F.array(*bad)))
+    """Adds problems: what is wrong with an event. Columns that df lacks are taken as not given.
+
+    event_type, session_id, news_item_id, story_cluster_id, context_uuid, rank, model_rank, rank_score, feed, sort_mode,
+    policy, origin as they are; metadata and score_components as JSON text; reasons as an array."""
+    has = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    given = lambda c, ok: has(c).isNotNull() & ~F.coalesce(ok, F.lit(False))
+    whole = lambda c: given(c, (has(c).cast("double") >= 0) & (has(c).cast("double") == F.floor(has(c).cast("double"))))
+    number = has("rank_score").cast("double")
+    reasons = F.col("reasons") if "reasons" in df.columns else F.lit(None).cast("array<string>")
+    fits = (F.size(reasons) <= REASONS) & F.forall(reasons, lambda r: F.coalesce(F.length(r).between(1, REASON_CHARS), F.lit(False))) & (F.length(F.to_json(reasons)) <= JSON_CHARS)
+    bad = {
+        "event_type": ~F.coalesce(has("event_type").isin(EVENT_TYPES), F.lit(False)),
+        "session_id": ~F.coalesce(has("session_id").rlike(UUID), F.lit(False)),
+        **{c: given(c, has(c).rlike(UUID)) for c in ("news_item_id", "story_cluster_id", "context_uuid")},
+        "rank": whole("rank"),
+        "model_rank": whole("model_rank"),
+        "rank_score": given("rank_score", ~F.isnan(number) & (F.abs(number) != float("inf"))),
+        "feed": given("feed", F.length(has("feed")) <= 100),
+        "sort_mode": given("sort_mode", has("sort_mode").isin(SORTS)),
+        "policy": given("policy", F.length(has("policy")).between(1, 100)),
+        "origin": given("origin", has("origin").isin("direct", "bulk", "automatic")),
+        "metadata": given("metadata", F.length(has("metadata")) <= JSON_CHARS),
+        "score_components": given("score_components", has("score_components").rlike(r"^\s*\{") & (F.length(has("score_components")) <= JSON_CHARS)),
+        "reasons": reasons.isNotNull() & ~F.coalesce(fits, F.lit(False)),
+    }
+    return df.withColumn("problems", F.array_compact(F.array(*(F.when(c, k) for k, c in bad.items()))))
+
+
+def accepted_batches(df: DataFrame, batch: str) -> DataFrame:
+    """(batch, n, n_bad, accepted): a batch stands whole, if it has at most 100 events and none has a problem."""
+    out = event_problems(df).groupBy(batch).agg(F.count("*").alias("n"), F.count_if(F.size("problems") > 0).alias("n_bad"))
+    return out.withColumn("accepted", (F.col("n") <= BATCH) & (F.col("n_bad") == 0))
+
+
+def state_events(states: DataFrame) -> DataFrame:
+    """(user_id, item_id, at, event_type): what a change of an item's state says: saved, else read, else archived.
+
+    states: user_id, item_id, at, saved_at, read_at, archived_at, one row for each state in time."""
+    w = Window.partitionBy("user_id", "item_id").orderBy("at")
+    turned = lambda c: F.lag(c).over(w).isNull() & F.col(c).isNotNull()
+    event = F.when(turned("saved_at"), "save").when(turned("read_at"), "read").when(turned("archived_at"), "archive")
+    return states.select("user_id", "item_id", "at", F.when(F.row_number().over(w) > 1, event).alias("event_type")).where("event_type is not null")
+
+
+def ignored(feedback: DataFrame, stories: DataFrame, by: str, most: int = 5) -> DataFrame:
+    """(user_id, label, n): the sources or categories of the stories of which a reader wants less, the most frequent ones."""
+    n = feedback.where("sentiment = 'less'").join(stories.select("story_id", F.col(by).alias("label")), "story_id").groupBy("user_id", "label").agg(F.count("*").alias("n"))
+    return n.withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "label"))).where(F.col("_r") <= most).drop("_r")
+
+
+def since(events: DataFrame, as_of: int, days: int = 180, at: str = "epoch") -> DataFrame:
+    return events.where(F.col(at) >= as_of - days * 86400)
 
 
 def impression_key(df: DataFrame) -> Column:
@@ -68,14 +116,14 @@ def reader_value(events: DataFrame, story_sources: DataFrame) -> DataFrame:
 
 def source_quality(observations: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """Reliability, yields, values, label and recommendation of each source."""
-    o = observations.groupBy("source_id").agg(F.count("*").alias("runs"), F.count_if("succeeded").alias("ok"), *(F.sum(c).alias(c) for c in ("parsed", "eligible", "unique_stories", "selected", "confirmed")))
+    o = observations.groupBy("source_id").agg(F.count("*").alias("runs"), F.count_if("succeeded").alias("ok"), *(F.sum(c).alias(c) for c in ("parsed", "eligible", "unique_stories", "selected", "confirmed")), F.round(F.avg("duration_ms") if "duration_ms" in observations.columns else F.lit(0.0), 6).alias("mean_duration_ms"))
     o = o.withColumn("value", F.lit(0.0)) if values is None else o.join(values, "source_id", "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
     pct = lambda a, b: X.percentage(F.col(a), F.col(b))
     o = o.withColumns({"reliability": pct("ok", "runs"), "fresh_yield": pct("eligible", "parsed"), "unique_yield": pct("unique_stories", "eligible"), "selection_value": pct("selected", "unique_stories"), "confirmation_value": pct("confirmed", "unique_stories"), "reader_value": X.clamp(X.js_round(F.col("value") / F.greatest(F.lit(1), F.col("selected")) * 25), 0, 100).cast("long")})
     label = F.when(F.col("runs") < 5, "Collecting data").when(F.col("reliability") < 75, "Often unavailable").when(F.col("fresh_yield") < 10, "Low fresh yield").when(F.col("selection_value") >= 35, "Often selected").when(F.col("confirmation_value") >= 35, "Useful confirmation").when(F.col("reliability") >= 95, "Reliable").otherwise("Needs review")
     o = o.withColumn("label", label)
     advice = F.when((F.col("runs") >= 8) & (F.col("reliability") < 40), "consider_pausing").when(F.col("label").isin("Needs review", "Low fresh yield", "Often unavailable"), "review").otherwise("keep")
-    return o.withColumn("recommendation", advice).select("source_id", "runs", "reliability", "fresh_yield", "unique_yield", "selection_value", "confirmation_value", "reader_value", "label", "recommendation")
+    return o.withColumn("recommendation", advice).select("source_id", "runs", "reliability", "fresh_yield", "unique_yield", "selection_value", "confirmation_value", "reader_value", "label", "recommendation", "mean_duration_ms")
 
 
 def exposure_islands(samples: DataFrame, least_ms: int = 500) -> DataFrame:

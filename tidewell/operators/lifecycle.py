@@ -53,6 +53,59 @@ def expired(items: DataFrame, as_of: int, days: int, at: str = "published_epoch"
 
 def runs_beyond(runs: DataFrame, keep: int) -> DataFrame:
     """Finished runs after the newest ``keep``."""
-    from pyspark.sql import Window
-
-    return runs.withColumn("_n", F.row_number().over(Window.orderBy(F.desc("created_epoch"), F.desc("run_id")))).where(F.col("_n") > keep).drop("_n")
+    newest = runs.orderBy(F.desc("created_epoch"), F.desc("run_id")).limit(keep).select("run_id")
+    return runs.join(newest, "run_id", "left_anti")
+
+
+def advance(stages: DataFrame, run_id: str, runners: dict, now: int, metrics: dict | None = None) -> tuple[DataFrame, str | None, dict]:
+    """One step of a run: reclaims a stale stage, claims the first that is queued, runs it by name, and records how it ended.
+
+    A runner takes the metrics it left behind and returns (done, metrics); a stage that is not done is queued again and
+    finds its metrics next time. Returns the stages, the name of the stage that ran, if any, and all metrics."""
+    metrics = dict(metrics or {})
+    stages = reclaim_stale(stages, now)
+    first = claimable(stages).where(F.col("run_id") == run_id).first()
+    if first is None:
+        return stages, None, metrics
+    name = first["stage"]
+    stages = transition(stages, run_id, name, "running", now)
+    try:
+        done, metrics[name] = runners[name](metrics.get(name, {}))
+    except Exception as e:  # noqa: BLE001  a stage's failure is a state of the run
+        metrics[name] = {"error": str(e)}
+        return transition(stages, run_id, name, "failed", now), name, metrics
+    return transition(stages, run_id, name, "succeeded" if done else "queued", now), name, metrics
+
+
+def advance_until(stages: DataFrame, run_id: str, runners: dict, clock, budget: float = 55.0, metrics: dict | None = None) -> tuple[DataFrame, list[str], dict]:
+    """Steps until nothing is to be claimed, a stage has failed, or the budget of seconds is spent."""
+    began, ran = clock(), []
+    while clock() - began < budget:
+        stages, name, metrics = advance(stages, run_id, runners, int(clock()), metrics)
+        if name is None:
+            break
+        ran.append(name)
+        stages = stages.sparkSession.createDataFrame(stages.collect(), stages.schema)  # seven rows a run: the plan starts afresh
+    return stages, ran, metrics or {}
+
+
+def run_status(stages: DataFrame) -> DataFrame:
+    """(run_id, status): failed, running, queued or succeeded, as its stages are."""
+    s = F.col("status")
+    return stages.groupBy("run_id").agg(F.when(F.bool_or(s == "failed"), "failed").when(F.every(s.isin("succeeded", "skipped")), F.when(F.bool_or(s == "skipped"), "cancelled").otherwise("succeeded")).when(F.bool_or(s.isin("running", "succeeded")), "running").otherwise("queued").alias("status"))
+
+
+def start_run(stages: DataFrame, run_id: str) -> tuple[DataFrame, str]:
+    """A new run, unless one is queued or running: then that one, the newest by name."""
+    active = run_status(stages).where("status in ('queued', 'running')").agg(F.max("run_id")).first()[0]
+    if active is not None:
+        return stages, active
+    return stages.unionByName(new_run(stages.sparkSession, run_id)), run_id
+
+
+def next_batch(candidates: list, metrics: dict, most: int = 4) -> tuple[list, dict]:
+    """Of candidates, frozen in the metrics the first time, the next few that are not processed; and the metrics after them."""
+    frozen = metrics.get("candidates") or list(candidates)
+    done = metrics.get("processed", [])
+    batch = [c for c in frozen if c not in set(done)][:most]
+    return batch, {**metrics, "candidates": frozen, "processed": [*done, *batch]}

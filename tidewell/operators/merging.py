@@ -34,6 +34,17 @@ def monotone(old: DataFrame, new: DataFrame, key: str, count: str) -> DataFrame:
     return old.select(key, F.col(count).alias("_c")).join(new.select(key, count), key, "full").select(key, F.greatest(F.coalesce("_c", F.lit(0)), F.coalesce(count, F.lit(0))).alias(count))
 
 
+def update_from(target: DataFrame, source: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """target with the columns of the matching row of source, one at most for each key; where there is none, or it has null, target's own stay."""
+    s = source.select(*keys, *(F.col(c).alias(f"_{c}") for c in columns))
+    return target.join(s, keys, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).select(*target.columns)
+
+
+def replaced(old: DataFrame, new: DataFrame, run_col: str = "run_id") -> DataFrame:
+    """The rows of old, but of the runs that new has, and those of new."""
+    return old.join(new.select(run_col).distinct(), run_col, "left_anti").select(*new.columns).unionByName(new)
+
+
 def replace_runs(df: DataFrame, path: str, run_col: str = "run_id") -> None:
     """Writes df so that only the runs it has are replaced."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run_col).parquet(path)

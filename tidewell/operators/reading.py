@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
 from tidewell.functions import values as V
+from tidewell.operators.order import placed
 
 PREFERENCE_LIMIT = 9
 
@@ -69,11 +70,58 @@ def update_boost(first_selected: Column, changed: Column, visit: Column, is_new:
 
 
 def ranked(items: DataFrame, sort: str = "for-you", policy: str = "v2", partition: list[str] = ()) -> DataFrame:
-    """Adds rank_score and model_rank, from 0; items have editorial, preference, freshness, update, selected_epoch, item_id."""
+    """Adds rank_score and model_rank, from 0; items have editorial, preference, freshness, update, selected_epoch, item_id.
+
+    Within each group of partition, or over all items."""
     pref = X.clamp(F.col("preference"), -PREFERENCE_LIMIT, PREFERENCE_LIMIT) if policy == "v2" else F.col("preference")
     df = items.withColumn("rank_score", (F.col("editorial") + pref + F.col("freshness") + F.col("update")).cast("double"))
-    order = {"top": [F.desc("editorial"), "item_id"], "latest": [F.desc("selected_epoch"), "item_id"], "for-you": [F.desc("rank_score"), *([F.desc("editorial")] if policy == "v2" else []), "item_id"]}[sort]
-    return df.withColumn("model_rank", (F.row_number().over(Window.partitionBy(*(partition or [F.lit(0)])).orderBy(*order)) - 1).cast("long"))
+    order = {"top": [("editorial", True)], "latest": [("selected_epoch", True)], "for-you": [("rank_score", True), *([("editorial", True)] if policy == "v2" else [])]}[sort] + [("item_id", False)]
+    if not partition:
+        return placed(df, order, "model_rank")
+    by = [F.desc(c) if down else F.asc(c) for c, down in order]
+    return df.withColumn("model_rank", (F.row_number().over(Window.partitionBy(*partition).orderBy(*by)) - 1).cast("long"))
+
+
+def visit_flags(items: DataFrame) -> DataFrame:
+    """Adds is_new, is_updated and update: what a reader with a last visit has not seen; items have first_selected, changed, visit (epochs), changes."""
+    new = F.coalesce(F.col("first_selected") > F.col("visit"), F.lit(False))
+    updated = ~new & F.coalesce(F.col("changed") > F.col("visit"), F.lit(False))
+    return items.withColumns({"is_new": new, "is_updated": updated, "update": update_boost(F.col("first_selected"), F.col("changed"), F.col("visit"), F.array_contains("changes", "new"), F.size("changes") > 0)})
+
+
+# What a place in the feed is said to rest on.
+LIKED, DISLIKED, RECENT = "Matches your preferences", "Lowered by your preferences", "Recently selected"
+NEW, UPDATED, EITHER = "New since your last visit", "Materially updated", "New or materially updated since your last visit"
+CONFIRMED, EXPLORED = "Confirmed by {} sources", "Exploration pick"
+IMPORTANT, LESS_IMPORTANT, LATEST = "High editorial importance", "Editorial importance", "Most recently selected"
+# End of fixed values.
+
+
+def ranking_reasons(sort: str = "for-you", policy: str = "v2") -> Column:
+    """What an item's place rests on; items have editorial, preference, freshness, update, is_new, source_count, is_exploration."""
+    before, after = CONFIRMED.split("{}")
+    confirmed = F.when(F.col("source_count") >= 3, F.concat(F.lit(before), F.col("source_count").cast("string"), F.lit(after)))
+    if sort == "latest":
+        return F.array(F.lit(LATEST))
+    if sort == "top":
+        return F.array_compact(F.array(F.when(F.col("editorial") >= 70, IMPORTANT).otherwise(LESS_IMPORTANT), confirmed))
+    moved = F.when(F.col("update") > 0, F.lit(EITHER) if policy == "v2" else F.when(F.col("is_new"), NEW).otherwise(UPDATED))
+    return F.array_compact(F.array(F.when(F.col("preference") > 0, LIKED), F.when(F.col("preference") < 0, DISLIKED), F.when(F.col("freshness") >= 9, RECENT), moved, confirmed, F.when(F.col("is_exploration"), EXPLORED)))
+
+
+def of_period(items: DataFrame, view: str, period: str, feed: str = "all") -> DataFrame:
+    """The items of a view, a feed and a period: the latest digest's, those new or changed since the visit, or all.
+
+    Saved and archived items are those of all periods. Items have feed, read, saved, archived, digest_date, first_selected, changed, visit."""
+    df = items.where(in_view(view, F.col("read"), F.col("saved"), F.col("archived")))
+    if feed != "all":
+        df = df.where(F.col("feed") == feed)
+    if view in ("saved", "archived") or period == "history":
+        return df
+    if period == "since-visit":
+        return df.where(F.coalesce(F.greatest("first_selected", "changed") > F.col("visit"), F.lit(False)))
+    latest = items.agg(F.max("digest_date").alias("_latest"))
+    return df.join(F.broadcast(latest), F.col("digest_date") == F.col("_latest")).drop("_latest")
 
 
 def explored(items: DataFrame, date_key: str, schema_key: str = "user_id") -> DataFrame:
@@ -88,8 +136,9 @@ def explored(items: DataFrame, date_key: str, schema_key: str = "user_id") -> Da
 
         def hashed(text: str) -> int:
             h = 2166136261
-            for c in text.encode("utf-16-le")[::2]:
-                h = (h ^ c) * 16777619 & 0xFFFFFFFF
+            units = text.encode("utf-16-le")
+            for low, high in zip(units[::2], units[1::2]):
+                h = (h ^ (low | high << 8)) * 16777619 & 0xFFFFFFFF
             return h
 
         pool = sorted((i for i in order if pref[i] >= 0), key=lambda i: (-editorial[i], hashed(f"{date_key}:{ids[i]}")))
@@ -115,17 +164,25 @@ def explored(items: DataFrame, date_key: str, schema_key: str = "user_id") -> Da
     return items.select(schema_key, "item_id", "model_rank", "editorial", "preference").groupBy(schema_key).applyInPandas(swap, f"{schema_key} {kinds[schema_key]}, item_id {kinds['item_id']}, position long, is_exploration boolean")
 
 
-ACTIONABLE = ["security_risk", "infrastructure_outage", "build_opportunity", "regulatory_risk"]
+# Fixed values.
+ACTIONABLE = ["build_opportunity", "geopolitical_risk", "infrastructure_outage", "market_risk", "regulatory_risk", "security_risk"]
+# End of fixed values.
 
 
 def sections(items: DataFrame, partition: list[str] = ()) -> DataFrame:
-    """top (5), actionable (up to 5 of the rest, by bucket), next (10), rest; items have position and bucket."""
-    w = Window.partitionBy(*(partition or [F.lit(0)])).orderBy("position")
-    rest = F.col("position") >= 5
-    df = items.withColumn("a", F.sum(F.when(rest & F.col("bucket").isin(ACTIONABLE), 1).otherwise(0)).over(w))
-    act = rest & F.col("bucket").isin(ACTIONABLE) & (F.col("a") <= 5)
-    df = df.withColumn("b", F.sum(F.when(rest & ~act, 1).otherwise(0)).over(w))
-    return df.withColumn("section", F.when(~rest, "top").when(act, "actionable").when(F.col("b") <= 10, "next").otherwise("rest")).drop("a", "b")
+    """top (5), actionable (up to 5 of the rest, by bucket), next (10), rest; items have position, from 0, and bucket."""
+    rest, useful = F.col("position") >= 5, F.col("bucket").isin(ACTIONABLE)
+    if partition:
+        w = Window.partitionBy(*partition).orderBy("position")
+        df = items.withColumn("a", F.sum(F.when(rest & useful, 1).otherwise(0)).over(w))
+        act = rest & useful & (F.col("a") <= 5)
+        df = df.withColumn("b", F.sum(F.when(rest & ~act, 1).otherwise(0)).over(w))
+        return df.withColumn("section", F.when(~rest, "top").when(act, "actionable").when(F.col("b") <= 10, "next").otherwise("rest")).drop("a", "b")
+    # one list: the few places that are actionable or next are found by limits, and rows learn them from a broadcast of 15
+    act = items.where(rest & useful).select("position").orderBy("position").limit(5)
+    nearest = items.where(rest & (F.col("position") < 20)).select("position").join(act, "position", "left_anti").orderBy("position").limit(10)
+    named = act.withColumn("_s", F.lit("actionable")).union(nearest.withColumn("_s", F.lit("next")))
+    return items.join(F.broadcast(named), "position", "left").withColumn("section", F.when(~rest, "top").otherwise(F.coalesce("_s", F.lit("rest")))).drop("_s")
 
 
 def in_view(view: str, read: Column, saved: Column, archived: Column) -> Column:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
+from tidewell.operators.stories import PROFILE, decide, profile_of
 
 PREFERENCE_LIMIT = 6
-SELECTED = "run_id string, story_id long, final_score double, selected boolean, selection_rank int, reason string"
+SELECTED = "run_id string, story_id long, final_score double, selected boolean, selection_rank int, reason string, duplicate_of long, duplicate_reason string, duplicate_score double"
 
 
 def score_v1(df: DataFrame) -> DataFrame:
@@ -21,41 +22,48 @@ def score_v2(df: DataFrame) -> DataFrame:
     return df.withColumn("final_score", (F.col("editorial") + F.col("feed_adjustment") + X.clamp(F.col("preference"), -PREFERENCE_LIMIT, PREFERENCE_LIMIT)).cast("double"))
 
 
-def fold(rows: list[dict], top_n: int, targets: dict[str, int], per_publisher: int) -> list[tuple[int, bool, int | None, str]]:
-    """Walks ranked rows (story_id, feed, publisher, group): capacity, category, publisher, duplicate of a selected one, else selected."""
+def fold(rows: list[dict], top_n: int, targets: dict[str, int], per_publisher: int) -> list[tuple]:
+    """Walks ranked rows (story_id, feed, publisher, profile): capacity, category, publisher, duplicate of a selected one, else selected.
+
+    A row without publisher meets no limit of publishers. Returns (story_id, selected, rank, reason, duplicate of, its reason, its score)."""
     by_feed: dict[str, int] = {}
     by_publisher: dict[str, int] = {}
-    groups, n, out = set(), 0, []
+    chosen: list[dict] = []
+    out = []
     for r in rows:
         feed, who = r["feed"], r["publisher"]
-        if n >= top_n:
+        if len(chosen) >= top_n:
             why = "capacity"
         elif by_feed.get(feed, 0) >= targets.get(feed, top_n):
             why = "category_limit"
-        elif by_publisher.get(who, 0) >= per_publisher:
+        elif who and by_publisher.get(who, 0) >= per_publisher:
             why = "publisher_cap"
-        elif r["group"] in groups:
-            why = "duplicate_suppression"
         else:
-            out.append((r["story_id"], True, n, "global_rank"))
-            n += 1
-            by_feed[feed] = by_feed.get(feed, 0) + 1
-            by_publisher[who] = by_publisher.get(who, 0) + 1
-            groups.add(r["group"])
+            found = next(((s["story_id"], *d[1:]) for s in chosen if (d := decide(r["profile"], s["profile"]))[0]), None)
+            if found is None:
+                out.append((r["story_id"], True, len(chosen), "global_rank", None, None, None))
+                chosen.append(r)
+                by_feed[feed] = by_feed.get(feed, 0) + 1
+                by_publisher[who] = by_publisher.get(who, 0) + 1
+            else:
+                out.append((r["story_id"], False, None, "duplicate_suppression", found[0], found[1], round(found[2], 3)))
             continue
-        out.append((r["story_id"], False, None, why))
+        out.append((r["story_id"], False, None, why, None, None, None))
     return out
 
 
 def select_stories(candidates: DataFrame, top_n: int = 20, targets: dict[str, int] | None = None, per_publisher: int = 3) -> DataFrame:
-    """Decisions on all candidates (run_id, story_id, feed, publisher, group, final_score, editorial): by score, editorial score, id.
+    """Decisions on all candidates, by score, editorial score, id; of duplicates, as ``stories.decision`` tells them, the first is selected.
 
-    group names the duplicates of a story; one of a group is selected at most."""
+    Candidates have run_id, story_id, feed, publisher, final_score, editorial, published_epoch and the columns of a profile."""
     limits = dict(targets or {})
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["final_score", "editorial", "story_id"], ascending=[False, False, True])
-        got = fold(g.to_dict("records"), top_n, limits, per_publisher)
-        return pd.DataFrame({"run_id": g["run_id"].to_numpy(), "story_id": [x[0] for x in got], "final_score": g["final_score"].to_numpy(), "selected": [x[1] for x in got], "selection_rank": pd.array([x[2] for x in got], "Int32"), "reason": [x[3] for x in got]})
+        rows = [{**r, "profile": profile_of(r)} for r in g.to_dict("records")]
+        got = fold(rows, top_n, limits, per_publisher)
+        ints = lambda i: pd.array([x[i] for x in got], "Int64")
+        return pd.DataFrame({"run_id": g["run_id"].to_numpy(), "story_id": [x[0] for x in got], "final_score": g["final_score"].to_numpy(), "selected": [x[1] for x in got], "selection_rank": ints(2).astype("Int32"), "reason": [x[3] for x in got], "duplicate_of": ints(4), "duplicate_reason": [x[5] for x in got], "duplicate_score": [x[6] for x in got]})
 
-    return candidates.select("run_id", "story_id", "feed", "publisher", "group", "final_score", "editorial").groupBy("run_id").applyInPandas(run, SELECTED)
+    rows = candidates.select("run_id", "story_id", "publisher", "final_score", "editorial", "published_epoch", *PROFILE)
+    return rows.groupBy("run_id").applyInPandas(run, SELECTED)

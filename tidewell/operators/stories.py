@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
+from tidewell.operators.graph import checkpoints, components
 
 WINDOW_SECONDS = 4 * 86400
 #: Classes that share a key meet block against block, and members of a class too.
@@ -25,13 +26,13 @@ def profiles(articles: DataFrame, strip_marks: bool = True) -> DataFrame:
 
 
 def blocking_keys() -> Column:
-    """The keys of a profile: the fingerprint, the 8 best title tokens within a feed, 4 anchors of the text, else the feed."""
+    """The keys of a profile, in order: the fingerprint, the 8 best title tokens and 4 anchors of the text within a feed, else the feed."""
     better = lambda a, b: F.when(a.rlike(r"\d") & ~b.rlike(r"\d"), -1).when(b.rlike(r"\d") & ~a.rlike(r"\d"), 1).otherwise(F.sign(F.length(b) - F.length(a)).cast("int"))
     best = F.slice(F.array_sort("title_tokens", better), 1, 8)
     keys = F.concat(
         F.when(F.col("fingerprint") != "", F.array(F.concat(F.lit("fingerprint:"), F.col("fingerprint")))).otherwise(F.array().cast("array<string>")),
         F.transform(best, lambda t: F.concat(F.lit("title:"), F.col("feed"), F.lit(":"), t)),
-        F.transform(F.slice(X.anchors(F.col("text_tokens")), 1, 4), lambda t: F.concat(F.lit("anchor:"), t)),
+        F.transform(F.slice(X.anchors(F.col("text_tokens")), 1, 4), lambda t: F.concat(F.lit("anchor:"), F.col("feed"), F.lit(":"), t)),
     )
     keys = F.when((F.size(keys) == 0) | (F.size("title_tokens") < 2), F.concat(keys, F.array(F.concat(F.lit("feed:"), F.col("feed"))))).otherwise(keys)
     return F.array_distinct(keys)
@@ -43,7 +44,10 @@ def candidate_keys(p: DataFrame) -> DataFrame:
 
 
 def decision(left: str = "l", right: str = "r", timed: bool = True) -> Column:
-    """struct(duplicate, reason, score) of two profiles; without timed as if both were published at one time."""
+    """struct(duplicate, reason, score) of two profiles; without timed as if both were published at one time.
+
+    The order of the sides is of no account: one rule asks for three title tokens on the left, but equal fingerprints
+    come from equal token sets or from at least twelve tokens on either side."""
     a, b = (lambda c: F.col(f"{left}.{c}")), (lambda c: F.col(f"{right}.{c}"))
     title, text = X.jaccard(a("title_tokens"), b("title_tokens")), X.jaccard(a("text_tokens"), b("text_tokens"))
     inside = X.containment(a("title_tokens"), b("title_tokens"))
@@ -160,85 +164,143 @@ def reason_counts(p: DataFrame) -> DataFrame:
     return out.where("n > 0").select("reason", F.col("n").cast("long").alias("n"))
 
 
-def _checkpoints(spark) -> None:
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
-
-
-def weak_components(pairs: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """(article_id, component) by least ids along pairs; checkpoints cut the lineage, minima come before joins."""
-    both = pairs.select(F.col("left_id").alias("u"), F.col("right_id").alias("v"))
-    both = both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    now = nodes.select("article_id", F.col("article_id").alias("component"))
-    _checkpoints(pairs.sparkSession)
-    both, now = both.checkpoint(), now.checkpoint()
-    for _ in range(rounds):
-        least = both.join(now, both["u"] == now["article_id"]).groupBy("v").agg(F.min("component").alias("least"))
-        new = now.join(least, now["article_id"] == least["v"], "left").select("article_id", F.least("component", F.coalesce("least", "component")).alias("component"))
-        # jump to the component of the component
-        hop = new.select(F.col("article_id").alias("c"), F.col("component").alias("cc"))
-        new = new.join(hop, new["component"] == hop["c"]).select("article_id", F.least("component", "cc").alias("component")).checkpoint()
-        if new.join(now.withColumnRenamed("component", "old"), "article_id").where("component <> old").isEmpty():
-            return new
-        now = new
-    raise RuntimeError(f"components don't settle in {rounds} rounds")
+def decide(a: dict, b: dict, timed: bool = True) -> tuple[bool, str, float]:
+    """What ``decision`` says of two profiles, for folds that meet their pairs one by one. Token sets are Python sets."""
+    if a["canonical_url"] and a["canonical_url"] == b["canonical_url"]:
+        return True, "canonical_url", 1.0
+    if timed and a["published_epoch"] is not None and b["published_epoch"] is not None and abs(a["published_epoch"] - b["published_epoch"]) > WINDOW_SECONDS:
+        return False, "outside_time_window", 0.0
+    ratio = lambda n, d, empty: n / d if d else empty
+    titles, shared = a["title_tokens"] & b["title_tokens"], a["text_tokens"] & b["text_tokens"]
+    title = ratio(len(titles), len(a["title_tokens"] | b["title_tokens"]), 1.0)
+    text = ratio(len(shared), len(a["text_tokens"] | b["text_tokens"]), 1.0)
+    inside = ratio(len(titles), min(len(a["title_tokens"]), len(b["title_tokens"])), 0.0)
+    bits = (a["simhash"] ^ b["simhash"]).bit_count()
+    score = max(0.58 * title + 0.27 * text + 0.15 * (1 - bits / 32), 0.7 * inside + 0.3 * text)
+    anchored = sum(len(w) >= 7 or any(c.isdigit() for c in w) for w in shared) >= 2
+    if a["fingerprint"] and a["fingerprint"] == b["fingerprint"] and len(a["title_tokens"]) >= 3:
+        return True, "title_fingerprint", max(score, 0.95)
+    if title >= 0.72 and text >= 0.18:
+        return True, "title_and_text_overlap", score
+    if inside >= 0.82 and text >= 0.25:
+        return True, "title_containment", score
+    if bits <= 4 and text >= 0.3:
+        return True, "simhash", score
+    if score >= 0.58 and (a["feed"] == b["feed"] or anchored):
+        return True, "weighted_similarity", score
+    if title >= 0.35 and text >= 0.22 and anchored:
+        return True, "anchored_overlap", score
+    return False, "below_threshold", score
+
+
+def profile_of(row: dict) -> dict:
+    """A row's profile as ``decide`` takes it."""
+    t = row.get("published_epoch")
+    return {**{c: row[c] for c in PROFILE}, "title_tokens": set(row["title_tokens"]), "text_tokens": set(row["text_tokens"]), "simhash": int(row["simhash"]), "published_epoch": None if t is None or t != t else t}
+
+
+class _Classes:
+    """Decisions between classes of one component: those that Spark made of classes with a common key, others as they are asked for."""
+
+    def __init__(self, profiles: pd.DataFrame, pairs: pd.DataFrame):
+        self.keys, self.profile = {}, {}
+        for c, p in zip(profiles["class_id"], profiles["profile"]):
+            self.keys[c] = {k: i for i, k in reversed(list(enumerate(p["keys"])))}
+            self.profile[c] = profile_of({**p, "published_epoch": None})
+        self.known: dict[int, dict[int, tuple[str, float] | None]] = {}
+        for a, b, s, why in zip(pairs["left"], pairs["right"], pairs["score"], pairs["reason"]):
+            self.known.setdefault(a, {})[b] = self.known.setdefault(b, {})[a] = (why, s)
+
+    def near(self, c: int) -> dict:
+        """The classes with a common key that are duplicates of c, time aside."""
+        return self.known.setdefault(c, {})
+
+    def __call__(self, a: int, b: int) -> tuple[str, float] | None:
+        """(reason, score) of duplicates, time aside."""
+        known = self.near(a)
+        if b not in known:
+            if self.keys[a].keys() & self.keys[b].keys():
+                return None  # judged, and no duplicates
+            yes, why, score = decide(self.profile[a], self.profile[b], timed=False)
+            known[b] = (why, score) if yes else None
+        return known[b]
 
 
 def _complete_link(members: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     """One component: articles in order join the group of which all members are duplicates, with the largest least score.
 
-    A group is kept as its classes, each with the bounds of its times: copies need no pairs of their own."""
-    near: dict[int, dict[int, tuple[float, bool]]] = {}
-    for a, b, s, u in zip(pairs["left"], pairs["right"], pairs["score"], pairs["reason"] == "canonical_url"):
-        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = (s, u)
-    groups: list[dict[int, list[float]]] = []
+    A group is looked at if the newcomer shares a key with a member; of groups with equal scores the one stands whose
+    member comes first by the newcomer's keys, then by age. A group is kept as its classes, each with the bounds of its
+    times and its first two places: copies need no pairs of their own."""
+    judge = _Classes(members.dropna(subset=["profile"]), pairs)
+    groups: list[dict[int, list]] = []
     named: list[int] = []
     of: dict[int, list[int]] = {}
-    rows = []
+    placed = []
     order = members.drop_duplicates("article_id").sort_values(["published_epoch", "article_id"], ascending=[False, True])
-    for x, c, t in zip(order["article_id"], order["class_id"], order["published_epoch"]):
-        known = near.get(c, {})
-        best, at = -1.0, None
-        for i in sorted({i for k in known for i in of.get(k, ())}):
+    for place, (x, c, t) in enumerate(zip(order["article_id"], order["class_id"], order["published_epoch"])):
+        looked_at = {i for k, found in judge.near(c).items() if found for i in of.get(k, ())}
+        best, tied = -1.0, []
+        for i in looked_at:
             least = 2.0
-            for k, (lo, hi) in groups[i].items():
-                s, url = known.get(k, (-1.0, False))
-                if s < 0 or not url and (hi - t > WINDOW_SECONDS or t - lo > WINDOW_SECONDS):
+            for k, (lo, hi, *_) in groups[i].items():
+                found = judge(c, k)
+                if found is None or found[0] != "canonical_url" and (hi - t > WINDOW_SECONDS or t - lo > WINDOW_SECONDS):
                     least = -1.0
                     break
-                least = min(least, s)
-            if least >= 0 and least > best:
-                best, at = least, i
-        if at is None:
-            at = len(groups)
+                least = min(least, found[1])
+            if least >= 0 and least >= best:
+                best, tied = least, [*(tied if least == best else []), i]
+        first = lambda i: min((min((p for key, p in judge.keys[c].items() if key in judge.keys[k]), default=99), g[2]) for k, g in groups[i].items())  # noqa: B023, E731
+        at = min(tied, key=first) if len(tied) > 1 else tied[0] if tied else len(groups)
+        if not tied:
             groups.append({})
             named.append(x)
         if c not in groups[at]:
-            groups[at][c] = [t, t]
+            groups[at][c] = [t, t, place, None]
             of.setdefault(c, []).append(at)
-        elif t == t:
-            lo, hi = groups[at][c]
-            groups[at][c] = [t if lo != lo else min(lo, t), t if hi != hi else max(hi, t)]
-        rows.append((int(x), int(named[at])))
-    return pd.DataFrame(rows, columns=["article_id", "story_id"])
+        else:
+            g = groups[at][c]
+            if t == t:
+                g[0], g[1] = t if g[0] != g[0] else min(g[0], t), t if g[1] != g[1] else max(g[1], t)
+            g[3] = place if g[3] is None else g[3]
+        placed.append((int(x), c, at, place))
+    rows = []
+    for x, c, at, place in placed:
+        why, score, nearest = None, 0.0, None
+        for k, g in groups[at].items():
+            other = g[2] if k != c or g[2] != place else g[3]
+            if other is not None:
+                reason, s = judge(c, k)
+                if nearest is None or (-round(s, 3), other) < nearest:
+                    nearest, why, score = (-round(s, 3), other), reason, round(s, 3)
+        rows.append((x, int(named[at]), why or "new_story", score if why else 1.0))
+    return pd.DataFrame(rows, columns=["article_id", "story_id", "match_reason", "match_score"])
+
+
+def memberships(p: DataFrame) -> DataFrame:
+    """(article_id, story_id, match_reason, match_score): complete-link groups, named by their newest article, and for each
+    member the best evidence that it belongs; groups never span weak components.
+
+    Components are of classes of equal profiles, time left aside: they hold those of articles whole, so the groups are
+    the same. A component is one sequential fold and one task; articles alone in theirs are in none."""
+    checkpoints(p.sparkSession)
+    k, m = (x.checkpoint() for x in profile_classes(p))
+    pairs = class_decisions(k).where("duplicate").select("left", "right", "reason", "score").checkpoint()
+    linked = components(pairs.where("left <> right").select(F.col("left").alias("left_id"), F.col("right").alias("right_id")))
+    alone = k.select("class_id", "n").join(linked, F.col("class_id") == F.col("id"), "left").where("n > 1 or id is not null")
+    comp = alone.select("class_id", F.coalesce("component", "class_id").alias("component")).checkpoint()
+    single = m.join(comp, "class_id", "left_anti").select("article_id", F.col("article_id").alias("story_id"), F.lit("new_story").alias("match_reason"), F.lit(1.0).alias("match_score"))
+    told = k.select(F.col("class_id").alias("article_id"), F.struct(*PROFILE, blocking_keys().alias("keys")).alias("profile"))
+    rows = m.join(comp, "class_id").join(told, "article_id", "left").select("component", "article_id", "class_id", "published_epoch", "profile")
+    edges = pairs.join(comp.select(F.col("class_id").alias("left"), F.col("component").alias("of")), "left")
+    folded = rows.groupBy("component").cogroup(edges.groupBy("of")).applyInPandas(_complete_link, "article_id long, story_id long, match_reason string, match_score double")
+    return folded.union(single)
 
 
 def clusters(p: DataFrame) -> DataFrame:
-    """(article_id, story_id): complete-link groups, named by their newest article; groups never span weak components.
-
-    Components are of classes of equal profiles, time left aside: they hold those of articles whole, so the groups are the same."""
-    _checkpoints(p.sparkSession)
-    k, m = profile_classes(p)
-    pairs = class_decisions(k).where("duplicate").select("left", "right", "reason", "score").checkpoint()
-    comp = weak_components(pairs.select(F.col("left").alias("left_id"), F.col("right").alias("right_id")), k.select(F.col("class_id").alias("article_id"))).select(F.col("article_id").alias("class_id"), "component")
-    rows = m.join(comp, "class_id")
-    rows = rows.join(rows.groupBy("component").agg(F.count("*").alias("n")), "component")
-    single = rows.where("n = 1").select("article_id", F.col("article_id").alias("story_id"))
-    many = rows.where("n > 1").select("component", "article_id", "class_id", "published_epoch")
-    edges = pairs.join(comp.select(F.col("class_id").alias("left"), F.col("component").alias("of")), "left")
-    return many.groupBy("component").cogroup(edges.groupBy("of")).applyInPandas(_complete_link, "article_id long, story_id long").union(single)
+    """(article_id, story_id) of memberships."""
+    return memberships(p).select("article_id", "story_id")
 
 
 def story_keys(members: DataFrame) -> DataFrame:
@@ -296,27 +358,37 @@ def match_history(stories: DataFrame, history: DataFrame) -> DataFrame:
     return joined.select("story_id", "story_key", F.when(F.col("seen") & (F.col("n") == 1), F.col("story_key")).alias("adopted_key"))
 
 
-def match_history_fuzzy(stories: DataFrame, history: DataFrame) -> DataFrame:
-    """Greedy best match of stories, in order of id, with historical profiles not yet used; both have story_id and the profile columns.
+HISTORY_DAYS, HISTORY_ROWS = 7, 2000
 
-    Candidates share a blocking key; a component of the candidate graph is a bounded group, as for clusters."""
-    a, b = candidate_keys(history.withColumnRenamed("story_id", "article_id")), candidate_keys(stories.withColumnRenamed("story_id", "article_id"))
-    pairs = a.select("key", F.col("article_id").alias("history_id")).join(b.select("key", F.col("article_id").alias("story_id")), "key").drop("key").distinct()
-    cols = F.struct("feed", "title_tokens", "text_tokens", "fingerprint", "simhash", "published_epoch", "canonical_url")
-    pairs = pairs.join(history.select(F.col("story_id").alias("history_id"), cols.alias("l")), "history_id").join(stories.select("story_id", cols.alias("r")), "story_id")
-    pairs = pairs.withColumn("d", decision()).where("d.duplicate").select("story_id", "history_id", "d.score")
-    nodes = pairs.select((F.col("story_id") * 2).alias("article_id")).union(pairs.select((F.col("history_id") * 2 + 1).alias("article_id"))).distinct()
-    comp = weak_components(pairs.select((F.col("story_id") * 2).alias("left_id"), (F.col("history_id") * 2 + 1).alias("right_id")), nodes)
-    rows = pairs.join(comp.withColumn("story_id", F.expr("article_id div 2")).where("article_id % 2 = 0").select("story_id", "component"), "story_id")
-    return rows.groupBy("component").applyInPandas(_greedy_match, "story_id long, history_id long, score double")
+
+def recent_history(stories: DataFrame, as_of: int, days: int = HISTORY_DAYS, most: int = HISTORY_ROWS) -> DataFrame:
+    """The stories seen in the last days, newest first; the number is part of the feature."""
+    return stories.where(F.col("last_seen_epoch") >= as_of - days * 86400).orderBy(F.desc("last_seen_epoch"), "story_id").limit(most)
+
+
+def match_history_fuzzy(stories: DataFrame, history: DataFrame) -> DataFrame:
+    """(story_id, history_id, reason, score): stories, in order of id, take the best historical profile not yet used.
+
+    Both have story_id, published_epoch and the profile columns; stories may have several rows, one for each profile.
+    Duplicates share a token or the URL, so every pair that can be one is judged. Stories that compete for a historical
+    one are one group."""
+    key = lambda c: F.concat(F.col("text_tokens"), F.when(F.col("canonical_url") != "", F.array(F.concat(F.lit("url "), F.col("canonical_url")))).otherwise(F.array().cast("array<string>")))
+    cols = F.struct(*PROFILE, "published_epoch")
+    h = history.select(F.col("story_id").alias("history_id"), "last_seen_epoch", cols.alias("l"), key("h").alias("keys"))
+    s = stories.select("story_id", F.monotonically_increasing_id().alias("row"), cols.alias("r"), key("s").alias("keys")).checkpoint()
+    met = h.select("history_id", F.explode("keys").alias("key")).join(s.select("row", F.explode("keys").alias("key")), "key").select("history_id", "row").distinct()
+    pairs = met.join(h.drop("keys"), "history_id").join(s.drop("keys"), "row").withColumn("d", decision()).where("d.duplicate")
+    best = pairs.groupBy("story_id", "history_id", "last_seen_epoch").agg(F.max_by(F.struct("d.reason", "d.score"), F.struct("d.score", -F.col("row"))).alias("d")).select("story_id", "history_id", "last_seen_epoch", "d.reason", "d.score").checkpoint()
+    linked = components(best.select((F.col("story_id") * 2).alias("left_id"), (F.col("history_id") * 2 + 1).alias("right_id")))
+    rows = best.join(linked.where("id % 2 = 0").select(F.expr("id div 2").alias("story_id"), "component"), "story_id")
+    return rows.groupBy("component").applyInPandas(_greedy_match, "story_id long, history_id long, reason string, score double")
 
 
 def _greedy_match(pairs: pd.DataFrame) -> pd.DataFrame:
     used, out = set(), []
-    for story, rows in pairs.sort_values(["story_id", "score", "history_id"], ascending=[True, False, True]).groupby("story_id", sort=True):
-        for h, s in zip(rows["history_id"], rows["score"]):
-            if h not in used:
-                used.add(h)
-                out.append((int(story), int(h), float(s)))
-                break
-    return pd.DataFrame(out, columns=["story_id", "history_id", "score"])
+    order = pairs.sort_values(["story_id", "score", "last_seen_epoch", "history_id"], ascending=[True, False, False, True])
+    for story, h, why, s in zip(order["story_id"], order["history_id"], order["reason"], order["score"]):
+        if h not in used and (not out or out[-1][0] != story):
+            used.add(h)
+            out.append((int(story), int(h), why, float(s)))
+    return pd.DataFrame(out, columns=["story_id", "history_id", "reason", "score"])

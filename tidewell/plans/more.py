@@ -17,8 +17,10 @@ def enrichment_candidates(spark, d):
 
 
 def cached_copies(spark, d):
-    items = A.articles(spark, d).where("article_id < 200").select(F.col("article_id").alias("item_id"), F.concat(F.lit("u"), (F.col("article_id") * 3).cast("string")).alias("url"))
-    copies = Q.texts(spark, d).select((F.col("article_id") % 200).alias("item_id"), "article_id", F.concat(F.lit("u"), F.col("article_id").cast("string")).alias("canonical_url"), (F.col("article_id") % 5 != 0).alias("readable"), X.word_count(F.col("text")).alias("n_words"), F.length("text").alias("n_chars"))
+    """Five articles are copies of an item; one of them has the item's own URL."""
+    url = lambda n: F.concat(F.lit("u"), n.cast("string"))
+    items = A.articles(spark, d).select(F.col("article_id").alias("item_id"), url(F.col("article_id") * 5 + F.col("article_id") % 5).alias("url"))
+    copies = Q.texts(spark, d).select(F.expr("article_id div 5").alias("item_id"), "article_id", url(F.col("article_id")).alias("canonical_url"), (F.col("article_id") % 7 != 0).alias("readable"), X.word_count(F.col("text")).alias("n_words"), F.length("text").alias("n_chars"))
     return P.cached_copy(items, copies)
 
 
@@ -38,7 +40,7 @@ def explicit_signals(spark, d):
 
 
 def published_summaries(spark, d):
-    a = A.articles(spark, d, whole=True)
+    a = A.articles(spark, d)
     return a.select("article_id", P.published_summary(F.when(F.col("article_id") % 4 > 0, F.col("summary")), F.col("title"), 120).alias("summary"))
 
 
@@ -81,7 +83,7 @@ def keyword_settings(spark, d):
 QUERIES = {f.__name__: f for f in (enrichment_candidates, cached_copies, score_changes, story_timeline, explicit_signals, published_summaries, page_category, error_classes, highlights, settings_clamp, fetch_policy, gone_parents, keyword_settings)}
 ORACLE = {
     "enrichment_candidates": f"WITH {O.STORIES} SELECT article_id, editorial AS importance FROM stories WHERE article_id % 3 = 0 OR article_id % 11 = 0 OR article_id % 4 < 2 ORDER BY editorial DESC, published_epoch DESC, article_id LIMIT 40",
-    "cached_copies": rf"WITH {O.TEXTS}, c AS (SELECT article_id % 200 AS item_id, article_id, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS w, length(text) AS n FROM texts WHERE article_id % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY article_id = item_id * 3 DESC, w DESC, n DESC, article_id) AS k FROM c WHERE item_id IN (SELECT article_id FROM texts WHERE article_id < 200)) SELECT item_id, article_id FROM r WHERE k = 1",
+    "cached_copies": rf"WITH {O.TEXTS}, c AS (SELECT article_id // 5 AS item_id, article_id, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS w, length(text) AS n FROM texts WHERE article_id % 7 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY article_id = item_id * 5 + item_id % 5 DESC, w DESC, n DESC, article_id) AS k FROM c WHERE item_id IN (SELECT article_id FROM texts)) SELECT item_id, article_id FROM r WHERE k = 1",
     "score_changes": f"WITH {O.STORIES} SELECT article_id AS story_id, editorial + CASE WHEN article_id % 3 > 0 AND article_id % 25 >= 10 THEN 8 ELSE 0 END AS editorial, article_id % 3 > 0 AND article_id % 25 >= 10 AS moved FROM stories",
     "story_timeline": f"WITH {O.INTERACTIONS}, r AS (SELECT story_id, event_id, row_number() OVER (PARTITION BY story_id ORDER BY epoch DESC, event_id DESC) - 1 AS place FROM interactions) SELECT * FROM r WHERE place < 20",
     "explicit_signals": f"WITH {O.ARTICLES}, r AS (SELECT article_id AS item_id, ['topic','entity','source','repetition','quality'][article_id % 5 + 1] AS dimension, CASE article_id % 5 WHEN 0 THEN CASE WHEN article_id % 2 = 0 THEN 'agents' ELSE category END WHEN 1 THEN CASE WHEN article_id % 3 = 0 THEN 'OpenAI' END WHEN 2 THEN source ELSE CAST(article_id % 150 AS VARCHAR) END AS target FROM articles WHERE article_id % 13 > 0) SELECT * FROM r WHERE target IS NOT NULL",

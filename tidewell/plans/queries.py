@@ -11,6 +11,7 @@ from tidewell.functions import text as X
 from tidewell.operators import engagement as E
 from tidewell.operators import lifecycle as L
 from tidewell.operators import merging as M
+from tidewell.operators import notes as N
 from tidewell.operators import reading as R
 from tidewell.operators import scoring as S
 from tidewell.operators import selection as C
@@ -29,13 +30,13 @@ BUILD = ["ones", "ins", "thst", "con"]
 BUCKETS = {"security_risk": ["edor", "nicht"], "market_risk": ["with", "pour"], "build_opportunity": ["this", "und"], "product_trend": ["that", "que"]}
 
 
-def texts(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return A.articles(spark, d, whole).withColumn("text", F.concat_ws(" ", "title", "summary"))
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    return A.articles(spark, d).withColumn("text", F.concat_ws(" ", "title", "summary"))
 
 
-def stories(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def stories(spark: SparkSession, d: str) -> DataFrame:
     """Articles as stories, with what scoring needs."""
-    df = texts(spark, d, whole).withColumns({"feed": X.feed_of(F.col("category")), "source_count": F.col("article_id") % 4 + 1, "changes": F.when(F.col("article_id") % 3 == 0, F.array(F.lit("new"))).when(F.col("article_id") % 3 == 1, F.array(F.lit("title"))).otherwise(F.array().cast("array<string>"))})
+    df = texts(spark, d).withColumns({"feed": X.feed_of(F.col("category")), "source_count": F.col("article_id") % 4 + 1, "changes": F.when(F.col("article_id") % 3 == 0, F.array(F.lit("new"))).when(F.col("article_id") % 3 == 1, F.array(F.lit("title"))).otherwise(F.array().cast("array<string>"))})
     return S.components(df, AS_OF, IMPORTANT, PREFERRED, SCOPE, ACTIONS, ENTITIES, BUILD)
 
 
@@ -70,7 +71,7 @@ def text_compact(spark, d):
 
 
 def feedback_keywords(spark, d):
-    return texts(spark, d).select("article_id", F.array_join(F.sort_array(F.array_distinct(F.filter(X.keyword_tokens(F.col("text")), lambda w: F.length(w) >= 4))), " ").alias("words"))
+    return texts(spark, d).select("article_id", F.array_join(X.feedback_keywords(F.col("text")), " ").alias("words"))
 
 
 def title_fingerprint(spark, d):
@@ -83,17 +84,17 @@ def simhash32(spark, d):
 
 def simhash_distance(spark, d):
     """Differing bits of all pairs of articles that share a blocking key."""
-    k, m = D.profile_classes(D.profiles(A.articles(spark, d, whole=True).withColumn("canonical_url", F.lit(""))))
+    k, m = D.profile_classes(profiles(spark, d))
     pairs = D.class_pairs(k).select(F.col("l.class_id").alias("left"), F.col("r.class_id").alias("right"), F.col("l.n").alias("ln"), F.col("r.n").alias("rn"), X.hamming(F.col("l.simhash"), F.col("r.simhash")).cast("long").alias("bits"))
     pairs = pairs.union(k.where("n > 1").select("class_id", "class_id", "n", "n", F.lit(0).cast("long")))
     return D.member_pairs(pairs, k, m).select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "bits")
 
 
 def title_similarity(spark, d):
-    """Jaccard and containment of titles of one source and feed."""
-    p = A.articles(spark, d).select("article_id", "source", "category", X.dedupe_tokens(F.col("title"), True).alias("t"))
-    j = p.alias("a").join(p.alias("b"), ["source", "category"]).where("a.article_id < b.article_id")
-    return j.select(F.col("a.article_id").alias("left_id"), F.col("b.article_id").alias("right_id"), F.round(X.jaccard(F.col("a.t"), F.col("b.t")), 6).alias("jaccard"), F.round(X.containment(F.col("a.t"), F.col("b.t")), 6).alias("containment"))
+    """Jaccard and containment of the titles of each article and the next of its source and feed."""
+    w = Window.partitionBy("source", "category").orderBy("article_id")
+    p = A.articles(spark, d).withColumn("t", X.dedupe_tokens(F.col("title"), True)).withColumns({"u": F.lead("t").over(w), "right_id": F.lead("article_id").over(w)}).where("right_id is not null")
+    return p.select(F.col("article_id").alias("left_id"), "right_id", F.round(X.jaccard(F.col("t"), F.col("u")), 6).alias("jaccard"), F.round(X.containment(F.col("t"), F.col("u")), 6).alias("containment"))
 
 
 def exact_dup_groups(spark, d):
@@ -110,13 +111,7 @@ def url_normalize(spark, d):
 
 
 def readable_classify(spark, d):
-    html = F.col("html")
-    p = A.table(spark, d, "pages").select("page_id", X.content_html(html).alias("content"), html.rlike("(?i)" + X.V.AUDIO_SIGNAL).alias("has_audio"), html.rlike("(?i)" + X.V.VIDEO_SIGNAL).alias("has_video"))
-    p = p.select("page_id", "has_audio", "has_video", F.substring(X.readable_text(F.col("content")), 1, 200_000).alias("text"), X.paragraph_count(F.col("content")).alias("paragraphs"), X.plain_text(F.col("content")).rlike("(?i)" + X.V.ACCESS_WALL).alias("wall"))
-    words = X.word_count(F.col("text"))
-    full = (words >= 170) | (words >= 120) & (F.col("paragraphs") >= 2) | (words >= 90) & (F.col("paragraphs") >= 4) & (F.length("text") >= 700)
-    mode = F.when(full & ~F.col("wall"), "readable").when(F.col("wall"), "insufficient_text").when(F.col("has_audio"), "audio_only").when(F.col("has_video"), "video_only").otherwise("insufficient_text")
-    return p.select("page_id", words.cast("long").alias("n_words"), F.col("paragraphs").cast("long").alias("n_paragraphs"), mode.alias("mode"))
+    return A.table(spark, d, "pages").select("page_id", X.readable(F.col("html")).alias("r")).select("page_id", F.col("r.n_words").cast("long").alias("n_words"), F.col("r.n_paragraphs").cast("long").alias("n_paragraphs"), "r.mode", F.md5("r.text").alias("text_md5"))
 
 
 def page_language(spark, d):
@@ -148,7 +143,7 @@ def warsaw_recency(spark, d):
 
 
 def ipv4_safety(spark, d):
-    e = A.table(spark, d, "events").where("event_id < 2000")
+    e = A.table(spark, d, "events")
     ip = F.concat_ws(".", *((F.col("event_id") * k % m).cast("string") for k, m in ((7, 260), (13, 256), (29, 256), (3, 256))))
     return e.select("event_id", ip.alias("ip"), X.ipv4_number(ip).alias("number"), X.blocked_ipv4(ip).alias("blocked"))
 
@@ -188,8 +183,7 @@ def anti_expired(spark, d):
 
 def semi_probe_health(spark, d):
     o = A.observations(spark, d)
-    probes = o.where(F.pmod(F.hash("source_id"), F.lit(1)) == 0).where("parsed % 5 = 0").select("run_id", "source_id")
-    return probes.join(o.where("succeeded"), ["run_id", "source_id"], "left_semi").groupBy("source_id").agg(F.count("*").alias("healthy_probes"))
+    return P.healthy_probes(o.withColumn("role", F.when(F.col("parsed") % 5 == 0, "probe").otherwise("selected")), o)
 
 
 def latest_tags_distinct_on(spark, d):
@@ -220,7 +214,7 @@ def merge_newest(spark, d):
 
 def insert_ignore(spark, d):
     i = A.interactions(spark, d).withColumn("impression_key", E.impression_key(A.interactions(spark, d))).select("event_id", "impression_key")
-    return M.insert_ignore(i.where("event_id < 1000"), i.where("event_id >= 1000 and event_id < 6000"), "impression_key", "event_id").select("event_id", "impression_key")
+    return M.insert_ignore(i.where("event_id < 1000"), i.where("event_id >= 1000"), "impression_key", "event_id").select("event_id", "impression_key")
 
 
 def merge_keep_first(spark, d):
@@ -242,17 +236,28 @@ def set_operations(spark, d):
     return reduce(DataFrame.unionByName, [n(a.intersect(b), "both"), n(a.subtract(b), "added"), n(b.subtract(a), "removed"), n(a.union(b).distinct(), "any")])
 
 
-def note_search(spark, d):
+def notes(spark, d):
+    """Turns of conversations as notes of ten readers."""
     c = A.table(spark, d, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    hit = F.contains(F.lower(F.concat_ws(" ", "role", X.squeezed(F.col("text")))), F.lit("with"))
-    return c.where(hit).select("conv_id", "turn", "role", F.row_number().over(w).cast("long").alias("n")).where("n <= 20")
+    kind = F.element_at(F.array(*map(F.lit, N.KINDS)), (F.col("turn") % 3 + 1).cast("int"))
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("note_id"), (F.col("conv_id") % 10).alias("user_id"), F.col("conv_id").alias("item_id"), kind.alias("kind"), F.when(F.col("turn") % 2 == 0, "open").otherwise("done").alias("status"), F.coalesce("text", F.lit("")).alias("note_text"), F.lit(None).cast("string").alias("quote_text"), F.coalesce("role", F.lit("")).alias("title"), F.lit("src").alias("source"), F.lit("").alias("tags"), (F.col("conv_id") * 7 + F.col("turn")).alias("updated_epoch"))
+
+
+def note_search(spark, d):
+    return N.find_notes(notes(spark, d), " With ", status="open").select("note_id", "user_id")
+
+
+def note_pages(spark, d):
+    return N.page_of_notes(notes(spark, d), 2).select("note_id", "user_id")
 
 
 def constraint_violations(spark, d):
-    li = A.table(spark, d, "lineitem")
-    checks = {"quantity": F.col("l_quantity") > 45, "discount": ~F.col("l_discount").between(0, 0.08), "flag": ~F.col("l_returnflag").isin("A", "N"), "price": F.col("l_extendedprice") / F.col("l_quantity") > 2800}
-    return li.agg(*(F.count_if(c).alias(f"bad_{k}") for k, c in checks.items()), F.count("*").alias("n"))
+    """The tables' own constraints, on rows of which some break them."""
+    a, n = A.articles(spark, d), notes(spark, d)
+    news = a.select((F.col("article_id") % 120 - 5).alias("importance_score"))
+    src = a.select(F.when(F.col("article_id") % 11 == 0, " ").otherwise(F.col("source")).alias("name"), "category", F.when(F.col("article_id") % 13 == 0, "ftp://x").otherwise("https://x").alias("feed_url"), (F.col("priority") + F.when(F.col("article_id") % 7 == 0, 5).otherwise(0)).alias("priority"), F.lit("auto").alias("selection_mode"))
+    n = n.select(F.when(F.col("note_id") % 17 == 0, "idea").otherwise(F.col("kind")).alias("kind"), "status", F.when(F.col("note_id") % 5 == 0, "  ").otherwise(F.col("note_text")).alias("note_text"), "quote_text")
+    return reduce(DataFrame.unionByName, [N.broken(df, t).select(F.concat(F.lit(f"{t}."), F.col("constraint")).alias("constraint"), "n") for t, df in (("news_items", news), ("sources", src), ("notes", n))])
 
 
 # --- readers -----------------------------------------------------------------------------------------------------------
@@ -266,10 +271,27 @@ def rank_buckets(spark, d):
     return E.rank_buckets(A.interactions(spark, d))
 
 
+def uuid_of(c: Column) -> Column:
+    m = F.md5(c.cast("string").cast("binary"))
+    return F.concat(F.substring(m, 1, 8), F.lit("-"), F.substring(m, 9, 4), F.lit("-4"), F.substring(m, 14, 3), F.lit("-8"), F.substring(m, 18, 3), F.lit("-"), F.substring(m, 21, 12))
+
+
 def event_problems(spark, d):
-    e = A.interactions(spark, d).withColumn("rank", F.when(F.col("event_id") % 97 == 0, -1).otherwise(F.col("rank"))).withColumn("origin", F.when(F.col("event_id") % 101 == 0, "robot").otherwise(F.col("origin")))
-    p = E.event_problems(e)
-    return p.groupBy("session_id").agg(F.count("*").alias("n"), F.count_if(F.size("problems") > 0).alias("n_bad"), F.every(F.size("problems") == 0).alias("accepted"))
+    """Batches of one session each; some events have a bad rank, origin, session, policy, metadata, reasons or score."""
+    i, n = A.interactions(spark, d), F.col("event_id")
+    e = i.withColumns({
+        "batch": F.col("session_id"),
+        "session_id": F.when(n % 211 == 0, F.col("session_id")).otherwise(uuid_of(F.col("session_id"))),
+        "rank": F.when(n % 97 == 0, F.lit(-1.0)).when(n % 89 == 0, F.lit(1.5)).otherwise(F.col("rank").cast("double")),
+        "origin": F.when(n % 101 == 0, "robot").otherwise(F.col("origin")),
+        "policy": F.when(n % 103 == 0, "").otherwise(F.col("policy")),
+        "metadata": F.when(n % 107 == 0, F.repeat(F.lit("x"), 5001)).otherwise("{}"),
+        "score_components": F.when(n % 109 == 0, "[1]").when(n % 2 == 0, '{"a": 1}'),
+        "reasons": F.when(n % 113 == 0, F.array(F.lit(""))).when(n % 2 == 0, F.array(F.lit("ok"))),
+        "rank_score": F.when(n % 127 == 0, F.lit(float("nan"))).otherwise(F.lit(1.0)),
+        "sort_mode": F.when(n % 131 == 0, "random").otherwise("top"),
+    })
+    return E.accepted_batches(e, "batch").withColumnRenamed("batch", "session_id")
 
 
 def top_ignored(spark, d):
@@ -298,13 +320,13 @@ def basis(spark, d):
 
 
 def preference_profile(spark, d):
-    p = R.preference_profile(basis(spark, d), AS_OF).where("kind <> 'keyword'")
+    p = R.preference_profile(basis(spark, d), AS_OF)
     return p.select("user_id", "kind", "key", F.round("more", 6).alias("more"), F.round("less", 6).alias("less"))
 
 
 def preferred(spark, d):
     """All items for each of ten readers, with their preference, freshness and update parts."""
-    s = stories(spark, d, whole=True).select(F.col("article_id").alias("item_id"), (F.col("article_id") % 150).alias("story_id"), "category", "source", F.col("title").alias("text"), "editorial", "published_epoch", "feed")
+    s = stories(spark, d).select(F.col("article_id").alias("item_id"), (F.col("article_id") % 150).alias("story_id"), "category", "source", F.col("title").alias("text"), "editorial", "published_epoch", "feed")
     items = s.withColumn("user_id", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("user_id", F.col("user_id").cast("long"))
     scored = R.preference_scores(items, R.preference_profile(basis(spark, d), AS_OF))
     age = (F.lit(AS_OF) - F.col("published_epoch")) / 3600.0
@@ -326,7 +348,7 @@ def rank_explored(spark, d):
 def plain_items(spark, d):
     """Feed items with the parts of a rank but preferences, as one list."""
     age = (F.lit(AS_OF) - F.col("published_epoch")) / 3600.0
-    return feed_items(spark, d).where("article_id < 500").withColumns({"item_id": F.col("article_id"), "preference": (F.col("article_id") * 7 % 31 - 15).cast("double"), "freshness": R.freshness_boost(age), "update": F.when(F.col("article_id") % 3 == 0, 4).otherwise(0), "selected_epoch": F.col("published_epoch")})
+    return feed_items(spark, d).withColumns({"item_id": F.col("article_id"), "preference": (F.col("article_id") * 7 % 31 - 15).cast("double"), "freshness": R.freshness_boost(age), "update": F.when(F.col("article_id") % 3 == 0, 4).otherwise(0), "selected_epoch": F.col("published_epoch")})
 
 
 def rank_top(spark, d):
@@ -355,17 +377,24 @@ def facet_counts(spark, d):
     return R.facets(feed_items(spark, d))
 
 
+def dated_items(spark, d):
+    """Feed items with the day of their digest, when they were first selected and last changed, and a visit."""
+    n = F.col("article_id")
+    return feed_items(spark, d).withColumns({"digest_date": F.date_format(F.timestamp_seconds("published_epoch"), "yyyy-MM-dd"), "first_selected": F.col("published_epoch"), "changed": F.when(n % 4 == 0, F.col("published_epoch") + 86400), "visit": F.lit(AS_OF - 3 * 86400)})
+
+
 def period_latest(spark, d):
-    day = F.date_format(F.timestamp_seconds("published_epoch"), "yyyy-MM-dd")
-    i = feed_items(spark, d).withColumn("day", day).withColumn("newest", F.max("day").over(Window.partitionBy("feed")))
-    return i.where("day = newest").groupBy("feed", "day").agg(F.count("*").alias("n"))
+    """How many items each period of each view shows."""
+    i = dated_items(spark, d)
+    shown = [R.of_period(i, view, period).groupBy("feed").agg(F.count("*").alias("n")).select(F.lit(f"{view} {period}").alias("shown"), "feed", "n") for view in ("all", "unread", "saved") for period in ("latest", "since-visit", "history")]
+    return reduce(DataFrame.unionByName, [*shown, R.of_period(i, "all", "history", "ai").groupBy("feed").agg(F.count("*").alias("n")).select(F.lit("ai").alias("shown"), "feed", "n")])
 
 
 # --- scoring and selection ----------------------------------------------------------------------------------------------
 
 
-def judged(spark, d, whole: bool = False):
-    s = stories(spark, d, whole)
+def judged(spark, d):
+    s = stories(spark, d)
     s = S.adjusted(s, ["edor"], ["ones"], ["with"], BUILD)
     age = (F.lit(AS_OF) - F.col("published_epoch")) / 3600.0
     reasons = S.eligibility_reasons(X.any_keyword(F.col("text"), ["eatat"]), F.col("article_id") % 9 != 0, age, F.lit(168.0), F.col("source_count"), F.lit(2), F.col("editorial"), F.lit(45), F.col("novelty"), F.col("feed"), F.col("is_major"), F.col("is_developer"))
@@ -384,20 +413,25 @@ def practical_buckets(spark, d):
     return judged(spark, d).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("editorial").alias("editorial"))
 
 
-def candidates(spark, d, whole: bool = False):
-    j = judged(spark, d, whole).where(F.size("reasons") == 0)
-    return j.select(F.concat(F.lit("run"), (F.col("article_id") % 12).cast("string")).alias("run_id"), F.col("article_id").alias("story_id"), "feed", F.lower("source").alias("publisher"), X.fingerprint(X.dedupe_tokens(F.col("title"), True)).alias("group"), "editorial", "feed_adjustment", "preference", "excluded")
+def candidates(spark, d):
+    j = judged(spark, d).where(F.size("reasons") == 0)
+    return j.select(F.concat(F.lit("run"), (F.col("article_id") % 12).cast("string")).alias("run_id"), F.col("article_id").alias("story_id"), "feed", F.lower("source").alias("publisher"), "editorial", "feed_adjustment", "preference", "excluded")
+
+
+def with_profiles(spark, d):
+    p = profiles(spark, d).select(F.col("article_id").alias("story_id"), "published_epoch", *(c for c in D.PROFILE if c != "feed"))
+    return candidates(spark, d).join(p, "story_id")
 
 
 TARGETS = {"geopolitics": 3, "business": 3, "ai": 3, "software": 4, "security": 2}
 
 
 def selection_v1(spark, d):
-    return C.select_stories(C.score_v1(candidates(spark, d, whole=True)), 12, TARGETS, 2)
+    return C.select_stories(C.score_v1(with_profiles(spark, d)), 12, TARGETS, 2)
 
 
 def selection_v2(spark, d):
-    return C.select_stories(C.score_v2(candidates(spark, d, whole=True)), 12, TARGETS, 2)
+    return C.select_stories(C.score_v2(with_profiles(spark, d)), 12, TARGETS, 2)
 
 
 def selection_scores(spark, d):
@@ -406,15 +440,20 @@ def selection_scores(spark, d):
 
 
 def policy_gate(spark, d):
-    both = reduce(DataFrame.unionByName, [f(spark, d).withColumn("policy", F.lit(p)).withColumn("eligible", F.lit(True)) for p, f in (("v1", selection_v1), ("v2", selection_v2))])
-    return P.policy_gate(both)
+    """Both policies' twelve best of each run against each other."""
+    c = candidates(spark, d)
+    by = Window.partitionBy("run_id").orderBy(F.desc("final_score"), "story_id")
+    both = reduce(DataFrame.unionByName, [f(c).withColumns({"policy": F.lit(p), "selection_rank": (F.row_number().over(by) - 1).cast("int")}) for p, f in (("v1", C.score_v1), ("v2", C.score_v2))])
+    return P.policy_gate(both.withColumns({"selected": F.col("selection_rank") < 12, "eligible": F.col("story_id") % 50 != 0}))
 
 
 # --- stories --------------------------------------------------------------------------------------------------------------
 
 
 def profiles(spark, d):
-    return D.profiles(A.articles(spark, d, whole=True).withColumn("canonical_url", F.lit("")), strip_marks=False)
+    """Whole articles; each third has a URL, the same for equal titles."""
+    url = F.when(F.col("article_id") % 3 == 0, F.concat(F.lit("https://example.com/"), F.md5(F.col("title").cast("binary")))).otherwise("")
+    return D.profiles(A.articles(spark, d).withColumn("canonical_url", url))
 
 
 def dup_pairs(spark, d):
@@ -429,6 +468,10 @@ def story_clusters(spark, d):
     return D.clusters(profiles(spark, d))
 
 
+def story_memberships(spark, d):
+    return D.memberships(profiles(spark, d))
+
+
 def _members(spark, d):
     """Stories by exact title, so that what follows has a form in SQL."""
     a = A.articles(spark, d)
@@ -462,20 +505,24 @@ def reader_value(spark, d):
     return E.reader_value(A.interactions(spark, d), A.story_sources(spark, d)).select("source_id", F.round("value", 6).alias("value"))
 
 
-def source_quality(spark, d):
+def _quality(spark, d):
     values = A.observations(spark, d).groupBy("source_id").agg((F.sum("selected") * 0.1).alias("value"))
     return E.source_quality(A.observations(spark, d), values)
 
 
+def source_quality(spark, d):
+    return _quality(spark, d).drop("mean_duration_ms")
+
+
 def _catalog(spark, d):
-    q = P.penalties(source_quality(spark, d))
+    q = P.penalties(_quality(spark, d)).withColumn("healthy_probes", F.col("runs") % 7)
     n = F.regexp_extract("source_id", r"(\d+)$", 1).cast("int")
     feed = F.element_at(F.array(*map(F.lit, X.V.FEEDS)), n % 5 + 1)
     return q.withColumn("feed", feed).withColumn("mode", F.when(n % 11 == 3, "always_on").when(n % 13 == 5, "blocked").otherwise("auto"))
 
 
 def portfolio_scores(spark, d):
-    return P.utility(_catalog(spark, d)).select("source_id", "feed", "mode", F.col("category_need").cast("long").alias("category_need"), F.round("confidence", 6).alias("confidence"), "score")
+    return P.utility(_catalog(spark, d)).select("source_id", F.round("fetch_penalty", 6).alias("fetch_penalty"), "feed", "mode", F.col("category_need").cast("long").alias("category_need"), F.round("confidence", 6).alias("confidence"), "score")
 
 
 def portfolio_select(spark, d):
@@ -510,5 +557,5 @@ def retention_runs(spark, d):
     return L.runs_beyond(runs, 60)
 
 
-ALL = [v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and k not in ("texts", "stories", "states", "feed_items", "basis", "preferred", "plain_items", "judged", "candidates", "profiles", "X_alternate") and not k.startswith("_")]
+ALL = [v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and k not in ("texts", "stories", "states", "feed_items", "basis", "preferred", "plain_items", "judged", "candidates", "profiles", "X_alternate", "uuid_of", "notes", "dated_items", "with_profiles") and not k.startswith("_")]
 QUERIES = {f.__name__: f for f in ALL}

@@ -21,15 +21,13 @@ def _category(c: str):
     return out
 
 
-def articles(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """article_id, title, summary, source, category, priority, published_epoch.
-
-    The summary is 400 characters, as in the SQL of the queries that have one; with whole it is the rest of the text."""
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """article_id, title, summary, source, category, priority, published_epoch: the first 80 characters of a text are its title, all the others its summary."""
     flat = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("article_id"),
         F.substring(flat, 1, 80).alias("title"),
-        (F.expr("substring(replace(text, '\n', ' '), 81)") if whole else F.substring(flat, 81, 400)).alias("summary"),
+        F.expr("substring(replace(text, '\n', ' '), 81)").alias("summary"),
         "source",
         _category("doc_id").alias("category"),
         (F.col("doc_id") % 5 + 1).alias("priority"),
@@ -81,5 +79,6 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count_if(F.col("o_orderpriority").startswith("1")).alias("selected"),
             F.count_if(F.col("o_orderpriority").startswith("2")).alias("confirmed"),
             (F.count_if(F.col("o_orderstatus") == "F") > 0).alias("succeeded"),
+            F.max(F.col("o_orderkey") % 9000).alias("duration_ms"),
         )
     )

@@ -43,6 +43,43 @@ def intake_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("source_id").agg(F.count("*").alias("parsed"), *(F.count_if(F.col("age") == a).alias(a) for a in ("kept", "old", "undated")))
 
 
+def fetched(payloads: DataFrame) -> DataFrame:
+    """(source_id, status, error, parsed, body): whether a source's fetch succeeded, by itself; what failed has no body and the class of its error.
+
+    payloads: source_id, http_status, error (of the fetch), body; a body without items is a failure too."""
+    from tidewell.operators.publishing import error_class
+
+    message = F.coalesce(F.col("error"), F.when(~F.col("http_status").between(200, 299), F.concat(F.lit("HTTP "), F.col("http_status").cast("string"))))
+    n = F.regexp_count("body", F.lit(r"(?i)<(?:item|entry)\b"))
+    bad = message.isNotNull() | F.col("body").isNull() | (n == 0)
+    return payloads.withColumn("parsed", F.when(bad, 0).otherwise(n).cast("long")).select("source_id", F.when(bad, "failed").otherwise("succeeded").alias("status"), F.when(bad, error_class(F.coalesce(message, F.lit("no items")))).alias("error"), "parsed", F.when(~bad, F.col("body")).alias("body"))
+
+
+def without_probes(df: DataFrame, roles: DataFrame) -> DataFrame:
+    """Items but those of sources that are only probed; roles (source_id, role); items without a source stay."""
+    return df.join(roles.where("role = 'probe'").select("source_id"), "source_id", "left_anti")
+
+
+# Where feeds often are.
+COMMON_PATHS = ["/feed", "/feed.xml", "/rss", "/rss.xml", "/atom.xml"]
+# End of fixed values.
+
+
+def feed_candidates(html: Column, url: Column, most: int = 10) -> Column:
+    """Where a page's feed may be: the feeds that it names, resolved, then the common paths of its host; at most ten, each once."""
+    origin = F.regexp_extract(url, r"(?i)^(https?://[^/?#]+)", 1)
+    folder = F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"(?i)^(https?://[^/]+(?:/.*)?/)", 1)
+    base = F.when(folder == "", F.concat(origin, F.lit("/"))).otherwise(folder)
+    full = lambda h: F.when(h.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(F.regexp_extract(url, r"(?i)^(https?:)", 1), h)).when(h.startswith("/"), F.concat(origin, h)).otherwise(F.concat(base, h))
+    named = F.transform(alternate_feeds(html), lambda h: full(X.decode_entities(h)))
+    return F.slice(F.array_distinct(F.concat(named, F.array(*(F.concat(origin, F.lit(p)) for p in COMMON_PATHS)))), 1, most)
+
+
+def duplicate_ratio(df: DataFrame) -> DataFrame:
+    """(source_id, n, duplicate_ratio): the share of a source's items whose URL another one has."""
+    return df.groupBy("source_id").agg(F.count("*").alias("n"), F.round((F.count("*") - F.count_distinct("url")) / F.count("*"), 6).alias("duplicate_ratio"))
+
+
 def to_articles(df: DataFrame) -> DataFrame:
     """Items with URL and title, one for each URL: the longest summary, of equal ones the first."""
     from tidewell.operators.stories import best_per_url
