@@ -129,8 +129,14 @@ def _trim():
 _TRIM = _trim()
 
 
+#: What empties the caches of operators that keep some from task to task in a Python worker.
+FORGET: list = []
+
+
 def give_back() -> None:
-    """What a batch's arrays have taken goes back to the system, so that idle workers are small beside the JVM."""
+    """What a batch's arrays have taken, and what other operators have kept, goes back to the system, so that workers are small beside the JVM."""
+    for forget in FORGET:
+        forget()
     pa.default_memory_pool().release_unused()
     if _TRIM:
         _TRIM(0)

@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewell.llm.common import give_back
+from tidewell.llm.common import FORGET
 
 #: Distinct pieces whose ids a Python worker remembers before it starts afresh.
-CACHE_PIECES = 60_000
+CACHE_PIECES = 120_000
 #: Lengths of the beginnings that pieces share, longest first.
 SHARED = (9, 6)
 NONE = 1 << 40
@@ -212,10 +212,9 @@ class Encoder:
         return b"".join(out)
 
     def forget(self) -> None:
-        """Lets go of the pieces seen so far, so that an idle worker holds the vocabulary only."""
+        """Lets go of the pieces seen so far, so that a worker that does other things holds the vocabulary only."""
         self.known.clear()
         self.begun.clear()
-        give_back()
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.v.tokens.__getitem__, ids.tolist()))
@@ -223,7 +222,9 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def _encoder(tokens: tuple[bytes, ...], pattern: str) -> Encoder:
-    return Encoder(list(tokens), pattern)
+    out = Encoder(list(tokens), pattern)
+    FORGET.append(out.forget)
+    return out
 
 
 def _strings(batch: pa.RecordBatch, column: str) -> Iterator[str]:
@@ -255,7 +256,6 @@ def encode_table(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 columns.append(pa.array(all_ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.record_batch(columns, names=names)
-        enc.forget()
 
     kinds = dict(docs.dtypes)
     first_columns = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *keep))
