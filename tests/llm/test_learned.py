@@ -382,7 +382,7 @@ def test_pipeline_stages(spark, small):
     assert seen["tokens"][1].count() == seen["mixing"][1].count() > 0
     empty = docs.sparkSession.createDataFrame([], seen["quality"][0].schema)
     for _, stage in corpus.STAGES:
-        empty = stage(spark, empty, small)
+        empty = scratch.write(stage(spark, empty, small))
         assert empty.count() == 0
 
 
