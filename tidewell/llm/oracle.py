@@ -2,6 +2,24 @@
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
+
+def _edit(item: str, cost: str, edit: str) -> str:
+    """An item, its cost in eight digits before its audit, and one edit more."""
+    return f"(printf('%08d', CAST({item}[1:8] AS BIGINT) + {cost}) || {item}[9:] || {edit})"
+
+
+def _insert(*items: str) -> str:
+    return ", ".join(_edit(i, "3", "'I'") for i in items)
+
+
+def _insert2(*items: str) -> str:
+    return ", ".join(_edit(i, "6", "'II'") for i in items)
+
+
+def _read(initial: str, *items: str) -> str:
+    """A row that isn't deleted, kept where it has the initial."""
+    return ", ".join(f"CASE WHEN NOT gone THEN {_edit(i, f'(CASE WHEN initial = {initial!r} THEN 0 ELSE 3 END) + stays', f'(CASE WHEN initial = {initial!r} THEN chr(75) ELSE chr(82) END)')} END" for i in items)
+
 ORACLE = {
     "op1_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
@@ -36,4 +54,47 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.doc_id)
 SELECT n.doc_id, n.n AS n_shingles, m.r AS component_id, n.doc_id = m.r AS kept FROM n JOIN (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id) m ON m.doc_id = n.doc_id""",
+    "op11_conversations": rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS place FROM conversations),
+c AS (SELECT *, xor(list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(place) + 1), lambda i: list_transform(range(0, 8), lambda j: (ascii(place[i]) >> j) & 1)))),
+             lambda a, b: xor(a >> 1, CASE WHEN (xor(a, b) & 1) = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 20 AS kind FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS n FROM d),
+f AS (SELECT *, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS initial, NOT regexp_matches(text, '{SPACE}') AS blank,
+      row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS seen, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS open FROM o),
+r AS (SELECT conv_id, turn, n, role, text, initial, blank, NOT blank AND seen AS duplicate, NOT blank AND NOT seen AND open AS truncated, blank OR seen AS gone,
+      CASE WHEN open THEN 3 ELSE 0 END AS stays, lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial NOT IN ('su', 'ua', 'au') AS wrong FROM f),
+p AS (SELECT conv_id, CAST(0 AS BIGINT) AS n, '00000000' AS s, CAST(NULL AS VARCHAR) AS q, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS d FROM (SELECT DISTINCT conv_id FROM conversations)
+      UNION ALL
+      SELECT conv_id, n, {_edit('s', '4', "'D'")} AS s,
+             least({_edit('q', '4', "'D'")}, CASE WHEN NOT gone AND initial = 's' THEN {_edit('s', 'stays', "'K'")} END) AS q,
+             least({_edit('a', '4', "'D'")}, {_read('u', 's', 'q', 'd')}) AS a,
+             least({_edit('d', '4', "'D'")}, {_read('a', 'a')}) AS d
+      FROM (SELECT p.conv_id, r.n, r.gone, r.initial, r.stays, s, q, least(a, {_insert('s', 'q', 'd')}) AS a, least(d, {_insert('a')}, {_insert2('s', 'q')}) AS d
+            FROM p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.n = p.n + 1)),
+e AS (SELECT conv_id, max(n) AS n FROM p GROUP BY conv_id),
+b AS (SELECT p.conv_id, least(s, d, {_insert('a')}, {_insert2('q')}) AS best FROM p JOIN e ON e.conv_id IS NOT DISTINCT FROM p.conv_id AND e.n = p.n),
+w AS (SELECT conv_id, best[9:] AS audit, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, '' AS before, CAST(NULL AS VARCHAR) AS lines FROM b
+      UNION ALL
+      SELECT conv_id, audit, i, n, CASE WHEN edit = 'D' THEN before ELSE role[1] END, CASE WHEN edit = 'D' THEN lines ELSE coalesce(lines || chr(10), '') || role || ':' || text END
+      FROM (SELECT w.conv_id, audit, w.i + 1 AS i, w.n + CASE WHEN audit[w.i + 1] = 'I' THEN 0 ELSE 1 END AS n, before, lines, audit[w.i + 1] AS edit,
+                   CASE WHEN audit[w.i + 1] = 'K' THEN r.role WHEN before = 'u' THEN 'assistant' ELSE 'user' END AS role, CASE WHEN audit[w.i + 1] = 'I' THEN '' ELSE r.text END AS text
+            FROM w LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.n = w.n + 1 WHERE w.i < length(audit))),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (wrong) AS illegal FROM r GROUP BY conv_id)
+SELECT b.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(best[1:8] AS BIGINT) AS cost, w.audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM b JOIN w ON w.conv_id IS NOT DISTINCT FROM b.conv_id AND w.i = length(w.audit) LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM b.conv_id""",
+    "op12_fim": r"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM u),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS x, greatest(h1 % (n + 1), h2 % (n + 1)) AS y,
+      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM g),
+c AS (SELECT *, array_to_string(units[1:x], '') AS a, array_to_string(units[x + 1:y], '') AS m, array_to_string(units[y + 1:], '') AS z FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM c""",
+    "op13_exact_dedup": r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size,
+       row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(text) AS text_sha256 FROM n""",
 }
