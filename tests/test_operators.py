@@ -1,8 +1,10 @@
 """Operators on small tables, sequential ones against plain statements of their rules."""
 
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import engagement as E
@@ -148,6 +150,11 @@ def test_decisions_in_python_are_those_of_the_expression(spark):
     assert len(seen) >= 7
 
 
+def thousandths(x):
+    """As the rule rounds scores: by the exact value of the double, of two equally near numbers the larger."""
+    return float(Decimal(x).quantize(Decimal("0.001"), ROUND_HALF_UP))
+
+
 def grouped(rows, told):
     """The sequential grouping: newest first, each against all members of the groups in which it shares a key."""
     order = [x[0] for x in sorted(rows, key=lambda x: (-x[5] if x[5] is not None else float("inf"), x[0]))]
@@ -163,7 +170,7 @@ def grouped(rows, told):
             if all(d[0] for d, _ in ds) and (best is None or min(d[2] for d, _ in ds) > best[0]):
                 best = (min(d[2] for d, _ in ds), g, ds)
         if best:
-            edges += [(j, i, d[1], round(d[2], 3)) for d, j in best[2]]
+            edges += [(j, i, d[1], thousandths(d[2])) for d, j in best[2]]
             groups[best[1]].append(i)
             of[i] = best[1]
         else:
@@ -189,6 +196,42 @@ def test_clusters_are_those_of_the_sequential_rule(spark):
     assert len({x[0] for x in expected.values()}) < 300 and {x.article_id: x.story_id for x in D.clusters(p).collect()} == {i: x[0] for i, x in expected.items()}
 
 
+def test_scores_are_rounded_by_their_exact_value(spark):
+    xs = [0.8125, 0.5325, 0.0005, 0.0015, 0.9995, 1.0, 0.0, 0.1 + 0.2, *(i / 2000 for i in range(2000))]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", D.thousandths(F.col("x")).alias("y")).collect()
+    assert [(x.x, x.y) for x in got] == [(x, thousandths(x)) for x in xs]
+
+
+@pytest.mark.parametrize("most", [40])
+def test_components_of_any_size_are_placed_in_rounds(spark, monkeypatch, most):
+    """The same groups where a component takes many rounds; no task is given more newcomers than a round has."""
+    monkeypatch.setattr(D, "ROUND", most)
+    r = random.Random(13)
+    rows = random_stories(r, 120)
+    rows += [(400 + i, *rows[7][1:5], r.randrange(5) * 86400, "z") for i in range(15)]
+    p, told = profile_dicts(spark, rows)
+    expected = grouped(rows, told)
+    got = {x.article_id: (x.story_id, x.match_reason, round(x.match_score, 3)) for x in D.memberships(p).collect()}
+    assert got == expected
+
+
+def test_evidence_finds_every_pair_of_duplicates(spark, monkeypatch):
+    """Candidates hold all pairs that share a key and that the decision calls duplicates; rows of evidence follow an article's own sizes."""
+    from tidewell.operators import similar as S
+
+    monkeypatch.setattr(S, "BLOCK", 16)
+    r = random.Random(14)
+    rows = random_stories(r, 260) + [(900 + i, t, s, "AI", "", 0, "a") for i, (t, s) in enumerate((("", ""), ("", ""), ("the", "harbour"), ("Harbour", "x"), ("Harbour news", ""), ("", "Harbour tunnel budget")))]
+    p, told = profile_dicts(spark, rows)
+    k, _ = D.profile_classes(p)
+    k = k.checkpoint()
+    found = {(x.left, x.right) for x in S.candidates(k).collect()}
+    ids = sorted(x.class_id for x in k.select("class_id").collect())
+    meant = {(a, b) for a in ids for b in ids if a < b and set(told[a]["keys"]) & set(told[b]["keys"]) and D.decide(told[a], told[b], timed=False)[0]}
+    assert meant <= found and len(meant) > 100
+    assert S.evidence(k).groupBy("class_id").count().agg({"count": "max"}).first()[0] < 200
+
+
 def test_history_is_matched_greedily(spark):
     r = random.Random(12)
     rows = random_stories(r, 90)

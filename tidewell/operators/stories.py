@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
 from tidewell.operators.graph import checkpoints, components
+from tidewell.operators.order import placed
+from tidewell.operators.similar import candidates
 
 WINDOW_SECONDS = 4 * 86400
 #: Classes that share a key meet block against block, and members of a class too.
@@ -92,29 +94,48 @@ def profile_classes(p: DataFrame) -> tuple[DataFrame, DataFrame]:
     return k.select("class_id", "n", "lo", "hi", "s.*"), m
 
 
-def class_pairs(k: DataFrame, keep: Column | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(l, r) of two classes that share a key, each pair once, at the least key they share; keep is a condition on l and r.
+def kept_classes(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same, computed once: profiles of whole texts are dear, and joins read them several times."""
+    checkpoints(p.sparkSession)
+    k, m = profile_classes(p.checkpoint())
+    return k.checkpoint(), m.checkpoint()
+
+
+def class_pairs(k: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(l, r) of two classes that share a key, each pair once, at the least key they share, with class_id, n and extra columns.
 
-    The classes of a key are dealt to blocks, and blocks meet each other in tasks of their own, so no key is too large."""
-    cols = ("class_id", "n", "lo", "hi", "feed", "title_tokens", "fingerprint", "simhash", "canonical_url", "n_text", "keys", *extra)
-    rows = k.withColumns({"n_text": F.size("text_tokens"), "keys": blocking_keys()}).select(F.struct(*cols).alias("s"))
+    For results that have all such pairs, or count them. The classes of a key are dealt to blocks, and blocks meet each
+    other in tasks of their own, so no key is too large."""
+    rows = k.withColumn("keys", hashed_keys()).select(F.struct("class_id", "n", "keys", *extra).alias("s"))
     rows = rows.select("s", F.explode("s.keys").alias("key"))
     blocks = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(blocks, "key").withColumn("at", F.pmod(F.xxhash64("s.class_id"), F.col("blocks")).cast("int"))
     left = rows.select("key", F.col("at").alias("i"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("j"), F.col("s").alias("l"))
     right = rows.select("key", F.explode(F.sequence(F.lit(0), "at")).alias("i"), F.col("at").alias("j"), F.col("s").alias("r"))
     met = left.join(right, ["key", "i", "j"]).where("i < j or l.class_id < r.class_id")
-    if keep is not None:
-        met = met.where(keep)
     return met.where(F.array_min(F.array_intersect("l.keys", "r.keys")) == F.col("key")).select("l", "r")
 
 
+def hashed_keys() -> Column:
+    return F.transform(blocking_keys(), lambda x: F.xxhash64(x))
+
+
+def judged_pairs(k: DataFrame) -> DataFrame:
+    """(left, right, ln, rn) of pairs of classes whose texts have to be compared: with evidence in common, a key, times
+    that meet, and titles, bits and sizes that allow a duplicate. What is compared here has no text."""
+    cols = ("class_id", "n", "lo", "hi", "feed", "title_tokens", "fingerprint", "simhash", "canonical_url", "n_text", "keys")
+    told = k.withColumns({"n_text": F.size("text_tokens"), "keys": hashed_keys()}).select("class_id", F.struct(*cols).alias("s"))
+    near = F.coalesce(F.greatest(F.col("l.lo") - F.col("r.hi"), F.col("r.lo") - F.col("l.hi")) <= WINDOW_SECONDS, F.lit(True)) | F.coalesce((F.col("l.canonical_url") != "") & (F.col("l.canonical_url") == F.col("r.canonical_url")), F.lit(False))
+    pairs = candidates(k).join(told.select(F.col("class_id").alias("left"), F.col("s").alias("l")), "left").join(told.select(F.col("class_id").alias("right"), F.col("s").alias("r")), "right")
+    return pairs.where(F.arrays_overlap("l.keys", "r.keys") & near & possible()).select("left", "right", F.col("l.n").alias("ln"), F.col("r.n").alias("rn"))
+
+
 def class_decisions(k: DataFrame, all_pairs: bool = False) -> DataFrame:
     """(left, right, ln, rn, duplicate, reason, score) of pairs of classes and of classes with themselves, time left aside.
 
     Without all_pairs only those that can be duplicates."""
-    near = (F.coalesce(F.greatest(F.col("l.lo") - F.col("r.hi"), F.col("r.lo") - F.col("l.hi")) <= WINDOW_SECONDS, F.lit(True)) | F.coalesce((F.col("l.canonical_url") != "") & (F.col("l.canonical_url") == F.col("r.canonical_url")), F.lit(False))) & possible()
-    pairs = class_pairs(k, None if all_pairs else near).select(F.col("l.class_id").alias("left"), F.col("r.class_id").alias("right"), F.col("l.n").alias("ln"), F.col("r.n").alias("rn"))
+    met = lambda: class_pairs(k).select(F.col("l.class_id").alias("left"), F.col("r.class_id").alias("right"), F.col("l.n").alias("ln"), F.col("r.n").alias("rn"))
+    pairs = met() if all_pairs else judged_pairs(k)
     pairs = pairs.union(k.where("n > 1").select("class_id", "class_id", "n", "n"))
     side = k.select("class_id", F.struct(*PROFILE).alias("s"))
     pairs = pairs.join(side.select(F.col("class_id").alias("left"), F.col("s").alias("l")), "left").join(side.select(F.col("class_id").alias("right"), F.col("s").alias("r")), "right")
@@ -134,7 +155,7 @@ def duplicate_pairs(p: DataFrame, all_pairs: bool = True) -> DataFrame:
     """(left_id, right_id, duplicate, reason, score) of pairs that share a key, left_id < right_id.
 
     Without all_pairs some that are no duplicates are left out before their texts are compared."""
-    k, m = profile_classes(p)
+    k, m = kept_classes(p)
     d = member_pairs(class_decisions(k, all_pairs), k, m)
     far = F.coalesce((F.abs(F.col("x_epoch") - F.col("y_epoch")) > WINDOW_SECONDS) & (F.col("reason") != "canonical_url"), F.lit(False))
     return d.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), (F.col("duplicate") & ~far).alias("duplicate"), F.when(far, "outside_time_window").otherwise(F.col("reason")).alias("reason"), F.when(far, 0.0).otherwise(F.col("score")).alias("score"))
@@ -142,7 +163,7 @@ def duplicate_pairs(p: DataFrame, all_pairs: bool = True) -> DataFrame:
 
 def reason_counts(p: DataFrame) -> DataFrame:
     """(reason, n) over all pairs of duplicate_pairs; pairs that can't be duplicates, and copies, are counted and not made."""
-    k, m = profile_classes(p)
+    k, m = kept_classes(p)
     times = m.groupBy("class_id", "published_epoch").agg(F.count("*").alias("n")).groupBy("class_id").agg(F.collect_list(F.struct(F.col("published_epoch").alias("t"), "n")).alias("times"))
     k = k.join(times, "class_id")
 
@@ -151,7 +172,7 @@ def reason_counts(p: DataFrame) -> DataFrame:
         return F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + x["n"] * within(x))
 
     same_url = F.coalesce((F.col("l.canonical_url") != "") & (F.col("l.canonical_url") == F.col("r.canonical_url")), F.lit(False))
-    met = class_pairs(k, extra=("times",)).select((F.col("l.n") * F.col("r.n")).alias("n"), F.when(same_url, 0).otherwise(far(F.col("l.times"), F.col("r.times"))).alias("far"))
+    met = class_pairs(k, extra=("canonical_url", "times")).select((F.col("l.n") * F.col("r.n")).alias("n"), F.when(same_url, 0).otherwise(far(F.col("l.times"), F.col("r.times"))).alias("far"))
     alone = k.where("n > 1").select(F.expr("n * (n - 1) div 2").alias("n"), F.when(F.coalesce(F.col("canonical_url") != "", F.lit(False)), 0).otherwise(F.floor(far(F.col("times"), F.col("times")) / 2)).alias("far"))
     all_ = met.union(alone).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("far"), F.lit(0)).alias("far"))
     d = class_decisions(k).where("reason <> 'below_threshold'")
@@ -226,24 +247,28 @@ class _Classes:
         return known[b]
 
 
-def _complete_link(members: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-    """One component: articles in order join the group of which all members are duplicates, with the largest least score.
+def _complete_link(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """Articles of one component in order join the group of which all members are duplicates, with the largest least score.
 
     A group is looked at if the newcomer shares a key with a member; of groups with equal scores the one stands whose
     member comes first by the newcomer's keys, then by age. A group is kept as its classes, each with the bounds of its
-    times and its first two places: copies need no pairs of their own."""
-    judge = _Classes(members.dropna(subset=["profile"]), pairs)
-    groups: list[dict[int, list]] = []
-    named: list[int] = []
-    of: dict[int, list[int]] = {}
-    placed = []
-    order = members.drop_duplicates("article_id").sort_values(["published_epoch", "article_id"], ascending=[False, True])
-    for place, (x, c, t) in enumerate(zip(order["article_id"], order["class_id"], order["published_epoch"])):
+    times and its first place: copies need no pairs of their own. rows are newcomers, the groups that they may join, one
+    row for each class of them, and the profiles of all classes; what comes back are the newcomers, with their groups."""
+    judge = _Classes(rows[rows["kind"] == "profile"], pairs)
+    groups: dict[int, dict[int, list]] = {}
+    of: dict[int, set[int]] = {}
+    held = rows[rows["kind"] == "held"]
+    for g, c, lo, hi, place in zip(held["story_id"], held["class_id"], held["lo"], held["hi"], held["place"]):
+        groups.setdefault(g, {})[c] = [lo, hi, place]
+        of.setdefault(c, set()).add(g)
+    out = []
+    order = rows[rows["kind"] == "new"].drop_duplicates("article_id").sort_values("place")
+    for place, x, c, t in zip(order["place"], order["article_id"], order["class_id"], order["lo"]):
         looked_at = {i for k, found in judge.near(c).items() if found for i in of.get(k, ())}
         best, tied = -1.0, []
         for i in looked_at:
             least = 2.0
-            for k, (lo, hi, *_) in groups[i].items():
+            for k, (lo, hi, _) in groups[i].items():
                 found = judge(c, k)
                 if found is None or found[0] != "canonical_url" and (hi - t > WINDOW_SECONDS or t - lo > WINDOW_SECONDS):
                     least = -1.0
@@ -252,55 +277,125 @@ def _complete_link(members: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
             if least >= 0 and least >= best:
                 best, tied = least, [*(tied if least == best else []), i]
         first = lambda i: min((min((p for key, p in judge.keys[c].items() if key in judge.keys[k]), default=99), g[2]) for k, g in groups[i].items())  # noqa: B023, E731
-        at = min(tied, key=first) if len(tied) > 1 else tied[0] if tied else len(groups)
-        if not tied:
-            groups.append({})
-            named.append(x)
-        if c not in groups[at]:
-            groups[at][c] = [t, t, place, None]
-            of.setdefault(c, []).append(at)
-        else:
-            g = groups[at][c]
-            if t == t:
-                g[0], g[1] = t if g[0] != g[0] else min(g[0], t), t if g[1] != g[1] else max(g[1], t)
-            g[3] = place if g[3] is None else g[3]
-        placed.append((int(x), c, at, place))
-    rows = []
-    for x, c, at, place in placed:
-        why, score, nearest = None, 0.0, None
-        for k, g in groups[at].items():
-            other = g[2] if k != c or g[2] != place else g[3]
-            if other is not None:
-                reason, s = judge(c, k)
-                if nearest is None or (-round(s, 3), other) < nearest:
-                    nearest, why, score = (-round(s, 3), other), reason, round(s, 3)
-        rows.append((x, int(named[at]), why or "new_story", score if why else 1.0))
-    return pd.DataFrame(rows, columns=["article_id", "story_id", "match_reason", "match_score"])
+        at = min(tied, key=first) if len(tied) > 1 else tied[0] if tied else x
+        g = groups.setdefault(at, {})
+        if c not in g:
+            g[c] = [t, t, place]
+            of.setdefault(c, set()).add(at)
+        elif t == t:
+            g[c][0], g[c][1] = t if g[c][0] != g[c][0] else min(g[c][0], t), t if g[c][1] != g[c][1] else max(g[c][1], t)
+        out.append((int(x), c, t, int(place), int(at)))
+    return pd.DataFrame(out, columns=["article_id", "class_id", "lo", "place", "story_id"])
+
+
+#: Articles that one task may place. Larger components are placed in rounds of as many.
+ROUND = 5000
+
+
+def _round(new: DataFrame, held: DataFrame | None, told: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(article_id, class_id, lo, place, story_id) of newcomers (component, article_id, class_id, lo, place), given those already placed.
+
+    A component's newcomers meet only the groups that hold a duplicate of one of them, and of these a row for each class."""
+    mine = new.select("component", "class_id").distinct()
+    both = pairs.union(pairs.where("left <> right").select("right", "left", "reason", "score")).toDF("class_id", "other", "reason", "score")
+    edges = mine.join(both, "class_id").select(F.col("component").alias("of"), F.col("class_id").alias("left"), F.col("other").alias("right"), "reason", "score")
+    none, no_time, no_profile = F.lit(0).cast("long"), F.lit(None).cast("double"), F.lit(None).cast(told.schema["profile"].dataType)
+    rows = [new.select("component", F.lit("new").alias("kind"), "article_id", "class_id", none.alias("story_id"), "lo", F.col("lo").alias("hi"), "place", no_profile.alias("profile"))]
+    classes = mine
+    if held is not None:
+        near = edges.select(F.col("of").alias("component"), F.col("right").alias("class_id")).distinct()
+        meant = held.select("component", "class_id", "story_id").join(near, ["component", "class_id"], "left_semi").select("component", "story_id").distinct()
+        groups = held.join(meant, ["component", "story_id"], "left_semi").groupBy("component", "story_id", "class_id").agg(F.min("lo").alias("lo"), F.max("lo").alias("hi"), F.min("place").alias("place"))
+        rows.append(groups.select("component", F.lit("held"), none, "class_id", "story_id", "lo", "hi", "place", no_profile))
+        classes = mine.union(groups.select("component", "class_id")).distinct()
+    known = classes.join(told, "class_id")
+    rows.append(known.select("component", F.lit("profile"), none, "class_id", none, no_time, no_time, none, "profile"))
+    folded = reduce(DataFrame.union, rows).groupBy("component").cogroup(edges.groupBy("of"))
+    return folded.applyInPandas(_complete_link, "article_id long, class_id long, lo double, place long, story_id long")
+
+
+def placements(p: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Complete-link groups: (article_id, class_id, place, story_id) of articles that have a duplicate, the classes of all, their members, and pairs of classes.
+
+    Components are of classes of equal profiles, time left aside: they hold those of articles whole, and no group spans
+    two. An article waits for the earlier ones of its component only. A component of at most ROUND articles is placed in
+    one step, all of them in parallel; of larger ones, each round places the next ROUND articles by the order of all, and
+    is given the groups that these may join, as earlier rounds left them. So no task is given a component of any size."""
+    k, m = kept_classes(p)
+    pairs = class_decisions(k).where("duplicate").select("left", "right", "reason", "score").checkpoint()
+    linked = components(pairs.where("left <> right").select(F.col("left").alias("left_id"), F.col("right").alias("right_id")))
+    alone = k.select("class_id", "n").join(linked, F.col("class_id") == F.col("id"), "left").where("n > 1 or id is not null")
+    comp = alone.select("class_id", F.coalesce("component", "class_id").alias("component"), "n").checkpoint()
+    size = comp.groupBy("component").agg(F.sum("n").alias("size"))
+    told = k.select("class_id", F.struct(*PROFILE, blocking_keys().alias("keys")).alias("profile"))
+    rows = m.join(comp.join(size, "component"), "class_id").dropDuplicates(["article_id"])
+    # newest first, those without a time last
+    rows = rows.select("component", "size", "article_id", "class_id", F.col("published_epoch").cast("double").alias("lo"), F.coalesce(-F.col("published_epoch").cast("double"), F.lit(float("inf"))).alias("age"))
+    rows = placed(rows, [("age", False), ("article_id", False)], "place").checkpoint()
+    done = _round(rows.where(F.col("size") <= ROUND), None, told, pairs).checkpoint()
+    large = rows.where(F.col("size") > ROUND)
+    n = large.count()
+    if n:
+        large = placed(large, [("place", False)], "turn").withColumn("turn", F.floor(F.col("turn") / ROUND)).checkpoint()
+        of = large.select("article_id", "component")
+        held = None
+        for turn in range(-(-n // ROUND)):
+            now = _round(large.where(F.col("turn") == turn), held, told, pairs).join(of, "article_id").checkpoint()
+            held = now if held is None else held.unionByName(now)
+            held = held.checkpoint() if turn % 50 == 49 else held  # else the plan grows with every round
+        done = done.unionByName(held.drop("component"))
+    return done, k, m, pairs
+
+
+def thousandths(x: Column) -> Column:
+    """x to three places, of two that are equally near the larger, by the exact value of the double.
+
+    The product with 1000 is taken with its rounding error, as what a double prints may lie on a tie that it doesn't."""
+    p, c = x * 1000.0, x * 134217729.0
+    high = c - (c - x)
+    error = (high * 1000.0 - p) + (x - high) * 1000.0
+    return (F.floor(p) + F.when((p - F.floor(p) - 0.5) + error >= 0, 1).otherwise(0)) / 1000.0
+
+
+def evidence_of(done: DataFrame, k: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(article_id, story_id, match_reason, match_score): for each placed article the best of its decisions with the others of its group, of equal ones that with the earliest.
+
+    Classes of a group meet each other; an article meets copies of its own by the first of them that isn't itself."""
+    first = done.groupBy("story_id", "class_id").agg(F.min("place").alias("first"))
+    second = done.join(first, ["story_id", "class_id"]).where("place > first").groupBy("story_id", "class_id").agg(F.min("place").alias("second"))
+    both = pairs.union(pairs.where("left <> right").select("right", "left", "reason", "score")).toDF("class_id", "other", "reason", "score")
+    others = first.select("story_id", F.col("class_id").alias("other"), F.col("first").alias("other_first"))
+    met = first.select("story_id", "class_id").join(others, "story_id").where("class_id <> other").join(both, ["class_id", "other"], "left")
+    side = k.select("class_id", F.struct(*PROFILE).alias("s"))
+    # members of a group without a common key have not been compared yet
+    late = met.where("reason is null").drop("reason", "score").join(side.withColumnRenamed("s", "l"), "class_id").join(side.select(F.col("class_id").alias("other"), F.col("s").alias("r")), "other")
+    late = late.withColumn("d", decision(timed=False)).select("class_id", "other", "story_id", "other_first", "d.reason", "d.score")
+    met = met.where("reason is not null").select(*late.columns).union(late)
+    best = lambda at: F.struct((-thousandths(F.col("score"))).alias("s"), at.alias("at"), F.col("reason").alias("why"))
+    outer = met.groupBy("story_id", "class_id").agg(F.min(best(F.col("other_first"))).alias("outer"))
+    own = both.where("class_id = other").select("class_id", "reason", "score")
+    rows = done.join(first, ["story_id", "class_id"]).join(second, ["story_id", "class_id"], "left").join(outer, ["story_id", "class_id"], "left").join(own, "class_id", "left")
+    copy = F.when(F.col("place") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    rows = rows.withColumn("best", F.least("outer", F.when(copy.isNotNull() & F.col("reason").isNotNull(), best(copy))))
+    return rows.select("article_id", "story_id", F.coalesce("best.why", F.lit("new_story")).alias("match_reason"), F.when(F.col("best").isNull(), 1.0).otherwise(-F.col("best.s")).alias("match_score"))
+
+
+def _lone(m: DataFrame, done: DataFrame) -> DataFrame:
+    return m.select("article_id").distinct().join(done.select("article_id"), "article_id", "left_anti")
 
 
 def memberships(p: DataFrame) -> DataFrame:
     """(article_id, story_id, match_reason, match_score): complete-link groups, named by their newest article, and for each
-    member the best evidence that it belongs; groups never span weak components.
-
-    Components are of classes of equal profiles, time left aside: they hold those of articles whole, so the groups are
-    the same. A component is one sequential fold and one task; articles alone in theirs are in none."""
-    checkpoints(p.sparkSession)
-    k, m = (x.checkpoint() for x in profile_classes(p))
-    pairs = class_decisions(k).where("duplicate").select("left", "right", "reason", "score").checkpoint()
-    linked = components(pairs.where("left <> right").select(F.col("left").alias("left_id"), F.col("right").alias("right_id")))
-    alone = k.select("class_id", "n").join(linked, F.col("class_id") == F.col("id"), "left").where("n > 1 or id is not null")
-    comp = alone.select("class_id", F.coalesce("component", "class_id").alias("component")).checkpoint()
-    single = m.join(comp, "class_id", "left_anti").select("article_id", F.col("article_id").alias("story_id"), F.lit("new_story").alias("match_reason"), F.lit(1.0).alias("match_score"))
-    told = k.select(F.col("class_id").alias("article_id"), F.struct(*PROFILE, blocking_keys().alias("keys")).alias("profile"))
-    rows = m.join(comp, "class_id").join(told, "article_id", "left").select("component", "article_id", "class_id", "published_epoch", "profile")
-    edges = pairs.join(comp.select(F.col("class_id").alias("left"), F.col("component").alias("of")), "left")
-    folded = rows.groupBy("component").cogroup(edges.groupBy("of")).applyInPandas(_complete_link, "article_id long, story_id long, match_reason string, match_score double")
-    return folded.union(single)
+    member the best evidence that it belongs."""
+    done, k, m, pairs = placements(p)
+    single = _lone(m, done).select("article_id", F.col("article_id").alias("story_id"), F.lit("new_story").alias("match_reason"), F.lit(1.0).alias("match_score"))
+    return evidence_of(done, k, pairs).union(single)
 
 
 def clusters(p: DataFrame) -> DataFrame:
     """(article_id, story_id) of memberships."""
-    return memberships(p).select("article_id", "story_id")
+    done, _, m, _ = placements(p)
+    return done.select("article_id", "story_id").union(_lone(m, done).select("article_id", F.col("article_id").alias("story_id")))
 
 
 def story_keys(members: DataFrame) -> DataFrame:
