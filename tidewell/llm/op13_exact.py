@@ -46,7 +46,8 @@ def directory(keys: DataFrame, capacity: int, depth: int = DEPTH) -> DataFrame:
     cells = keys.groupBy(cell).agg(F.sum(F.least("c", F.lit(capacity))).alias("rows"))
     split = cells.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("prefix", F.expr(f"shiftrightunsigned(cell, {depth} - depth)"))
     buckets = split.groupBy("depth", "prefix").agg(F.sum("rows").alias("held")).where((F.col("held") <= capacity) | (F.col("depth") == depth))
-    found = split.join(buckets, ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("depth"))
+    # buckets of any depth that aren't overfull are fewer than 2 ** (depth + 1)
+    found = split.join(F.broadcast(buckets), ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("depth"))
     return found.select("cell", F.expr(f"shiftrightunsigned(cell, {depth} - depth) * 64 + depth").alias("bucket"), "depth")
 
 
