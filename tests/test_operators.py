@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell.functions import address
 from tidewell.operators import engagement as E
 from tidewell.operators import lifecycle as L
 from tidewell.operators import merging as M
@@ -232,29 +233,50 @@ def test_evidence_finds_every_pair_of_duplicates(spark, monkeypatch):
     assert S.evidence(k).groupBy("class_id").count().agg({"count": "max"}).first()[0] < 200
 
 
-def test_history_is_matched_greedily(spark):
+def matched_in_turn(stories, past, told):
+    """stories: id to (key, articles); past: (id, key), newest first. Equal keys first, then each story, by id, the best that is left."""
+    used, out = set(), {}
+    by_key = {key: h for h, key in past}
+    for story in sorted(stories):
+        h = by_key.get(stories[story][0])
+        if h is not None and h not in used:
+            used.add(h)
+            out[story] = (h, "stable_story_key", 1.0)
+    for story in sorted(stories):
+        best = None
+        for h, _ in past if story not in out else ():
+            ds = [x for i in stories[story][1] if (x := D.decide(told[h], told[i]))[0]]
+            if h not in used and ds and (best is None or max(x[2] for x in ds) > best[0] + 1e-12):
+                best = (max(x[2] for x in ds), h)
+        if best:
+            used.add(best[1])
+            out[story] = (best[1], None, best[0])
+    return out
+
+
+def test_history_is_matched_in_turn(spark):
+    """Random stories of several profiles, tokens in all of them, equal keys, against the plain loop."""
     r = random.Random(12)
-    rows = random_stories(r, 90)
+    rows = random_stories(r, 110, words=20)
+    rows = [(i, f"{t} markets", f"{s} markets climate", *x) for i, t, s, *x in rows]
     p, told = profile_dicts(spark, rows)
     p = p.withColumnRenamed("article_id", "story_id").withColumn("last_seen_epoch", (F.col("story_id") * 7 % 5).cast("long"))
-    history, now = p.where("story_id % 3 = 0"), p.where("story_id % 3 > 0").withColumn("story_id", F.expr("story_id div 6"))
-    used, expected = set(), []
+    p = p.withColumn("story_key", F.when(F.col("story_id") % 3 == 0, F.concat(F.lit("k"), F.col("story_id").cast("string"))).otherwise(F.concat(F.lit("k"), (F.expr("story_id div 6") * 6).cast("string")))).checkpoint()
+    history, now = p.where("story_id % 3 = 0 and story_id % 4 > 0"), p.where("story_id % 3 > 0").withColumn("story_id", F.expr("story_id div 6"))
+    past = sorted((i for i, *_ in rows if i % 3 == 0 and i % 4), key=lambda i: (-(i * 7 % 5), i))
     members = {}
     for x in rows:
         if x[0] % 3:
-            members.setdefault(x[0] // 6, []).append(x[0])
-    past = sorted((x[0] for x in rows if x[0] % 3 == 0), key=lambda i: (-(i * 7 % 5), i))
-    for story in sorted(members):
-        best = None
-        for h in past:
-            ds = [d for i in members[story] if (d := D.decide(told[h], told[i]))[0]]
-            if h not in used and ds and (best is None or max(d[2] for d in ds) > best[0] + 1e-12):
-                best = (max(d[2] for d in ds), h)
-        if best:
-            used.add(best[1])
-            expected.append((story, best[1], round(best[0], 6)))
-    got = sorted((x.story_id, x.history_id, round(x.score, 6)) for x in D.match_history_fuzzy(now, history).collect())
-    assert got == expected and len(got) > 5
+            members.setdefault(x[0] // 6, (f"k{x[0] // 6 * 6}", []))[1].append(x[0])
+    for keyed in (True, False):
+        expected = matched_in_turn({k: (v[0] if keyed else None, v[1]) for k, v in members.items()}, [(h, f"k{h}") for h in past], told)
+        got = D.match_stories(now, history) if keyed else D.match_history_fuzzy(now, history)
+        got = {x.story_id: (x.history_id, x.reason, x.score) for x in got.collect()}
+        assert {k: (v[0], round(v[2], 6)) for k, v in got.items()} == {k: (v[0], round(v[2], 6)) for k, v in expected.items()} and len(got) > 10
+        assert {k for k, v in got.items() if v[1] == "stable_story_key"} == {k for k, v in expected.items() if v[1]}
+    told_by = spark.createDataFrame([(1, 0, "new_story", 1.0), (2, 5, "simhash", 0.7)], "article_id long, story_id long, match_reason string, match_score double")
+    found = spark.createDataFrame([(5, 9, "k", "simhash", 0.8125)], "story_id long, history_id long, story_key string, reason string, score double")
+    assert sorted(tuple(x) for x in D.with_history(told_by, found).collect()) == [(1, 0, "new_story", 1.0), (2, 5, "history:simhash", 0.813)]
 
 
 def test_selection_by_its_rule(spark):
@@ -529,7 +551,7 @@ def test_publication(spark):
     assert row(B.language(c), "<rss><language>pl-PL</language></rss>") == "pl-pl" and row(B.language(c), "to jest dla przez się") == "pl" and row(B.language(c), "the cat and the dog with that") == "en" and row(B.language(c), "xyz") == "unknown"
     assert row(B.category(c), "a cve, a breach and a bank") == "Cybersecurity" and row(B.category(c), "bank war") == "Business / Markets" and row(B.category(c), "zzz") == "General"
     assert row(B.error_class(c), "HTTP 503 from host") == "http_503" and row(B.error_class(c), "timed out") == "timeout" and row(B.error_class(c), "bad") == "network_or_parse_error"
-    assert [row(B.blocked_ipv6(c), a) for a in ("::1", "fe80::1", "::ffff:10.0.0.1", "2606:4700::1111", "nonsense")] == [True, True, True, False, True]
+    assert [row(address.blocked_ipv6(c), a) for a in ("::1", "fe80::1", "::ffff:10.0.0.1", "2606:4700::1111", "nonsense")] == [True, True, True, False, True]
     assert row(B.keyword_setting(c), " Foo,bar\nfoo ,, b  c") == ["foo", "bar", "b c"]
     a, b = spark.createDataFrame([(1,)], "i int"), spark.createDataFrame([(2,)], "i int")
     assert [r.i for r in B.fallback_rows(a, b).collect()] == [1] and [r.i for r in B.fallback_rows(a.where("false"), b).collect()] == [2]

@@ -52,6 +52,7 @@ WITHOUT_SQL = {
     "selection_v2": (["story_id"], ("reason", {"global_rank", "capacity", "category_limit", "publisher_cap", "duplicate_suppression"})),
     "story_clusters": (["article_id"], None),
     "story_memberships": (["article_id"], None),
+    "history_matches": (["story_id"], None),
     "portfolio_automatic": (["source_id"], ("role", {"selected", "explore", "probe", "skipped"})),
 }
 

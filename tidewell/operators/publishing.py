@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from tidewell.functions import text as X
 
@@ -48,21 +44,6 @@ def error_class(message: Column) -> Column:
     return F.when(message.isNull(), F.lit(None).cast("string")).when(code != "", F.concat(F.lit("http_"), code)).when(message.rlike("(?i)abort|time[d ]*out"), "timeout").otherwise("network_or_parse_error")
 
 
-@F.pandas_udf(BooleanType())
-def blocked_ipv6(s: pd.Series) -> pd.Series:
-    """Whether an IPv6 address is one that no fetch may reach, or no address at all."""
-
-    def blocked(x: str | None) -> bool:
-        try:
-            a = ipaddress.IPv6Address(x)
-        except (ipaddress.AddressValueError, TypeError):
-            return True
-        a = a.ipv4_mapped or a
-        return not a.is_global or a.is_multicast
-
-    return s.map(blocked)
-
-
 def fetch_allowed(status: Column, size: Column, redirects: Column) -> Column:
     """The bounds of a fetch: success, 2 MB, five redirects."""
     return status.between(200, 299) & (size <= 2_000_000) & (redirects <= 5)

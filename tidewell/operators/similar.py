@@ -53,15 +53,18 @@ def _masks() -> list[int]:
     return [sum(part[i] for i in three) for three in combinations(range(len(BLOCKS)), 3)]
 
 
-def evidence(k: DataFrame) -> DataFrame:
-    """(class_id, key, kind, side, n_title, n_text, simhash): side 1 meets side 2, and 3 meets 3."""
+def evidence(k: DataFrame, by_feed: bool = True) -> DataFrame:
+    """(class_id, key, kind, side, n_title, n_text, simhash): side 1 meets side 2, and 3 meets 3.
+
+    Without by_feed articles of different feeds may have evidence in common."""
     ranked = k.join(rare_first(k), "class_id", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<string>")))
     title = F.concat(F.array_intersect("rare", "title_tokens"), F.array_except("title_tokens", "rare"))
     light = ranked.select(
         "class_id", "feed", "canonical_url", "fingerprint", "simhash", title.alias("title"), F.size("title_tokens").alias("n_title"), F.size("text_tokens").alias("n_text"),
         F.slice("rare", 1, (F.size("rare") - F.ceil(F.size("rare") * TEXT) + 1).cast("int")).alias("text"),
     )
-    key = lambda kind, *v: F.xxhash64(F.col("feed"), F.lit(kind), *v)
+    feed = F.col("feed") if by_feed else F.lit("")
+    key = lambda kind, *v: F.xxhash64(feed, F.lit(kind), *v)
     told = lambda keys, kind, side: F.transform(keys, lambda x: F.struct(x.alias("key"), F.lit(kind).alias("kind"), F.lit(side).alias("side")))
     none = F.array().cast("array<bigint>")
 
@@ -87,24 +90,43 @@ def evidence(k: DataFrame) -> DataFrame:
     return light.select("class_id", F.explode(rows).alias("e"), "n_title", "n_text", "simhash").select("class_id", "e.key", "e.kind", "e.side", "n_title", "n_text", F.col("simhash").cast("long").alias("simhash"))
 
 
-def candidates(k: DataFrame) -> DataFrame:
+def candidates(k: DataFrame, by_feed: bool = True) -> DataFrame:
     """(left, right), left < right: pairs of classes of k (class_id and a profile) with evidence in common, each once."""
     checkpoints(k.sparkSession)
-    e = evidence(k).checkpoint()
+    return _met(evidence(k, by_feed).checkpoint())
+
+
+def candidates_between(a: DataFrame, b: DataFrame, by_feed: bool = True) -> DataFrame:
+    """(left, right): a class_id of a and one of b that have evidence in common, each pair once."""
+    checkpoints(a.sparkSession)
+    cols = ("feed", "title_tokens", "text_tokens", "fingerprint", "simhash", "canonical_url")
+    side = lambda df, odd: df.select((F.col("class_id") * 2 + odd).alias("class_id"), *cols)
+    e = evidence(side(a, 0).unionByName(side(b, 1)), by_feed).checkpoint()
+    return _met(e, between=True).select(F.shiftright("left", 1).alias("left"), F.shiftright("right", 1).alias("right"))
+
+
+def _met(e: DataFrame, between: bool = False) -> DataFrame:
+    """Pairs of classes with a key in common, each once; with between, of an even and an odd class_id, the even one left."""
+    odd = F.pmod("class_id", F.lit(2)) == 1
+    if between:
+        met = e.groupBy("key", "kind").agg(F.count(F.when(odd, 1)).alias("c"), F.count(F.when(~odd, 1)).alias("from")).where("c > 0 and from > 0")
+        return _pairs(e, met, ~odd, odd, (F.col("l.side") == 3) | (F.col("l.side") != F.col("r.side"))).select(F.col("l.class_id").alias("left"), F.col("r.class_id").alias("right")).distinct()
     met = e.groupBy("key", "kind").agg(F.count(F.when(F.col("side") > 1, 1)).alias("c"), F.count(F.when(F.col("side") != 2, 1)).alias("from")).where("c > 0 and from > 0 and c + from > 2")
-    rows = e.join(met.select("key", "kind", F.ceil(F.greatest("c", "from") / BLOCK).cast("int").alias("blocks")), ["key", "kind"]).withColumn("at", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    once = F.when(F.col("l.side") == 3, F.col("l.class_id") < F.col("r.class_id")).otherwise(F.col("l.class_id") != F.col("r.class_id"))
+    pairs = _pairs(e, met, F.col("side") != 2, F.col("side") != 1, once)
+    return pairs.select(F.least("l.class_id", "r.class_id").alias("left"), F.greatest("l.class_id", "r.class_id").alias("right")).distinct()
+
+
+def _pairs(e: DataFrame, met: DataFrame, on_left: Column, on_right: Column, once: Column) -> DataFrame:
+    """(l, r) of rows of the two sides that share a key of met (key, kind, c on the right, from on the left) and fit by size; blocks of a hot key meet in tasks of their own."""
+    blocks = F.ceil(F.greatest("c", "from") / BLOCK).cast("int")
+    rows = e.join(met.select("key", "kind", blocks.alias("blocks")), ["key", "kind"]).withColumn("at", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     side = lambda s: F.struct("class_id", "side", "n_title", "n_text", "simhash").alias(s)
     every = lambda: F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.where("side <> 2").select("key", "kind", F.col("at").alias("i"), every().alias("j"), side("l"))
-    right = rows.where("side <> 1").select("key", "kind", every().alias("i"), F.col("at").alias("j"), side("r"))
+    left = rows.where(on_left).select("key", "kind", F.col("at").alias("i"), every().alias("j"), side("l"))
+    right = rows.where(on_right).select("key", "kind", every().alias("i"), F.col("at").alias("j"), side("r"))
     least, most = F.least("l.n_text", "r.n_text"), F.greatest("l.n_text", "r.n_text")
     near = F.bit_count(F.col("l.simhash").bitwiseXOR(F.col("r.simhash"))) <= BITS
-    fits = (
-        F.when(F.col("kind") == "title", F.col("l.n_title") <= F.col("r.n_title"))
-        .when(F.col("kind") == "text", least >= most * TEXT)
-        .when(F.col("kind") == "bits", near & (least >= most * BITS_TEXT))
-        .otherwise(F.lit(True))
-    )
-    once = F.when((F.col("l.side") == 3), F.col("l.class_id") < F.col("r.class_id")).otherwise(F.col("l.class_id") != F.col("r.class_id"))
-    pairs = left.join(right, ["key", "kind", "i", "j"]).where(once & fits)
-    return pairs.select(F.least("l.class_id", "r.class_id").alias("left"), F.greatest("l.class_id", "r.class_id").alias("right")).distinct()
+    smaller, larger = (F.when(F.col("l.side") == x, F.col("l.n_title")).otherwise(F.col("r.n_title")) for x in (1, 2))
+    fits = F.when(F.col("kind") == "title", smaller <= larger).when(F.col("kind") == "text", least >= most * TEXT).when(F.col("kind") == "bits", near & (least >= most * BITS_TEXT)).otherwise(F.lit(True))
+    return left.join(right, ["key", "kind", "i", "j"]).where(once & fits)

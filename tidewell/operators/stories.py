@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import text as X
 from tidewell.operators.graph import checkpoints, components
 from tidewell.operators.order import placed
-from tidewell.operators.similar import candidates
+from tidewell.operators.similar import candidates, candidates_between
 
 WINDOW_SECONDS = 4 * 86400
 #: Classes that share a key meet block against block, and members of a class too.
@@ -465,25 +465,55 @@ def match_history_fuzzy(stories: DataFrame, history: DataFrame) -> DataFrame:
     """(story_id, history_id, reason, score): stories, in order of id, take the best historical profile not yet used.
 
     Both have story_id, published_epoch and the profile columns; stories may have several rows, one for each profile.
-    Duplicates share a token or the URL, so every pair that can be one is judged. Stories that compete for a historical
-    one are one group."""
-    key = lambda c: F.concat(F.col("text_tokens"), F.when(F.col("canonical_url") != "", F.array(F.concat(F.lit("url "), F.col("canonical_url")))).otherwise(F.array().cast("array<string>")))
+    Candidates have evidence in common, as a duplicate needs, whatever its feed; the history's evidence is small, as its
+    length is bounded, and Spark broadcasts it if its size allows."""
+    checkpoints(stories.sparkSession)
     cols = F.struct(*PROFILE, "published_epoch")
-    h = history.select(F.col("story_id").alias("history_id"), "last_seen_epoch", cols.alias("l"), key("h").alias("keys"))
-    s = stories.select("story_id", F.monotonically_increasing_id().alias("row"), cols.alias("r"), key("s").alias("keys")).checkpoint()
-    met = h.select("history_id", F.explode("keys").alias("key")).join(s.select("row", F.explode("keys").alias("key")), "key").select("history_id", "row").distinct()
-    pairs = met.join(h.drop("keys"), "history_id").join(s.drop("keys"), "row").withColumn("d", decision()).where("d.duplicate")
-    best = pairs.groupBy("story_id", "history_id", "last_seen_epoch").agg(F.max_by(F.struct("d.reason", "d.score"), F.struct("d.score", -F.col("row"))).alias("d")).select("story_id", "history_id", "last_seen_epoch", "d.reason", "d.score").checkpoint()
-    linked = components(best.select((F.col("story_id") * 2).alias("left_id"), (F.col("history_id") * 2 + 1).alias("right_id")))
-    rows = best.join(linked.where("id % 2 = 0").select(F.expr("id div 2").alias("story_id"), "component"), "story_id")
-    return rows.groupBy("component").applyInPandas(_greedy_match, "story_id long, history_id long, reason string, score double")
-
-
-def _greedy_match(pairs: pd.DataFrame) -> pd.DataFrame:
-    used, out = set(), []
-    order = pairs.sort_values(["story_id", "score", "last_seen_epoch", "history_id"], ascending=[True, False, False, True])
-    for story, h, why, s in zip(order["story_id"], order["history_id"], order["reason"], order["score"]):
-        if h not in used and (not out or out[-1][0] != story):
-            used.add(h)
-            out.append((int(story), int(h), why, float(s)))
-    return pd.DataFrame(out, columns=["story_id", "history_id", "reason", "score"])
+    number = lambda df: df.withColumn("class_id", F.monotonically_increasing_id()).checkpoint()
+    s, h = number(stories.select("story_id", "published_epoch", *PROFILE)), number(history.select(F.col("story_id").alias("history_id"), "last_seen_epoch", "published_epoch", *PROFILE))
+    met = candidates_between(h, s, by_feed=False)
+    pairs = met.join(h.select(F.col("class_id").alias("left"), "history_id", "last_seen_epoch", cols.alias("l")), "left").join(s.select(F.col("class_id").alias("right"), "story_id", cols.alias("r")), "right")
+    judged = pairs.withColumn("d", decision()).where("d.duplicate")
+    best = judged.groupBy("story_id", "history_id", "last_seen_epoch").agg(F.max_by(F.struct("d.reason", "d.score"), F.struct("d.score", -F.col("right"))).alias("d"))
+    return in_turn(best.select("story_id", "history_id", "last_seen_epoch", "d.reason", "d.score"))
+
+
+def in_turn(wanted: DataFrame) -> DataFrame:
+    """What stories get if they choose one after the other, by id, the best that is left: (story_id, history_id, reason, score).
+
+    All propose at once, each to its best; a historical one holds the least story that has proposed, which refuses all
+    larger ones for good; the refused propose to their next in another round. What is held when none is refused is what
+    choosing in turn gives, as all historical ones prefer stories in the same order. A round is a few joins; the table
+    of proposals shrinks with each, and there is no component or list that one task would have to walk."""
+    checkpoints(wanted.sparkSession)
+    left = wanted.checkpoint()
+    while True:
+        first = F.struct((-F.col("score")).alias("s"), (-F.col("last_seen_epoch")).alias("t"), F.col("history_id").alias("h"))
+        proposed = left.groupBy("story_id").agg(F.min(first).alias("f")).select("story_id", F.col("f.h").alias("history_id"))
+        holder = proposed.groupBy("history_id").agg(F.min("story_id").alias("holder")).checkpoint()
+        kept = left.join(holder, "history_id", "left").where("holder is null or story_id <= holder").drop("holder").checkpoint()
+        if kept.count() == left.count():
+            return left.join(proposed, ["story_id", "history_id"]).select("story_id", "history_id", "reason", "score")
+        left = kept
+
+
+def match_stories(stories: DataFrame, history: DataFrame) -> DataFrame:
+    """(story_id, history_id, story_key, reason, score): stories of a run that go on from a recent one.
+
+    Equal keys come first: each historical story goes to the least id among them, with score 1; then the others, in order
+    of id, take the best of the historical profiles that are left. stories may have several rows, one for each profile."""
+    cols = ["story_id", "story_key", "published_epoch", *PROFILE]
+    keyed = history.groupBy("story_key").agg(F.max(F.struct("last_seen_epoch", -F.col("story_id"))).alias("m")).select("story_key", (-F.col("m").getField("col2")).alias("history_id"))
+    same = stories.select("story_id", "story_key").distinct().join(keyed, "story_key").groupBy("history_id", "story_key").agg(F.min("story_id").alias("story_id"))
+    same = same.select("story_id", "history_id", "story_key", F.lit("stable_story_key").alias("reason"), F.lit(1.0).alias("score")).checkpoint()
+    rest = stories.select(*cols).join(same, "story_id", "left_anti")
+    free = history.join(same.select(F.col("history_id").alias("story_id")), "story_id", "left_anti")
+    found = match_history_fuzzy(rest, free).join(history.select(F.col("story_id").alias("history_id"), "story_key"), "history_id")
+    return same.unionByName(found.select(*same.columns))
+
+
+def with_history(members: DataFrame, matches: DataFrame) -> DataFrame:
+    """Memberships whose evidence is the historical match of their story, where it has one."""
+    m = matches.select("story_id", F.concat(F.lit("history:"), "reason").alias("_why"), thousandths(F.col("score")).alias("_score"))
+    told = members.join(m, "story_id", "left")
+    return told.select("article_id", "story_id", F.coalesce("_why", "match_reason").alias("match_reason"), F.coalesce("_score", "match_score").alias("match_score"))

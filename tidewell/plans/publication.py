@@ -202,10 +202,10 @@ def canonical_flags(spark, d):
 
 
 def story_history(spark, d):
-    """Stories that take the key of a recent one: the newest 100 of a week are history."""
+    """Stories that take the key of a recent one of the last week."""
     n = F.col("article_id")
     s = A.articles(spark, d).select(n.alias("story_id"), F.concat(F.lit("k"), (n % 60).cast("string")).alias("story_key"), F.col("published_epoch").alias("last_seen_epoch"))
-    history = D.recent_history(s.where("story_id % 3 = 0"), AS_OF, 7, 100)
+    history = D.recent_history(s.where("story_id % 3 = 0"), AS_OF)
     return D.match_history(s.where("story_id % 3 > 0"), history).select("story_id", "adopted_key")
 
 
@@ -214,8 +214,8 @@ def run_articles(spark, d):
     n = F.col("article_id")
     a = A.articles(spark, d).select("article_id", F.struct(F.concat(F.lit("run"), (n % 5).cast("string")).alias("lastDigestRunId")).alias("metadata"))
     mine = a.where(F.col("metadata.lastDigestRunId") == "run2")
-    s = A.articles(spark, d).groupBy((n % 30).alias("story_id")).agg(F.collect_list("article_id").alias("ids"))
-    named = s.select("story_id", F.explode("ids").alias("article_id")).join(mine, "article_id").groupBy("story_id").agg(F.count("*").alias("n"))
+    links = A.articles(spark, d).select((n % 30).alias("story_id"), "article_id")
+    named = links.join(mine, "article_id").groupBy("story_id").agg(F.count("*").alias("n"))
     return named.join(mine.agg(F.count("*").alias("n_of_run")))
 
 
@@ -294,7 +294,7 @@ SELECT article_id, 'Selected as ' || replace(bucket, '_', ' ') || CASE WHEN said
     "latest_brief": f"WITH {O.ARTICLES}, i AS (SELECT article_id AS n, strftime(make_timestamp(published_epoch * 1000000), '%Y-%m-%d') AS day, article_id * 7 % 100 AS place FROM articles), l AS (SELECT * FROM i WHERE day = (SELECT max(day) FROM i)), f AS (SELECT * FROM l ORDER BY place, n LIMIT 5) SELECT (SELECT max(day) FROM i) AS digest_date, 'Najnowszy digest obejmuje ' || CASE WHEN (SELECT count(*) FROM l) = 1 THEN 'jedną wiadomość' ELSE (SELECT count(*) FROM l) || ' wiadomości' END || '. Poniżej znajdziesz najważniejsze informacje z tego zestawu.' AS summary, string_agg(n || ':t' || n || ':' || CASE WHEN n % 2 = 0 THEN 'why' WHEN n % 3 = 0 THEN 'because' ELSE 'sum' END, ' ' ORDER BY place, n) AS lines FROM f",
     "briefs_decoded": "SELECT doc_id, CAST(CASE WHEN doc_id % 5 = 0 THEN 0 WHEN doc_id % 2 = 0 AND doc_id % 3 > 0 THEN 2 ELSE 1 END AS BIGINT) AS n FROM documents",
     "canonical_flags": f"WITH {O.MEMBERS}, c AS (SELECT story_id, article_id FROM (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY priority DESC, length(summary) DESC, article_id) AS n FROM members) WHERE n = 1 AND story_id % 2 = 0) SELECT m.story_id, m.article_id, CASE WHEN c.story_id IS NULL THEN m.article_id = m.story_id ELSE m.article_id = c.article_id END AS is_canonical FROM members m LEFT JOIN c ON c.story_id = m.story_id",
-    "story_history": f"WITH {O.ARTICLES}, h AS (SELECT DISTINCT article_id % 60 AS k FROM (SELECT * FROM articles WHERE article_id % 3 = 0 AND published_epoch >= 1706659200 - 604800 ORDER BY published_epoch DESC, article_id LIMIT 100)), s AS (SELECT article_id, article_id % 60 AS k, row_number() OVER (PARTITION BY article_id % 60 ORDER BY article_id) AS n FROM articles WHERE article_id % 3 > 0) SELECT article_id AS story_id, CASE WHEN n = 1 AND h.k IS NOT NULL THEN 'k' || s.k END AS adopted_key FROM s LEFT JOIN h ON h.k = s.k",
+    "story_history": f"WITH {O.ARTICLES}, h AS (SELECT DISTINCT article_id % 60 AS k FROM (SELECT * FROM articles WHERE article_id % 3 = 0 AND published_epoch >= 1706659200 - 604800 ORDER BY published_epoch DESC, article_id LIMIT 2000)), s AS (SELECT article_id, article_id % 60 AS k, row_number() OVER (PARTITION BY article_id % 60 ORDER BY article_id) AS n FROM articles WHERE article_id % 3 > 0) SELECT article_id AS story_id, CASE WHEN n = 1 AND h.k IS NOT NULL THEN 'k' || s.k END AS adopted_key FROM s LEFT JOIN h ON h.k = s.k",
     "run_articles": "SELECT doc_id % 30 AS story_id, count(*) AS n, (SELECT count(*) FROM documents WHERE doc_id % 5 = 2) AS n_of_run FROM documents WHERE doc_id % 5 = 2 GROUP BY 1",
     "ingested_items": """WITH p AS (SELECT doc_id AS n, doc_id // 4 AS payload, 'x' || (doc_id % 150) AS id, doc_id % 31 = 0 OR doc_id % 37 = 0 OR doc_id % 41 = 0 OR doc_id % 43 = 0 OR doc_id % 47 = 0 AS bad FROM documents), g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY payload DESC, n DESC) AS k FROM p WHERE payload NOT IN (SELECT payload FROM p WHERE bad)) WHERE k = 1)
 SELECT id AS external_id, 't' || n AS title, '2024-01-02' AS digest_date FROM g UNION ALL SELECT 'x' || doc_id, 'old', '2024-01-01' FROM documents WHERE doc_id % 5 = 0 AND 'x' || doc_id NOT IN (SELECT id FROM g)""",

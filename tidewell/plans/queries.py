@@ -17,6 +17,7 @@ from tidewell.operators import scoring as S
 from tidewell.operators import selection as C
 from tidewell.operators import sourcing as P
 from tidewell.operators import stories as D
+from tidewell.operators.graph import checkpoints
 from tidewell.sources import adapters as A
 from tidewell.sources.adapters import AS_OF
 
@@ -472,6 +473,22 @@ def story_memberships(spark, d):
     return D.memberships(profiles(spark, d))
 
 
+def _recurring(spark, d):
+    """Profiles of whole articles as stories: each third is of the past, and each seventh has a key of its own."""
+    p = profiles(spark, d).withColumnRenamed("article_id", "story_id")
+    p = p.withColumn("story_key", F.when(F.col("story_id") % 7 == 0, F.concat(F.lit("k"), (F.col("story_id") % 60).cast("string"))).otherwise(F.concat(F.lit("s"), F.col("story_id").cast("string"))))
+    p = p.withColumn("last_seen_epoch", F.col("published_epoch"))
+    checkpoints(spark)
+    p = p.checkpoint()
+    return p.where("story_id % 3 > 0"), D.recent_history(p.where("story_id % 3 = 0"), A.AS_OF)
+
+
+def history_matches(spark, d):
+    """Stories of a run that go on from one of the last week: by key, else by the best profile that is left."""
+    now, past = _recurring(spark, d)
+    return D.match_stories(now, past).select("story_id", "history_id", "story_key", "reason", F.round("score", 6).alias("score"))
+
+
 def _members(spark, d):
     """Stories by exact title, so that what follows has a form in SQL."""
     a = A.articles(spark, d)
