@@ -273,3 +273,58 @@ def test_the_directory_splits_what_is_overfull(spark):
     cells = {x.cell: x for x in op13.directory(keys, 20, 12).collect()}
     assert len(cells) == 256 and all(x["count"] <= 16 for x in got)
     assert cells[3 << 4].depth == 12 and cells[128 << 4].depth == 4
+
+
+# --- op4: hand-written lines -----------------------------------------------------------------------------------------
+
+CLEAN = """from 1990 1991 1992 1993
+Fibonacci: 1 1 2 3 5 8 13 21 34 55 89
+matrix 0 1 0 0 1 0 1 1 0
+10 2 11 2 12 2 13 2
+mac 00:1A:2B:3C:4D:5E
+years 1914-1918 and 1939-1945
+table 12 34 56 78 90 12 34
+rows: 100 200 300 400 500
+see pages 101-110 and 120-135
+UTC 12:30:45:10
+1 234 567 890 people
+0.5 0.25 0.125 0.0625
+ISBN 978-3-16-148410-0
+seq 1-2-3-4-5-6-7-8
+3 14 15 92 65 35 89 79
+2024 01 15 10 30 00
+wwn 50:06:01:60:3b:a0:11:22
+bits 1010 1100 0011 0101
+temps 21 22 23 24 25 26
+sizes 10 x 20 x 30 x 40
+GB12 ABCD 1234
+the vote was 212-203 and 218-210
+squares 1 4 9 16 25 36 49 64 81 100
+chess 1-0 0-1 1-0 0.5-0.5
+built 1987, 1992, 1998 and 2004
+12/24/36/48 months
+powers 2 4 8 16 32 64 128 256 512 1024
+ports 8080 8081 8443 9000""".split("\n")
+PERSONAL = {
+    "call (212) 555-0187 now": "(212) 555-0187",
+    "phone: 415-555-0132": "415-555-0132",
+    "Tel 0049 301 2345678": "0049 301 2345678",
+    "write jane.doe (at) example (dot) com please": "jane.doe (at) example (dot) com",
+    "server 2001:db8:85a3:8d3:1319:8a2e:370:7348": "2001:db8:85a3:8d3:1319:8a2e:370:7348",
+    "IBAN DE89 3704 0044 0532 0130 00 please": "DE89 3704 0044 0532 0130 00",
+}
+
+
+def test_added_spans_leave_everyday_numbers_alone(spark, docs):
+    from tidewell.llm import op4_pii as op4
+
+    made = op4.lines(1500, 99)  # of a seed that nothing was fitted to
+    texts = [*CLEAN, *PERSONAL, *(x for x, _ in made)]
+    got = {x.doc_id: [(s.kind, x.text[s.start : s.end]) for s in x.spans if not s.base] for x in op4.find_pii(docs(texts)).select("doc_id", "text", "spans").collect()}
+    assert not [(t, got[i]) for i, t in enumerate(CLEAN) if got[i]]
+    assert {t: got[len(CLEAN) + i][0][1] for i, t in enumerate(PERSONAL)} == PERSONAL
+    of_made = [(m, got[len(CLEAN) + len(PERSONAL) + i]) for i, (_, m) in enumerate(made)]
+    assert sum(any((k, x) not in m for k, x in g) for m, g in of_made) <= 0.01 * len(made)
+    assert sum(bool(m) and m == g for m, g in of_made) >= 0.85 * sum(bool(m) for m, _ in of_made)
+    lines = docs(CLEAN)
+    assert sorted(x.text for x in op4.redact(lines).collect()) == sorted(CLEAN)
