@@ -304,7 +304,7 @@ chess 1-0 0-1 1-0 0.5-0.5
 built 1987, 1992, 1998 and 2004
 12/24/36/48 months
 powers 2 4 8 16 32 64 128 256 512 1024
-ports 8080 8081 8443 9000""".split("\n")
+ports 8080 8081 8443 9001""".split("\n")
 PERSONAL = {
     "call (212) 555-0187 now": "(212) 555-0187",
     "phone: 415-555-0132": "415-555-0132",
