@@ -279,7 +279,10 @@ def test_history_is_matched_in_turn(spark):
     assert sorted(tuple(x) for x in D.with_history(told_by, found).collect()) == [(1, 0, "new_story", 1.0), (2, 5, "history:simhash", 0.813)]
 
 
-def test_selection_by_its_rule(spark):
+@pytest.mark.parametrize("look", [500, 7])
+def test_selection_by_its_rule(spark, monkeypatch, look):
+    """Runs that are full after one step, and runs that take several, of which one is never full."""
+    monkeypatch.setattr(C, "LOOK", look)
     r = random.Random(1)
     rows = random_stories(r, 150, urls=False)
     p, told = profile_dicts(spark, rows)

@@ -73,7 +73,7 @@ def test_briefs_are_read_strictly(spark):
     r = random.Random(2)
     index = lambda: r.choice([0, 1, 2, 3, 4, 5, 6, 9, 10, 11, -1, 1.5, 2.0, "1", None, True, [1], 1e20])
     line = lambda: r.choice([{"articleIndex": index(), "whyItMatters": r.choice(["why", " x ", "", None, 3])}, {"articleIndex": index(), "whyItMatters": f"w{r.random()}"}, 7, None, []])
-    made = [{"summary": r.choice(["s", " s ", "t", "u", "", None, 1, ["s"]]), "highlights": r.choice([[line() for _ in range(r.randrange(12))], [line() for _ in range(12)], [line() for _ in range(12)], None, {}])} for _ in range(200)]
+    made = [{"summary": r.choice(["s", " s ", "t", "u", "", None, 1, ["s"]]), "highlights": r.choice([[line() for _ in range(r.randrange(12))], [line() for _ in range(12)], [line() for _ in range(12)], None, {}])} for _ in range(400)]
     texts = [json.dumps(x) for x in made] + ["", None, "{", "[]", "null", ' {"summary":"s","highlights":[{"articleIndex":0,"whyItMatters":"w"}]} ']
     rows = [(i, t, r.choice([1, 5, 12])) for i, t in enumerate(texts)]
     got = spark.createDataFrame(rows, "i int, t string, n int").select("i", variant.brief(F.col("t"), F.col("n")).alias("b")).collect()
@@ -105,3 +105,71 @@ def test_policies_hold_for_any_statement(spark):
     plan = spark.sql("SELECT text FROM own_notes WHERE text > 'a'")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") >= 1 and "Filter" in plan
     assert not spark.sql(f"SELECT {policies.FUNCTION}(NULL) AS x").first().x
+
+
+def test_pages_of_a_kept_ranking(spark, tmp_path):
+    from tidewell.operators import snapshots as S
+
+    r = random.Random(3)
+    ids = r.sample(range(10**6), 1000)
+    rows = [(x, i) for i, x in enumerate(ids)]
+    context, other = "0b5f1c1e-7a51-4f0e-9d0c-3f1f5a6b7c8d", "1b5f1c1e-7a51-4f0e-9d0c-3f1f5a6b7c8d"
+    ranked = spark.createDataFrame(rows, "item_id long, position long")
+    path = str(tmp_path / "r")
+    S.keep_ranking(ranked, path, context)
+    S.keep_ranking(ranked.withColumn("position", 999 - F.col("position")), path, other)
+    S.keep_ranking(ranked, path, context)  # again
+    for at in (None, 0, 254, 255, 970, 998, 999):
+        start = 0 if at is None else at + 1
+        got = S.page(spark, path, context, None if at is None else str(ids[at]), 30)
+        assert sorted((x.position, x.item_id) for x in got.collect()) == [(i, ids[i]) for i in range(start, min(start + 30, 1000))]
+    assert S.page(spark, path, context, "no item").count() == 30
+    assert S.page(spark, path, "no context", "5").count() == 0
+    plan = S.page(spark, path, context, str(ids[300]), 30)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(context" in plan and "span" in plan.split("PartitionFilters")[1][:300]
+    assert len(S.page(spark, path, context, str(ids[300]), 30).inputFiles()) <= 2 * 8
+    good = ("x", context, "2024-01-31T10:00:00Z")
+    assert S.resolve(*good) == (context, "2024-01-31T10:00:00.000Z", True)
+    new = (other, "now")
+    for bad in ((None, *good[1:]), ("x", "no uuid", good[2]), ("x", None, good[2]), ("x", context, "yesterday"), ("x", context, None)):
+        assert S.resolve(*bad, new=new) == (*new, False)
+    assert S.resolve(*good, known={other}, new=new) == (*new, False)
+
+
+def test_a_batch_that_comes_again_adds_nothing(spark, tmp_path):
+    from tidewell.streaming.sink import insert_once
+
+    kind = "event_key string, at long"
+    put = lambda *rows: spark.createDataFrame(list(rows), kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    path, write = str(tmp_path / "out"), insert_once(str(tmp_path / "out"), "event_key", "at")
+    tries = []
+
+    def fails_once(batch, number):
+        write(batch, number)
+        tries.append(number)
+        if len(tries) in (1, 3):
+            raise RuntimeError("lost between the write and the note of it")
+
+    def run():
+        s = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        q = s.writeStream.foreachBatch(fails_once).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        try:
+            q.awaitTermination(120)
+        except Exception:  # noqa: BLE001  the stream is started again
+            return False
+        return True
+
+    put(("a", 2), ("a", 1), ("b", 5), (None, 1), (None, 1))
+    assert not run() and run()
+    put(("b", 1), ("c", 3), ("c", 4), (None, 1))
+    assert not run() and run() and run()
+    got = sorted(((x.event_key, x.at) for x in spark.read.parquet(path).collect()), key=str)
+    assert got == sorted([("a", 1), ("b", 5), ("c", 3), (None, 1), (None, 1), (None, 1)], key=str) and len(tries) == 4
+
+
+def test_a_table_that_is_not_there_has_no_rows(spark):
+    from tidewell.operators import lifecycle as L
+
+    assert L.table_or_empty(spark, "no_such_table", "a long, b string").count() == 0
+    spark.createDataFrame([(1, "x")], "a int, c string").createOrReplaceTempView("half_a_table")
+    assert [tuple(x) for x in L.table_or_empty(spark, "half_a_table", "a long, b string").collect()] == [(1, None)]

@@ -100,3 +100,21 @@ BEHAVIOUR = {"save": (0.8, 0.85), "read": (0.5, 0.65), "source_open": (0.4, 0.6)
 HALF_LIFE_DAYS = 45
 STAGES = ["source_fetch", "article_normalization", "story_clustering", "enrichment", "editorial_scoring", "reader_publication", "finalization"]
 # End of fixed values.
+
+# Groups of keywords that a reader turns on as one, by kind.
+KEYWORD_GROUPS = {
+    "avoid": {
+        "celebrity": ["celebrity", "influencer", "royal family", "red carpet", "box office", "gossip"],
+        "sports": ["sports", "football", "soccer", "nba", "nfl", "tennis", "olympics"],
+        "crypto-price": ["bitcoin price", "crypto rally", "memecoin", "token", "airdrop", "nft"],
+        "soft-launches": ["launches", "teases", "rumor", "leak", "unboxing", "preview"],
+    },
+    "prefer": {
+        "ai-infra": ["ai", "nvidia", "gpu", "semiconductor", "data center", "model", "inference"],
+        "markets-policy": ["markets", "inflation", "central bank", "fed", "ecb", "energy", "regulation"],
+        "security-incidents": ["security", "breach", "ransomware", "vulnerability", "cve", "exploit", "incident"],
+        "engineering": ["software", "developer", "open source", "cloud", "kubernetes", "database", "api"],
+        "geopolitics": ["china", "russia", "ukraine", "trade", "sanctions", "nato", "election"],
+    },
+}
+# End of fixed values.

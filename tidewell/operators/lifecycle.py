@@ -57,6 +57,25 @@ def runs_beyond(runs: DataFrame, keep: int) -> DataFrame:
     return runs.join(newest, "run_id", "left_anti")
 
 
+def kept_events(events: DataFrame, as_of: int, days: int = 180, at: str = "epoch") -> DataFrame:
+    """Events of the last days; one without a time stays."""
+    return events.where(F.coalesce(~expired(events, as_of, days, at), F.lit(True)))
+
+
+def purged(scratch: DataFrame, finished: DataFrame) -> DataFrame:
+    """Scratch rows of runs that have not finished; rows of no run stay."""
+    return scratch.join(finished.select("run_id").distinct(), "run_id", "left_anti")
+
+
+def table_or_empty(spark: SparkSession, name: str, schema: str) -> DataFrame:
+    """A table's columns of a schema, null where it lacks one; no rows where there is no such table."""
+    empty = spark.createDataFrame([], schema)
+    if not spark.catalog.tableExists(name):
+        return empty
+    there = spark.table(name)
+    return there.select(*((F.col(f.name) if f.name in there.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema))
+
+
 def advance(stages: DataFrame, run_id: str, runners: dict, now: int, metrics: dict | None = None) -> tuple[DataFrame, str | None, dict]:
     """One step of a run: reclaims a stale stage, claims the first that is queued, runs it by name, and records how it ended.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import values as V
@@ -128,3 +128,16 @@ def visible(rows: DataFrame, readers: DataFrame, allowed: DataFrame, user: str |
     With user, the name of a column of rows, each reader sees the own rows only."""
     who = readers.join(allowed.select(F.col("email").alias("_email")), F.lower("email") == F.col("_email"), "left_semi").select(F.col("user_id").alias("seen_by"))
     return rows.join(who, F.col(user) == F.col("seen_by")).drop(user).withColumnRenamed("seen_by", user) if user else rows.join(who)
+
+
+def active_groups(kind: str, keywords: Column) -> Column:
+    """The groups of a kind of which any keyword is among a reader's, in their own order."""
+    held = F.transform(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: F.lower(F.trim(k)))
+    return F.array_compact(F.array(*(F.when(F.arrays_overlap(held, F.array(*map(F.lit, words))), group) for group, words in V.KEYWORD_GROUPS[kind].items())))
+
+
+def keywords_of(kind: str, groups: Column) -> Column:
+    """The keywords of the groups that are on, each once, in the order of the groups; other names turn nothing on."""
+    on = F.coalesce(groups, F.array().cast("array<string>"))
+    lists = [F.when(F.array_contains(on, group), F.array(*map(F.lit, words))).otherwise(F.array().cast("array<string>")) for group, words in V.KEYWORD_GROUPS[kind].items()]
+    return F.array_distinct(F.concat(*lists))

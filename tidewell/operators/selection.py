@@ -1,16 +1,24 @@
-"""Selection of stories for a run under quotas. A rejected story takes no quota, so a run is one sequential fold: a run has
-some hundred candidates, and runs are folded in parallel, one group each."""
+"""Selection of stories for a run under quotas. A rejected story takes no quota, so a run is one sequential fold, but one
+that ends when the run is full: the first LOOK candidates of each run are folded in parallel, then the next LOOK of those
+runs that are not full yet. What stands behind that is refused for want of room, without a look at it. So no task is
+given a run of any size, only its next candidates and what it has selected so far."""
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
+from tidewell.operators.graph import checkpoints
 from tidewell.operators.stories import PROFILE, decide, profile_of
 
 PREFERENCE_LIMIT = 6
+#: Candidates of a run that one task looks at.
+LOOK = 500
 SELECTED = "run_id string, story_id long, final_score double, selected boolean, selection_rank int, reason string, duplicate_of long, duplicate_reason string, duplicate_score double"
 
 
@@ -22,29 +30,28 @@ def score_v2(df: DataFrame) -> DataFrame:
     return df.withColumn("final_score", (F.col("editorial") + F.col("feed_adjustment") + X.clamp(F.col("preference"), -PREFERENCE_LIMIT, PREFERENCE_LIMIT)).cast("double"))
 
 
-def fold(rows: list[dict], top_n: int, targets: dict[str, int], per_publisher: int) -> list[tuple]:
+def fold(rows: list[dict], top_n: int, targets: dict[str, int], per_publisher: int, selected: tuple[dict, ...] = ()) -> list[tuple]:
     """Walks ranked rows (story_id, feed, publisher, profile): capacity, category, publisher, duplicate of a selected one, else selected.
 
-    A row without publisher meets no limit of publishers. Returns (story_id, selected, rank, reason, duplicate of, its reason, its score)."""
-    by_feed: dict[str, int] = {}
-    by_publisher: dict[str, int] = {}
-    chosen: list[dict] = []
+    selected are rows that have been selected before these. A row without publisher meets no limit of publishers. Returns (story_id, selected, rank, reason, duplicate of, its reason, its score)."""
+    chosen = list(selected)
+    by_feed, by_publisher = Counter(r["feed"] for r in chosen), Counter(r["publisher"] for r in chosen)
     out = []
     for r in rows:
         feed, who = r["feed"], r["publisher"]
         if len(chosen) >= top_n:
             why = "capacity"
-        elif by_feed.get(feed, 0) >= targets.get(feed, top_n):
+        elif by_feed[feed] >= targets.get(feed, top_n):
             why = "category_limit"
-        elif who and by_publisher.get(who, 0) >= per_publisher:
+        elif who and by_publisher[who] >= per_publisher:
             why = "publisher_cap"
         else:
             found = next(((s["story_id"], *d[1:]) for s in chosen if (d := decide(r["profile"], s["profile"]))[0]), None)
             if found is None:
                 out.append((r["story_id"], True, len(chosen), "global_rank", None, None, None))
                 chosen.append(r)
-                by_feed[feed] = by_feed.get(feed, 0) + 1
-                by_publisher[who] = by_publisher.get(who, 0) + 1
+                by_feed[feed] += 1
+                by_publisher[who] += 1
             else:
                 out.append((r["story_id"], False, None, "duplicate_suppression", found[0], found[1], round(found[2], 3)))
             continue
@@ -57,13 +64,35 @@ def select_stories(candidates: DataFrame, top_n: int = 20, targets: dict[str, in
 
     Candidates have run_id, story_id, feed, publisher, final_score, editorial, published_epoch and the columns of a profile."""
     limits = dict(targets or {})
+    checkpoints(candidates.sparkSession)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["final_score", "editorial", "story_id"], ascending=[False, False, True])
         rows = [{**r, "profile": profile_of(r)} for r in g.to_dict("records")]
-        got = fold(rows, top_n, limits, per_publisher)
+        new = [not r["held"] for r in rows]
+        got = fold([r for r in rows if not r["held"]], top_n, limits, per_publisher, tuple(r for r in rows if r["held"]))
+        g = g[new]
         ints = lambda i: pd.array([x[i] for x in got], "Int64")
         return pd.DataFrame({"run_id": g["run_id"].to_numpy(), "story_id": [x[0] for x in got], "final_score": g["final_score"].to_numpy(), "selected": [x[1] for x in got], "selection_rank": ints(2).astype("Int32"), "reason": [x[3] for x in got], "duplicate_of": ints(4), "duplicate_reason": [x[5] for x in got], "duplicate_score": [x[6] for x in got]})
 
-    rows = candidates.select("run_id", "story_id", "publisher", "final_score", "editorial", "published_epoch", *PROFILE)
-    return rows.groupBy("run_id").applyInPandas(run, SELECTED)
+    left = candidates.select("run_id", "story_id", "publisher", "final_score", "editorial", "published_epoch", *PROFILE).checkpoint()
+    order = Window.partitionBy("run_id").orderBy(F.desc("final_score"), F.desc("editorial"), "story_id")
+    place = F.struct((-F.col("final_score")).alias("s"), (-F.col("editorial")).alias("e"), F.col("story_id").alias("i"))
+    out, held = [], None
+    while True:
+        # rows behind the first LOOK go before the shuffle
+        batch = left.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= LOOK).drop("_n").checkpoint()
+        rows = batch.withColumn("held", F.lit(False))
+        rows = rows if held is None else rows.unionByName(held.withColumn("held", F.lit(True)).join(batch.select("run_id").distinct(), "run_id", "left_semi"))
+        told = rows.groupBy("run_id").applyInPandas(run, SELECTED).checkpoint()
+        out.append(told)
+        chosen = batch.join(told.where("selected").select("run_id", "story_id"), ["run_id", "story_id"], "left_semi")
+        held = (chosen if held is None else held.unionByName(chosen)).checkpoint()
+        full = held.groupBy("run_id").agg((F.count("*") >= top_n).alias("full"))
+        ends = batch.groupBy("run_id").agg(F.max(place).alias("end")).join(full, "run_id", "left")
+        behind = left.join(ends, "run_id").where(place > F.col("end"))
+        refused = behind.where("full").select("run_id", "story_id", "final_score", F.lit(False).alias("selected"), F.lit("capacity").alias("reason"))
+        out.append(refused)
+        left = behind.where("not coalesce(full, false)").drop("end", "full").checkpoint()
+        if left.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out).select(*told.columns)

@@ -1,4 +1,4 @@
-"""Queries of JSON by VARIANT, of policies as SQL, and of addresses, with their SQL."""
+"""Queries of JSON by VARIANT, policies as SQL, addresses, kept rankings, keyword groups and upkeep, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,17 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import address as I
 from tidewell.functions import variant as J
+from tidewell.functions.values import KEYWORD_GROUPS
+from tidewell.operators import lifecycle as L
 from tidewell.operators import policies
+from tidewell.operators import preferences as R2
+from tidewell.operators import reading as R
+from tidewell.operators import snapshots as S
+from tidewell.operators import sourcing as P
+from tidewell.operators.graph import shared_folder
+from tidewell.plans import oracle as O
+from tidewell.plans import publication as U
+from tidewell.plans import queries as Q
 from tidewell.sources import adapters as A
 
 #: Documents as stored metadata and as what a later stage adds; some of the latter is broken or no object.
@@ -67,12 +77,69 @@ def reader_policy(spark, d):
     return spark.sql("SELECT 'order' AS kind, o_orderkey AS id FROM my_orders UNION ALL SELECT 'nation', n_nationkey FROM open_nations")
 
 
-QUERIES = {f.__name__: f for f in (json_merged, json_typed, briefs_checked, address_safety, reader_policy)}
+#: What readers have set: of each third word of a list one, in odd spelling.
+WORDS = ("gossip", "NBA ", "token", "leak", "gpu", "fed", " CVE", "api", "nato", "none of them", "ai", "model x")
+
+
+def keyword_groups(spark, d):
+    """The groups that readers' keywords turn on, and the keywords of groups that they have turned on."""
+    c = A.table(spark, d, "customer")
+    n = F.col("c_custkey")
+    words = F.array(*(F.get(F.array(*map(F.lit, WORDS)), (n * k % len(WORDS)).cast("int")) for k in (1, 5, 7)))
+    groups = F.array(F.get(F.array(*map(F.lit, GROUPS)), (n % len(GROUPS)).cast("int")), F.lit("ai-infra"))
+    cols = {"avoid": R2.active_groups("avoid", words), "prefer": R2.active_groups("prefer", words), "set": R2.keywords_of("prefer", groups)}
+    return c.select("c_custkey", *(F.array_join(x, "|").alias(k) for k, x in cols.items()))
+
+
+GROUPS = ("geopolitics", "engineering", "no group", "ai-infra")
+
+
+def retained_events(spark, d):
+    """How many events of each kind are left of 180 days, some time later."""
+    e = A.interactions(spark, d).withColumn("epoch", F.when(F.col("event_id") % 50 > 0, F.col("epoch")))
+    return L.kept_events(e, A.AS_OF + 170 * 86400).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def purged_items(spark, d):
+    """What orders leave in the scratch table of their runs once those of status F are finished."""
+    runs = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), "o_orderstatus")
+    items = A.table(spark, d, "lineitem").select(F.when(F.col("l_linenumber") < 7, F.col("l_orderkey")).alias("run_id"), "l_linenumber")
+    return L.purged(items, runs.where("o_orderstatus = 'F'")).groupBy("l_linenumber").agg(F.count("*").alias("n"))
+
+
+def portfolio_frozen(spark, d):
+    """The decisions of a run that has some, and of one that gets those of the newest run of its month."""
+    decided = U.decided(spark, d).select("run_id", "source_id", "role")
+    newest = decided.where(F.substring("run_id", 6, 2) == "03")
+    newest = newest.join(newest.agg(F.max("run_id").alias("run_id")), "run_id")
+    first = decided.agg(F.min("run_id")).first()[0]
+    return P.frozen_portfolio(decided, first, lambda: newest).unionByName(P.frozen_portfolio(decided, "none", lambda: newest))
+
+
+def feed_page_kept(spark, d):
+    """The same page as feed_page, out of a ranking that was kept, by its cursor alone."""
+    path, context = shared_folder(spark, "rankings"), "0b5f1c1e-7a51-4f0e-9d0c-3f1f5a6b7c8d"
+    ranked = R.ranked(Q.plain_items(spark, d), "for-you", "v2").withColumn("position", F.col("model_rank"))
+    S.keep_ranking(ranked.select("item_id", "position"), path, context)
+    return S.page(spark, path, context, "42", 30).select("item_id", "position")
+
+
+QUERIES = {f.__name__: f for f in (keyword_groups, retained_events, purged_items, portfolio_frozen, feed_page_kept, json_merged, json_typed, briefs_checked, address_safety, reader_policy)}
 _DOCS = "n AS (SELECT doc_id, doc_id AS n, n_chars FROM documents)"
 _FIRST = f"lpad({HEAD}, 4, '0')"
 _OPEN = f"({_FIRST} BETWEEN '2000' AND '3fff' AND {_FIRST} <> '2002')"
 _OPEN4 = """NOT (a = 0 OR a = 10 OR a = 127 OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND (b IN (18, 19) OR (b = 51 AND c = 100))) OR (a = 203 AND b = 0 AND c = 113))"""
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_HELD = f"list_transform([1, 5, 7], lambda k: lower(trim({_LIST(WORDS)}[c_custkey * k % {len(WORDS)} + 1])))"
+_ACTIVE = lambda kind: "concat_ws('|', " + ", ".join(f"CASE WHEN list_has_any(held, {_LIST(words)}) THEN '{g}' END" for g, words in KEYWORD_GROUPS[kind].items()) + ")"
+_ON = f"[{_LIST(GROUPS)}[c_custkey % {len(GROUPS)} + 1], 'ai-infra']"
+_SET = "concat_ws('|', " + ", ".join(f"CASE WHEN list_contains(groups, '{g}') THEN '{'|'.join(words)}' END" for g, words in KEYWORD_GROUPS["prefer"].items()) + ")"
 ORACLE = {
+    "keyword_groups": f"WITH c AS (SELECT c_custkey, {_HELD} AS held, {_ON} AS groups FROM customer) SELECT c_custkey, {_ACTIVE('avoid')} AS avoid, {_ACTIVE('prefer')} AS prefer, {_SET} AS \"set\" FROM c",
+    "retained_events": f"WITH {O.INTERACTIONS} SELECT event_type, count(*) AS n FROM interactions WHERE event_id % 50 = 0 OR epoch >= 1706659200 - 10 * 86400 GROUP BY 1",
+    "purged_items": "SELECT l_linenumber, count(*) AS n FROM lineitem WHERE l_linenumber >= 7 OR l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1",
+    "portfolio_frozen": f"WITH {U.DECIDED}, f AS (SELECT run_id, source_id, role FROM decided WHERE run_id = (SELECT min(run_id) FROM decided)), m AS (SELECT 'none' AS run_id, source_id, role FROM decided WHERE run_id = (SELECT max(run_id) FROM decided WHERE month = 3)) SELECT * FROM f UNION ALL SELECT * FROM m",
+    "feed_page_kept": O.ORACLE["feed_page"],
     "json_merged": f"""WITH {_DOCS}, j AS (SELECT doc_id, {OLDER} AS a, {NEWER} AS b FROM n), o AS (SELECT doc_id, a, CASE WHEN json_valid(b) THEN CASE WHEN json_type(b) = 'OBJECT' THEN b END END AS b FROM j),
 k AS (SELECT doc_id, a, b, unnest(list_distinct(list_concat(json_keys(a), coalesce(json_keys(b), [])))) AS key FROM o)
 SELECT doc_id, key, CAST(coalesce(json_extract(b, '$.' || key), json_extract(a, '$.' || key)) AS VARCHAR) AS value FROM k""",
