@@ -177,6 +177,34 @@ def test_toxicity_scores_every_window():
     assert got[92] > 0.3  # in the midst of a long text
 
 
+def test_toxicity_by_words_and_bytes_alone():
+    """Without any odds the embeddings find most held-out toxic texts; without embeddings the odds do worse than both."""
+    import os
+    import zlib
+
+    import duckdb
+
+    d = "/root/testdata/sf0.1"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables here")
+    rows = duckdb.sql(f"SELECT l.doc_id, min(d.text), max(l.toxic) FROM '{d}/labels.parquet' l JOIN '{d}/documents.parquet' d ON d.doc_id = l.doc_id WHERE l.toxic IS NOT NULL GROUP BY 1 ORDER BY md5(l.doc_id::VARCHAR)").fetchall()
+    apart = [zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows]
+    taught, held = [x for x, a in zip(rows, apart) if not a][: op6_toxicity.LABELLED], [x for x, a in zip(rows, apart) if a]
+    odds, net = op6_toxicity.fit([t for _, t, _ in taught], np.array([y for _, _, y in taught], float))
+    batch, y = op6_toxicity.pa.record_batch([op6_toxicity.pa.array([t for _, t, _ in held], op6_toxicity.pa.string())], names=["text"]), np.array([y for _, _, y in held])
+
+    def rates(lookups):
+        p = op6_toxicity.score_texts(batch, (lookups, net)) >= op6_toxicity.AT_LEAST
+        return p[y == 1].mean(), p[y == 0].mean()
+
+    found, wrong = rates(odds)
+    assert found >= 0.8 and wrong < 0.02
+    found, wrong = rates([op6_toxicity.Lookup(np.zeros(0, np.uint64), np.zeros(0))] * op6_toxicity.CHANNELS)
+    assert found >= 0.7 and wrong < 0.03
+    net.w["words"], net.w["runs"] = 0 * net.w["words"], 0 * net.w["runs"]
+    assert rates(odds)[0] < 0.9 * found + 0.1
+
+
 def test_lookup_keeps_all_keys():
     r = np.random.default_rng(1)
     keys = np.unique(r.integers(0, 1 << 60, 5000).astype(np.uint64))

@@ -3,7 +3,8 @@
 A word reaches the network as a vector of three parts: an embedding of the word, by its hash; the mean of embeddings of
 its runs of 3 bytes, its ends marked, by theirs; and the log-odds, counted on labelled texts, of the word, of its
 beginnings of 3 to 6 bytes and of the 4 bytes anywhere in it. Embeddings are trained with the network and begin at zero,
-so that a bucket that training never meets tells nothing. Odds count only where their log-likelihood ratio is beyond
+so that a bucket that training never meets tells nothing; a step changes only those that its texts meet. A share of the
+texts of each step is taught without their odds, so that words and their bytes tell what they can by themselves. Odds count only where their log-likelihood ratio is beyond
 chance for the number of entries tried; the odds of a text in training come from FOLDS parts of the labels, those that
 the text is not in, so that the network meets them as it will on new texts.
 
@@ -15,7 +16,8 @@ row whose crc32(id as text) mod 4 is 2. Labels, language, source and id are no i
 
 Defined results: a null or empty text, or one without words, has one empty window; without labels of both kinds the
 score of every text is the share of toxic labels, 0 if there is none; rows that repeat have equal scores; of labels that
-repeat an id, and of texts that do, the toxic label and the least text count.
+repeat an id, and of texts that do, the toxic label and the least text count; an empty table gives an empty one; other
+columns are not looked at, whatever their names. A very long text has a window for every STRIDE words of it.
 """
 
 from __future__ import annotations
@@ -32,14 +34,16 @@ from tidewell.llm.common import LOWER, U64, Rolling, Scratch, mix, steps, table
 WINDOW, STRIDE = 24, 12
 CHANNELS, HIDDEN = 3, 8
 #: Buckets and width of the embeddings of words, and of runs of RUN bytes.
-WORD_BUCKETS, RUN_BUCKETS, WIDTH = 1 << 14, 1 << 12, 8
+WORD_BUCKETS, RUN_BUCKETS, WIDTH = 1 << 14, 1 << 12, 12
 INPUTS = CHANNELS + 2 * WIDTH
 BEGINNINGS = (3, 4, 5, 6)
 INNER, RUN = 4, 3
 LABELLED, LABELLED_BYTES = 3000, 24_000_000
 FOLDS = 6
 #: Passes over the labelled texts, more if they make fewer than STEPS steps; every MINED passes windows are chosen anew.
-EPOCHS, STEPS, BATCH, RATE, DECAY = 10, 150, 64, 0.01, 1.0
+EPOCHS, STEPS, BATCH, RATE, DECAY = 10, 150, 64, 0.01, 0.1
+#: Share of texts of a batch that are taught without their odds, so that the embeddings learn too.
+MUTED = 0.15
 MINED = 4
 AT_LEAST = 0.3
 HASH = Rolling(31)
@@ -279,6 +283,7 @@ def train(parts: list[tuple[int, Words, np.ndarray]], toxic: np.ndarray) -> Netw
     counts as clean beside them. parts holds (first text, words, their odds)."""
     net, r = Network(), np.random.default_rng(9)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
+    seen = {k: np.zeros(len(net.w[k])) for k in ("words", "runs")}
     step, passes = 0, max(EPOCHS, -(-STEPS // max(1, (len(toxic) + WINDOW + 1) // BATCH)))
     for epoch in range(passes):
         if epoch % MINED == 0:
@@ -311,6 +316,7 @@ def train(parts: list[tuple[int, Words, np.ndarray]], toxic: np.ndarray) -> Netw
                 at = at.reshape(len(rows), WINDOW)
                 x[rows] = net.vectors(small, odds[some[some < len(words.hash)]])[np.minimum(at, len(small.hash))]
                 taught.append((rows, at, small))
+            x[r.random(len(batch)) < MUTED, :, :CHANNELS] = 0
             g = net.gradients(x, lengths[batch], y[batch])
             dx = g.pop("x")
             g["words"], g["runs"] = np.zeros_like(net.w["words"]), np.zeros_like(net.w["runs"])
@@ -321,10 +327,17 @@ def train(parts: list[tuple[int, Words, np.ndarray]], toxic: np.ndarray) -> Netw
                 np.add.at(g["runs"], small.run, by_word[small.run_word, WIDTH:] * small.run_share[:, None])
             for k, d in g.items():
                 m, v = moment[k]
+                if k in ("words", "runs"):  # buckets that the batch doesn't meet stay as they are
+                    met = np.flatnonzero(d.any(axis=1))
+                    seen[k][met] += 1
+                    m[met] += 0.1 * (d[met] - m[met])
+                    v[met] += 0.001 * (d[met] * d[met] - v[met])
+                    t = seen[k][met][:, None]
+                    net.w[k][met] -= RATE * ((m[met] / (1 - 0.9**t)) / (np.sqrt(v[met] / (1 - 0.999**t)) + 1e-8) + DECAY * net.w[k][met])
+                    continue
                 m += 0.1 * (d - m)
                 v += 0.001 * (d * d - v)
-                shrink = DECAY * net.w[k] if k in ("words", "runs") else 0.0
-                net.w[k] = net.w[k] - RATE * ((m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) + shrink)
+                net.w[k] = net.w[k] - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return net
 
 
