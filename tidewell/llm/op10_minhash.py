@@ -21,7 +21,8 @@ set can be similar enough, of three shingles or fewer at 80 per cent, are linked
 Defined results: null and empty texts, and texts of white space, have no shingles, are linked with nothing and stay;
 ids that are null take no part in links and stay; rows that share an id are documents of their own: equal ones are
 copies, different ones are linked as their texts are. A component has the least id among its documents. Of each
-component exactly one pair of id and text is ``kept``: that of least id, then of least digest.
+component exactly one pair of id and text is ``kept``: that of least id, then of least digest. An empty table gives an empty one; other columns are
+not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ Defined results: vectors that are null, or hold a null or non-finite component,
 A component beyond what a long holds is the largest (least) long. Scores are exact integers of any size, and rows are
 ordered by them; a score beyond what a long holds is given as the largest (least) long. An empty vector scores 0
 against other empty ones. Vectors of different lengths have no product and are not compared. Rows that repeat an id are
-rows of their own, but no candidates of queries with that id.
+rows of their own, but no candidates of queries with that id. An empty table, or no query, gives no rows; other columns
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,6 +10,9 @@ Ranks must be 0..n-1, hold all 256 bytes, and each token must have come from two
 as a whole piece only; other vocabularies raise ValueError.
 
 Defined results: a null text is an empty text, of no tokens; the digest columns are those of the empty string then.
+Rows that repeat have equal results, one each. An empty table gives an empty one; other columns stay out unless they are
+asked for, whatever their names. A very long text is encoded whole, piece by piece of the pattern; one very long piece
+takes time that follows its length.
 """
 
 from __future__ import annotations

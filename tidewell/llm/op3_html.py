@@ -12,7 +12,8 @@ The model is trained in numpy, on the driver, on PAGES made-up pages of many lay
 
 Defined results: a null or empty page, or one without content, has the text "" and n_chars 0; unclosed tags end where
 HTML lets them; a page without markup is one block; rows that repeat have equal texts. Time and memory follow a page's
-length, however deep it nests.
+length, however deep it nests, and a very long page is one row of one task. An empty table gives an empty one; other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations

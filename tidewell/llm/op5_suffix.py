@@ -19,7 +19,8 @@ named by 64 bits and their length.
 
 Defined results: a null or empty text has 0 bytes and loses none; a text of less than SPAN bytes keeps all; rows with
 equal texts, with the same id, none or different ones, are copies of each other and lose every byte if they have SPAN or
-more; rows that share an id but not the text are documents of their own, each with its own row in the result.
+more; rows that share an id but not the text are documents of their own, each with its own row in the result. An empty table gives an empty one; other columns are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ hash of their id; nothing else is limited. Counts are summed within tasks, then
 Defined results: null and empty texts have log weight 0 and meet the same cut; noise depends on id and text only, so
 reruns agree and rows that repeat are kept or rejected together, as are rows of one key; of labels that repeat an id
 the better counts; without labels of both kinds the cut is 0; a label
-that is null, or on no document, counts for nothing.
+that is null, or on no document, counts for nothing. An empty table gives an empty one; other columns are not looked at,
+whatever their names, but by ``kept_rows``, which keeps them.
 """
 
 from __future__ import annotations

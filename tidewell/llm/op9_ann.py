@@ -19,7 +19,8 @@ part of the method; the graph is approximate, its recall measured.
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no part, nor do vectors of
 another length than most have, nor rows without id. Equal vectors are all candidates, by the smaller id; a query with
 fewer candidates than asked for gets them all. Rows that repeat an id are one candidate; if their vectors differ, the
-least of them, component by component, is the id's vector.
+least of them, component by component, is the id's vector. An empty table, or no query, gives no rows; other columns are
+not looked at, whatever their names.
 """
 
 from __future__ import annotations
