@@ -173,3 +173,29 @@ def test_a_table_that_is_not_there_has_no_rows(spark):
     assert L.table_or_empty(spark, "no_such_table", "a long, b string").count() == 0
     spark.createDataFrame([(1, "x")], "a int, c string").createOrReplaceTempView("half_a_table")
     assert [tuple(x) for x in L.table_or_empty(spark, "half_a_table", "a long, b string").collect()] == [(1, None)]
+
+
+def test_payloads_of_a_folder(spark, tmp_path):
+    """A file that can't be read, or holds no text, costs nothing of the others."""
+    from tidewell.sources import payloads as K
+
+    root = tmp_path / "p"
+    for source, data in (("a", b"<item/>\n<item/><item/>\n"), ("b", b"\xff\xfe broken"), ("c", "<item>ü</item>".encode()), ("d", b""), ("a/more", b"<entry/>")):
+        (root / f"source_id={source}").mkdir(parents=True, exist_ok=True)
+        (root / f"source_id={source}" / "x.xml").write_bytes(data)
+    (root / "source_id=a" / "_SUCCESS").write_bytes(b"x")
+    df = K.payloads(spark, str(root))
+    assert df.rdd.getNumPartitions() == 5
+    got = sorted((x.source_id, x.body or "", x.error or "") for x in df.collect())
+    assert got == [("a", "<entry/>", ""), ("a", "<item/>", ""), ("a", "<item/><item/>", ""), ("b", "", "UnicodeDecodeError"), ("c", "<item>ü</item>", "")]
+
+
+def test_catalogs_are_taken_whole_or_not_at_all(spark, tmp_path):
+    from tidewell.sources import payloads as K
+
+    good = [{"name": "A", "category": "c", "url": "https://a.org/feed"}, {"name": "B", "category": "c", "url": "http://b.org", "enabled": False, "priority": 4}]
+    (tmp_path / "good.json").write_text(json.dumps(good, indent=2))
+    (tmp_path / "bad.json").write_text(json.dumps([*good, {"name": "C", "category": "c", "url": "https://c.org", "priority": 6}]))
+    (tmp_path / "broken.json").write_text('[{"name":')
+    assert [tuple(x) for x in K.read_catalog(spark, str(tmp_path / "good.json")).orderBy("ordinal").collect()] == [(0, "A", "c", "https://a.org/feed", None, None), (1, "B", "c", "http://b.org", False, 4)]
+    assert K.read_catalog(spark, str(tmp_path / "bad.json")).count() == 0 and K.read_catalog(spark, str(tmp_path / "broken.json")).count() == 0

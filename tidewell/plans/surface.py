@@ -18,6 +18,8 @@ from tidewell.plans import oracle as O
 from tidewell.plans import publication as U
 from tidewell.plans import queries as Q
 from tidewell.sources import adapters as A
+from tidewell.sources import payloads as K
+from tidewell.sources.intake import fetched
 
 #: Documents as stored metadata and as what a later stage adds; some of the latter is broken or no object.
 OLDER = "'{\"id\":' || n || ',\"kind\":\"old\",\"deep\":{\"a\":[' || (n % 3) || ',\"x\"]},\"chars\":' || coalesce(n_chars, 0) || '}'"
@@ -116,6 +118,26 @@ def portfolio_frozen(spark, d):
     return P.frozen_portfolio(decided, first, lambda: newest).unionByName(P.frozen_portfolio(decided, "none", lambda: newest))
 
 
+CATALOG = """CASE n % 7 WHEN 0 THEN '[{"name":"s' || n || '","category":"c","url":"https://x.org/' || n || '"},{"name":"t","category":"d","url":"http://y.org","enabled":false,"priority":' || (n % 8) || '}]'
+  WHEN 1 THEN '[{"name":"","category":"c","url":"x.org"},7,{"name":"n","category":null,"url":"https://"}]' WHEN 2 THEN '{"name":"s"}' WHEN 3 THEN '[]' WHEN 4 THEN '[{"name":"n","category":"c","url":"https://x.org","priority":2.5,"enabled":"yes"}]'
+  WHEN 5 THEN '[{"name":' ELSE '[{"name":"n","category":"c","url":"https://x.org/a?b#c","priority":5.0,"enabled":true,"more":[1]}]' END"""
+
+
+def catalogs_checked(spark, d):
+    """Entries of catalogs, and what is wrong with each."""
+    rows = _numbered(spark, d, CATALOG).select("doc_id", F.posexplode(K.catalog_entries(F.col("content"))).alias("ordinal", "e"))
+    return rows.select("doc_id", "ordinal", "e.name", "e.url", "e.enabled", "e.priority", F.array_join("e.problems", ",").alias("problems"))
+
+
+def payload_status(spark, d):
+    """What became of payloads that lie in folders of their sources: items, and payloads without one."""
+    path = shared_folder(spark, "payloads")
+    a = A.articles(spark, d).select(F.coalesce("source", F.lit("none")).alias("source_id"), F.when(F.col("article_id") % 9 == 0, "nothing").otherwise(F.repeat(F.lit("<item><title>t</title></item>"), (F.col("article_id") % 4 + 1).cast("int"))).alias("value"))
+    a.write.partitionBy("source_id").text(path)
+    p = K.payloads(spark, path).select("source_id", F.lit(200).alias("http_status"), "error", "body")
+    return fetched(p).groupBy("source_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("n_failed"), F.sum("parsed").alias("parsed"))
+
+
 def feed_page_kept(spark, d):
     """The same page as feed_page, out of a ranking that was kept, by its cursor alone."""
     path, context = shared_folder(spark, "rankings"), "0b5f1c1e-7a51-4f0e-9d0c-3f1f5a6b7c8d"
@@ -124,7 +146,7 @@ def feed_page_kept(spark, d):
     return S.page(spark, path, context, "42", 30).select("item_id", "position")
 
 
-QUERIES = {f.__name__: f for f in (keyword_groups, retained_events, purged_items, portfolio_frozen, feed_page_kept, json_merged, json_typed, briefs_checked, address_safety, reader_policy)}
+QUERIES = {f.__name__: f for f in (catalogs_checked, payload_status, keyword_groups, retained_events, purged_items, portfolio_frozen, feed_page_kept, json_merged, json_typed, briefs_checked, address_safety, reader_policy)}
 _DOCS = "n AS (SELECT doc_id, doc_id AS n, n_chars FROM documents)"
 _FIRST = f"lpad({HEAD}, 4, '0')"
 _OPEN = f"({_FIRST} BETWEEN '2000' AND '3fff' AND {_FIRST} <> '2002')"
@@ -135,6 +157,11 @@ _ACTIVE = lambda kind: "concat_ws('|', " + ", ".join(f"CASE WHEN list_has_any(he
 _ON = f"[{_LIST(GROUPS)}[c_custkey % {len(GROUPS)} + 1], 'ai-infra']"
 _SET = "concat_ws('|', " + ", ".join(f"CASE WHEN list_contains(groups, '{g}') THEN '{'|'.join(words)}' END" for g, words in KEYWORD_GROUPS["prefer"].items()) + ")"
 ORACLE = {
+    "catalogs_checked": """WITH d AS (SELECT doc_id, doc_id AS n FROM documents) SELECT doc_id, 0 AS ordinal, 's' || n AS name, 'https://x.org/' || n AS url, NULL::BOOLEAN AS enabled, NULL::INT AS priority, '' AS problems FROM d WHERE n % 7 = 0
+UNION ALL SELECT doc_id, 1, 't', 'http://y.org', false, n % 8, CASE WHEN n % 8 BETWEEN 1 AND 5 THEN '' ELSE 'priority' END FROM d WHERE n % 7 = 0
+UNION ALL SELECT doc_id, unnest([0, 1, 2]), unnest(['', NULL, 'n']), unnest(['x.org', NULL, 'https://']), NULL, NULL, unnest(['name,url', 'object,name,category,url', 'category,url']) FROM d WHERE n % 7 = 1
+UNION ALL SELECT doc_id, 0, 'n', 'https://x.org', NULL, NULL, 'enabled,priority' FROM d WHERE n % 7 = 4 UNION ALL SELECT doc_id, 0, 'n', 'https://x.org/a?b#c', true, 5, '' FROM d WHERE n % 7 = 6""",
+    "payload_status": "SELECT coalesce(source, 'none') AS source_id, count(*) AS n, count(*) FILTER (doc_id % 9 = 0) AS n_failed, CAST(sum(CASE WHEN doc_id % 9 = 0 THEN 0 ELSE doc_id % 4 + 1 END) AS BIGINT) AS parsed FROM documents GROUP BY 1",
     "keyword_groups": f"WITH c AS (SELECT c_custkey, {_HELD} AS held, {_ON} AS groups FROM customer) SELECT c_custkey, {_ACTIVE('avoid')} AS avoid, {_ACTIVE('prefer')} AS prefer, {_SET} AS \"set\" FROM c",
     "retained_events": f"WITH {O.INTERACTIONS} SELECT event_type, count(*) AS n FROM interactions WHERE event_id % 50 = 0 OR epoch >= 1706659200 - 10 * 86400 GROUP BY 1",
     "purged_items": "SELECT l_linenumber, count(*) AS n FROM lineitem WHERE l_linenumber >= 7 OR l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1",
