@@ -521,7 +521,6 @@ def test_frozen_portfolios(spark):
 def test_places_over_all_rows(spark, monkeypatch):
     from tidewell.operators import order as O
 
-    monkeypatch.setattr(O, "SAMPLE", 40)
     r = random.Random(3)
     rows = [(i, r.choice([1, 1, 1, 1, 2, 7]), r.randrange(3)) for i in range(500)]  # one value has most rows
     df = spark.createDataFrame(rows, "id long, a long, b long")

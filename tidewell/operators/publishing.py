@@ -291,8 +291,10 @@ def explicit_signals(items: DataFrame) -> DataFrame:
 
 def brief_lines(items: DataFrame, most: int = 5) -> DataFrame:
     """One row a run: the titles of its first items, in order, and how many there are."""
-    rows = F.array_sort(F.collect_list(F.struct("selection_rank", "title")))
-    return items.groupBy("run_id").agg(F.count("*").alias("n_items"), F.transform(F.slice(rows, 1, most), lambda x: x["title"]).alias("titles"))
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("selection_rank", "title"))
+    first = items.select("run_id", "title", place.alias("n")).where(F.col("n") <= most)  # what is behind goes before the shuffle
+    titles = first.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "title"))), lambda x: x["title"]).alias("titles"))
+    return items.groupBy("run_id").agg(F.count("*").alias("n_items")).join(titles, "run_id")
 
 
 def highlighted(indexes: DataFrame, items: DataFrame) -> DataFrame:
