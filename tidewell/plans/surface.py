@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import address as I
 from tidewell.functions import variant as J
 from tidewell.functions.values import KEYWORD_GROUPS
 from tidewell.operators import lifecycle as L
+from tidewell.operators import notes as N
 from tidewell.operators import policies
 from tidewell.operators import preferences as R2
 from tidewell.operators import reading as R
@@ -138,6 +142,23 @@ def payload_status(spark, d):
     return fetched(p).groupBy("source_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("n_failed"), F.sum("parsed").alias("parsed"))
 
 
+def run_constraint_violations(spark, d):
+    """The constraints of the tables of runs, stories, settings, feedback and decisions, on rows of which some break them."""
+    n = F.col("n")
+    of = lambda *xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (n % len(xs) + 1).cast("int"))
+    rows = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("n"))
+    tables = {
+        "stage_runs": {"status": of("queued", "running", "succeeded", "failed", "skipped", "lost"), "attempt_count": n % 9 - 1},
+        "digest_runs": {"trigger_type": of("manual", "scheduled", "cron"), "status": of("queued", "running", "succeeded", "failed", "cancelled", "done", None)},
+        "stories": {"latest_duplicate_count": n % 5, "confirmation_count": n % 4},
+        "settings": {"publish_top_n": n % 120, "summary_max_chars": n % 6000, "minimum_importance_score": n % 110, "source_budget": n % 220, "source_probe_count": n % 13},
+        "feedback": {"sentiment": of("more", "less", "same")},
+        "source_decisions": {"policy_version": F.repeat(F.lit("v"), (n % 120).cast("int")), "confidence": (n % 15) / 10, "role": of("selected", "explore", "probe", "skipped", "other"), "actual_selected": n % 2 == 0},
+    }
+    found = [N.broken(rows.select(*(c.alias(k) for k, c in cols.items())), t).select(F.concat(F.lit(f"{t}."), F.col("constraint")).alias("constraint"), "n") for t, cols in tables.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 def feed_page_kept(spark, d):
     """The same page as feed_page, out of a ranking that was kept, by its cursor alone."""
     path, context = shared_folder(spark, "rankings"), "0b5f1c1e-7a51-4f0e-9d0c-3f1f5a6b7c8d"
@@ -146,7 +167,7 @@ def feed_page_kept(spark, d):
     return S.page(spark, path, context, "42", 30).select("item_id", "position")
 
 
-QUERIES = {f.__name__: f for f in (catalogs_checked, payload_status, keyword_groups, retained_events, purged_items, portfolio_frozen, feed_page_kept, json_merged, json_typed, briefs_checked, address_safety, reader_policy)}
+QUERIES = {f.__name__: f for f in (run_constraint_violations, catalogs_checked, payload_status, keyword_groups, retained_events, purged_items, portfolio_frozen, feed_page_kept, json_merged, json_typed, briefs_checked, address_safety, reader_policy)}
 _DOCS = "n AS (SELECT doc_id, doc_id AS n, n_chars FROM documents)"
 _FIRST = f"lpad({HEAD}, 4, '0')"
 _OPEN = f"({_FIRST} BETWEEN '2000' AND '3fff' AND {_FIRST} <> '2002')"
@@ -156,7 +177,14 @@ _HELD = f"list_transform([1, 5, 7], lambda k: lower(trim({_LIST(WORDS)}[c_custke
 _ACTIVE = lambda kind: "concat_ws('|', " + ", ".join(f"CASE WHEN list_has_any(held, {_LIST(words)}) THEN '{g}' END" for g, words in KEYWORD_GROUPS[kind].items()) + ")"
 _ON = f"[{_LIST(GROUPS)}[c_custkey % {len(GROUPS)} + 1], 'ai-infra']"
 _SET = "concat_ws('|', " + ", ".join(f"CASE WHEN list_contains(groups, '{g}') THEN '{'|'.join(words)}' END" for g, words in KEYWORD_GROUPS["prefer"].items()) + ")"
+_BROKEN = {
+    "stage_runs.status": "n % 6 = 5", "stage_runs.attempt_count": "n % 9 = 0", "digest_runs.trigger_type": "n % 3 = 2", "digest_runs.status": "n % 7 = 5",
+    "stories.latest_duplicate_count": "n % 5 = 0", "stories.confirmation_count": "n % 4 = 0",
+    "settings.publish_top_n": "n % 120 NOT BETWEEN 5 AND 100", "settings.summary_max_chars": "n % 6000 NOT BETWEEN 180 AND 5000", "settings.minimum_importance_score": "n % 110 > 100", "settings.source_budget": "n % 220 NOT BETWEEN 5 AND 200", "settings.source_probe_count": "n % 13 > 10",
+    "feedback.sentiment": "n % 3 = 2", "source_decisions.policy_version": "n % 120 NOT BETWEEN 1 AND 100", "source_decisions.confidence": "n % 15 > 10", "source_decisions.role": "n % 5 = 4", "source_decisions.role_selected": "n % 5 = 4 OR (n % 2 = 0) <> (n % 5 < 2)",
+}
 ORACLE = {
+    "run_constraint_violations": "WITH o AS (SELECT o_orderkey AS n FROM orders) " + " UNION ALL ".join(f"SELECT '{k}' AS constraint, count(*) FILTER ({c}) AS n FROM o" for k, c in _BROKEN.items()),
     "catalogs_checked": """WITH d AS (SELECT doc_id, doc_id AS n FROM documents) SELECT doc_id, 0 AS ordinal, 's' || n AS name, 'https://x.org/' || n AS url, NULL::BOOLEAN AS enabled, NULL::INT AS priority, '' AS problems FROM d WHERE n % 7 = 0
 UNION ALL SELECT doc_id, 1, 't', 'http://y.org', false, n % 8, CASE WHEN n % 8 BETWEEN 1 AND 5 THEN '' ELSE 'priority' END FROM d WHERE n % 7 = 0
 UNION ALL SELECT doc_id, unnest([0, 1, 2]), unnest(['', NULL, 'n']), unnest(['x.org', NULL, 'https://']), NULL, NULL, unnest(['name,url', 'object,name,category,url', 'category,url']) FROM d WHERE n % 7 = 1
