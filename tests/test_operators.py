@@ -559,3 +559,19 @@ def test_publication(spark):
     assert [r.i for r in B.fallback_rows(a, b).collect()] == [1] and [r.i for r in B.fallback_rows(a.where("false"), b).collect()] == [2]
     brief = B.brief_lines(spark.createDataFrame([("r", i, f"t{i}") for i in (3, 1, 2, 0, 5, 4)], "run_id string, selection_rank int, title string")).first()
     assert brief.n_items == 6 and brief.titles == ["t0", "t1", "t2", "t3", "t4"]
+
+
+def test_duplicates_in_blocks_and_groups(spark, small, monkeypatch):
+    from tidewell.operators import stories as D
+    from tidewell.plans import queries as Q
+
+    p = Q.profiles(spark, small)
+    k, _ = D.kept_classes(p)
+    assert k.schema["text_tokens"].dataType.simpleString() == "array<bigint>" and "summary" not in k.columns
+    told = lambda d: sorted((*sorted((x.left, x.right)), x.reason, round(x.score, 9)) for x in d.where("duplicate").collect())
+    expected = told(D.all_decisions(k))
+    monkeypatch.setattr(D, "KEY_BLOCK", 3)
+    monkeypatch.setattr(D, "CELL_PAIRS", 1)
+    monkeypatch.setattr(D, "CELL_CLASSES", 7)
+    near = {tuple(sorted((x.left, x.right))) for x in D.judged_pairs(k).select("left", "right").collect()}
+    assert expected and told(D.class_decisions(k)) == [x for x in expected if x[0] == x[1] or x[:2] in near]
