@@ -73,3 +73,11 @@ def test_without_sql(spark, small, name):
         assert set(got.story_id) <= set(got.article_id) and len(got) == 200
     if name == "rank_explored":
         assert (got.groupby("user_id").position.max() == 199).all() and (got[got.is_exploration].position % 10 == 9).all()
+
+
+@pytest.mark.parametrize("name", ["selection_scores", "policy_gate"])
+def test_texts_are_judged_once(spark, small, name):
+    from tidewell.plans.registry import QUERIES
+
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id") == 1
