@@ -279,6 +279,39 @@ def test_history_is_matched_in_turn(spark):
     assert sorted(tuple(x) for x in D.with_history(told_by, found).collect()) == [(1, 0, "new_story", 1.0), (2, 5, "history:simhash", 0.813)]
 
 
+def test_history_in_parts_and_cells(spark, monkeypatch):
+    """A history of several parts and stories of several cells, some without a time or with the same URL, against the plain loop."""
+    monkeypatch.setattr(D, "HISTORY_ROWS", 9)
+    monkeypatch.setattr(D, "STORY_CELL", 20)
+    rows = random_stories(random.Random(15), 120, words=22) + [(900, "the", "and", "AI", "", 0, "a"), (901, "", "", "AI", "", 0, "a"), (902, "", "", "AI", "", 0, "a")]
+    p, told = profile_dicts(spark, rows)
+    p = p.withColumnRenamed("article_id", "story_id").withColumn("last_seen_epoch", (F.col("story_id") * 7 % 5).cast("long"))
+    past = sorted((x[0] for x in rows if x[0] % 3 == 0), key=lambda i: (-(i * 7 % 5), i))
+    expected = matched_in_turn({x[0]: (None, [x[0]]) for x in rows if x[0] % 3}, [(h, f"k{h}") for h in past], told)
+    got = {x.story_id: (x.history_id, round(x.score, 6)) for x in D.match_history_fuzzy(p.where("story_id % 3 > 0"), p.where("story_id % 3 = 0")).collect()}
+    assert got == {k: (v[0], round(v[2], 6)) for k, v in expected.items()} and len(got) > 20 and 901 in got
+    none = D.match_history_fuzzy(p.where("story_id % 3 > 0"), p.where("false"))
+    assert none.count() == 0 and D.match_history_fuzzy(p.where("false"), p).count() == 0
+
+
+def test_history_keeps_no_copies_of_the_texts(spark, tmp_path):
+    """What is checkpointed follows the history and what it matches, not the texts of a run."""
+    from pathlib import Path
+
+    from tidewell.plans import queries as Q
+
+    r = random.Random(16)
+    docs = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(250)), "src1") for i in range(600)]
+    docs = [(i, docs[i - 1][1] if i % 30 == 1 else t, s) for i, t, s in docs]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    used = lambda: sum(x.stat().st_size for x in folder.rglob("*") if x.is_file())
+    before = used()
+    got = Q.history_matches(spark, str(tmp_path)).collect()
+    assert len(got) >= 10 and used() - before < 1.5 * sum(len(t) for _, t, _ in docs)
+
+
 @pytest.mark.parametrize("look", [500, 7])
 def test_selection_by_its_rule(spark, monkeypatch, look):
     """Runs that are full after one step, and runs that take several, of which one is never full."""

@@ -96,21 +96,8 @@ def candidates(k: DataFrame, by_feed: bool = True) -> DataFrame:
     return _met(evidence(k, by_feed).checkpoint())
 
 
-def candidates_between(a: DataFrame, b: DataFrame, by_feed: bool = True) -> DataFrame:
-    """(left, right): a class_id of a and one of b that have evidence in common, each pair once."""
-    checkpoints(a.sparkSession)
-    cols = ("feed", "title_tokens", "text_tokens", "fingerprint", "simhash", "canonical_url")
-    side = lambda df, odd: df.select((F.col("class_id") * 2 + odd).alias("class_id"), *cols)
-    e = evidence(side(a, 0).unionByName(side(b, 1)), by_feed).checkpoint()
-    return _met(e, between=True).select(F.shiftright("left", 1).alias("left"), F.shiftright("right", 1).alias("right"))
-
-
-def _met(e: DataFrame, between: bool = False) -> DataFrame:
-    """Pairs of classes with a key in common, each once; with between, of an even and an odd class_id, the even one left."""
-    odd = F.pmod("class_id", F.lit(2)) == 1
-    if between:
-        met = e.groupBy("key", "kind").agg(F.count(F.when(odd, 1)).alias("c"), F.count(F.when(~odd, 1)).alias("from")).where("c > 0 and from > 0")
-        return _pairs(e, met, ~odd, odd, (F.col("l.side") == 3) | (F.col("l.side") != F.col("r.side"))).select(F.col("l.class_id").alias("left"), F.col("r.class_id").alias("right")).distinct()
+def _met(e: DataFrame) -> DataFrame:
+    """Pairs of classes with a key in common, each once."""
     met = e.groupBy("key", "kind").agg(F.count(F.when(F.col("side") > 1, 1)).alias("c"), F.count(F.when(F.col("side") != 2, 1)).alias("from")).where("c > 0 and from > 0 and c + from > 2")
     once = F.when(F.col("l.side") == 3, F.col("l.class_id") < F.col("r.class_id")).otherwise(F.col("l.class_id") != F.col("r.class_id"))
     pairs = _pairs(e, met, F.col("side") != 2, F.col("side") != 1, once)
