@@ -347,6 +347,33 @@ def test_selection_by_its_rule(spark, monkeypatch, look):
     assert len(why) == 5
 
 
+def test_selection_looks_at_what_can_be_selected(spark, monkeypatch):
+    """Runs that their publishers never fill: the same as one fold over all rows, with profiles of the first rows only, in few rounds."""
+    monkeypatch.setattr(C, "LOOK", 10)
+    r = random.Random(5)
+    rows = random_stories(r, 240, words=60, urls=False)
+    p, told = profile_dicts(spark, rows)
+    feeds = {x.article_id: x.feed for x in p.select("article_id", "feed").collect()}
+    extra = [(i, f"r{i % 2}", r.choice(["p", "q"]) if i > 9 else None if i % 4 > 1 else "q", float(r.randrange(60)) if i > 9 else -1.0, r.randrange(9)) for i in range(240)]
+    looked = []
+
+    def profiled(batch):
+        looked.append([x.story_id for x in batch.select("story_id").collect()])
+        return batch.drop("feed").join(p.withColumnRenamed("article_id", "story_id"), "story_id")
+
+    df = spark.createDataFrame(extra, "story_id long, run_id string, publisher string, final_score double, editorial long").join(p.select(F.col("article_id").alias("story_id"), "feed"), "story_id")
+    for top_n, limits in ((9, {"ai": 3}), (5, {"ai": 0, "security": 2}), (0, {})):
+        looked.clear()
+        got = {x.story_id: tuple(x)[3:] for x in C.select_stories(df, top_n, limits, 2, profiled).collect()}
+        expected = {}
+        for run in ("r0", "r1"):
+            ranked = [{"story_id": i, "feed": feeds[i], "publisher": who, "profile": {**told[i]}} for i, x, who, _, _ in sorted(extra, key=lambda x: (-x[3], -x[4], x[0])) if x == run]
+            expected |= {x[0]: x[1:] for x in C.fold(ranked, top_n, limits, 2)}
+        assert got == expected and len(got) == 240
+        assert len(looked) <= 4 and sum(map(len, looked)) < 120
+    assert {x[2] for x in expected.values()} == {"capacity"}
+
+
 def test_exploration_is_a_permutation(spark):
     rows = [("u", i, i, 100 - i, -1.0 if i % 7 == 0 else 1.0) for i in range(35)]
     df = spark.createDataFrame(rows, "user_id string, item_id long, model_rank long, editorial long, preference double")
