@@ -105,6 +105,19 @@ def test_simhash_distance_of_all_candidates(spark, small):
     assert {(x.left_id, x.right_id): x.bits for x in got} == brute and len(got) == len(brute) and max(x.right_id for x in got) >= 120
 
 
+def test_distances_of_copies_in_lists(spark, monkeypatch):
+    """Copies that take several lists, keys that take several blocks, against a plain loop."""
+    monkeypatch.setattr(D, "BLOCK", 7)
+    monkeypatch.setattr(D, "KEY_BLOCK", 10)
+    rows = random_stories(random.Random(17), 60)
+    rows += [(500 + i, *rows[3 + i % 2][1:]) for i in range(40)]
+    p, _ = profile_dicts(spark, rows)
+    told = p.select("article_id", "simhash", D.blocking_keys().alias("keys")).collect()
+    brute = {(a.article_id, b.article_id): bin(a.simhash ^ b.simhash).count("1") for a in told for b in told if a.article_id < b.article_id and set(a["keys"]) & set(b["keys"])}
+    got = D.key_distances(p).collect()
+    assert {(x.left_id, x.right_id): x.bits for x in got} == brute and len(got) == len(brute) > 1000
+
+
 def test_story_keys(spark):
     m = spark.createDataFrame([(1, "ai", 'a "b" \\ ü', "https://x"), (1, "ai", "c", ""), (2, "ai", "c", "")], "story_id long, feed string, fingerprint string, canonical_url string").withColumn("article_id", F.lit(7))
     got = {r.story_id: r.story_key for r in D.story_keys(m).collect()}
