@@ -118,6 +118,37 @@ def test_distances_of_copies_in_lists(spark, monkeypatch):
     assert {(x.left_id, x.right_id): x.bits for x in got} == brute and len(got) == len(brute) > 1000
 
 
+def test_distances_in_steps(monkeypatch):
+    """Rows of keys that span batches, blocks of a hot key, few rows and many, in small steps, against a plain loop."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(D, "FEW", 3)
+    monkeypatch.setattr(D, "STEP_PAIRS", 60)
+    r = random.Random(29)
+    told = [(i, r.getrandbits(32), sorted(r.sample(range(60), r.randrange(5)) + [7] * (i % 3 == 0))) for i in range(150)] + [(1000 + i, 5, [61, 62, 63]) for i in range(30)]
+    rows = []
+    for i, bits, keys in told:
+        for n, key in enumerate(keys):
+            if key not in keys[:n]:
+                blocks = 3 if key == 7 else 1
+                for other in range(blocks):
+                    a, b = sorted((i % blocks, other))
+                    rows.append({"key": key, "i": a, "j": b, "first": i % blocks == a, "article_id": i, "simhash": bits, "same": hash(tuple(keys[:n])), "below": keys[:n]})
+    rows.sort(key=lambda x: (x["key"], x["i"], x["j"]))
+    schema = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("first", pa.bool_()), ("article_id", pa.int64()), ("simhash", pa.int64()), ("same", pa.int64()), ("below", pa.list_(pa.int64()))])
+    out = list(D._key_distances(b for x in range(0, len(rows), 17) for b in pa.Table.from_pylist(rows[x : x + 17], schema).to_batches()))
+    got = [(x["left_id"], x["right_id"], x["bits"]) for b in out for x in b.to_pylist()]
+    brute = [(a[0], b[0], (a[1] ^ b[1]).bit_count()) for a in told for b in told if a[0] < b[0] and set(a[2]) & set(b[2])]
+    assert sorted(got) == sorted(brute) and len(brute) > 2000 and max(map(len, out)) <= 60
+
+
+def test_keys_are_worked_out_once(spark):
+    """The anchors of a text are looked for once, where its keys name them more than once; tokens and bits are not folded one by one."""
+    p = D.profiles(_articles(spark, [(1, "Harbour tunnel", "opens", "AI", "", 0, "a")]))
+    plan = p.select("simhash", D.hashed_keys().alias("keys"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("anchor:") == 1 and "aggregate(" not in plan and "split(" not in plan
+
+
 def test_story_keys(spark):
     m = spark.createDataFrame([(1, "ai", 'a "b" \\ ü', "https://x"), (1, "ai", "c", ""), (2, "ai", "c", "")], "story_id long, feed string, fingerprint string, canonical_url string").withColumn("article_id", F.lit(7))
     got = {r.story_id: r.story_key for r in D.story_keys(m).collect()}

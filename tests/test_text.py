@@ -64,6 +64,24 @@ def test_fingerprints_and_hashes(spark):
     assert one(spark, X.fnv1a32(F.col("c0")), "2024-01-31:abc") == fnv("2024-01-31:abc")
 
 
+def test_tokens_and_bits_of_odd_texts(spark):
+    """Words with hyphens, marks, letters beyond 16 bits, against the steps one after the other and a plain count; some batches have empty texts."""
+    import hashlib
+    import random
+    import unicodedata
+
+    r = random.Random(7)
+    signs = "abcxyz019--- _\t\n éÉßø½²Ⅻ中文ﬁ𝒳𐐀😀'.!"
+    texts = ["", None, *("".join(r.choice(signs) for _ in range(r.choice([1, 3, 10, 60, 300]))) for _ in range(400)), " ".join(f"word{i}" for i in range(70_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, c string").repartition(3).withColumn("t", X.dedupe_tokens(F.col("c"), True))
+    steps = F.filter(F.transform(F.split(X.dedupe_text(F.col("c"), True), " "), lambda w: F.regexp_replace(w, "^-+|-+$", "")), lambda w: (F.length(w) > 2) & ~w.isin(X.V.DEDUPE_STOPWORDS))
+    for x in df.select("c", "t", F.array_distinct(steps).alias("steps"), X.simhash32(F.col("t")).alias("bits"), X.nfkd(F.col("c")).alias("plain")).collect():
+        assert x.t == x.steps
+        assert x.plain == (x.c and "".join(c for c in unicodedata.normalize("NFKD", x.c) if not unicodedata.category(c).startswith("M")))
+        h = [int(hashlib.sha256(w.encode()).hexdigest()[:8], 16) for w in x.t or []]
+        assert x.bits == sum(1 << i for i in range(32) if 2 * sum(y >> i & 1 for y in h) > len(h))
+
+
 def test_numbers_and_dates(spark):
     r = spark.sql("select -2.5 x, 1.0 a, 0.0 b").select(X.js_round(F.col("x")).alias("r"), X.percentage(F.col("a"), F.col("b")).alias("p"), X.half_life(F.lit(45.0)).alias("h")).first()
     assert (r.r, r.p, r.h) == (-2, 0, 0.5)
